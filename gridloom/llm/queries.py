@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton
-from .common import read_table
+from . import binary_records, bpe_automaton, packing
+from .common import read_table, scratch
 from .tokenizer import public_tokenizer
 
 
@@ -15,8 +15,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.bpe_encode(read_table(spark, sf_dir, "documents"), public_tokenizer(), with_ids=False, with_text=False, digests=True)
 
 
+def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "records")
+    binary_records.write_records(read_table(spark, sf_dir, "documents"), public_tokenizer(), folder, end_id=0)
+    return binary_records.read_records(spark, folder, ids="digest")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op6_binary_records": op6_binary_records,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
