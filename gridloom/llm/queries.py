@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_records, bpe_automaton, packing
+from . import binary_records, bpe_automaton, fingerprints, packing, quality_rules
 from .common import read_table, scratch
 from .tokenizer import public_tokenizer
 
@@ -15,20 +15,32 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.bpe_encode(read_table(spark, sf_dir, "documents"), public_tokenizer(), with_ids=False, with_text=False, digests=True)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "records")
     binary_records.write_records(read_table(spark, sf_dir, "documents"), public_tokenizer(), folder, end_id=0)
     return binary_records.read_records(spark, folder, ids="digest")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizer())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_quality_rules": op3_quality_rules,
     "op6_binary_records": op6_binary_records,
+    "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE_SQL,
+}
