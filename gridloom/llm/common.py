@@ -65,3 +65,17 @@ def text_bytes(docs: DataFrame) -> int:
 
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``row`` (unique, ascending with doc_id), ``doc_id``, ``text``.
+
+    Where doc_ids are unique and known, ``row`` is the doc_id and nothing is moved. Otherwise the table is put in the
+    order of doc_id (nulls first) and text, numbered, and written.
+    """
+    rows = texts(docs)
+    odd = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        return rows.select(F.col("doc_id").alias("row"), "doc_id", "text")
+    ordered = rows.repartitionByRange(default_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    return materialise(ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
