@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_records, bpe_automaton, fingerprints, lm_scoring, packing, quality_rules, suffix_dedup, toxicity
+from . import binary_records, bpe_automaton, fingerprints, line_dedup, lm_scoring, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 from .common import read_table, scratch
 from .tokenizer import public_tokenizer
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.bpe_encode(read_table(spark, sf_dir, "documents"), public_tokenizer(), with_ids=False, with_text=False, digests=True)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "records")
     binary_records.write_records(read_table(spark, sf_dir, "documents"), public_tokenizer(), folder, end_id=0)
@@ -47,8 +55,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_ngram_join": op5_ngram_join,
     "op6_binary_records": op6_binary_records,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
@@ -57,5 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op5_ngram_join": ngram_join.ORACLE_SQL,
 }
