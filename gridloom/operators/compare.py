@@ -96,7 +96,7 @@ def limits(df: DataFrame, column: str, slack: float = 1e-8) -> tuple[float, floa
 def histogram2d(df: DataFrame, ind: str, dep: str, ind_limits: tuple[float, float], dep_limits: tuple[float, float], n: int = 25) -> DataFrame:
     """Share of the pairs in each two-dimensional bin; empty bins have no row."""
     rows = df.filter(F.col(ind).isNotNull() & F.col(dep).isNotNull())
-    counts = rows.groupBy(bins(ind, *ind_limits, n).alias("bx"), bins(dep, *dep_limits, n).alias("by")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(bins(ind, *ind_limits, n).alias("bin_x"), bins(dep, *dep_limits, n).alias("bin_y")).agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
     return counts.withColumn("share", F.col("n") / F.lit(float(total or 1)))
 
@@ -105,19 +105,19 @@ def response(df: DataFrame, ind: str, dep: str, ind_limits: tuple[float, float],
     """Mean and standard deviation of ``dep`` by bins of ``ind`` that hold a share of at least ``least_share``."""
     rows = df.filter(F.col(ind).isNotNull() & F.col(dep).isNotNull())
     total = float(rows.count() or 1)
-    out = rows.groupBy(bins(ind, *ind_limits, n).alias("bx")).agg(F.avg(dep).alias("mean"), F.stddev_pop(dep).alias("std"), F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy(bins(ind, *ind_limits, n).alias("bin_x")).agg(F.avg(dep).alias("mean"), F.stddev_pop(dep).alias("std"), F.count(F.lit(1)).alias("n"))
     return out.filter(F.col("n") / F.lit(total) >= least_share)
 
 
 def hellinger_score(a: DataFrame, b: DataFrame) -> DataFrame:
     """1 - sqrt(sum (sqrt p - sqrt q)^2) / sqrt 2 over bins filled in both histograms."""
-    pairs = a.select("bx", "by", F.col("share").alias("p")).join(b.select("bx", "by", F.col("share").alias("q")), ["bx", "by"])
+    pairs = a.select("bin_x", "bin_y", F.col("share").alias("p")).join(b.select("bin_x", "bin_y", F.col("share").alias("q")), ["bin_x", "bin_y"])
     return pairs.agg((1 - F.sqrt(F.coalesce(F.sum(F.pow(F.sqrt("p") - F.sqrt("q"), 2)), F.lit(0.0))) / F.sqrt(F.lit(2.0))).alias("score"))
 
 
 def response_score(a: DataFrame, b: DataFrame) -> DataFrame:
     """exp(-|a - b| / |a|) of two response curves over their common bins."""
-    pairs = a.select("bx", F.col("mean").alias("p")).join(b.select("bx", F.col("mean").alias("q")), "bx")
+    pairs = a.select("bin_x", F.col("mean").alias("p")).join(b.select("bin_x", F.col("mean").alias("q")), "bin_x")
     return pairs.agg(F.exp(-F.sqrt(F.sum(F.pow(F.col("p") - F.col("q"), 2))) / F.sqrt(F.sum(F.col("p") * F.col("p")))).alias("score"))
 
 

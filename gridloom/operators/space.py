@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import cell_area
@@ -63,12 +63,13 @@ def regions_with_data(df: DataFrame, regions: DataFrame) -> DataFrame:
     return in_region(df.filter("value is not null"), regions).select(F.col("region").alias("label")).distinct()
 
 
-def axis(df: DataFrame, lower: str, upper: str) -> list[tuple[float, float]]:
-    """The distinct intervals of an axis, in order: metadata of the grid, checked to be of bounded size."""
-    rows = df.select(lower, upper).distinct().limit(MAX_AXIS + 1).collect()
-    if len(rows) > MAX_AXIS:
-        raise ValueError(f"{lower} has over {MAX_AXIS} values; regrid by blocks")
-    return sorted((r[0], r[1]) for r in rows)
+def axes(df: DataFrame) -> tuple[list[tuple[float, float]], list[tuple[float, float]]]:
+    """The distinct intervals of latitude and of longitude, in order: metadata of the grid, of bounded size, by one job."""
+    sets = [F.collect_set(F.when(F.col(a).isNotNull(), F.struct(a, b))) for a, b in (("lat0", "lat1"), ("lon0", "lon1"))]
+    row = df.select(*CELL).distinct().agg(*(F.when(F.size(s) <= MAX_AXIS, s) for s in sets)).first()
+    if row[0] is None or row[1] is None:
+        raise ValueError(f"an axis has over {MAX_AXIS} values; regrid by blocks")
+    return tuple(sorted((r[0], r[1]) for r in own) for own in row)
 
 
 def nearest(centres: list[float], x: float) -> int:
@@ -84,15 +85,14 @@ def composed_axis(a: list[tuple[float, float]], b: list[tuple[float, float]], li
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def on_axes(df: DataFrame, lats: list[tuple[float, float]], lons: list[tuple[float, float]]) -> DataFrame:
+def on_axes(df: DataFrame, lats: list[tuple[float, float]], lons: list[tuple[float, float]], own_axes=None) -> DataFrame:
     """``df`` on another grid by nearest centres, one axis at a time.
 
     Each axis is a lookup table of at most MAX_AXIS rows, so both joins are broadcast equi joins and the field itself
     is not shuffled.
     """
     spark = df.sparkSession
-    for lower, upper, target in (("lat0", "lat1", lats), ("lon0", "lon1", lons)):
-        own = axis(df, lower, upper)
+    for lower, upper, target, own in zip(("lat0", "lon0"), ("lat1", "lon1"), (lats, lons), own_axes or axes(df), strict=True):
         centres = [(x + y) / 2 for x, y in own]
         rows = [(*own[nearest(centres, (x + y) / 2)], x, y) for x, y in target]
         lookup = spark.createDataFrame(rows, f"{lower} double, {upper} double, _a double, _b double")
@@ -102,21 +102,24 @@ def on_axes(df: DataFrame, lats: list[tuple[float, float]], lons: list[tuple[flo
 
 def compose(ref: DataFrame, com: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both fields on the grid of all their cell edges."""
-    lats = composed_axis(axis(ref, "lat0", "lat1"), axis(com, "lat0", "lat1"), 90.0)
-    lons = composed_axis(axis(ref, "lon0", "lon1"), axis(com, "lon0", "lon1"), 180.0)
-    return on_axes(ref, lats, lons), on_axes(com, lats, lons)
+    a, b = axes(ref), axes(com)
+    lats, lons = composed_axis(a[0], b[0], 90.0), composed_axis(a[1], b[1], 180.0)
+    return on_axes(ref, lats, lons, a), on_axes(com, lats, lons, b)
+
+
+def _nearest_cell(cells: list[tuple[float, float]], at: Column) -> Column:
+    """The cell (c0, c1) of an axis whose centre is nearest, the lower one of equals."""
+    own = F.array(*(F.struct(F.lit(a).alias("c0"), F.lit(b).alias("c1")) for a, b in cells))
+    return F.array_min(F.transform(own, lambda c: F.struct(F.abs((c["c0"] + c["c1"]) / 2 - at).alias("d"), c["c0"].alias("c0"), c["c1"].alias("c1"))))
 
 
 def at_sites(grid: DataFrame, sites: DataFrame) -> DataFrame:
     """The grid's values at sites (site, lat, lon), from the nearest centre on each axis. The axes are arrays of
     bounded size in the plan; sites and grid meet in an equi join on the cell."""
     out = sites
-    for lower, upper, at in (("lat0", "lat1", "lat"), ("lon0", "lon1", "lon")):
-        own = F.lit([c for cell in axis(grid, lower, upper) for c in cell])
-        centres = F.transform(F.sequence(F.lit(0), F.size(own) / 2 - 1), lambda i, own=own: F.struct(F.get(own, (2 * i).cast("int")).alias(lower), F.get(own, (2 * i + 1).cast("int")).alias(upper)))
-        ranked = F.transform(centres, lambda c, lower=lower, upper=upper, at=at: F.struct(F.abs((c[lower] + c[upper]) / 2 - F.col(at)).alias("d"), c[lower].alias(lower), c[upper].alias(upper)))
-        best = F.array_min(ranked)
-        out = out.withColumn("_best", best).withColumns({lower: F.col("_best")[lower], upper: F.col("_best")[upper]}).drop("_best")
+    for lower, upper, at, own in zip(("lat0", "lon0"), ("lat1", "lon1"), ("lat", "lon"), axes(grid), strict=True):
+        out = out.withColumn("_best", _nearest_cell(own, F.col(at)))
+        out = out.withColumns({lower: F.col("_best.c0"), upper: F.col("_best.c1")}).drop("_best")
     return out.join(grid, CELL)
 
 

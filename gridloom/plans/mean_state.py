@@ -17,7 +17,8 @@ from ..operators.time import anomaly, integrate, root_mean_square
 
 def period_bias(ref: DataFrame, com: DataFrame) -> DataFrame:
     """Bias of the time means on the composed grid."""
-    a, b = compose(integrate(ref, CELL, mean=True), integrate(com, CELL, mean=True))
+    # the means are as small as a grid, and read again once their axes are known
+    a, b = compose(integrate(ref, CELL, mean=True).persist(), integrate(com, CELL, mean=True).persist())
     return bias(a, b, CELL)
 
 
