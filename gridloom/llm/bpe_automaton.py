@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import small_batches, texts
-from .tokenizer import _SPACED, _UNSAFE, CACHE_CHARS, CACHE_CHUNKS, read_tokenizer
+from .tokenizer import _SPACED, _UNSAFE, Chunks, read_tokenizer
 
 #: The public pre-split pattern of byte-level BPE (a fixed value of the vocabulary's format).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -66,7 +66,7 @@ class Automaton:
         self.arcs: dict[int, bool] = {}
         self.word_split = regex.compile(PRE_SPLIT)
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.chunks = _ChunkIds(self)
+        self.chunks = Chunks(self.encode_chunk)
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         if w in self.label_born or u not in self.leads or v not in self.leads:
@@ -140,9 +140,9 @@ class Automaton:
 
     def _plain(self, text: str) -> list[int]:
         if ("  " in text or _SPACED.search(text) or text[-2:].isspace()) and _UNSAFE.search(text):
-            return list(chain.from_iterable(map(self.chunks.whole, self.word_split.findall(text))))
+            return list(chain.from_iterable(map(self.encode_chunk, self.word_split.findall(text))))
         head, *rest = text.split(" ")
-        return [*self.chunks.whole(head), *chain.from_iterable(map(self.chunks.__getitem__, rest))]
+        return [*(self.chunks.bare[head] if head else ()), *chain.from_iterable(map(self.chunks.__getitem__, rest))]
 
     def encode(self, text: str) -> list[int]:
         if not self.added or not any(t in text for t in self.added):
@@ -153,31 +153,6 @@ class Automaton:
         return b"".join(map(self.decoding.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class _ChunkIds(dict):
-    """Chunk (without the space before it) to its ids; two bounded generations."""
-
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton, self.old = automaton, {}
-
-    def whole(self, text: str) -> tuple[int, ...]:
-        return self[text[1:]] if text[:1] == " " else self.automaton.encode_chunk(text)
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        found = self.old.get(chunk)
-        if found is None:
-            if len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2] < "ɐ" and chunk[-2].isalpha():
-                found = self[chunk[:-1]] + self.automaton.encode_chunk(chunk[-1])
-            else:
-                found = self.automaton.encode_chunk(" " + chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = found
-        return found
-
-
 _automata: dict[int, Automaton] = {}
 
 

@@ -10,40 +10,53 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
 #: Chunks kept per generation of a worker's cache; two generations bound its memory.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 500_000
 #: Longest chunk that is kept.
 CACHE_CHARS = 64
 _SPACED = re.compile(r" [^\S ]")
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
-_MARKS = frozenset(".,;:!?")
+_MARKS = ".,;:!?"
 
 
-class _Chunks(dict):
-    """Chunk (without the space before it) to the little-endian bytes of its ids."""
+class Chunks(dict):
+    """Chunk (without ``before``, which stands before it) to what ``encode`` makes of it, by concatenation.
 
-    def __init__(self, encode, limit: int = CACHE_CHUNKS):
+    Lines and the marks after a word are cut off first: neither a single line feed nor a run of such marks after a
+    letter is ever in one pre-token with what stands before it. Two bounded generations are kept.
+    """
+
+    def __init__(self, encode, before: str = " ", limit: int = CACHE_CHUNKS):
         super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
+        self.encode, self.before, self.limit, self.old = encode, before, limit, {}
+        self.bare = Chunks(encode, "", limit // 4) if before else self
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str):
         found = self.old.get(chunk)
         if found is None:
-            # A letter and the mark after it are never in one pre-token.
-            if len(chunk) > 1 and chunk[-1] in _MARKS and chunk[-2] < "ɐ" and chunk[-2].isalpha():
-                found = self[chunk[:-1]] + self.encode(chunk[-1])
-            else:
-                found = self.encode(" " + chunk)
-        if len(chunk) <= CACHE_CHARS:
+            found = self._found(chunk)
+        if len(chunk) <= CACHE_CHARS and ("\n" not in chunk or chunk == "\n"):
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[chunk] = found
         return found
 
+    def _found(self, chunk: str):
+        if "\n" in chunk:
+            left, _, right = chunk.rpartition("\n")
+            if left and right and not left[-1].isspace() and not right[0].isspace():
+                return self[left] + self.bare["\n"] + self.bare[right]
+        else:
+            stem = chunk.rstrip(_MARKS)
+            if stem and len(stem) < len(chunk) and stem[-1] < "ɐ" and stem[-1].isalpha():
+                return self[stem] + self.bare[chunk[len(stem) :]]
+        return self.encode(self.before + chunk)
+
 
 class TextEncoder:
     """Encodes texts; ``bytes`` of ``dtype`` ids."""
@@ -59,18 +72,23 @@ class TextEncoder:
         pre = spec.get("pre_tokenizer") or {}
         self.chunked = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec.get("post_processor")
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.chunks = _Chunks(self._library)
-        self.marks: dict[str, bytes] = {}
-
-    def _library(self, text: str) -> bytes:
-        if len(text) == 1:
-            if text not in self.marks and len(self.marks) < 4096:
-                self.marks[text] = self._whole(text)
-            return self.marks.get(text) or self._whole(text)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.model = self.library.model
+        # the characters that stand for bytes, by the bytes' Latin-1 characters
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        self.symbols = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.chunks = Chunks(self._piece)
+
+    def _piece(self, text: str) -> bytes:
+        """A word of letters, with or without a space before it, is one pre-token: the library's BPE takes it as it is."""
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+            found = self.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))
+            return array(self.code, [x.id for x in found]).tobytes()
         return self._whole(text)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -80,7 +98,7 @@ class TextEncoder:
         if ("  " in text or _SPACED.search(text) or text[-2:].isspace()) and _UNSAFE.search(text):
             return self._whole(text)
         head, *rest = text.split(" ")
-        return (self._library(head) if head else b"") + b"".join(map(self.chunks.__getitem__, rest))
+        return (self.chunks.bare[head] if head else b"") + b"".join(map(self.chunks.__getitem__, rest))
 
 
 _encoders: dict[str, TextEncoder] = {}
