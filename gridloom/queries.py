@@ -18,7 +18,7 @@ from .operators import compare as C
 from .operators import signal as G
 from .operators import space as S
 from .operators import time as T
-from .plans import mean_state, scoreboard
+from .plans import analyses, mean_state, scoreboard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -447,3 +447,115 @@ def smooth_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def site_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.site_seasons(fixture(spark, sf_dir, "fx_site_daily").select(F.col("site").cast("long").alias("site"), F.col("d").cast("double").alias("t"), "value"))
+
+
+@query("""WITH m AS (SELECT r.lat0, r.lon0, sum(c.value*(r.t1-r.t0)) AS a, sum(r.value*(r.t1-r.t0)) AS b FROM fx_masked_ref r JOIN fx_same_grid c ON c.t0 = r.t0 AND c.lat0 = r.lat0 AND c.lon0 = r.lon0 WHERE r.value >= 20 AND c.value IS NOT NULL GROUP BY r.lat0, r.lon0)
+SELECT g.lat0, g.lon0, round(m.a/m.b, 6) AS value FROM (SELECT DISTINCT r.lat0, r.lon0 FROM fx_masked_ref r JOIN fx_same_grid c ON c.t0 = r.t0 AND c.lat0 = r.lat0 AND c.lon0 = r.lon0) g LEFT JOIN m ON m.lat0 = g.lat0 AND m.lon0 = g.lon0""")
+def ratio_of_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(analyses.ratio_of_means(fixture(spark, sf_dir, "fx_same_grid"), fixture(spark, sf_dir, "fx_masked_ref"), CELL, 20.0), "value")
+
+
+@query("SELECT r.lat0, r.lon0, r.t0, round(CASE WHEN r.value >= 25 THEN c.value/r.value END, 6) AS value FROM fx_masked_ref r JOIN fx_same_grid c ON c.t0 = r.t0 AND c.lat0 = r.lat0 AND c.lon0 = r.lon0")
+def gated_ratio_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analyses.albedo(fixture(spark, sf_dir, "fx_same_grid"), fixture(spark, sf_dir, "fx_masked_ref"), ["t0", "lat0", "lon0"], 25.0)
+    return _rounded(out, "value")
+
+
+@query("SELECT r.lat0, r.lon0, r.t0, round(CASE WHEN r.value >= 0 AND c.value >= 0 AND r.value + c.value >= 20 THEN r.value/(r.value+c.value) END, 6) AS value FROM fx_masked_ref r JOIN fx_same_grid c ON c.t0 = r.t0 AND c.lat0 = r.lat0 AND c.lon0 = r.lon0")
+def evaporative_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analyses.evaporative_fraction(fixture(spark, sf_dir, "fx_masked_ref"), fixture(spark, sf_dir, "fx_same_grid"), ["t0", "lat0", "lon0"]), "value")
+
+
+_BASINS = "SELECT DISTINCT lat0, lon0, CAST((lat0+90)/60 AS INT)*10 + CAST(floor((lon0+180)/120) AS INT) AS basin FROM fx_ref_grid"
+
+
+def _basins(df: DataFrame) -> DataFrame:
+    return df.select("lat0", "lon0", (((F.col("lat0") + 90) / 60).cast("int") * 10 + F.floor((F.col("lon0") + 180) / 120).cast("int")).alias("basin")).distinct()
+
+
+def _basin_sql(table: str, name: str) -> str:
+    return f"{name} AS (SELECT basin, t0, t1, sum(value*{AREA})/sum(CASE WHEN value IS NOT NULL THEN {AREA} END) AS value FROM {table} g JOIN b ON b.lat0 = g.lat0 AND b.lon0 = g.lon0 GROUP BY 1, 2, 3)".replace("lat1", "g.lat1").replace("lon1", "g.lon1").replace("radians(lat0)", "radians(g.lat0)").replace("-lon0)", "-g.lon0)")
+
+
+_BASIN_SQL = f"b AS ({_BASINS.replace('CAST((lat0+90)/60 AS INT)', 'CAST(floor((lat0+90)/60) AS INT)')}), x AS (SELECT * FROM fx_masked_ref), {_basin_sql('fx_masked_ref', 'p')}, {_basin_sql('fx_same_grid', 'q')}"
+
+
+@query(f"""WITH {_BASIN_SQL}, pm AS (SELECT basin, sum(value*(t1-t0))/sum(CASE WHEN value IS NOT NULL THEN t1-t0 END) AS m FROM p GROUP BY basin), qm AS (SELECT basin, sum(value*(t1-t0))/sum(CASE WHEN value IS NOT NULL THEN t1-t0 END) AS m FROM q GROUP BY basin),
+j AS (SELECT p.basin, p.t1-p.t0 AS w, p.value-pm.m AS a, q.value-qm.m AS c FROM p JOIN q ON q.basin = p.basin AND q.t0 = p.t0 JOIN pm ON pm.basin = p.basin JOIN qm ON qm.basin = p.basin),
+s AS (SELECT basin, sqrt(sum(a*a*w)/sum(CASE WHEN a IS NOT NULL THEN w END)) AS magnitude, sqrt(sum((c-a)*(c-a)*w)/sum(CASE WHEN c-a IS NOT NULL THEN w END)) AS rmse FROM j GROUP BY basin)
+SELECT basin, round(magnitude, 6) AS magnitude, round(rmse, 6) AS rmse, round(exp(-rmse/magnitude), 6) AS score FROM s""")
+def water_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, com = fixture(spark, sf_dir, "fx_masked_ref"), fixture(spark, sf_dir, "fx_same_grid")
+    basins = _basins(fixture(spark, sf_dir, "fx_ref_grid"))
+    return _rounded(analyses.water_storage(analyses.basin_means(ref, basins), analyses.basin_means(com, basins)), "magnitude", "rmse", "score")
+
+
+@query(f"""WITH {_BASIN_SQL}, sp AS (SELECT basin, avg(value) AS m, stddev_pop(value) AS s FROM p GROUP BY basin), sq AS (SELECT basin, avg(value) AS m, stddev_pop(value) AS s FROM q GROUP BY basin)
+SELECT sp.basin, round(sp.m, 6) AS ref_mean, round(sq.m, 6) AS com_mean, round(sq.m-sp.m, 6) AS bias, round(exp(-abs((sq.m-sp.m)/sp.m)), 6) AS bias_score, round(exp(-abs((sq.s-sp.s)/sp.s)), 6) AS iav_score FROM sp JOIN sq ON sq.basin = sp.basin""")
+def runoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    basins = _basins(fixture(spark, sf_dir, "fx_ref_grid"))
+    a, b = (analyses.basin_means(fixture(spark, sf_dir, f), basins) for f in ("fx_masked_ref", "fx_same_grid"))
+    return _rounded(analyses.runoff(a, b), "ref_mean", "com_mean", "bias", "bias_score", "iav_score")
+
+
+@query(f"""WITH a AS (SELECT t0, t1, avg(value)/1000 AS v FROM fx_ref_grid GROUP BY t0, t1), b AS (SELECT t0, t1, avg(value)/1000 AS v FROM fx_same_grid GROUP BY t0, t1), j AS (SELECT a.t0, a.t1, a.v AS x, b.v AS y FROM a JOIN b ON b.t0 = a.t0),
+c AS (SELECT t1 AS t, sum(x*(t1-t0)) OVER (ORDER BY t0) AS x, sum(y*(t1-t0)) OVER (ORDER BY t0) AS y FROM j UNION ALL SELECT min(t0), 0, 0 FROM j), e AS (SELECT arg_max(y-x, t) AS diff, avg(exp(-abs(y-x)/10.8)) AS traj FROM c), r AS (SELECT {_R} AS r, stddev_pop(y)/stddev_pop(x) AS s FROM j)
+SELECT round(diff, 6) AS diff, round(exp(-0.287*abs(diff)/10.8), 6) AS difference_score, round(traj, 6) AS trajectory_score, round(4*(1+r)/((s+1/s)*(s+1/s)*2), 6) AS temporal_score FROM e CROSS JOIN r""")
+def net_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (fixture(spark, sf_dir, f).groupBy("t0", "t1").agg((F.avg("value") / 1000).alias("value")) for f in ("fx_ref_grid", "fx_same_grid"))
+    return _rounded(analyses.net_balance(a, b), "diff", "difference_score", "trajectory_score", "temporal_score")
+
+
+@query(f"""WITH y AS (SELECT lat0, lat1, lon0, lon1, yr, max(value) AS m FROM fx_ref_grid GROUP BY ALL), f AS (SELECT lat0, lat1, lon0, lon1, m < 42 AND lag(m) OVER w < 42 AND lag(yr) OVER w = yr-1 AS f FROM y WINDOW w AS (PARTITION BY lat0, lon0 ORDER BY yr)), m AS (SELECT DISTINCT lat0, lat1, lon0, lon1 FROM f WHERE f),
+o AS (SELECT DISTINCT lat0, lat1, lon0, lon1 FROM fx_ref_grid WHERE lat0 >= 0), j AS (SELECT coalesce(m.lat0, o.lat0) AS lat0, coalesce(m.lat1, o.lat1) AS lat1, coalesce(m.lon0, o.lon0) AS lon0, coalesce(m.lon1, o.lon1) AS lon1, m.lat0 IS NOT NULL AS im, o.lat0 IS NOT NULL AS io FROM m FULL JOIN o ON o.lat0 = m.lat0 AND o.lon0 = m.lon0),
+s AS (SELECT coalesce(sum(CASE WHEN im AND io THEN {AREA}/1e12 END), 0) AS overlap, coalesce(sum(CASE WHEN NOT im THEN {AREA}/1e12 END), 0) AS missed, coalesce(sum(CASE WHEN NOT io THEN {AREA}/1e12 END), 0) AS excess FROM j)
+SELECT round(overlap, 6) AS overlap, round(missed, 6) AS missed, round(excess, 6) AS excess, round(overlap/nullif(overlap+missed, 0), 6) AS missed_score, round(overlap/nullif(overlap+excess, 0), 6) AS excess_score FROM s""")
+def frozen_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fixture(spark, sf_dir, "fx_ref_grid")
+    yearly = df.groupBy(*CELL, F.col("yr").alias("year")).agg(F.max("value").alias("value")).withColumn("z0", F.lit(0.0))
+    out = analyses.permafrost(yearly, df.filter("lat0 >= 0").select(*CELL).distinct(), 42.0)
+    return _rounded(out, *out.columns)
+
+
+@query(f"WITH {_cycle_sql('fx_ref_grid', 'cyc')} SELECT lat0, lon0, round(max(value)-min(value), 6) AS amplitude, arg_max(month, value) AS peak, arg_min(month, value) AS trough FROM cyc GROUP BY lat0, lon0")
+def cycle_amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analyses.detrended_cycle(fixture(spark, sf_dir, "fx_ref_grid"), CELL), "amplitude").drop("lat1", "lon1")
+
+
+@query("SELECT lat0, lon0, t0, round(value - avg(value) OVER (PARTITION BY lat0, lon0, CAST(floor((((t0+t1)/2) % 365)/(365.0::DOUBLE/12)) AS INT)), 6) AS value FROM fx_masked_ref")
+def deseasonalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analyses.deseasonalised(fixture(spark, sf_dir, "fx_masked_ref"), CELL), "value").select("lat0", "lon0", "t0", "value")
+
+
+@query("SELECT cell, round(-regr_slope(value, (z0+z1)/2), 6) AS value FROM fx_layers WHERE z1 > 1 AND z0 < 6 GROUP BY cell")
+def depth_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analyses.depth_gradient(fixture(spark, sf_dir, "fx_layers"), ["cell"], 1.0, 6.0), "value")
+
+
+@query("SELECT lat0, lon0, round(arg_max(value, t0)-arg_min(value, t0), 6) AS value FROM fx_masked_ref WHERE value IS NOT NULL GROUP BY lat0, lon0")
+def content_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(analyses.content_change(fixture(spark, sf_dir, "fx_masked_ref"), CELL), "value")
+
+
+@query()
+def turnover_q10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = df.select(F.col("l_extendedprice").alias("soilc"), F.col("l_quantity").alias("npp"), (F.col("l_discount") * 500 - 10).alias("tas"), F.lit(0.0).alias("pr"), F.lit(0.0).alias("pet"), F.lit(0.0).alias("fracpeat"))
+    out = analyses.turnover(rows)
+    return _rounded(out, *out.columns)
+
+
+@query("""WITH s AS (SELECT site, -60 + (site*7) % 120 AS lat, max(value)-min(value) AS amplitude, CAST(arg_max(d, value) AS DOUBLE) AS p FROM fx_site_daily GROUP BY site), b AS (SELECT *, CASE WHEN lat > -90 AND lat <= -23 THEN 0 WHEN lat > -23 AND lat <= 23 THEN 1 WHEN lat > 23 AND lat <= 90 THEN 2 END AS band FROM s)
+SELECT CAST(band AS INT) AS band, round(avg(amplitude), 6) AS amplitude, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY band""")
+def latitude_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = fixture(spark, sf_dir, "fx_site_daily")
+    sites = daily.groupBy("site").agg((F.max("value") - F.min("value")).alias("amplitude"), F.max_by(F.col("d").cast("double"), "value").alias("peak_day"))
+    sites = sites.withColumn("lat", (F.lit(-60) + (F.col("site") * 7) % 120).cast("double"))
+    return _rounded(analyses.band_summary(sites, [(-90.0, -23.0), (-23.0, 23.0), (23.0, 90.0)]), "amplitude").select("band", "amplitude", "n")
+
+
+@query("""WITH r AS (SELECT lat0, lon0, avg(value) AS m, avg(value-1) AS lo, avg(value+1) AS hi, stddev_pop(value) AS s FROM fx_ref_grid GROUP BY 1, 2), c AS (SELECT lat0, lon0, avg(value) AS c FROM fx_same_grid GROUP BY 1, 2)
+SELECT r.lat0, r.lon0, round(c-m, 6) AS bias, round(exp(-abs(greatest(lo-c, c-hi, 0)/s)), 6) AS score FROM r JOIN c ON c.lat0 = r.lat0 AND c.lon0 = r.lon0""")
+def uncertain_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = fixture(spark, sf_dir, "fx_ref_grid").withColumns({"value_lo": F.col("value") - 1, "value_hi": F.col("value") + 1})
+    return _rounded(analyses.uncertain_bias(ref, fixture(spark, sf_dir, "fx_same_grid"), ["lat0", "lon0"]), "bias", "score")
