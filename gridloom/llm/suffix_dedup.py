@@ -11,8 +11,8 @@ windows that follow each other mostly share one. A run is the windows of one anc
 3. Their suffixes, from the anchor on, are dealt into buckets by sampled splitters over their leading bytes (a range
    partitioning), and each bucket is sorted by multikey quicksort on 8-byte words. Suffixes that share the anchor are
    neighbours; their windows are compared and all but the first of equal ones are repeats.
-4. A block of suffixes at the edge of a bucket may go on in the next one, so its windows are compared across
-   boundaries, by a shuffle on the windows' hashes. A hot anchor thus is spread over buckets and then over windows.
+4. An anchor with over ``HOT`` contents is dealt by whole suffixes, so it goes over many buckets; the windows of the
+   blocks at a bucket's edges are compared across the boundaries, by a shuffle on the windows' hashes.
 
 No step holds the copies of a string together: steps 2 and 4 look at neighbours in a sorted stream.
 
@@ -36,6 +36,8 @@ from .common import default_partitions, materialise, small_batches, with_rows
 LENGTH, GRAM = 100, 24
 #: Windows that can share one anchor.
 SHARED = LENGTH - GRAM + 1
+#: Contents of one anchor that a bucket takes whole, and bytes of contents in a bucket.
+HOT, BUCKET_BYTES = 4096, 4 << 20
 #: Bytes that are hashed at once, longer texts in overlapping parts; a place in a block fits into PLACE_BITS.
 BLOCK_BYTES, PLACE_BITS = 1 << 20, 22
 _BASE = 0x9E3779B97F4A7C15
@@ -145,8 +147,11 @@ def _spans(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[first], place[first], np.diff(np.append(first, len(row)))
 
 
-def compare_bucket(row: np.ndarray, at: np.ndarray, n_windows: np.ndarray, anchor_at: np.ndarray, contents: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Repeated spans (row, first window, windows) of one bucket, and the open windows (two hashes, row, place)."""
+def compare_bucket(row: np.ndarray, at: np.ndarray, n_windows: np.ndarray, anchor_at: np.ndarray, contents: list[bytes], edges: bool = True) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Repeated spans (row, first window, windows) of one bucket, and the open windows (two hashes, row, place).
+
+    edges: the bucket's first and last block may go on in another bucket, so their windows stay open.
+    """
     sizes = np.array([len(c) for c in contents])
     data = np.frombuffer(b"".join(contents), np.uint8)
     starts = np.cumsum(sizes) - sizes
@@ -162,7 +167,7 @@ def compare_bucket(row: np.ndarray, at: np.ndarray, n_windows: np.ndarray, ancho
     begin = starts[record] + step
     h1, h2 = _mixed(one.of(begin, begin + LENGTH)), _mixed(two.of(begin, begin + LENGTH))
     of, place, in_block = row[record], at[record] + step, block[record]
-    edge = (in_block == 0) | (in_block == block[-1])
+    edge = ((in_block == 0) | (in_block == block[-1])) & edges
     inner = np.flatnonzero(~edge)
     by = inner[np.lexsort((place[inner], of[inner], h2[inner], h1[inner], in_block[inner]))]
     again = np.zeros(len(by), bool)
@@ -210,22 +215,23 @@ def find_runs(rows: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The content of each chosen run: (row, shape) with its bytes."""
-    wanted = chosen.groupBy("row").agg(F.collect_list("shape").alias("shapes"))
+    """The content of each chosen run (row, shape, hot), and its suffix from the anchor on."""
+    wanted = chosen.groupBy("row").agg(F.collect_list(F.struct("shape", "hot")).alias("shapes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for row, text, shapes in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
                 data = text.as_py()
-                for shape in shapes:
+                for one in shapes:
+                    shape = one["shape"]
                     at, n, anchor_at = shape >> 16, shape >> 8 & 255, shape & ANCHOR_BITS
                     content = data[at : at + n + LENGTH - 1]
-                    for column, x in zip(out, (row, shape, content, content[anchor_at : anchor_at + LENGTH]), strict=True):
+                    for column, x in zip(out, (row, shape, content, content[anchor_at : anchor_at + LENGTH], one["hot"]), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["row", "shape", "content", "suffix"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.bool_())], names=["row", "shape", "content", "suffix", "hot"])
 
-    return rows.select("row", "text").join(wanted, "row").select("row", "text", "shapes").mapInArrow(run, "row long, shape long, content binary, suffix binary")
+    return rows.select("row", "text").join(wanted, "row").select("row", "text", "shapes").mapInArrow(run, "row long, shape long, content binary, suffix binary, hot boolean")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
@@ -236,32 +242,44 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     kinds = ordered.withColumn("first", F.coalesce(F.col("before") != F.col("content"), F.lit(True)))
     # a first is contested if its anchor has another content: one before it, or one after its own copies
     firsts = kinds.withColumn("after", F.expr("lead(CASE WHEN first THEN content END) IGNORE NULLS OVER (PARTITION BY anchor ORDER BY content, row, shape)"))
-    kept = firsts.filter(~F.col("first") | F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("shape").bitwiseAND(SEVERAL) != 0)).select("row", "shape", "first")
+    kept = firsts.filter(~F.col("first") | F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("shape").bitwiseAND(SEVERAL) != 0)).select("row", "shape", "first", "anchor")
     kept = materialise(kept, "runs")
     copies = kept.filter(~F.col("first")).select("row", F.shiftright("shape", 16).alias("at"), F.shiftright("shape", 8).bitwiseAND(255).alias("n"))
-    contents = materialise(_cut(rows, kept.filter("first").select("row", "shape")), "suffixes")
-
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held)
-        row, shape = (table[c].to_numpy() for c in ("row", "shape"))
-        spans, (h1, h2, open_row, open_at) = compare_bucket(row, shape >> 16, shape >> 8 & 255, shape & ANCHOR_BITS, table["content"].to_pylist())
-        none = lambda n: pa.nulls(n, pa.int64())
-        n, m = len(spans[0]), len(open_row)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in spans), none(n), none(n)], names=["row", "at", "n", "h1", "h2"])
-        for k in range(0, m, 1 << 16):
-            part = slice(k, k + (1 << 16))
-            size = len(h1[part])
-            yield pa.RecordBatch.from_arrays([pa.array(open_row[part], pa.int64()), pa.array(open_at[part], pa.int64()), pa.array(np.ones(size, np.int64)), pa.array(h1[part]), pa.array(h2[part])], names=["row", "at", "n", "h1", "h2"])
-
-    total = contents.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
-    buckets = max(default_partitions(spark), -(-total // (4 << 20)))
-    compared = materialise(contents.repartitionByRange(buckets, "suffix", "row", "shape").mapInArrow(bucket, "row long, at long, n long, h1 long, h2 long"), "compared")
+    contested = kept.filter("first").select("row", "shape", "anchor")
+    hot = materialise(contested.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor"), "hot-anchors")
+    some_hot = hot.limit(1).count() > 0
+    flagged = contested.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").select("row", "shape", F.coalesce("hot", F.lit(False)).alias("hot"))
+    contents = materialise(_cut(rows, flagged), "suffixes")
+    size = F.sum(F.octet_length("content"))
+    totals = {r["hot"]: r["n"] for r in contents.groupBy("hot").agg(size.alias("n")).collect()}
+    buckets = {k: max(default_partitions(spark), -(-totals.get(k, 0) // BUCKET_BYTES)) for k in (False, True)}
+
+    def bucket(edges: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            if not sum(b.num_rows for b in held):
+                return
+            table = pa.Table.from_batches(held)
+            row, shape = (table[c].to_numpy() for c in ("row", "shape"))
+            spans, (h1, h2, open_row, open_at) = compare_bucket(row, shape >> 16, shape >> 8 & 255, shape & ANCHOR_BITS, table["content"].to_pylist(), edges)
+            none = pa.nulls(len(spans[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in spans), none, none], names=["row", "at", "n", "h1", "h2"])
+            for k in range(0, len(open_row), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(open_row[part], pa.int64()), pa.array(open_at[part], pa.int64()), pa.array(np.ones(len(h1[part]), np.int64)), pa.array(h1[part]), pa.array(h2[part])], names=["row", "at", "n", "h1", "h2"])
+
+        return run
+
+    ddl = "row long, at long, n long, h1 long, h2 long"
+    # buckets between anchors: all suffixes of an anchor are in one
+    inside = contents.filter("not hot").drop("hot").repartitionByRange(buckets[False], F.substring("suffix", 1, GRAM)).mapInArrow(bucket(False), ddl).select("row", "at", "n")
+    if not some_hot:
+        return copies.union(inside)
+    # hot anchors: buckets within an anchor, by the whole suffix
+    compared = materialise(contents.filter("hot").drop("hot").repartitionByRange(buckets[True], "suffix", "row", "shape").mapInArrow(bucket(True), ddl), "compared")
     equal = Window.partitionBy("h1", "h2").orderBy("row", "at")
     across = compared.filter("h1 is not null").withColumn("again", F.lag("row").over(equal).isNotNull()).filter("again")
-    return copies.union(compared.filter("h1 is null").select("row", "at", "n")).union(across.select("row", "at", "n"))
+    return copies.union(inside).union(compared.filter("h1 is null").select("row", "at", "n")).union(across.select("row", "at", "n"))
 
 
 def merge(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
