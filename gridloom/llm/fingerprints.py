@@ -89,7 +89,7 @@ def in_ranges(docs: DataFrame, range_text_bytes: int = RANGE_TEXT_BYTES) -> Data
     """
     n = max(1, -(-text_bytes(docs) // range_text_bytes))
     fan = math.isqrt(n - 1) + 1
-    splits = docs.agg(F.expr(f"approx_percentile(doc_id, transform(sequence(1, {fan * fan - 1}), i -> i / {fan * fan}.0D), 100000)")).first()[0] if fan > 1 else None
+    splits = docs.agg(F.percentile_approx("doc_id", [i / (fan * fan) for i in range(1, fan * fan)], 100_000)).first()[0] if fan > 1 else None
     if not splits:
         return docs.withColumn("bucket", F.lit(0))
     doc_id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
