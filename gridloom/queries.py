@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .fixtures import fixture, with_fixtures
 from .functions.expressions import compile_expression
 from .functions.scores import cycle_score, day_shift_score, exp_score, gated_ratio, quantile_score, wrap_shift
+from .functions.units import conversion
 from .operators import CELL
 from .operators import compare as C
+from .operators import lookup as L
 from .operators import signal as G
 from .operators import space as S
 from .operators import time as T
@@ -559,3 +561,89 @@ SELECT r.lat0, r.lon0, round(c-m, 6) AS bias, round(exp(-abs(greatest(lo-c, c-hi
 def uncertain_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = fixture(spark, sf_dir, "fx_ref_grid").withColumns({"value_lo": F.col("value") - 1, "value_hi": F.col("value") + 1})
     return _rounded(analyses.uncertain_bias(ref, fixture(spark, sf_dir, "fx_same_grid"), ["lat0", "lon0"]), "bias", "score")
+
+
+@query("""WITH p AS (SELECT a.site, b.site AS other, sqrt((a.lat-b.lat)*(a.lat-b.lat)+(a.lon-b.lon)*(a.lon-b.lon)) AS d FROM fx_sites a JOIN fx_sites b ON a.site % 2 = 1 AND b.site % 2 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY d, other) AS k FROM p WHERE d < 60)
+SELECT site, other, round(d, 6) AS distance FROM k WHERE k = 1""")
+def sites_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = fixture(spark, sf_dir, "fx_sites")
+    odd, even = sites.filter("site % 2 = 1"), sites.filter("site % 2 = 0")
+    return _rounded(L.sites_within(odd, even.select(F.col("site").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), 60.0), "distance")
+
+
+@query("""WITH r AS (SELECT r.label AS region, g.lat0, g.lat1, g.lon0, g.lon1 FROM (SELECT DISTINCT lat0, lat1, lon0, lon1 FROM fx_ref_grid) g JOIN fx_regions r ON r.label = 'globe' OR ((lat0+lat1)/2 > lat_min AND (lat0+lat1)/2 <= lat_max AND (lon0+lon1)/2 > lon_min AND (lon0+lon1)/2 <= lon_max)),
+t AS (SELECT region, CAST(length(region) AS DOUBLE) AS value FROM r GROUP BY region) SELECT lat0, lon0, round(sum(value), 6) AS threshold FROM r JOIN t ON t.region = r.region GROUP BY lat0, lon0""")
+def regional_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.in_region(fixture(spark, sf_dir, "fx_ref_grid").select(*CELL).distinct(), fixture(spark, sf_dir, "fx_regions"))
+    table = rows.groupBy("region").agg(F.max(F.length("region")).cast("double").alias("value"))
+    return _cells(L.regional_threshold(rows, table), "threshold")
+
+
+@query("SELECT c.c_name AS name, CAST(coalesce(n.n_nationkey, -1) AS INT) AS id FROM (SELECT DISTINCT lower(n_name) AS c_name FROM nation UNION SELECT r_name FROM region) c LEFT JOIN nation n ON lower(n.n_name) = lower(c.c_name)")
+def match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    wanted = nation.select(F.lower("n_name").alias("name")).union(region.select("r_name")).distinct()
+    found = L.match_names(wanted, nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("id")))
+    return found.withColumn("id", F.coalesce("id", F.lit(-1)).cast("int"))
+
+
+@query("""WITH k AS (SELECT * FROM (VALUES (0, 0.5), (1, 0.3), (2, 0.1)) v(lag, weight)), f AS (SELECT site, CAST(d AS INT) AS step, value FROM fx_site_daily), n AS (SELECT f.site, f.step + k.lag AS step, sum(value*weight) AS v FROM f CROSS JOIN k GROUP BY 1, 2),
+g AS (SELECT a.site, a.step, sum(b.value) AS v FROM f a JOIN f b ON b.site = a.site AND b.step < a.step - 2 GROUP BY 1, 2)
+SELECT f.site, f.step, round(n.v + coalesce(g.v, 0)*0.1, 6) AS value FROM f JOIN n ON n.site = f.site AND n.step = f.step LEFT JOIN g ON g.site = f.site AND g.step = f.step""")
+def lagged_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flux = fixture(spark, sf_dir, "fx_site_daily").select("site", F.col("d").cast("int").alias("step"), "value")
+    kernel = spark.createDataFrame([(0, 0.5), (1, 0.3), (2, 0.1)], "lag int, weight double")
+    return _rounded(L.lagged_response(flux, kernel, ["site"]), "value")
+
+
+@query(f"WITH b AS ({_BASINS.replace('CAST((lat0+90)/60 AS INT)', 'CAST(floor((lat0+90)/60) AS INT)')}), v AS (SELECT basin, avg(value) AS value FROM fx_ref_grid g JOIN b ON b.lat0 = g.lat0 AND b.lon0 = g.lon0 GROUP BY basin) SELECT lat0, lon0, round(sum(value), 6) AS value FROM b JOIN v ON v.basin = b.basin GROUP BY lat0, lon0")
+def paint_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fixture(spark, sf_dir, "fx_ref_grid")
+    basins = _basins(df)
+    return _rounded(L.paint(df.join(basins, ["lat0", "lon0"]).groupBy("basin").agg(F.avg("value").alias("value")), basins), "value")
+
+
+@query("""WITH m AS (SELECT lat0, lon0, avg(value) AS v FROM fx_ref_grid GROUP BY 1, 2), c AS (SELECT CAST(floor((lat0+15)/30) AS INT) AS i, CAST(floor((lon0+15)/30) AS INT) AS j, v FROM m),
+p AS (SELECT site, (lat-15)/30 AS y, (lon-15)/30 AS x FROM fx_sites), q AS (SELECT site, CAST(floor(y) AS INT) + a AS i, CAST(floor(x) AS INT) + b AS j, CASE a WHEN 1 THEN y-floor(y) ELSE 1-(y-floor(y)) END * CASE b WHEN 1 THEN x-floor(x) ELSE 1-(x-floor(x)) END AS w FROM p, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b))
+SELECT site, round(sum(v*w)/nullif(sum(w), 0), 6) AS value FROM q JOIN c ON c.i = q.i AND c.j = q.j GROUP BY site""")
+def bilinear_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = fixture(spark, sf_dir, "fx_ref_grid").groupBy(*CELL).agg(F.avg("value").alias("value"))
+    return _rounded(L.bilinear(grid, fixture(spark, sf_dir, "fx_sites"), 30.0), "value")
+
+
+@query("""WITH m AS (SELECT site, avg(value) AS m FROM fx_site_daily GROUP BY site), a AS (SELECT s.site, CAST(d AS DOUBLE) AS t, value-m AS v FROM fx_site_daily s JOIN m ON m.site = s.site), b AS (SELECT *, lag(v) OVER (PARTITION BY site ORDER BY t) AS u, lag(t) OVER (PARTITION BY site ORDER BY t) AS s FROM a)
+SELECT site, CAST(count(*) AS BIGINT) AS n, round(sum(s+(t-s)*u/(u-v)), 4) AS total FROM b WHERE u*v < 0 OR (v = 0 AND u <> 0) GROUP BY site""")
+def sign_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = fixture(spark, sf_dir, "fx_site_daily")
+    means = daily.groupBy("site").agg(F.avg("value").alias("m"))
+    rows = daily.join(means, "site").select("site", F.col("d").cast("double").alias("t"), (F.col("value") - F.col("m")).alias("value"))
+    return L.sign_changes(rows, ["site"]).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("t"), 4).alias("total"))
+
+
+@query("SELECT event_type, round(avg(value*86400*1000), 4) AS g_per_day, round(avg(value+273.15), 4) AS kelvin FROM events GROUP BY event_type")
+def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    (a, b), (c, d) = conversion("kg m-2 s-1", "g m-2 d-1"), conversion("degC", "K")
+    return df.groupBy("event_type").agg(F.round(F.avg(F.col("value") * a + b), 4).alias("g_per_day"), F.round(F.avg(F.col("value") * c + d), 4).alias("kelvin"))
+
+
+@query(f"""WITH r AS ({_REGION_ROWS}) SELECT region, round(min(value), 6) AS low, round(max(value), 6) AS high, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.99), 6) AS p99 FROM r WHERE value IS NOT NULL GROUP BY region""")
+def value_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.in_region(fixture(spark, sf_dir, "fx_masked_ref"), fixture(spark, sf_dir, "fx_regions")).filter("value is not null")
+    out = rows.groupBy("region").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.percentile("value", F.lit(0.01)).alias("p01"), F.percentile("value", F.lit(0.99)).alias("p99"))
+    return _rounded(out, "low", "high", "p01", "p99")
+
+
+@query(f"SELECT site, round(avg(value*cos(2*{PI}*d/365)), 6) AS x, round(avg(value*sin(2*{PI}*d/365)), 6) AS y FROM fx_site_daily GROUP BY site")
+def season_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    angle = F.col("d") * (2 * 3.141592653589793) / 365
+    out = fixture(spark, sf_dir, "fx_site_daily").groupBy("site").agg(F.avg(F.col("value") * F.cos(angle)).alias("x"), F.avg(F.col("value") * F.sin(angle)).alias("y"))
+    return _rounded(out, "x", "y")
+
+
+@query()
+def scalar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture(spark, sf_dir, "fx_tree").select(
+        "section", "variable", "source", F.lit("one").alias("model"), F.lit("Bias Score").alias("scalarname"), F.lit("MeanState").alias("analysistype"),
+        F.lit("globe").alias("region"), F.lit("score").alias("scalartype"), F.lit("1").alias("units"), F.col("score").alias("data"), "weight")
+    return scoreboard.scalar_table(rows)
