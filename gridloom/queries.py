@@ -519,9 +519,9 @@ def frozen_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, *out.columns)
 
 
-@query(f"WITH {_cycle_sql('fx_ref_grid', 'cyc')} SELECT lat0, lon0, round(max(value)-min(value), 6) AS amplitude, arg_max(month, value) AS peak, arg_min(month, value) AS trough FROM cyc GROUP BY lat0, lon0")
+@query(f"WITH {_cycle_sql('fx_ref_grid', 'cyc')} SELECT lat0, lon0, round(max(value)-min(value), 6) AS amplitude FROM cyc GROUP BY lat0, lon0")
 def cycle_amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(analyses.detrended_cycle(fixture(spark, sf_dir, "fx_ref_grid"), CELL), "amplitude").drop("lat1", "lon1")
+    return _cells(analyses.detrended_cycle(fixture(spark, sf_dir, "fx_ref_grid"), CELL), "amplitude")
 
 
 @query("SELECT lat0, lon0, t0, round(value - avg(value) OVER (PARTITION BY lat0, lon0, CAST(floor((((t0+t1)/2) % 365)/(365.0::DOUBLE/12)) AS INT)), 6) AS value FROM fx_masked_ref")
