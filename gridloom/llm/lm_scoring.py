@@ -81,8 +81,16 @@ class Vocabulary:
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.sum("c").alias("n"), F.count("c").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once"), F.count(F.when(F.col("c") == 2, 1)).alias("twice")).first()
         self.n, self.v = total["n"] or 0, total["v"] or 0
-        rows = counts.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD_WORDS).collect()
-        self.head = {bytes(r["word"]): r["c"] for r in rows}
+        # words by steps of the logarithm of their counts: a few thousand rows, from which follows where to stop
+        short = counts.filter(F.octet_length("word") <= HEAD_BYTES).withColumn("level", F.floor(F.log2("c") * 64))
+        levels = sorted(((r["level"], r["n"]) for r in short.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+        least, words_so_far = math.inf, 0
+        for level, n in levels:
+            if (words_so_far := words_so_far + n) > HEAD_WORDS:
+                break
+            least = level
+        rows = short.filter(F.col("level") >= least).select("word", "c").collect() if least < math.inf else []
+        self.head = {bytes(r["word"]): r["c"] for r in sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))}
         first = [w for w in self.head if w != END][: CLASSES - 2]
         self.classes = {END: 0} | {w: i + 1 for i, w in enumerate(first)}
         self.other = CLASSES - 1
