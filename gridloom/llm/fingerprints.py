@@ -100,28 +100,31 @@ def in_ranges(docs: DataFrame, range_text_bytes: int = RANGE_TEXT_BYTES) -> Data
     return docs.withColumn("_row", row).withColumn("bucket", F.col("_row") * fan + below(F.get(F.array(*(F.array(*map(F.lit, r)) for r in rows)), F.col("_row")))).drop("_row")
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` (doc_id, text, ...) and ``next``, a struct of ``columns`` of the next row by doc_id (the last: the first).
+def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """``rows`` (doc_id, text) with the columns ``derived`` from the text, and ``next``, a struct of the text and the same
+    columns of the next row by doc_id (the last: the first).
 
     One shuffle of the texts: each range is put in order by a window, and the first rows of all ranges (one a range)
-    are joined to the ranges before them.
+    are joined to the ranges before them. Columns of first rows are derived after they have been found.
     """
     ranged = in_ranges(rows)
     tie = F.xxhash64("text")
     order = [F.col("doc_id").asc_nulls_first(), tie, F.col("text")]
-    first_ids = materialise(ranged.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_id")), "first-ids")
-    firsts = ranged.join(first_ids.withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_id")), "left_semi")
-    firsts = firsts.groupBy("bucket").agg(F.min_by(F.struct(*columns), F.struct(tie, "text")).alias("first"))
+    known = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    first_ids = materialise(ranged.groupBy("bucket").agg(F.min(known).alias("first_id")), "first-ids")
+    firsts = ranged.join(first_ids.withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & (known == F.col("first_id")), "left_semi")
+    firsts = materialise(firsts.groupBy("bucket").agg(F.min_by("text", F.struct(tie, "text")).alias("text")), "firsts")
+    firsts = firsts.withColumns(derived).select("bucket", F.struct("text", *derived).alias("first"))
     along = Window.orderBy("bucket")
     every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = materialise(firsts.select("bucket", F.coalesce(F.lead("first").over(along), F.first("first").over(every)).alias("after")), "next-firsts")
-    inside = ranged.withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("bucket").orderBy(*order)))
+    inside = ranged.withColumns(derived).withColumn("_next", F.lead(F.struct("text", *derived)).over(Window.partitionBy("bucket").orderBy(*order)))
     return inside.join(after, "bucket", "left").withColumn("next", F.coalesce("_next", "after")).drop("_next", "after", "bucket")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last quarter is the beginning of the next document."""
-    rows = with_next(texts(docs).withColumn("lanes", lanes(F.col("text"))), ["text", "lanes"])
+    rows = with_next(texts(docs), {"lanes": lanes(F.col("text"))})
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", 1, n - quarter), F.substring(F.col("next.text"), 1, quarter))
