@@ -236,7 +236,10 @@ def exact_links(members: DataFrame) -> DataFrame:
 
 
 def _shingled(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``chosen`` with the shingle sets of their rows' texts."""
+    """``chosen`` with the shingle sets of their rows' texts.
+
+    The texts meet the chosen rows in a shuffle at every size: how many are chosen grows with the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +247,7 @@ def _shingled(rows: DataFrame, chosen: DataFrame) -> DataFrame:
             sets = [s.astype("<u8").tobytes() for at in range(0, len(texts_), 64) for s in shingle_sets(texts_[at : at + 64])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(sets, pa.binary())], names=["row", "cluster", "copies", "n", "shingles"])
 
-    return rows.select("row", "text").join(chosen, "row").select("row", "text", "cluster", "copies", "n").mapInArrow(run, "row long, cluster long, copies long, n long, shingles binary")
+    return rows.select("row", "text").join(chosen.hint("merge"), "row").select("row", "text", "cluster", "copies", "n").mapInArrow(run, "row long, cluster long, copies long, n long, shingles binary")
 
 
 def classes(rows: DataFrame) -> DataFrame:
