@@ -77,13 +77,19 @@ class TextEncoder:
         # the characters that stand for bytes, by the bytes' Latin-1 characters
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         self.symbols = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.space = self.symbols[32]
         self.chunks = Chunks(self._piece)
 
     def _piece(self, text: str) -> bytes:
         """A word of letters, with or without a space before it, is one pre-token: the library's BPE takes it as it is."""
         word = text[1:] if text[0] == " " else text
-        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
-            found = self.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))
+        if word.isalpha():
+            if word.isascii():
+                found = self.model.tokenize(self.space + word if word is not text else word)
+            elif max(word) < "ɐ":
+                found = self.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))
+            else:
+                return self._whole(text)
             return array(self.code, [x.id for x in found]).tobytes()
         return self._whole(text)
 
