@@ -1,7 +1,7 @@
 """The corpus pipeline over ``documents``: quality rules, line dedup, n-gram Jaccard join, suffix-array dedup, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame. All but the
-last return the columns of ``documents``. doc_ids are unique.
+last return the columns of ``documents``. Any column may be null, and rows and doc_ids may be repeated.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python. Texts are whole, so this bounds a worker's memory.
@@ -67,15 +67,22 @@ def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """``row`` (unique, ascending with doc_id), ``doc_id``, ``text``.
+def with_rows(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``row`` (unique, ascending with doc_id), ``doc_id``, ``text``; whole: also what ``whole_columns`` needs.
 
     Where doc_ids are unique and known, ``row`` is the doc_id and nothing is moved. Otherwise the table is put in the
-    order of doc_id (nulls first) and text, numbered, and written.
+    order of doc_id (nulls first) and text, numbered, and written. So a result by ``row`` is joined to these rows only.
     """
-    rows = texts(docs)
+    # the text is left out of the struct, so it is written once
+    more = {"_doc": F.struct(*(c for c in docs.columns if c != "text")), "_no_text": F.col("text").isNull()} if whole else {}
+    rows = texts(docs, *(x.alias(name) for name, x in more.items()))
     odd = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return rows.select(F.col("doc_id").alias("row"), "doc_id", "text")
+        return rows.select(F.col("doc_id").alias("row"), "doc_id", "text", *more)
     ordered = rows.repartitionByRange(default_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return materialise(ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    return materialise(ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *more), "rows")
+
+
+def whole_columns(names: list[str], fresh: dict[str, Column]) -> list[Column]:
+    """The columns ``names`` of documents whose others than ``text`` are in ``_doc``; ``fresh`` ones take their place."""
+    return [fresh[c].alias(c) if c in fresh else F.col(f"_doc.{c}").alias(c) for c in names]

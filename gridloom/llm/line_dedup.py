@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import default_partitions, materialise, small_batches, with_rows
+from .common import default_partitions, materialise, small_batches, whole_columns, with_rows
 
 MIN_LINES = 3
 SPACES = " \t\n\x0b\x0c\r"
@@ -76,9 +76,9 @@ def split_lines(text: str, starts: list[int] | None, min_lines: int) -> tuple[li
     return kept, k, len(gone), sum(i - 1 not in gone for i in gone)
 
 
-def _with_starts(docs: DataFrame, min_lines: int) -> DataFrame:
+def _with_starts(docs: DataFrame, min_lines: int, whole: bool = False) -> DataFrame:
     small_batches(docs.sparkSession)
-    rows = with_rows(docs)
+    rows = with_rows(docs, whole)
     starts = repeated_runs(rows, min_lines).groupBy("row").agg(F.collect_list("at").alias("starts"))
     return rows.join(starts, "row", "left")
 
@@ -96,14 +96,11 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def remove_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """The documents without later copies of runs; one that loses every line with a word goes. doc_ids are unique.
+    """The documents without later copies of runs; one that loses every line with a word goes.
 
     All columns stay; ``n_chars`` is counted anew.
     """
-    small_batches(docs.sparkSession)
-    starts = repeated_runs(with_rows(docs), min_lines).groupBy("row").agg(F.collect_list("at").alias("_starts"))
-    joined = docs.join(starts.withColumnRenamed("row", "_row"), F.col("doc_id").cast("long") == F.col("_row"), "left")
-    joined = joined.select(F.struct(*docs.columns).alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), "_starts")
+    joined = _with_starts(docs, min_lines, whole=True).select("_doc", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,8 +109,7 @@ def remove_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array([f is None or f[1] > f[2] for f in found])], names=["_doc", "text", "_stays"])
 
     out = joined.mapInArrow(run, f"_doc {joined.schema['_doc'].dataType.simpleString()}, text string, _stays boolean").filter("_stays")
-    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_doc.{c}") for c in docs.columns))
+    return out.select(*whole_columns(docs.columns, {"text": F.col("text"), "n_chars": F.length("text").cast("long")}))
 
 
 ORACLE_SQL = """

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_partitions, materialise, small_batches, with_rows
+from .common import default_partitions, materialise, small_batches, whole_columns, with_rows
 from .suffix_dedup import Rolling, _mixed
 
 SHINGLE_WORDS, THRESHOLD = 5, (4, 5)
@@ -286,9 +286,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The first document of each group, with all columns. doc_ids are unique."""
-    kept = classes(with_rows(docs)).filter("row = label").select(F.col("row").alias("_row"))
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_row"), "left_semi")
+    """The first document of each group, with all columns."""
+    rows = with_rows(docs, whole=True)
+    kept = classes(rows).filter("row = label").select("row")
+    return rows.join(kept, "row", "left_semi").select(*whole_columns(docs.columns, {"text": F.when(~F.col("_no_text"), F.col("text"))}))
 
 
 ORACLE_SQL = """

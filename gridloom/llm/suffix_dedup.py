@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import default_partitions, materialise, small_batches, with_rows
+from .common import default_partitions, materialise, small_batches, whole_columns, with_rows
 
 LENGTH, GRAM = 100, 24
 #: Windows that can share one anchor.
@@ -319,9 +319,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their repeated bytes; a character that is cut in two goes. ``n_chars`` is counted anew.
 
-    All columns stay. doc_ids have to be unique here, as they are in a corpus.
+    All columns stay.
     """
-    rows = with_rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,10 +332,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append(raw.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_doc", "text"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("row"), F.struct(*docs.columns).alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_windows(rows).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    joined = kept.join(spans, "row", "left").select("_doc", F.col("text").cast("binary").alias("data"), F.col("spans.at").alias("at"), F.col("spans.n").alias("n"))
+    joined = _with_spans(with_rows(docs, whole=True), "_doc")
     inner = joined.schema["_doc"].dataType.simpleString()
     out = joined.mapInArrow(run, f"_doc {inner}, text string")
-    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_doc.{c}") for c in docs.columns))
+    return out.select(*whole_columns(docs.columns, {"text": F.col("text"), "n_chars": F.length("text").cast("long")}))

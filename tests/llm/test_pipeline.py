@@ -1,5 +1,10 @@
 """The pipeline's stages, and the whole of it against brute force."""
 
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gridloom.llm.common import DOCUMENT_COLUMNS, materialise, read_table
 from gridloom.llm.tokenizer import public_tokenizer
@@ -68,3 +73,25 @@ def test_stages_return_documents(spark, sf_dir):
     empty = read_table(spark, sf_dir, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd_and_numbered(spark, sf_dir):
+    """Documents with nulls in every column and repeated doc_ids and rows (lang tells them apart), and the same with
+    doc_ids that count them in the order of doc_id (nulls first) and text."""
+    own = [tuple(r) for r in read_table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS).orderBy("doc_id").collect()]
+    odd = [(None if i % 5 == 0 else i // 3 * 7, text, str(i), None if i % 11 == 0 else source, None if i % 13 == 0 else n) for i, (_, text, _, source, n) in enumerate(own)]
+    odd += [odd[i] for i in (0, 1, 2, 50, 51)] + [(None, None, None, None, None)] * 2 + [(4, None, "null", "s", 0), (10**9, odd[3][1], "copy", None, None)]
+    odd = spark.createDataFrame(odd, read_table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS).schema)
+    ordered = odd.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.col("doc_id").asc_nulls_first(), "h", "text").drop("h").collect()
+    numbered = [(i, *r[1:]) for i, r in enumerate(ordered)]
+    return odd, spark.createDataFrame(numbered, odd.schema), [r["doc_id"] for r in ordered]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_takes_null_and_repeated_doc_ids(spark, sf_dir, odd_and_numbered, name):
+    odd, numbered, ids = odd_and_numbered
+    stage = dict(corpus_pipeline.STAGES)[name]
+    found = Counter(tuple(r) for r in stage(spark, odd, sf_dir).select("*").collect())
+    expected = [r.asDict() for r in stage(spark, numbered, sf_dir).collect()]
+    assert expected and found == Counter(tuple((r | {"doc_id": ids[r["doc_id"]]}).values()) for r in expected)
