@@ -7,7 +7,7 @@ their event by absolute discounting of their corpus counts, with one place for a
 probabilities after a word sum to 1 over all seen words and that place.
 
 Counts cover all training rows, as one shuffle of each partition's distinct words. Training is local: in each round
-every task runs through all its rows from the same parameters, and the parameters are averaged by blocks in Spark,
+(as many as gain on rows set aside from the training rows) every task runs through all its rows from the same parameters, and the parameters are averaged by blocks in Spark,
 weighted by tokens (in two steps, so no task holds many copies). What reaches the driver is one set of parameters.
 Normalisers of all contexts come from batched matrix products; scoring then reads each text once. Counts of words
 beyond the ``HEAD_WORDS`` most frequent are joined, not broadcast.
@@ -35,7 +35,9 @@ FOLDS, HELD_OUT_FOLD = 7, 2
 CLASSES, WIDTH = 8192, 32
 #: Words of at most ``HEAD_BYTES`` bytes whose counts are broadcast: a fixed bound of 16 MB.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
-BATCH, NOISE, RATE, ROUNDS = 4096, 64, 0.05, 1
+BATCH, NOISE, RATE = 4096, 64, 0.05
+#: Rounds go on while each gains ``MIN_GAIN`` nats a token on one in ``JUDGED`` training rows, which are not learned from.
+ROUNDS, MIN_GAIN, JUDGED = 16, 0.01, 61
 BLOCKS, AVERAGED_TOGETHER = 16, 64
 #: The end token; a space is in no word.
 END = b" "
@@ -141,17 +143,16 @@ class LogBilinear:
         target[rows] += RATE * total / np.sqrt(past[rows])
 
     def learn(self, before: np.ndarray, word: np.ndarray, rng: np.random.Generator) -> None:
-        """One step up the noise-contrastive likelihood of a batch; its noise words are shared."""
+        """One step up the noise-contrastive likelihood of a batch (gradients are summed); its noise words are shared."""
         noise = np.minimum(np.searchsorted(self.cumulative, rng.random(NOISE)), CLASSES - 1)
         q, r, rn = self.q[before], self.r[word], self.r[noise]
         true = np.einsum("ij,ij->i", q, r) + self.b[word] - self.log_noise[word]
         false = q @ rn.T + self.b[noise] - self.log_noise[noise]
         g_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))
         g_false = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        scale = np.float32(1 / len(word))
-        self._step(0, self.q, before, (g_true[:, None] * r + g_false @ rn) * scale)
-        self._step(1, self.r, np.concatenate([word, noise]), np.vstack([g_true[:, None] * q, g_false.T @ q]) * scale)
-        self._step(2, self.b, np.concatenate([word, noise]), np.concatenate([g_true, g_false.sum(0)]) * scale)
+        self._step(0, self.q, before, g_true[:, None] * r + g_false @ rn)
+        self._step(1, self.r, np.concatenate([word, noise]), np.vstack([g_true[:, None] * q, g_false.T @ q]))
+        self._step(2, self.b, np.concatenate([word, noise]), np.concatenate([g_true, g_false.sum(0)]))
 
     def normalisers(self) -> np.ndarray:
         """log of the sum of exp scores after each class, by batched matrix products."""
@@ -168,26 +169,60 @@ def _class_ids(own: list[bytes], classes: dict[bytes, int], other: int) -> np.nd
     return np.fromiter((get(w, other) for w in own), np.int32, len(own))
 
 
+def _events(docs: DataFrame, vocabulary: Vocabulary, name: str) -> DataFrame:
+    """``ids``: the classes of each text's words, as a table in the shared folder, so rounds need not split texts again."""
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary.classes, vocabulary.other))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, other = shipped.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_class_ids(words(t), classes, other).astype("<u2").tobytes() for t in _buffers(batch.column(0))], pa.binary())], names=["ids"])
+
+    return materialise(docs.select("text").mapInArrow(encode, "ids binary"), name)
+
+
+def _pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The class before each word, and the word's."""
+    ids = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int32) for x in column]
+    return np.concatenate([np.concatenate([[0], x[:-1]]) for x in ids]), np.concatenate(ids)  # a text begins after an end
+
+
+def mean_log(events: DataFrame, model: LogBilinear) -> float | None:
+    """The mean log probability of ``events`` under the model; None without any."""
+    shipped = events.sparkSession.sparkContext.broadcast((model.q, model.r, model.b, model.normalisers()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, r, b, z = shipped.value
+        for batch in batches:
+            if batch.num_rows:
+                before, word = _pairs(batch.column(0))
+                logs = np.einsum("ij,ij->i", q[before], r[word]) + b[word] - z[before]
+                yield pa.RecordBatch.from_arrays([pa.array([float(logs.sum(dtype=np.float64))]), pa.array([len(word)], pa.int64())], names=["logs", "n"])
+
+    found = events.mapInArrow(run, "logs double, n long").agg(F.sum("logs").alias("logs"), F.sum("n").alias("n")).first()
+    return found["logs"] / found["n"] if found["n"] else None
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
     spark = docs.sparkSession
     model = LogBilinear(vocabulary.unigram)
     if not vocabulary.n:
         return model
-    classes, other, unigram = vocabulary.classes, vocabulary.other, vocabulary.unigram
-    rows = texts(docs).filter(~held_out(F.col("doc_id"))).select("text")
-    for _ in range(rounds):
-        shipped = spark.sparkContext.broadcast((classes, unigram, model.table()))
-
-        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own_classes, own_unigram, table = shipped.value
-            own, task, n = LogBilinear(own_unigram, table), TaskContext.get().partitionId(), 0
-            rng = np.random.default_rng(task)
+    unigram = vocabulary.unigram
+    own = texts(docs).filter(~held_out(F.col("doc_id")))
+    judged = fold(F.col("doc_id"), JUDGED) == 0
+    rows, judges = _events(own.filter(~judged), vocabulary, "events"), _events(own.filter(judged), vocabulary, "judged-events")
+    best = mean_log(judges, model)
+    for turn in range(rounds):
+        shipped = spark.sparkContext.broadcast((unigram, model.table()))
+
+        def local(batches: Iterator[pa.RecordBatch], shipped=shipped, turn=turn) -> Iterator[pa.RecordBatch]:
+            own, task, n = LogBilinear(*shipped.value), TaskContext.get().partitionId(), 0
+            rng = np.random.default_rng([turn, task])
             for batch in batches:
-                ids = [_class_ids(words(t), own_classes, other) for t in _buffers(batch.column(0))]
-                if not ids:
+                if not batch.num_rows:
                     continue
-                word = np.concatenate(ids)
-                before = np.concatenate([[0], word[:-1]])  # a text begins after an end
+                before, word = _pairs(batch.column(0))
                 order = rng.permutation(len(word))
                 for at in range(0, len(order), BATCH):
                     own.learn(before[order[at : at + BATCH]], word[order[at : at + BATCH]], rng)
@@ -205,8 +240,18 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> LogB
 
         ddl = "some int, block int, weight double, part binary"
         parts = rows.mapInArrow(local, ddl).groupBy("some", "block").applyInArrow(average, ddl).groupBy("block").applyInArrow(average, ddl).collect()
+        if not parts:
+            break
         table = np.concatenate([np.frombuffer(bytes(p["part"]), np.float32) for p in sorted(parts, key=lambda p: p["block"])]).reshape(CLASSES, -1)
-        model = LogBilinear(unigram, table)
+        fresh = LogBilinear(unigram, table)
+        reached = mean_log(judges, fresh)
+        if best is None:  # no row to judge by: one round
+            return fresh
+        if reached > best:
+            model = fresh
+        if reached < best + MIN_GAIN:
+            break
+        best = reached
     return model
 
 

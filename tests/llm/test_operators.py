@@ -426,3 +426,27 @@ def test_lm_is_normalised_and_takes_odd_rows(spark, monkeypatch):
     got = lm_scoring.score(docs, counts, vocabulary, model).collect()
     assert len(got) == 12 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)
     assert lm_scoring.lm_scoring(table(spark, [])).count() == 0
+
+
+def test_lm_learns_from_the_word_before(spark):
+    rng, after = random.Random(6), {i: random.Random(i).sample(range(60), 3) for i in range(60)}
+
+    def chain():
+        w = [rng.randrange(60)]
+        for _ in range(99):
+            w.append(rng.choice(after[w[-1]]))
+        return " ".join(f"w{x}" for x in w)
+
+    docs = table(spark, [chain() for _ in range(3000)])
+    vocabulary = lm_scoring.Vocabulary(lm_scoring.word_counts(docs))
+    model = lm_scoring.train(docs, vocabulary)
+    held = [r["text"] for r in docs.filter(lm_scoring.held_out(F.col("doc_id"))).collect()]
+    ids = [lm_scoring._class_ids(lm_scoring.words(t.encode()), vocabulary.classes, vocabulary.other) for t in held]
+    word, before = np.concatenate(ids), np.concatenate([np.concatenate([[0], x[:-1]]) for x in ids])
+
+    def mean_log():
+        return np.mean(np.einsum("ij,ij->i", model.q[before], model.r[word]) + model.b[word] - model.normalisers()[before])
+
+    learned = mean_log()
+    model.q[:] = 0
+    assert learned - mean_log() > 0.3
