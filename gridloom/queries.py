@@ -524,6 +524,11 @@ def cycle_amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(analyses.detrended_cycle(fixture(spark, sf_dir, "fx_ref_grid"), CELL), "amplitude")
 
 
+@query(f"WITH {_cycle_sql('fx_ref_grid', 'cyc')}, o AS (SELECT lat0, lon0, month, row_number() OVER (PARTITION BY lat0, lon0 ORDER BY value DESC, month) AS hi, row_number() OVER (PARTITION BY lat0, lon0 ORDER BY value, month) AS lo FROM cyc WHERE value IS NOT NULL) SELECT lat0, lon0, max(CASE WHEN hi = 1 THEN month END) AS peak, max(CASE WHEN lo = 1 THEN month END) AS trough FROM o GROUP BY lat0, lon0")
+def cycle_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.detrended_cycle(fixture(spark, sf_dir, "fx_ref_grid"), CELL).select("lat0", "lon0", "peak", "trough")
+
+
 @query("SELECT lat0, lon0, t0, round(value - avg(value) OVER (PARTITION BY lat0, lon0, CAST(floor((((t0+t1)/2) % 365)/(365.0::DOUBLE/12)) AS INT)), 6) AS value FROM fx_masked_ref")
 def deseasonalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(analyses.deseasonalised(fixture(spark, sf_dir, "fx_masked_ref"), CELL), "value").select("lat0", "lon0", "t0", "value")
