@@ -1,30 +1,36 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation, that scores whole texts.
 
 Words are runs of characters other than ASCII white space, A-Z in lower case, and each text has one end token. The model
-predicts one of ``CLASSES`` events from the word before: the end, the most frequent words, or the one event "another
-word". The score of word w after v is q_v . r_w + b_w; b starts at the log unigram probability. Other words share
-their event by absolute discounting of their corpus counts, with one place for all words never seen. So the
-probabilities after a word sum to 1 over all seen words and that place.
-
-Counts cover all training rows, as one shuffle of each partition's distinct words. Training is local: in each round
-(as many as gain on rows set aside from the training rows) every task runs through all its rows from the same parameters, and the parameters are averaged by blocks in Spark,
-weighted by tokens (in two steps, so no task holds many copies). What reaches the driver is one set of parameters.
-Normalisers of all contexts come from batched matrix products; scoring then reads each text once. Counts of words
-beyond the ``HEAD_WORDS`` most frequent are joined, not broadcast.
-
-Contract: a null or empty text is the end token alone; ``doc_id`` null is crc32 of ''; repeated rows are scored each;
-an empty training set leaves uniform counts (N = 0, V = 0); other columns are ignored.
+predicts a word's class from the ``CONTEXT`` words before it (ends before a text's first one). The ``SINGLE`` most
+frequent words are classes of their own; every other word, seen or not, belongs to one of ``GROUPS`` classes by its first
+``PREFIX`` bytes. The score of class w is h . r_w + b_w, where h is the sum of the vectors q of the words before, each
+multiplied by the vector of its position; b starts at the log unigram probability. Within a class words share by absolute
+discounting of their corpus counts, with one place for the class's words that were never seen. So after any words the
+probabilities of all seen words and of these places sum to 1, and no word is merged into another.
+
+Counts cover all training rows, as one shuffle of each partition's distinct words. Training covers them too: rows are dealt
+by a hash of their doc_id into ``ROUNDS`` rounds and, in each, into shards of about ``SHARD_TOKENS`` tokens. In a round
+every shard steps from the same parameters through its own tokens, then parameters and AdaGrad sums are averaged by
+blocks in Spark, at most ``TOGETHER`` copies at a time. A corpus of few shards is gone through again until each copy has
+made ``MIN_STEPS`` steps. Seeds come from round and shard, so scores do not depend on how the input is split. What reaches
+the driver is one set of parameters and at most ``HEAD_WORDS`` counts; counts of other words are joined, not broadcast.
+
+Normalisers come from batched matrix products of the contexts with all classes.
+
+Contract: a null or empty text is the end token alone; ``doc_id`` null is crc32 of ''; repeated rows are scored each, alike;
+words of equal counts are ordered by their bytes; texts of any length are scored whole; an empty training set leaves
+uniform counts (N = 0, V = 0); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +38,15 @@ from .common import materialise, small_batches, texts
 from .toxicity import fold
 
 FOLDS, HELD_OUT_FOLD = 7, 2
-CLASSES, WIDTH = 8192, 32
+SINGLE, GROUPS, PREFIX = 256, 256, 2
+CLASSES, WIDTH, CONTEXT = SINGLE + GROUPS, 24, 3
 #: Words of at most ``HEAD_BYTES`` bytes whose counts are broadcast: a fixed bound of 16 MB.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
-BATCH, NOISE, RATE = 4096, 64, 0.05
-#: Rounds go on while each gains ``MIN_GAIN`` nats a token on one in ``JUDGED`` training rows, which are not learned from.
-ROUNDS, MIN_GAIN, JUDGED = 16, 0.01, 61
-BLOCKS, AVERAGED_TOGETHER = 16, 64
+BATCH, NOISE, RATE = 1024, 32, 0.15
+ROUNDS, SHARD_TOKENS, MIN_STEPS = 4, 1 << 19, 2000
+BLOCKS, TOGETHER = 16, 64
+#: Contexts that one matrix product takes at once.
+ROWS = 1024
 #: The end token; a space is in no word.
 END = b" "
 
@@ -77,6 +85,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
 
+def group_of(word: bytes) -> int:
+    return SINGLE + zlib.crc32(word[:PREFIX]) % GROUPS
+
+
 class Vocabulary:
     """The counts that scoring needs everywhere, all bounded; made on the driver."""
 
@@ -93,202 +105,250 @@ class Vocabulary:
             least = level
         rows = short.filter(F.col("level") >= least).select("word", "c").collect() if least < math.inf else []
         self.head = {bytes(r["word"]): r["c"] for r in sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))}
-        first = [w for w in self.head if w != END][: CLASSES - 2]
-        self.classes = {END: 0} | {w: i + 1 for i, w in enumerate(first)}
-        self.other = CLASSES - 1
-        inside = np.zeros(CLASSES)
-        for w, i in self.classes.items():
-            inside[i] = self.head.get(w, 0)
-        self.other_n = self.n - int(inside.sum())
-        self.other_v = self.v - len(first) - (END in self.head)
-        inside[self.other] = self.other_n
-        self.unigram = (inside + 0.5) / (inside.sum() + 0.5 * CLASSES)
+        self.single = {END: 0} | {w: i + 1 for i, w in enumerate([w for w in self.head if w != END][: SINGLE - 1])}
         self.discount = min(max(total["once"] / (total["once"] + 2 * total["twice"]), 0.1), 0.9) if total["once"] else 0.5
-
-    def log_other(self, c: int) -> float:
-        """log10 of the numerator of a word's share of "another word"; the denominator is ``other_total``."""
-        return math.log10(c - self.discount) if c else math.log10(self.discount * self.other_v + 1)
-
-    @property
-    def other_total(self) -> float:
-        return self.other_n + 1
-
-
-def _grouped(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(index, kind="stable")
-    rows, starts = np.unique(index[order], return_index=True)
-    return rows, np.add.reduceat(grad[order], starts)
-
-
-class LogBilinear:
-    """Parameters as one array of CLASSES rows: q (WIDTH), r (WIDTH), b."""
+        # counts and distinct words by class
+        self.tokens, self.types = np.zeros(CLASSES), np.zeros(CLASSES)
+        group = (F.crc32(F.substring("word", 1, PREFIX)) % GROUPS + SINGLE).alias("group")
+        for r in counts.groupBy(group).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+            self.tokens[r["group"]], self.types[r["group"]] = r["c"], r["v"]
+        for w, i in self.single.items():
+            if w in self.head:
+                self.tokens[i], self.types[i] = self.head[w], 1
+                self.tokens[group_of(w)] -= self.head[w]
+                self.types[group_of(w)] -= 1
+        self.unigram = (self.tokens + 0.5) / (self.tokens.sum() + 0.5 * CLASSES)
+
+    def class_of(self, word: bytes) -> int:
+        found = self.single.get(word)
+        return group_of(word) if found is None else found
+
+    def share(self, word: bytes, c: int) -> float:
+        """log10 of a word's share of its class, given its count (0: the place of all words that were never seen)."""
+        if word in self.single:
+            return 0.0
+        k = group_of(word)
+        return math.log10(c - self.discount if c else self.discount * self.types[k] + 1) - math.log10(self.tokens[k] + 1)
+
+
+class Model:
+    """Parameters as one array of CLASSES rows: q and r (WIDTH each), b, and their AdaGrad sums; below them the rows of
+    the positions, m, with theirs."""
 
     def __init__(self, unigram: np.ndarray, table: np.ndarray | None = None):
-        rng = np.random.default_rng(11)
-        self.noise = (unigram / unigram.sum()).astype(np.float64)
+        noise = unigram**0.75
+        self.noise = noise / noise.sum()
         self.cumulative = np.cumsum(self.noise)
         self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
         if table is None:
-            table = np.hstack([rng.normal(0, 0.05, (CLASSES, 2 * WIDTH)), np.log(unigram)[:, None]]).astype(np.float32)
-        self.q, self.r, self.b = table[:, :WIDTH].copy(), table[:, WIDTH : 2 * WIDTH].copy(), table[:, -1].copy()
-        self.past = [np.full(x.shape, 0.01, np.float32) for x in (self.q, self.r, self.b)]
+            rng = np.random.default_rng(11)
+            self.q, self.r = (rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32) for _ in range(2))
+            self.b, self.m = np.log(unigram).astype(np.float32), np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32)
+            self.past = [np.full(x.shape[:1], 0.1, np.float32) for x in (self.q, self.r, self.b)] + [np.full(self.m.shape, 0.1, np.float32)]
+        else:
+            top, low = table[:CLASSES], table[CLASSES:]
+            self.q, self.r, self.b = top[:, :WIDTH].copy(), top[:, WIDTH : 2 * WIDTH].copy(), top[:, 2 * WIDTH].copy()
+            self.m = low[:, :WIDTH].copy()
+            self.past = [top[:, 2 * WIDTH + k].copy() for k in (1, 2, 3)] + [low[:, WIDTH : 2 * WIDTH].copy()]
 
     def table(self) -> np.ndarray:
-        return np.hstack([self.q, self.r, self.b[:, None]])
+        low = np.zeros((CONTEXT, 2 * WIDTH + 4), np.float32)
+        low[:, : 2 * WIDTH] = np.hstack([self.m, self.past[3]])
+        return np.vstack([np.column_stack([self.q, self.r, self.b, *self.past[:3]]), low])
 
     def _step(self, which: int, target: np.ndarray, index: np.ndarray, grad: np.ndarray) -> None:
-        rows, total = _grouped(index, grad)
-        past = self.past[which]
-        past[rows] += total * total
-        target[rows] += RATE * total / np.sqrt(past[rows])
+        order = np.argsort(index, kind="stable")
+        own = index[order]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        rows, total, past = own[starts], np.add.reduceat(grad[order], starts), self.past[which]
+        past[rows] += total * total if total.ndim == 1 else (total * total).mean(axis=1)
+        rate = RATE / np.sqrt(past[rows])
+        target[rows] += total * (rate if total.ndim == 1 else rate[:, None])
 
     def learn(self, before: np.ndarray, word: np.ndarray, rng: np.random.Generator) -> None:
         """One step up the noise-contrastive likelihood of a batch (gradients are summed); its noise words are shared."""
         noise = np.minimum(np.searchsorted(self.cumulative, rng.random(NOISE)), CLASSES - 1)
         q, r, rn = self.q[before], self.r[word], self.r[noise]
-        true = np.einsum("ij,ij->i", q, r) + self.b[word] - self.log_noise[word]
-        false = q @ rn.T + self.b[noise] - self.log_noise[noise]
+        h = (q * self.m).sum(axis=1)
+        true = np.einsum("ij,ij->i", h, r) + self.b[word] - self.log_noise[word]
+        false = h @ rn.T + (self.b[noise] - self.log_noise[noise])
         g_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))
         g_false = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        self._step(0, self.q, before, g_true[:, None] * r + g_false @ rn)
-        self._step(1, self.r, np.concatenate([word, noise]), np.vstack([g_true[:, None] * q, g_false.T @ q]))
-        self._step(2, self.b, np.concatenate([word, noise]), np.concatenate([g_true, g_false.sum(0)]))
-
-    def normalisers(self) -> np.ndarray:
-        """log of the sum of exp scores after each class, by batched matrix products."""
-        out = []
-        for at in range(0, CLASSES, 512):
-            scores = self.q[at : at + 512] @ self.r.T + self.b
-            top = scores.max(axis=1, keepdims=True)
-            out.append((top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True)))[:, 0])
-        return np.concatenate(out)
-
-
-def _class_ids(own: list[bytes], classes: dict[bytes, int], other: int) -> np.ndarray:
-    get = classes.get
-    return np.fromiter((get(w, other) for w in own), np.int32, len(own))
-
-
-def _events(docs: DataFrame, vocabulary: Vocabulary, name: str) -> DataFrame:
-    """``ids``: the classes of each text's words, as a table in the shared folder, so rounds need not split texts again."""
-    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary.classes, vocabulary.other))
+        g_h = g_true[:, None] * r + g_false @ rn
+        g_m = np.einsum("ijk,ik->jk", q, g_h)
+        self._step(0, self.q, before.ravel(), (g_h[:, None, :] * self.m).reshape(-1, WIDTH))
+        self._step(1, self.r, np.concatenate([word, noise]), np.vstack([g_true[:, None] * h, g_false.T @ h]))
+        self._step(2, self.b, np.concatenate([word, noise]), np.concatenate([g_true, g_false.sum(axis=0)]))
+        self.past[3] += g_m * g_m
+        self.m += RATE * g_m / np.sqrt(self.past[3])
+
+    def log_probabilities(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Natural logs of the probabilities of classes after the classes ``before``."""
+        out, columns = np.empty(len(word)), np.ascontiguousarray(self.r.T)
+        for at in range(0, len(word), ROWS):
+            scores = (self.q[before[at : at + ROWS]] * self.m).sum(axis=1) @ columns
+            scores += self.b
+            if scores.max() > 60:  # so that no exponential overflows
+                scores -= scores.max(axis=1, keepdims=True)
+            own = scores[np.arange(len(scores)), word[at : at + ROWS]]
+            np.exp(scores, out=scores)
+            out[at : at + ROWS] = own - np.log(scores.sum(axis=1))
+        return out
+
+
+def contexts(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The CONTEXT classes before each of the words of several texts, the nearest first; ends (0) before a text."""
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros((len(ids), CONTEXT), np.int32)
+    for k in range(CONTEXT):
+        out[k + 1 :, k] = ids[: -(k + 1)]
+        out[place <= k, k] = 0
+    return out
+
+
+class _Known(dict):
+    """Word to its class; words without a class of their own are kept up to a bound."""
+
+    def __init__(self, single: dict[bytes, int]):
+        super().__init__(single)
+        self.single = single
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+            self.update(self.single)
+        found = self[word] = group_of(word)
+        return found
+
+
+def _events(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
+    """``turn``, ``shard``, ``place``, ``ids``: the classes of each training text's words, as a table in the shared folder."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary.single)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, other = shipped.value
+        known = _Known(shipped.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_class_ids(words(t), classes, other).astype("<u2").tobytes() for t in _buffers(batch.column(0))], pa.binary())], names=["ids"])
+            ids = [np.fromiter(map(known.__getitem__, words(t)), "<u2").tobytes() for t in _buffers(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["place", "ids"])
 
-    return materialise(docs.select("text").mapInArrow(encode, "ids binary"), name)
+    own = texts(docs).filter(~held_out(F.col("doc_id"))).select(F.xxhash64(F.coalesce("doc_id", F.lit(-1))).alias("place"), "text")
+    dealt = own.mapInArrow(encode, "place long, ids binary")
+    return materialise(dealt.select(F.pmod("place", F.lit(ROUNDS)).cast("int").alias("turn"), F.pmod(F.shiftright("place", 8), F.lit(shards)).cast("int").alias("shard"), "place", "ids"), "events")
 
 
-def _pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The class before each word, and the word's."""
-    ids = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int32) for x in column]
-    return np.concatenate([np.concatenate([[0], x[:-1]]) for x in ids]), np.concatenate(ids)  # a text begins after an end
+def _averaged(parts: DataFrame, copies: int) -> DataFrame:
+    """Weighted means of parameter blocks (``shard``, ``block``, ``weight``, ``part``), TOGETHER copies at a time."""
 
+    def average(group: pa.Table) -> pa.Table:
+        total, weight = 0.0, 0.0
+        for at in np.argsort(group["shard"].to_numpy(), kind="stable").tolist():
+            w = group["weight"][at].as_py()
+            total, weight = total + np.frombuffer(group["part"][at].as_buffer(), np.float32) * np.float64(w), weight + w
+        return pa.table({"shard": pa.array([min(group["shard"].to_pylist())], pa.int32()), "block": group["block"][:1], "weight": pa.array([weight]), "part": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
-def mean_log(events: DataFrame, model: LogBilinear) -> float | None:
-    """The mean log probability of ``events`` under the model; None without any."""
-    shipped = events.sparkSession.sparkContext.broadcast((model.q, model.r, model.b, model.normalisers()))
+    ddl = "shard int, block int, weight double, part binary"
+    while copies > 1:
+        grouped = parts.withColumn("some", F.floor(F.col("shard") / TOGETHER).cast("int")).groupBy("some", "block").applyInArrow(average, ddl)
+        parts, copies = grouped.withColumn("shard", F.floor(F.col("shard") / TOGETHER).cast("int")), -(-copies // TOGETHER)
+    return parts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, r, b, z = shipped.value
-        for batch in batches:
-            if batch.num_rows:
-                before, word = _pairs(batch.column(0))
-                logs = np.einsum("ij,ij->i", q[before], r[word]) + b[word] - z[before]
-                yield pa.RecordBatch.from_arrays([pa.array([float(logs.sum(dtype=np.float64))]), pa.array([len(word)], pa.int64())], names=["logs", "n"])
-
-    found = events.mapInArrow(run, "logs double, n long").agg(F.sum("logs").alias("logs"), F.sum("n").alias("n")).first()
-    return found["logs"] / found["n"] if found["n"] else None
 
-
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
+def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
     spark = docs.sparkSession
-    model = LogBilinear(vocabulary.unigram)
+    model = Model(vocabulary.unigram)
     if not vocabulary.n:
         return model
     unigram = vocabulary.unigram
-    own = texts(docs).filter(~held_out(F.col("doc_id")))
-    judged = fold(F.col("doc_id"), JUDGED) == 0
-    rows, judges = _events(own.filter(~judged), vocabulary, "events"), _events(own.filter(judged), vocabulary, "judged-events")
-    best = mean_log(judges, model)
-    for turn in range(rounds):
-        shipped = spark.sparkContext.broadcast((unigram, model.table()))
-
-        def local(batches: Iterator[pa.RecordBatch], shipped=shipped, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, task, n = LogBilinear(*shipped.value), TaskContext.get().partitionId(), 0
-            rng = np.random.default_rng([turn, task])
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                before, word = _pairs(batch.column(0))
-                order = rng.permutation(len(word))
-                for at in range(0, len(order), BATCH):
-                    own.learn(before[order[at : at + BATCH]], word[order[at : at + BATCH]], rng)
-                n += len(word)
-            if n:
-                parts = np.array_split(own.table(), BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array([task % AVERAGED_TOGETHER] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([float(n)] * BLOCKS, pa.float64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["some", "block", "weight", "part"])
-
-        def average(group: pa.Table) -> pa.Table:
-            total, weight = None, 0.0
-            for w, part in zip(group["weight"].to_pylist(), group["part"], strict=True):
-                x = np.frombuffer(part.as_buffer(), np.float32) * np.float64(w)
-                total, weight = x if total is None else total + x, weight + w
-            return pa.table({"some": group["some"][:1], "block": group["block"][:1], "weight": pa.array([weight]), "part": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
-
-        ddl = "some int, block int, weight double, part binary"
-        parts = rows.mapInArrow(local, ddl).groupBy("some", "block").applyInArrow(average, ddl).groupBy("block").applyInArrow(average, ddl).collect()
-        if not parts:
-            break
-        table = np.concatenate([np.frombuffer(bytes(p["part"]), np.float32) for p in sorted(parts, key=lambda p: p["block"])]).reshape(CLASSES, -1)
-        fresh = LogBilinear(unigram, table)
-        reached = mean_log(judges, fresh)
-        if best is None:  # no row to judge by: one round
-            return fresh
-        if reached > best:
-            model = fresh
-        if reached < best + MIN_GAIN:
-            break
-        best = reached
+    shards = max(1, round(vocabulary.n / ROUNDS / SHARD_TOKENS))
+    steps = max(1, vocabulary.n // ROUNDS // shards // BATCH)  # of each copy in one round
+    events = _events(docs, vocabulary, shards)
+
+    def stepping(turn: int):
+        shipped = spark.sparkContext.broadcast(model.table())
+
+        def local(group: pa.Table) -> pa.Table:
+            shard = group["shard"][0].as_py()
+            own, rng = Model(unigram, shipped.value), np.random.default_rng([turn, shard])
+            texts_ = sorted(zip(group["place"].to_pylist(), group["ids"].to_pylist(), strict=True))
+            ids = np.frombuffer(b"".join(x for _, x in texts_), "<u2").astype(np.int32)
+            before = contexts(ids, np.array([len(x) // 2 for _, x in texts_]))
+            order = rng.permutation(len(ids))
+            for at in range(0, len(order), BATCH):
+                own.learn(before[order[at : at + BATCH]], ids[order[at : at + BATCH]], rng)
+            parts = np.array_split(own.table(), BLOCKS)
+            return pa.table({"shard": pa.array([shard] * BLOCKS, pa.int32()), "block": pa.array(range(BLOCKS), pa.int32()), "weight": pa.array([float(len(ids))] * BLOCKS), "part": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+        return local
+
+    for turn in range(ROUNDS * -(-MIN_STEPS // (ROUNDS * steps))):
+        rows = events.filter(F.col("turn") == turn % ROUNDS).select("shard", "place", "ids")
+        parts = _averaged(rows.groupBy("shard").applyInArrow(stepping(turn), "shard int, block int, weight double, part binary"), shards).collect()
+        if parts:
+            table = np.concatenate([np.frombuffer(bytes(p["part"]), np.float32) for p in sorted(parts, key=lambda p: p["block"])])
+            model = Model(unigram, table.reshape(CLASSES + CONTEXT, -1))
     return model
 
 
-def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: LogBilinear) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((vocabulary, model.q, model.r, model.b, model.normalisers()))
-    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, tf: long>>"
+    shipped = spark.sparkContext.broadcast((vocabulary, model.table()))
+    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, tf: long, unseen: double>>"
     log10e = math.log10(math.e)
+    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64()), ("unseen", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q, r, b, z = shipped.value
-        head, classes, other = own.head, own.classes, own.other
-        base_of = {w: math.log10(c + 1) for w, c in head.items()}
-        other_of = {w: own.log_other(c) for w, c in head.items() if w not in classes}
-        base_total, other_total = math.log10(own.n + own.v + 1), math.log10(own.other_total)
+        own, own_model = shipped.value[0], Model(shipped.value[0].unigram, shipped.value[1])
+        # arrays by a word's place in the head; the last entry is for all words outside it
+        place = {w: i for i, w in enumerate(own.head)}
+        outside = len(place)
+        class_of = np.array([*map(own.class_of, own.head), 0], np.int32)
+        base_of = np.array([math.log10(c + 1) for c in own.head.values()] + [0.0])
+        share_of = np.array([own.share(w, c) for w, c in own.head.items()] + [0.0])
+        base_total, in_class = math.log10(own.n + own.v + 1), np.log10(own.tokens + 1)
+        get = place.get
+
+        def one(tokens: list[bytes], logs: np.ndarray, at: np.ndarray, tail: list[dict]) -> tuple:
+            n, n_tail = len(tokens), sum(x["tf"] for x in tail)
+            denominators = sum(x["tf"] * in_class[own.class_of(x["word"])] for x in tail)
+            return n, n - n_tail, math.fsum(base_of[at]) - n * base_total, math.fsum(logs) * log10e + math.fsum(share_of[at]) - float(denominators), tail
+
+        def chunk(held: list[tuple[list[bytes], np.ndarray]]) -> Iterator[tuple]:
+            sizes = np.array([len(t) for t, _ in held])
+            at = np.concatenate([a for _, a in held])
+            ids = class_of[at]
+            out = np.flatnonzero(at == outside)
+            all_tokens = [t for tokens, _ in held for t in tokens] if len(out) else []
+            rare = [all_tokens[k] for k in out.tolist()]
+            ids[out] = [own.class_of(w) for w in rare]
+            logs = own_model.log_probabilities(contexts(ids, sizes), ids)
+            ends, rare_ends = np.cumsum(sizes), np.searchsorted(out, np.cumsum(sizes))
+            for k, (tokens, a) in enumerate(held):
+                some = Counter(rare[rare_ends[k - 1] if k else 0 : rare_ends[k]])
+                tail = [{"word": w, "tf": tf, "unseen": own.share(w, 0) + float(in_class[own.class_of(w)])} for w, tf in some.items()]
+                yield one(tokens, logs[ends[k] - sizes[k] : ends[k]], a, tail)
+
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            if not batch.num_rows:
+                continue
+            out: list[tuple] = []
+            held, size = [], 0
             for text in _buffers(batch.column(2)):
                 tokens = words(text)
-                ids = _class_ids(tokens, classes, other)
-                before = np.concatenate([[0], ids[:-1]])
-                logs = np.einsum("ij,ij->i", q[before], r[ids]) + b[ids] - z[before]
-                n = len(tokens)
-                tail = Counter(w for w in tokens if w not in head)
-                n_tail = sum(tail.values())
-                base = math.fsum(map(base_of.get, filter(base_of.__contains__, tokens))) - n * base_total
-                within = math.fsum(map(other_of.get, filter(other_of.__contains__, tokens))) - int((ids == other).sum()) * other_total
-                for column, x in zip(out, (n, n - n_tail, base, float(logs.sum(dtype=np.float64)) * log10e + within, [{"word": w, "tf": k} for w, k in tail.items()]), strict=True):
-                    column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+                held.append((tokens, np.array([get(w, outside) for w in tokens], np.int32)))
+                size += len(tokens)
+                if size > 16 * ROWS:
+                    out += chunk(held)
+                    held, size = [], 0
+            if held:
+                out += chunk(held)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
 
     rows = texts(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, ddl)
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.tf").join(counts, "word", "left")
-    c, tf, unseen = F.coalesce("c", F.lit(0)), F.col("tf"), math.log10(vocabulary.discount * vocabulary.other_v + 1)
-    share = F.when(c > 0, F.log10(c - vocabulary.discount)).otherwise(F.lit(unseen))
+    tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.tf", "t.unseen").join(counts, "word", "left")
+    c, tf = F.coalesce("c", F.lit(0)), F.col("tf")
+    share = F.when(c > 0, F.log10(c - vocabulary.discount)).otherwise(F.col("unseen"))
     tail = tail.groupBy("row").agg(F.sum(F.when(c > 0, tf).otherwise(0)).alias("known"), F.sum(tf * F.log10(c + 1.0)).alias("more_base"), F.sum(tf * share).alias("more_score"))
     out = rows.drop("tail").join(tail, "row", "left")
     add = lambda x, more: F.col(x) + F.coalesce(more, F.lit(0))

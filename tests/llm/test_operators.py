@@ -411,42 +411,88 @@ def test_op10(spark, sf_dir, documents):
     assert np.mean(gain) > 0
 
 
-def test_lm_is_normalised_and_takes_odd_rows(spark, monkeypatch):
+def class_log(model, before, word):
+    """log10 of a class's probability after the classes ``before`` (nearest first), by the definition."""
+    h = sum(model.q[c].astype(float) * model.m[k] for k, c in enumerate(before))
+    scores = [float(h @ r) + float(b) for r, b in zip(model.r.astype(float), model.b, strict=True)]
+    return (scores[word] - math.log(math.fsum(map(math.exp, scores)))) / math.log(10)
+
+
+def test_lm_score_by_the_definition(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 5)  # most counts are joined
-    docs = table(spark, ODD + ["a b c a b", "a b d"], [*range(10), None, 3])
+    texts = ODD[:5] + ODD[6:] + ["a b c a b", "a b d", "zzz of a"]
+    docs = table(spark, texts, [*range(9), None, 3, 2])
     counts = lm_scoring.word_counts(docs)
     vocabulary = lm_scoring.Vocabulary(counts)
     model = lm_scoring.train(docs, vocabulary)
-    z = model.normalisers()
-    p = np.exp(model.q @ model.r.T + model.b - z[:, None])
-    assert np.abs(p.sum(axis=1) - 1).max() < 1e-3
-    others = [r["c"] for r in counts.collect() if bytes(r["word"]) not in vocabulary.classes]
-    total = sum(10 ** vocabulary.log_other(c) for c in [*others, 0]) / vocabulary.other_total
-    assert total == pytest.approx(1.0)
+    known = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    expected = Counter()
+    for t in texts:
+        tokens = [*(t or "").encode().lower().split(), b" "]
+        ids = [0] * 3 + [vocabulary.class_of(w) for w in tokens]
+        total = 0.0
+        for k, w in enumerate(tokens):
+            total += class_log(model, ids[k : k + 3][::-1], ids[k + 3])
+            own = {x: c for x, c in known.items() if vocabulary.class_of(x) == ids[k + 3]}
+            if w not in vocabulary.single:
+                share = known[w] - vocabulary.discount if w in known else vocabulary.discount * len(own) + 1
+                total += math.log10(share / (sum(own.values()) + 1))
+        expected[round(total, 3)] += 1
     got = lm_scoring.score(docs, counts, vocabulary, model).collect()
-    assert len(got) == 12 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)
+    assert Counter(round(r["score"], 3) for r in got) == expected
+    # all seen words and the classes' places for unseen ones sum to 1
+    z = sum(10 ** class_log(model, (0, 0, 0), vocabulary.class_of(w)) * 10 ** vocabulary.share(w, c) for w, c in known.items())
+    for k in range(lm_scoring.CLASSES):
+        p = 10 ** class_log(model, (0, 0, 0), k)
+        inside = [w for w in known if vocabulary.class_of(w) == k]
+        z += p * (1 if not inside else 0 if k < lm_scoring.SINGLE else (vocabulary.discount * len(inside) + 1) / (sum(known[w] for w in inside) + 1))
+    assert z == pytest.approx(1.0, abs=1e-4)
     assert lm_scoring.lm_scoring(table(spark, [])).count() == 0
 
 
-def test_lm_learns_from_the_word_before(spark):
-    rng, after = random.Random(6), {i: random.Random(i).sample(range(60), 3) for i in range(60)}
+def test_lm_takes_long_texts(spark):
+    got = lm_scoring.lm_scoring(table(spark, [LONG * 10, LONG * 10, "word", None])).orderBy("doc_id").collect()
+    assert got[0]["n_tokens"] == 80_001 and got[0]["score"] == pytest.approx(got[1]["score"]) and math.isfinite(got[3]["score"])
 
-    def chain():
-        w = [rng.randrange(60)]
-        for _ in range(99):
-            w.append(rng.choice(after[w[-1]]))
-        return " ".join(f"w{x}" for x in w)
 
-    docs = table(spark, [chain() for _ in range(3000)])
-    vocabulary = lm_scoring.Vocabulary(lm_scoring.word_counts(docs))
+def test_lm_gains_over_its_unigram_part(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = lm_scoring.word_counts(docs)
+    vocabulary = lm_scoring.Vocabulary(counts)
     model = lm_scoring.train(docs, vocabulary)
-    held = [r["text"] for r in docs.filter(lm_scoring.held_out(F.col("doc_id"))).collect()]
-    ids = [lm_scoring._class_ids(lm_scoring.words(t.encode()), vocabulary.classes, vocabulary.other) for t in held]
-    word, before = np.concatenate(ids), np.concatenate([np.concatenate([[0], x[:-1]]) for x in ids])
+    again = lm_scoring.train(docs.repartition(3, "n_chars"), vocabulary)
+    assert np.array_equal(model.table(), again.table())  # whatever the split of the input
 
-    def mean_log():
-        return np.mean(np.einsum("ij,ij->i", model.q[before], model.r[word]) + model.b[word] - model.normalisers()[before])
+    def means():
+        rows_ = lm_scoring.score(docs, counts, vocabulary, model).groupBy("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).collect()
+        return {r[0]: (r[1] / r[3], r[2] / r[3]) for r in rows_}
 
-    learned = mean_log()
+    learned = means()
     model.q[:] = 0
-    assert learned - mean_log() > 0.3
+    unigram = means()
+    assert learned[True][0] - unigram[True][0] > 0.15 and all(learned[h][0] > learned[h][1] for h in (True, False))
+
+
+def test_nce_step_follows_the_gradient(monkeypatch):
+    rng = np.random.default_rng(4)
+    unigram = rng.random(lm_scoring.CLASSES) + 0.1
+    model = lm_scoring.Model(unigram / unigram.sum())
+    before, word = rng.integers(0, lm_scoring.CLASSES, (40, 3)), rng.integers(0, lm_scoring.CLASSES, 40)
+    noise = np.searchsorted(model.cumulative, np.random.default_rng(9).random(lm_scoring.NOISE))
+
+    def objective(r):
+        h = (model.q[before].astype(float) * model.m).sum(axis=1)
+        true = (h * r[word]).sum(axis=1) + model.b[word] - model.log_noise[word]
+        false = h @ r[noise].T + model.b[noise] - model.log_noise[noise]
+        return -np.logaddexp(0, -true).sum() - np.logaddexp(0, false).sum()
+
+    r = model.r.astype(float)
+    k, j = int(word[0]), 5
+    up, down = r.copy(), r.copy()
+    up[k, j] += 1e-4
+    down[k, j] -= 1e-4
+    slope = (objective(up) - objective(down)) / 2e-4
+    past = model.past[1][k]
+    model.learn(before, word, np.random.default_rng(9))
+    step = (model.r[k, j] - r[k, j]) * math.sqrt(model.past[1][k]) / lm_scoring.RATE
+    assert step == pytest.approx(slope, rel=1e-3) and model.past[1][k] > past
