@@ -26,9 +26,11 @@ def small_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session; only where that is unset (local tests) a folder below the warehouse.
+    ``spark.checkpoint.dir`` of the session; only where that is unset on a local master (tests) a folder below the warehouse.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_gridloom"
 
 
@@ -58,6 +60,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def shards(total_bytes: int, least: int = 16 << 20, most: int = 512 << 20, fan: int = 4096) -> int:
+    """Into how many parts to cut a corpus: of ``least`` bytes up to ``fan`` of them, then of more bytes, ``most`` in the end."""
+    return max(1, -(-total_bytes // max(least, min(most, total_bytes // fan))))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts, summed by Spark over the whole table (one number reaches the driver)."""
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -83,6 +90,25 @@ def with_rows(docs: DataFrame, whole: bool = False) -> DataFrame:
     return materialise(ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *more), "rows")
 
 
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """``many`` joined to ``few``, which has one row a key and counts the key's rows of ``many`` in ``copies``.
+
+    A key with more than a quarter of an even partition's rows is hot: its rows are dealt over parts by a hash of the
+    whole row, and its row of ``few`` is repeated for each part. At most four times as many keys as there are
+    partitions can be hot, whatever the data, so their list is broadcast. ``few`` has to be a written table.
+    """
+    n = default_partitions(many.sparkSession)
+    total = few.agg(F.sum(copies).alias("n")).first()["n"] or 0
+    limit = max(64, -(-total // (4 * n)))
+    hot = few.filter(F.col(copies) > limit).select(*keys, F.ceil(F.col(copies) / limit).cast("int").alias("_parts"))
+    if not hot.limit(1).count():
+        return many.join(few, keys)
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    parts = F.when(F.col(copies) > limit, F.ceil(F.col(copies) / limit).cast("int")).otherwise(1)
+    repeated = few.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(repeated, [*keys, "_part"]).drop("_part")
+
+
 def whole_columns(names: list[str], fresh: dict[str, Column]) -> list[Column]:
     """The columns ``names`` of documents whose others than ``text`` are in ``_doc``; ``fresh`` ones take their place."""
     return [fresh[c].alias(c) if c in fresh else F.col(f"_doc.{c}").alias(c) for c in names]
