@@ -8,16 +8,18 @@ Documents are sets of five-word shingles; two are linked if the Jaccard similari
    ``BANDS`` bands with probability 4e-8, and a bucket of one class is dropped at once.
 3. In a bucket each pair is looked at in its first common band only. Its values are compared ``STEP`` at a time, and
    the pair is dropped when the posterior probability that it reaches the threshold (a uniform prior, m of n values
-   equal) falls below ``TOLERANCE``. What is left goes on as a tree over the bucket's classes, not as pairs.
-4. The trees' components hold every link. In each, the sets are intersected exactly, by products of the 0/1 matrix
-   of the shingles that two or more of its documents have. Links are counted there; only counts and trees come out.
+   equal) falls below ``TOLERANCE``. What leaves a task are the classes that are still in a pair, not the pairs.
+4. These classes come together again with their sets, by bucket; the pairs that the pruning left, and only they, are
+   verified: one by one, or in dense groups by products of the 0/1 matrix of the shingles that two or more of the
+   classes have. Links are counted there; only counts and trees of links come out.
 
-Large buckets and components are dealt out by pairs of blocks of ``BLOCK`` classes, so no task holds a whole group, and
-nothing is capped. What leaves a task grows with documents, not with pairs.
+Large buckets are dealt out by pairs of blocks of ``BLOCK`` classes, so no task holds a whole group, and nothing is
+capped. What leaves a task grows with documents, not with pairs; sets are moved for classes in surviving pairs only.
 
 Words are runs of characters other than ASCII white space. Contract: a text of under five words is one shingle, a null
 or empty text the shingle of no words, so empty texts are linked; equal doc_ids (or null ones) are documents of their
-own; an empty table gives an empty result; other columns are ignored (``one_of_each`` keeps them).
+own; texts of any length are whole; of documents with equal sets the first stands for all; an empty table gives an empty
+result; other columns are ignored (``one_of_each`` keeps them).
 """
 
 from __future__ import annotations
@@ -30,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_partitions, materialise, small_batches, whole_columns, with_rows
+from .common import default_partitions, materialise, small_batches, spread_join, whole_columns, with_rows
 from .suffix_dedup import Rolling, _mixed
 
 SHINGLE_WORDS, THRESHOLD = 5, (4, 5)
 BANDS, BAND_VALUES = 32, 4
 HASHES = BANDS * BAND_VALUES
 STEP, TOLERANCE = 16, 1e-7
-BLOCK = 512
+BLOCK = 256
 #: Distinct shared shingles that one matrix product takes at once.
 COLUMNS = 4096
 _MULTIPLY = np.random.default_rng(5).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,13 +146,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _dealt(members: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """``members`` by pairs of blocks: ``key``, ``i``, ``j`` (i <= j) name a task's two blocks, ``block`` the row's own."""
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` (with the ``size`` of their bucket) by pairs of blocks: ``bucket``, ``i``, ``j`` (i <= j) name a task's
+    two blocks, ``block`` the row's own."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = members.join(sizes.select(key, "size"), key).withColumn("block", F.pmod(F.xxhash64("row"), blocks).cast("int"))
+    own = members.withColumn("block", F.pmod(F.xxhash64("row"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    out = own.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "size")
-    return out.repartition(default_partitions(members.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j", "row")
+    return own.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "size")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition(default_partitions(rows.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "row")
 
 
 def _pairs(block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,30 +166,36 @@ def _pairs(block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a, len(b)), np.tile(b, len(a))
 
 
-def candidate_trees(members: DataFrame) -> DataFrame:
-    """``a``, ``b``: trees over the classes of each bucket that the pruning leaves together."""
+def surviving(group: pa.Table, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a bucket's two blocks that the pruning leaves, of those whose first common band is the bucket's."""
+    values = np.frombuffer(b"".join(group["values"].to_pylist()), "<u2").reshape(group.num_rows, HASHES)
+    bands = np.ascontiguousarray(values).view("<u8")
+    a, b = _pairs(group["block"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py())
+    for earlier in range(group["band"][0].as_py()):
+        apart = bands[a, earlier] != bands[b, earlier]
+        a, b = a[apart], b[apart]
+    equal = np.zeros(len(a), np.int32)
+    for k, limit in enumerate(limits):
+        equal += (values[a, k * STEP : (k + 1) * STEP] == values[b, k * STEP : (k + 1) * STEP]).sum(axis=1, dtype=np.int32)
+        stays = equal >= limit
+        a, b, equal = a[stays], b[stays], equal[stays]
+    return a, b
+
+
+_PLACE = ["bucket", "i", "j", "row", "band", "block"]
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """The rows of each bucket's pairs of blocks that are in a surviving pair."""
     limits = posterior_limits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            row, band = group["row"].to_numpy(), group["band"][0].as_py()
-            values = np.frombuffer(b"".join(group["values"].to_pylist()), "<u2").reshape(len(row), HASHES)
-            bands = np.ascontiguousarray(values).view("<u8")
-            a, b = _pairs(group["block"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py())
-            for earlier in range(band):
-                apart = bands[a, earlier] != bands[b, earlier]
-                a, b = a[apart], b[apart]
-            equal = np.zeros(len(a), np.int32)
-            for k, limit in enumerate(limits):
-                equal += (values[a, k * STEP : (k + 1) * STEP] == values[b, k * STEP : (k + 1) * STEP]).sum(axis=1, dtype=np.int32)
-                stays = equal >= limit
-                a, b, equal = a[stays], b[stays], equal[stays]
+            a, b = surviving(group, limits)
             if len(a):
-                label = roots(len(row), a, b)
-                leaf = np.flatnonzero(label != np.arange(len(row)))
-                yield pa.RecordBatch.from_arrays([pa.array(row[leaf]), pa.array(row[label[leaf]])], names=["a", "b"])
+                yield from group.select(_PLACE).take(np.union1d(a, b)).combine_chunks().to_batches()
 
-    return members.select("bucket", "i", "j", "row", "band", "block", "values").mapInArrow(run, "a long, b long")
+    return _together(members).select(*_PLACE, "values").mapInArrow(run, "bucket long, i int, j int, row long, band int, block int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,29 +213,36 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shingles that the sets of each pair share."""
+    if len(a) <= 2 * len(sets):
+        return np.array([np.intersect1d(sets[x], sets[y], assume_unique=True).size for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    shared = np.cumsum(count > 1) - 1
+    take = count[shingle] > 1
+    of, column = of[take], shared[shingle[take]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        ones = np.zeros((len(sets), COLUMNS), np.float32)
+        ones[of[part], column[part] - at] = 1
+        both += ones @ ones.T
+    return both[a, b].astype(np.int64)
+
+
 def exact_links(members: DataFrame) -> DataFrame:
     """``a``, ``b``, ``links``: for each class its linked documents within a pair of blocks, and a tree edge (or itself)."""
     num, den = THRESHOLD
+    limits = posterior_limits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             row, copies, n = (group[c].to_numpy() for c in ("row", "copies", "n"))
-            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group["shingles"].combine_chunks()]
-            of = np.repeat(np.arange(len(row)), [len(s) for s in sets])
-            shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-            shared = np.cumsum(count > 1) - 1
-            take = count[shingle] > 1
-            of, column = of[take], shared[shingle[take]]
-            order = np.argsort(column, kind="stable")
-            of, column = of[order], column[order]
-            both = np.zeros((len(row), len(row)), np.float32)
-            for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-                part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
-                ones = np.zeros((len(row), COLUMNS), np.float32)
-                ones[of[part], column[part] - at] = 1
-                both += ones @ ones.T
-            a, b = _pairs(group["block"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py())
-            inter = both[a, b].astype(np.int64)
+            a, b = surviving(group, limits)
+            inter = intersections([np.frombuffer(x.as_buffer(), "<u8") for x in group["shingles"].combine_chunks()], a, b)
             linked = den * inter >= num * (n[a] + n[b] - inter)
             a, b = a[linked], b[linked]
             if len(a):
@@ -232,7 +251,7 @@ def exact_links(members: DataFrame) -> DataFrame:
                 found = np.flatnonzero(links > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(row[found]), pa.array(row[label[found]]), pa.array(links[found].astype(np.int64))], names=["a", "b", "links"])
 
-    return members.select("cluster", "i", "j", "row", "block", "n", "copies", "shingles").mapInArrow(run, "a long, b long, links long")
+    return _together(members).select(*_PLACE, "n", "copies", "values", "shingles").mapInArrow(run, "a long, b long, links long")
 
 
 def _shingled(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -245,9 +264,9 @@ def _shingled(rows: DataFrame, chosen: DataFrame) -> DataFrame:
         for batch in batches:
             texts_ = [t.as_py() for t in batch.column(1).cast(pa.binary())]
             sets = [s.astype("<u8").tobytes() for at in range(0, len(texts_), 64) for s in shingle_sets(texts_[at : at + 64])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(sets, pa.binary())], names=["row", "cluster", "copies", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(sets, pa.binary())], names=["row", "copies", "n", "values", "shingles"])
 
-    return rows.select("row", "text").join(chosen.hint("merge"), "row").select("row", "text", "cluster", "copies", "n").mapInArrow(run, "row long, cluster long, copies long, n long, shingles binary")
+    return rows.select("row", "text").join(chosen.hint("merge"), "row").select("row", "text", "copies", "n", "values").mapInArrow(run, "row long, copies long, n long, values binary, shingles binary")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -262,14 +281,12 @@ def classes(rows: DataFrame) -> DataFrame:
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("values"), b * (2 * BAND_VALUES) + 1, F.lit(2 * BAND_VALUES))))).alias("band", "bucket")
     banded = materialise(values.select("row", band), "bands")
     sizes = materialise(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    met = materialise(banded.join(sizes.select("bucket"), "bucket", "left_semi"), "met")
+    met = materialise(spread_join(banded, sizes, ["bucket"], "size"), "met")
     members = met.join(values.join(met.select("row").distinct(), "row", "left_semi"), "row")
-    trees = materialise(candidate_trees(_dealt(members, "bucket", sizes)), "trees")
-    clusters = components(trees).withColumnRenamed("label", "cluster")
-    chosen = materialise(clusters.join(belongs.filter("row = rep").select("row", "copies", "n"), "row"), "clusters")
+    left = materialise(candidates(_dealt(members)), "candidates")
+    chosen = left.select("row").distinct().join(belongs.filter("row = rep").select("row", "copies", "n"), "row").join(values, "row")
     shingled = materialise(_shingled(rows, chosen), "shingled")
-    per_cluster = materialise(chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
-    exact = materialise(exact_links(_dealt(shingled, "cluster", per_cluster)), "links")
+    exact = materialise(exact_links(left.join(shingled, "row")), "links")
     links = exact.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("more"))
     labels = components(exact.filter("a <> b")).select(F.col("row").alias("rep"), "label")
     out = belongs.join(links, "rep", "left").join(labels, "rep", "left")
