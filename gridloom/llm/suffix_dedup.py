@@ -8,17 +8,21 @@ windows that follow each other mostly share one. A run is the windows of one anc
 1. A map finds all runs: the anchor's hash, a hash of the run's whole content, and its place.
 2. One shuffle by anchor puts them in order. Of runs of the same content all but the first are repeats. A first run
    whose anchor is in no other content, and but once in its own, cannot repeat anything. Only the other firsts go on.
+   An anchor that is in many runs (by a sample, which decides on the dealing alone) is dealt over several parts; the
+   first runs of its parts meet again by anchor and content.
 3. Their suffixes, from the anchor on, are dealt into buckets by sampled splitters over their leading bytes (a range
    partitioning), and each bucket is sorted by multikey quicksort on 8-byte words. Suffixes that share the anchor are
    neighbours; their windows are compared and all but the first of equal ones are repeats.
 4. An anchor with over ``HOT`` contents is dealt by whole suffixes, so it goes over many buckets; the windows of the
    blocks at a bucket's edges are compared across the boundaries, by a shuffle on the windows' hashes.
 
-No step holds the copies of a string together: steps 2 and 4 look at neighbours in a sorted stream.
+So repeats of whole runs are found by their hashes before suffixes are sorted, as a pre-aggregation. To sort the suffixes
+of all runs would move their contents, about 125 bytes a run and a run every 24 bytes of text: over 5 times the corpus.
 
 Contract: null text counts as empty; texts shorter than LENGTH lose nothing; equal doc_ids (or null ones, first) are
 ordered by their texts' hashes; exact copies lose everything but the first; an empty table gives an empty result;
-extra columns are ignored by ``repeats`` and kept by ``remove_repeats``.
+texts of any length are whole (they are hashed in overlapping parts); extra columns are ignored by ``repeats`` and kept by
+``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -31,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import default_partitions, materialise, small_batches, whole_columns, with_rows
+from .common import default_partitions, materialise, shards, small_batches, whole_columns, with_rows
 
 LENGTH, GRAM = 100, 24
 #: Windows that can share one anchor.
 SHARED = LENGTH - GRAM + 1
 #: Contents of one anchor that a bucket takes whole, and bytes of contents in a bucket.
-HOT, BUCKET_BYTES = 4096, 4 << 20
+HOT, BUCKET_BYTES = 1024, 4 << 20
+#: One in so many rows is looked at to find hot anchors.
+SAMPLED = 16
 #: Bytes that are hashed at once, longer texts in overlapping parts; a place in a block fits into PLACE_BITS.
 BLOCK_BYTES, PLACE_BITS = 1 << 20, 22
 _BASE = 0x9E3779B97F4A7C15
@@ -234,25 +240,53 @@ def _cut(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.select("row", "text").join(wanted, "row").select("row", "text", "shapes").mapInArrow(run, "row long, shape long, content binary, suffix binary, hot boolean")
 
 
+def hot_anchors(rows: DataFrame) -> DataFrame:
+    """``anchor``, ``parts``: anchors with over a quarter of an even partition's runs, and over how many parts to deal them.
+
+    At most four times as many as there are partitions, so the list may be broadcast. It comes from a sample of the rows
+    and decides on the dealing, never on the result.
+    """
+    n = default_partitions(rows.sparkSession)
+    counts = materialise(find_runs(rows.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0)).groupBy("anchor").count().filter("count > 1"), "anchor-counts")
+    limit = max(16, (counts.agg(F.sum("count").alias("n")).first()["n"] or 0) // (4 * n))
+    return materialise(counts.filter(F.col("count") > limit).select("anchor", F.ceil(F.col("count") / limit).cast("int").alias("parts")), "hot-anchors")
+
+
+def _first_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``row``, ``shape`` of the runs that repeat an earlier run; ``row``, ``shape``, ``anchor`` of the first runs that another
+    content of their anchor may repeat in part."""
+    hot = hot_anchors(rows)
+    part = F.pmod(F.xxhash64("row", "shape"), F.col("parts")).cast("int")
+    dealt = find_runs(rows).join(F.broadcast(hot), "anchor", "left").withColumn("part", part).drop("parts")
+    same = Window.partitionBy("anchor", "part").orderBy("content", "row", "shape")
+    ordered = dealt.withColumn("before", F.lag("content").over(same))
+    kinds = ordered.withColumn("first", F.coalesce(F.col("before") != F.col("content"), F.lit(True)))
+    # a first is contested if its anchor has another content: one before it, or one after its own copies
+    firsts = kinds.withColumn("after", F.expr("lead(CASE WHEN first THEN content END) IGNORE NULLS OVER (PARTITION BY anchor, part ORDER BY content, row, shape)"))
+    several = F.col("shape").bitwiseAND(SEVERAL) != 0
+    kept = firsts.filter(~F.col("first") | F.col("part").isNotNull() | F.col("before").isNotNull() | F.col("after").isNotNull() | several)
+    kept = materialise(kept.select("row", "shape", "first", "anchor", F.when(F.col("first") & F.col("part").isNotNull(), F.col("content")).alias("content")), "runs")
+    # firsts of the parts of hot anchors: one a part and content
+    again = kept.filter("content is not null").withColumn("later", F.row_number().over(Window.partitionBy("anchor", "content").orderBy("row", "shape")) > 1)
+    of_parts = materialise(again, "part-firsts")
+    ranges = of_parts.groupBy("anchor").agg((F.min("content") != F.max("content")).alias("contested"))
+    own = of_parts.filter("not later").join(F.broadcast(ranges), "anchor").filter(F.col("contested") | several)
+    copies = kept.filter("not first").select("row", "shape").union(of_parts.filter("later").select("row", "shape"))
+    return copies, kept.filter("first and content is null").select("row", "shape", "anchor").union(own.select("row", "shape", "anchor"))
+
+
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """``row``, ``at``, ``n``: spans of windows (by first byte) that repeat an earlier window."""
     spark = rows.sparkSession
-    same = Window.partitionBy("anchor").orderBy("content", "row", "shape")
-    ordered = find_runs(rows).withColumn("before", F.lag("content").over(same))
-    kinds = ordered.withColumn("first", F.coalesce(F.col("before") != F.col("content"), F.lit(True)))
-    # a first is contested if its anchor has another content: one before it, or one after its own copies
-    firsts = kinds.withColumn("after", F.expr("lead(CASE WHEN first THEN content END) IGNORE NULLS OVER (PARTITION BY anchor ORDER BY content, row, shape)"))
-    kept = firsts.filter(~F.col("first") | F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("shape").bitwiseAND(SEVERAL) != 0)).select("row", "shape", "first", "anchor")
-    kept = materialise(kept, "runs")
-    copies = kept.filter(~F.col("first")).select("row", F.shiftright("shape", 16).alias("at"), F.shiftright("shape", 8).bitwiseAND(255).alias("n"))
-    contested = kept.filter("first").select("row", "shape", "anchor")
+    copied, contested = _first_runs(rows)
+    copies = copied.select("row", F.shiftright("shape", 16).alias("at"), F.shiftright("shape", 8).bitwiseAND(255).alias("n"))
     hot = materialise(contested.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor"), "hot-anchors")
     some_hot = hot.limit(1).count() > 0
     flagged = contested.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").select("row", "shape", F.coalesce("hot", F.lit(False)).alias("hot"))
     contents = materialise(_cut(rows, flagged), "suffixes")
     size = F.sum(F.octet_length("content"))
     totals = {r["hot"]: r["n"] for r in contents.groupBy("hot").agg(size.alias("n")).collect()}
-    buckets = {k: max(default_partitions(spark), -(-totals.get(k, 0) // BUCKET_BYTES)) for k in (False, True)}
+    buckets = {k: max(default_partitions(spark), shards(totals.get(k, 0), BUCKET_BYTES, 16 * BUCKET_BYTES)) for k in (False, True)}
 
     def bucket(edges: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
