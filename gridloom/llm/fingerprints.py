@@ -9,7 +9,8 @@ Bins come from one sort of the hashes together with one sentinel a bin, so a doc
 
 Contract: null text counts as empty; a text of under five words is one shingle, an empty text the shingle of no words,
 so empty texts are alike; equal texts have equal fingerprints; repeated rows get a row each; an empty table gives an
-empty result; other columns are ignored.
+empty result; texts of any length are whole; the next of rows with equal doc_ids (or null ones, first) is by the hash
+of the text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes, texts
+from .common import default_partitions, materialise, text_bytes, texts
 from .quality_rules import let, words
 
 SHINGLE_WORDS = 5
@@ -85,19 +86,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def in_ranges(docs: DataFrame, range_text_bytes: int = RANGE_TEXT_BYTES) -> DataFrame:
     """``docs`` with ``bucket``: ranges of ascending doc_id with about equal rows; null ids are in the first.
 
-    The split points are approximate quantiles, looked up in two steps of the square root of their number.
+    There are at most four ranges a shuffle partition. Their split points are approximate quantiles in a table of one
+    row, which is joined on a constant, and are looked up in two steps of the square root of their number.
     """
-    n = max(1, -(-text_bytes(docs) // range_text_bytes))
+    spark = docs.sparkSession
+    n = min(max(1, -(-text_bytes(docs) // range_text_bytes)), 4 * default_partitions(spark))
     fan = math.isqrt(n - 1) + 1
     splits = docs.agg(F.percentile_approx("doc_id", [i / (fan * fan) for i in range(1, fan * fan)], 100_000)).first()[0] if fan > 1 else None
     if not splits:
         return docs.withColumn("bucket", F.lit(0))
-    doc_id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     splits = [*splits, (1 << 63) - 1]
     rows = [splits[i : i + fan] for i in range(0, len(splits), fan)]
+    table = spark.createDataFrame([(0, [r[-1] for r in rows[:-1]], rows)], "_one int, _tops array<long>, _splits array<array<long>>")
+    doc_id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     below = lambda points: F.size(F.filter(points, lambda s: s < doc_id))
-    row = below(F.array(*(F.lit(r[-1]) for r in rows[:-1])))
-    return docs.withColumn("_row", row).withColumn("bucket", F.col("_row") * fan + below(F.get(F.array(*(F.array(*map(F.lit, r)) for r in rows)), F.col("_row")))).drop("_row")
+    with_splits = docs.withColumn("_one", F.lit(0)).join(F.broadcast(table), "_one").withColumn("_row", below(F.col("_tops")))
+    return with_splits.withColumn("bucket", F.col("_row") * fan + below(F.get("_splits", F.col("_row")))).drop("_one", "_tops", "_splits", "_row")
 
 
 def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
@@ -105,7 +109,8 @@ def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
     columns of the next row by doc_id (the last: the first).
 
     One shuffle of the texts: each range is put in order by a window, and the first rows of all ranges (one a range)
-    are joined to the ranges before them. Columns of first rows are derived after they have been found.
+    are joined to the ranges before them, which are found from the ranges' numbers alone. Columns of first rows are
+    derived after they have been found.
     """
     ranged = in_ranges(rows)
     tie = F.xxhash64("text")
@@ -114,10 +119,11 @@ def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
     first_ids = materialise(ranged.groupBy("bucket").agg(F.min(known).alias("first_id")), "first-ids")
     firsts = ranged.join(first_ids.withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & (known == F.col("first_id")), "left_semi")
     firsts = materialise(firsts.groupBy("bucket").agg(F.min_by("text", F.struct(tie, "text")).alias("text")), "firsts")
-    firsts = firsts.withColumns(derived).select("bucket", F.struct("text", *derived).alias("first"))
     along = Window.orderBy("bucket")
     every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = materialise(firsts.select("bucket", F.coalesce(F.lead("first").over(along), F.first("first").over(every)).alias("after")), "next-firsts")
+    follows = first_ids.select("bucket", F.coalesce(F.lead("bucket").over(along), F.first("bucket").over(every)).alias("follower"))
+    firsts = firsts.withColumns(derived).select(F.col("bucket").alias("follower"), F.struct("text", *derived).alias("after"))
+    after = materialise(follows.join(firsts, "follower").select("bucket", "after"), "next-firsts")
     inside = ranged.withColumns(derived).withColumn("_next", F.lead(F.struct("text", *derived)).over(Window.partitionBy("bucket").orderBy(*order)))
     return inside.join(after, "bucket", "left").withColumn("next", F.coalesce("_next", "after")).drop("_next", "after", "bucket")
 
