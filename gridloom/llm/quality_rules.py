@@ -1,7 +1,8 @@
 """Host-level quality rules, by DataFrame functions alone.
 
 Each document gets its counts and four rule verdicts. Failures of each rule are summed by host (``source``); host
-rates are shrunk towards an empirical beta prior, fitted over all hosts by moments; a host with a shrunk rate over
+rates are shrunk towards an empirical beta prior, fitted over all hosts by moments that weigh hosts by their documents and
+take the noise of small hosts off their spread; a host with a shrunk rate over
 ``HOST_LIMIT`` for any rule is rejected, and its verdict is joined back to its documents. A host of a few documents
 thus stays near the prior, whatever they are like.
 
@@ -10,7 +11,8 @@ Hosts are summed map-side first, so a host with a third of all rows costs one ro
 before the join: the planner knows its size and broadcasts it only below Spark's threshold.
 
 Contract: a null or empty text has no words and fails the base rules; a null host is a host of its own; repeated rows
-count each; an empty table gives an empty result; other columns are ignored (``keep_documents`` keeps all columns).
+count each, whatever their doc_ids; texts of any length are whole; an empty table gives an empty result; other columns
+are ignored (``keep_documents`` keeps all columns).
 """
 
 from __future__ import annotations
@@ -97,13 +99,18 @@ def with_counts(docs: DataFrame) -> DataFrame:
 def host_verdicts(counted: DataFrame) -> DataFrame:
     """One row per host: ``source``, ``host_docs``, ``rate_<rule>`` (shrunk), ``host_kept``."""
     sums = materialise(counted.groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"), *(F.sum(F.col(r).cast("long")).alias(r) for r in RULES)), "hosts")
-    rates = {r: F.col(r) / F.col("host_docs") for r in RULES}
-    fitted = sums.agg(*(F.avg(x).alias(f"{r}_mean") for r, x in rates.items()), *(F.var_samp(x).alias(f"{r}_var") for r, x in rates.items())).first()
-    out = sums
+    # a rule's hosts as k beta-binomial counts x of n with mean p and correlation rho (weight = 1 / rho - 1):
+    # E[sum n (x/n - p)^2] = p (1 - p) ((1 - rho) (k - 1) + rho (N - sum n^2 / N))
+    n = F.col("host_docs")
+    squares = (F.sum(F.pow(F.col(r), F.lit(2)) / n).alias(f"{r}_xx") for r in RULES)
+    fitted = sums.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(n.cast("double") * n).alias("nn"), *(F.sum(r).alias(r) for r in RULES), *squares).first()
+    out, k, total = sums, fitted["k"], fitted["n"] or 1
     for r in RULES:
-        mean, var = fitted[f"{r}_mean"] or 0.0, fitted[f"{r}_var"] or 0.0
-        weight = min(max(mean * (1 - mean) / var - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1]) if var > 0 else PRIOR_WEIGHT[1]
-        out = out.withColumn(f"rate_{r}", (F.col(r) + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight)))
+        mean = (fitted[r] or 0) / total
+        spread, room = mean * (1 - mean), total - (fitted["nn"] or 0) / total - (k - 1)
+        rho = ((fitted[f"{r}_xx"] - total * mean * mean) / spread - (k - 1)) / room if spread > 0 and room > 0 else 0.0
+        weight = min(max(1 / rho - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1]) if rho > 0 else PRIOR_WEIGHT[1]
+        out = out.withColumn(f"rate_{r}", (F.col(r) + F.lit(mean * weight)) / (n + F.lit(weight)))
     return out.withColumn("host_kept", F.greatest(*(F.col(f"rate_{r}") for r in RULES)) <= HOST_LIMIT).drop(*RULES)
 
 
@@ -150,9 +157,11 @@ WITH w AS (
 ), u AS (
   SELECT source, rule, n, unnest([f1, f2, f3, f4]) AS f, unnest([1, 2, 3, 4]) AS rule_ FROM (SELECT *, 0 AS rule FROM h) q
 ), p AS (
-  SELECT rule_, avg(f / n) AS m, coalesce(var_samp(f / n), 0) AS v FROM u GROUP BY rule_
+  SELECT rule_, sum(f) / sum(n) AS m, sum(f * f / n) AS xx, sum(n) AS n, count(*) - 1 AS k, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room FROM u GROUP BY rule_
+), o AS (
+  SELECT rule_, m, CASE WHEN m * (1 - m) > 0 AND room > 0 THEN ((xx - n * m * m) / (m * (1 - m)) - k) / room ELSE 0 END AS rho FROM p
 ), s AS (
-  SELECT rule_, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1e6 END AS k FROM p
+  SELECT rule_, m, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 1e6) ELSE 1e6 END AS k FROM o
 ), b AS (
   SELECT u.source, max((f + m * k) / (n + k)) <= 0.5 AS host_kept FROM u JOIN s ON s.rule_ = u.rule_ GROUP BY u.source
 )
