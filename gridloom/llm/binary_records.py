@@ -16,7 +16,7 @@ store works, part files appear only when a job commits, and a lost executor's ta
 its file. ``read_at`` fetches any subset of it, in any order.
 
 Contract: null text counts as empty (a record with only the end id); null doc_ids come first; equal doc_ids follow
-each other in the order of their texts' hashes; an empty table gives an empty data folder and index; other columns are
+each other in the order of their texts' hashes; texts of any length are one record each; an empty table gives an empty data folder and index; other columns are
 ignored. A damaged record raises ``ValueError``.
 """
 
@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_bytes, texts
+from .common import materialise, shards, small_batches, text_bytes, texts
 from .tokenizer import read_tokenizer, worker_encoder
 
-#: Bytes of text per part file: bounds what a reading task holds.
-SHARD_TEXT_BYTES = 16 << 20
+#: Bytes of text per part file, which a reading task holds: the first in corpora of up to 64 GB, at most the second.
+SHARD_TEXT_BYTES, MOST_SHARD_TEXT_BYTES = 16 << 20, 128 << 20
+#: Part files whose starts are summed together.
+FILES_TOGETHER = 1024
 _HEAD, _PAYLOAD, _SUM = struct.Struct("<Q"), struct.Struct("<BBq"), struct.Struct("<I")
 #: Bytes of a record besides its payload.
 _FRAME = _HEAD.size + 2 * _SUM.size + 1
@@ -65,10 +67,11 @@ def parse(content: memoryview, offset: int) -> tuple[int | None, np.ndarray, int
     return doc_id if known else None, np.frombuffer(payload, f"<u{width}", offset=_PAYLOAD.size), offset + _FRAME + size
 
 
-def in_order(docs: DataFrame, text_bytes_each: int) -> DataFrame:
-    """``doc_id`` and ``text`` range-partitioned and sorted by doc_id, about ``text_bytes_each`` bytes a partition."""
+def in_order(docs: DataFrame, least: int, most: int) -> DataFrame:
+    """``doc_id`` and ``text`` range-partitioned and sorted by doc_id, about ``least`` bytes a partition, in large corpora
+    up to ``most``."""
     rows = texts(docs)
-    n = max(1, -(-text_bytes(rows) // text_bytes_each))
+    n = shards(text_bytes(rows), least, most)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     return rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
 
@@ -86,7 +89,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             frames = [frame(i, encoder.encode(t.as_py()) + end, width)[:-1] for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["record"])
 
-    records = in_order(docs, shard_text_bytes).mapInArrow(run, "record binary")
+    records = in_order(docs, shard_text_bytes, max(shard_text_bytes, MOST_SHARD_TEXT_BYTES)).mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/data")
     _scan(spark, folder, ids=None).write.parquet(f"{folder}/index")
 
@@ -125,11 +128,15 @@ def _scan(spark: SparkSession, folder: str, ids: str | None) -> DataFrame:
 
 
 def file_starts(spark: SparkSession, folder: str) -> DataFrame:
-    """``file``, ``file_start``: ids in all files before it. One row per part file, summed from the index."""
+    """``file``, ``file_start``: ids in all files before it. Sums run within FILES_TOGETHER files, then over such groups."""
     number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
     sums = spark.read.parquet(f"{folder}/index").groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    return materialise(sums.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start")), "file-starts")
+    sums = materialise(sums.withColumns({"number": number, "some": F.floor(number / FILES_TOGETHER)}), "file-sums")
+    before = Window.partitionBy("some").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    before_some = Window.orderBy("some").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("some").agg(F.sum("n").alias("n")).select("some", F.coalesce(F.sum("n").over(before_some), F.lit(0)).alias("some_start"))
+    inside = sums.select("file", "some", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return materialise(inside.join(groups, "some").select("file", (F.col("start") + F.col("some_start")).alias("file_start")), "file-starts")
 
 
 def read_records(spark: SparkSession, folder: str, ids: str = "ids") -> DataFrame:

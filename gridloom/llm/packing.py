@@ -35,7 +35,8 @@ SENTENCE_CUT, WORD_CUT = 1, 4
 #: No two places to cut are further apart.
 WIDEST_GAP = 32
 BLOCK_TOKENS = 1 << 20
-PARTITION_TEXT_BYTES = 16 << 20
+#: Bytes of text in a partition, which is a stream: the first in corpora of up to 64 GB, at most the second.
+PARTITION_TEXT_BYTES, MOST_TEXT_BYTES = 16 << 20, 512 << 20
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
@@ -175,4 +176,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
         if rows := list(packer.flush(True)):
             yield out(rows)
 
-    return in_order(docs, PARTITION_TEXT_BYTES).mapInArrow(run, ", ".join(f"{n} long" for n, _ in _FIELDS))
+    return in_order(docs, PARTITION_TEXT_BYTES, MOST_TEXT_BYTES).mapInArrow(run, ", ".join(f"{n} long" for n, _ in _FIELDS))
