@@ -12,7 +12,7 @@ Counts cover all training rows, as one shuffle of each partition's distinct word
 by a hash of their doc_id into ``ROUNDS`` rounds and, in each, into shards of about ``SHARD_TOKENS`` tokens. In a round
 every shard steps from the same parameters through its own tokens, then parameters and AdaGrad sums are averaged by
 blocks in Spark, at most ``TOGETHER`` copies at a time. A corpus of few shards is gone through again until each copy has
-made ``MIN_STEPS`` steps. Seeds come from round and shard, so scores do not depend on how the input is split. What reaches
+made ``MIN_STEPS`` steps (``MAX_PASSES`` times at most). Seeds come from round and shard, so scores do not depend on how the input is split. What reaches
 the driver is one set of parameters and at most ``HEAD_WORDS`` counts; counts of other words are joined, not broadcast.
 
 Normalisers come from batched matrix products of the contexts with all classes.
@@ -38,12 +38,12 @@ from .common import materialise, small_batches, texts
 from .toxicity import fold
 
 FOLDS, HELD_OUT_FOLD = 7, 2
-SINGLE, GROUPS, PREFIX = 256, 256, 2
+SINGLE, GROUPS, PREFIX = 192, 192, 2
 CLASSES, WIDTH, CONTEXT = SINGLE + GROUPS, 24, 3
 #: Words of at most ``HEAD_BYTES`` bytes whose counts are broadcast: a fixed bound of 16 MB.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
 BATCH, NOISE, RATE = 1024, 32, 0.15
-ROUNDS, SHARD_TOKENS, MIN_STEPS = 4, 1 << 19, 2000
+ROUNDS, SHARD_TOKENS, MIN_STEPS, MAX_PASSES = 4, 1 << 19, 2000, 8
 BLOCKS, TOGETHER = 16, 64
 #: Contexts that one matrix product takes at once.
 ROWS = 1024
@@ -280,7 +280,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
 
         return local
 
-    for turn in range(ROUNDS * -(-MIN_STEPS // (ROUNDS * steps))):
+    for turn in range(ROUNDS * min(MAX_PASSES, -(-MIN_STEPS // (ROUNDS * steps)))):
         rows = events.filter(F.col("turn") == turn % ROUNDS).select("shard", "place", "ids")
         parts = _averaged(rows.groupBy("shard").applyInArrow(stepping(turn), "shard int, block int, weight double, part binary"), shards).collect()
         if parts:
@@ -289,60 +289,81 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
     return model
 
 
+class _Tail:
+    """For each text its words outside the head, how often it holds them, and the log10 of the unseen place of their class."""
+
+    def __init__(self):
+        self.ends, self.words, self.tf, self.unseen = [0], [], [], []
+
+    def array(self) -> pa.Array:
+        fields = [pa.array(self.words, pa.binary()), pa.array(self.tf, pa.int64()), pa.array(self.unseen, pa.float64())]
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["word", "tf", "unseen"]))
+
+
+class _Scorer:
+    """What a task needs to score texts: arrays by a word's place in the head, whose last entries are for all others."""
+
+    def __init__(self, vocabulary: Vocabulary, table: np.ndarray):
+        head = vocabulary.head
+        self.model, self.known = Model(vocabulary.unigram, table), _Known(vocabulary.single)
+        self.place, self.outside = {w: i for i, w in enumerate(head)}, len(head)
+        self.class_of = np.array([*map(self.known.__getitem__, head), 0], np.int32)
+        self.base_of = np.array([math.log10(c + 1) for c in head.values()] + [0.0])
+        self.share_of = np.array([vocabulary.share(w, c) for w, c in head.items()] + [0.0])
+        self.base_total, self.in_class = math.log10(vocabulary.n + vocabulary.v + 1), np.log10(vocabulary.tokens + 1)
+        self.unseen = np.log10(vocabulary.discount * vocabulary.types + 1).tolist()
+
+    def add(self, held: list[list[bytes]], out: list[list], tail: _Tail) -> None:
+        """Score the texts ``held``. A word outside the head gets here its class's probability over the class's count; what
+        its own count adds is joined later."""
+        get, outside, known = self.place.get, self.outside, self.known
+        sizes = np.array([len(t) for t in held])
+        at = np.array([get(w, outside) for t in held for w in t], np.int32)
+        first = np.cumsum(sizes) - sizes
+        ids = self.class_of[at]
+        rare = np.flatnonzero(at == outside)
+        cuts = np.searchsorted(rare, [*first.tolist(), len(at)]).tolist()
+        classes = []
+        for k, t in enumerate(held):
+            own = [t[i] for i in (rare[cuts[k] : cuts[k + 1]] - first[k]).tolist()]
+            some = Counter(own)
+            tail.words.extend(some)
+            tail.tf.extend(some.values())
+            tail.unseen.extend([self.unseen[known[w]] for w in some])
+            tail.ends.append(len(tail.words))
+            classes += [known[w] for w in own]
+        ids[rare] = classes
+        logs = self.model.log_probabilities(contexts(ids, sizes), ids) * math.log10(math.e) + self.share_of[at]
+        logs[rare] -= self.in_class[ids[rare]]
+        out[0] += sizes.tolist()
+        out[1] += (sizes - np.diff(cuts)).tolist()
+        out[2] += (np.add.reduceat(self.base_of[at], first) - sizes * self.base_total).tolist()
+        out[3] += np.add.reduceat(logs, first).tolist()
+
+
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast((vocabulary, model.table()))
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, tf: long, unseen: double>>"
-    log10e = math.log10(math.e)
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64()), ("unseen", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, own_model = shipped.value[0], Model(shipped.value[0].unigram, shipped.value[1])
-        # arrays by a word's place in the head; the last entry is for all words outside it
-        place = {w: i for i, w in enumerate(own.head)}
-        outside = len(place)
-        class_of = np.array([*map(own.class_of, own.head), 0], np.int32)
-        base_of = np.array([math.log10(c + 1) for c in own.head.values()] + [0.0])
-        share_of = np.array([own.share(w, c) for w, c in own.head.items()] + [0.0])
-        base_total, in_class = math.log10(own.n + own.v + 1), np.log10(own.tokens + 1)
-        get = place.get
-
-        def one(tokens: list[bytes], logs: np.ndarray, at: np.ndarray, tail: list[dict]) -> tuple:
-            n, n_tail = len(tokens), sum(x["tf"] for x in tail)
-            denominators = sum(x["tf"] * in_class[own.class_of(x["word"])] for x in tail)
-            return n, n - n_tail, math.fsum(base_of[at]) - n * base_total, math.fsum(logs) * log10e + math.fsum(share_of[at]) - float(denominators), tail
-
-        def chunk(held: list[tuple[list[bytes], np.ndarray]]) -> Iterator[tuple]:
-            sizes = np.array([len(t) for t, _ in held])
-            at = np.concatenate([a for _, a in held])
-            ids = class_of[at]
-            out = np.flatnonzero(at == outside)
-            all_tokens = [t for tokens, _ in held for t in tokens] if len(out) else []
-            rare = [all_tokens[k] for k in out.tolist()]
-            ids[out] = [own.class_of(w) for w in rare]
-            logs = own_model.log_probabilities(contexts(ids, sizes), ids)
-            ends, rare_ends = np.cumsum(sizes), np.searchsorted(out, np.cumsum(sizes))
-            for k, (tokens, a) in enumerate(held):
-                some = Counter(rare[rare_ends[k - 1] if k else 0 : rare_ends[k]])
-                tail = [{"word": w, "tf": tf, "unseen": own.share(w, 0) + float(in_class[own.class_of(w)])} for w, tf in some.items()]
-                yield one(tokens, logs[ends[k] - sizes[k] : ends[k]], a, tail)
-
+        scorer = _Scorer(*shipped.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out: list[tuple] = []
+            out: list[list] = [[] for _ in range(4)]
+            tail = _Tail()
             held, size = [], 0
             for text in _buffers(batch.column(2)):
-                tokens = words(text)
-                held.append((tokens, np.array([get(w, outside) for w in tokens], np.int32)))
-                size += len(tokens)
+                held.append(words(text))
+                size += len(held[-1])
                 if size > 16 * ROWS:
-                    out += chunk(held)
+                    scorer.add(held, out, tail)
                     held, size = [], 0
             if held:
-                out += chunk(held)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+                scorer.add(held, out, tail)
+            columns = (pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, tail.array()], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
 
     rows = texts(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, ddl)
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
