@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import binary_records, bpe_automaton, fingerprints, line_dedup, lm_scoring, ngram_join, packing, queries, quality_rules, suffix_dedup, toxicity
-from gridloom.llm.common import scratch
+from gridloom.llm.common import materialise, scratch, spread_join, with_rows
 from gridloom.llm.tokenizer import TextEncoder, public_tokenizer, read_tokenizer
 from tests.oracle import answer, rows
 
@@ -78,15 +78,17 @@ def test_bpe_round_trip(spark):
 
 
 def removed_lines(texts, k):
+    """The lines of each text that lie in a run found before: of k lines, or of fewer with 50 words."""
     seen, out = set(), []
     for text in texts:
         lines = [x for x in (text or "").split("\n") if x.strip(line_dedup.SPACES)]
         gone = set()
-        for i in range(len(lines) - k + 1):
-            window = tuple(lines[i : i + k])
-            if window in seen:
-                gone |= set(range(i, i + k))
-            seen.add(window)
+        for i in range(len(lines)):
+            for size in range(1, min(k, len(lines) - i) + 1):
+                window = tuple(lines[i : i + size])
+                if window in seen and (size == k or sum(len(x.encode().split()) for x in window) >= 50):
+                    gone |= set(range(i, i + size))
+                seen.add(window)
         out.append(gone)
     return out
 
@@ -99,6 +101,28 @@ def test_line_dedup_by_brute_force(spark, k):
     assert got == {i: len(g) for i, g in enumerate(removed_lines(texts, k))}
 
 
+def test_line_dedup_of_few_long_lines(spark):
+    rng = random.Random(8)
+    long = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(n)) for n in (24, 26, 50, 60, 400)]
+    texts = ["\n".join(rng.choice([*long, "a", "b", " "]) for _ in range(rng.randint(1, 5))) for _ in range(60)] + [LONG, LONG, "x\n" * 3000]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(table(spark, texts)).collect()}
+    assert got == {i: len(g) for i, g in enumerate(removed_lines(texts, 3))}
+
+
+def test_line_dedup_doubles_to_the_longest_run(spark):
+    run = "\n".join(f"line {i}" for i in range(21))
+    found = line_dedup.repeated_runs(with_rows(table(spark, [run, "x\n" + run, "y\n" + run]))).collect()
+    assert max(r["n"] for r in found) == 16 and {r["row"] for r in found} == {1, 2}
+
+
+def test_spread_join_splits_hot_keys(spark):
+    many = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 900).alias("k"), "id")
+    few = materialise(many.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("most")), "few")
+    got = spread_join(many, few, ["k"], "n")
+    assert sorted(map(tuple, got.select("k", "id", "n", "most").collect())) == sorted(map(tuple, many.join(few, "k").select("k", "id", "n", "most").collect()))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
 def test_line_dedup_odd_rows(spark):
     texts = ["p\nq\nr", "p\nq\nr", "x\np\nq\nr\ny", None, ""]
     assert sorted(r["n_removed"] for r in line_dedup.line_dedup(table(spark, texts, [7, 7, None, None, 9])).collect()) == [0, 0, 0, 3, 3]
@@ -118,6 +142,16 @@ def test_quality_rules_odd_rows(spark):
     assert quality_rules.quality_rules(table(spark, [])).count() == 0
 
 
+def test_prior_is_that_of_beta_binomial_hosts(spark):
+    rng = np.random.default_rng(2)
+    rates, sizes = rng.beta(2, 6, 3000), rng.integers(2, 40, 3000)
+    rows_ = [(f"h{i}", int(n), int(rng.binomial(n, p))) for i, (p, n) in enumerate(zip(rates, sizes, strict=True))]
+    counted = spark.createDataFrame([(h, k < x, False, False, False) for h, n, x in rows_ for k in range(n)], "source string, short boolean, repeats boolean, symbols boolean, dup_lines boolean")
+    got = {r["source"]: r["rate_short"] for r in quality_rules.host_verdicts(counted).collect()}
+    weights = [(x - n * got[h]) / (got[h] - 0.25) for h, n, x in rows_ if abs(got[h] - 0.25) > 0.1]
+    assert abs(np.median(weights) - 8) < 1.5  # the prior's a + b
+
+
 def test_bad_hosts_go_and_small_ones_stay(spark):
     good = " ".join(f"w{i}" for i in range(40))
     rows_ = [("bad", "short")] * 300 + [("bad", good)] * 3 + [("good", good)] * 300 + [("tiny", "short")] + [("tiny", good)]
@@ -145,6 +179,37 @@ def test_toxicity_learns(spark, tmp_path):
     assert toxicity.toxicity(table(spark, []), labels).count() == 0
 
 
+def test_risk_and_gradient_by_a_plain_loop():
+    rng = random.Random(11)
+    for prior in (0.05, 0.6):  # with the second the risk of the negatives is below zero
+        p_rows, u_rows = ([first + [j for j in range(1, 6) if rng.random() < 0.4] for _ in range(n)] for n, first in ((5, [0]), (9, [])))
+        x = np.array([5.0 if prior > 0.5 else 0.3] + [rng.uniform(-1, 1) for _ in range(5)] + [-2.0])
+        log_loss = lambda rows_, sign, x: sum(math.log1p(math.exp(-sign * (x[6] + sum(x[j] for j in own)))) for own in rows_) / len(rows_)
+        negative = lambda x: log_loss(u_rows, -1, x) - prior * log_loss(p_rows, -1, x)
+        decayed = lambda x: 0.01 / 2 * sum(x[:6] ** 2)
+        below = negative(x) < 0
+        assert below == (prior > 0.5)
+        docs = tuple(np.array(v) for rows_ in (p_rows, u_rows) for v in ([j for own in rows_ for j in own], [i for i, own in enumerate(rows_) for _ in own]))
+        value, grad = toxicity.risk(x, docs, 5, 9, prior, 0.01)
+        assert value == pytest.approx(prior * log_loss(p_rows, 1, x) + max(negative(x), 0) + decayed(x))
+        target = (lambda x: -negative(x) + decayed(x)) if below else (lambda x: prior * log_loss(p_rows, 1, x) + negative(x) + decayed(x))
+        for j in range(7):
+            step = np.eye(7)[j] * 1e-5
+            assert grad[j] == pytest.approx((target(x + step) - target(x - step)) / 2e-5, abs=1e-6)
+
+
+def test_toxicity_weighs_evidence_of_both_signs():
+    own, n, m = np.arange(4), 100, 1000
+    assert toxicity.select(own, np.array([90, 5, 5, 2]), n, np.array([10, 50, 900, 0]), m).tolist() == [0, 2]
+
+
+def test_toxicity_repeated_rows_and_long_texts(spark):
+    texts = ["bad bad words", "good words"] * 40 + [LONG, LONG]
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(table(spark, texts, [i if i < 80 else 500 for i in range(82)]).union(table(spark, ["bad bad words"], [0])), labels).collect()
+    assert len(got) == 83 and len({r["score"] for r in got if r["doc_id"] in (0, 500)}) == 2
+
+
 def test_toxicity_held_out(spark, sf_dir):
     marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     got = [(r["score"], marks[r["doc_id"]]) for r in queries.op4_toxicity(spark, "/root/testdata/sf0.01").filter("held_out").collect() if marks.get(r["doc_id"]) is not None]
@@ -200,6 +265,15 @@ def test_ngram_join_odd_rows(spark):
     assert [r["doc_id"] for r in ngram_join.one_of_each(docs).orderBy("doc_id").collect()] == [0, 2]
 
 
+def test_pairs_of_a_group_by_matrix_and_one_by_one():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(12)]
+    a, b = np.triu_indices(12, 1)
+    expected = [len(set(sets[x].tolist()) & set(sets[y].tolist())) for x, y in zip(a, b, strict=True)]
+    assert ngram_join.intersections(sets, a, b).tolist() == expected
+    assert ngram_join.intersections(sets, a[:7], b[:7]).tolist() == expected[:7]
+
+
 def test_posterior_limits_keep_likely_pairs():
     limits = ngram_join.posterior_limits()
     assert (np.diff(limits) > 0).all()
@@ -219,7 +293,9 @@ def test_op6(spark, sf_dir, library, documents):
         place += len(ids)
 
 
-def test_records_by_offset_and_damage(spark, library):
+def test_records_by_offset_and_damage(spark, library, monkeypatch):
+    monkeypatch.setattr(binary_records, "MOST_SHARD_TEXT_BYTES", 4096)
+    monkeypatch.setattr(binary_records, "FILES_TOGETHER", 3)
     folder = scratch(spark, "test-records")
     docs = table(spark, ODD, [5, 4, 3, 2, 1, 0, 9, 8, 9, None])
     binary_records.write_records(docs, PATH, folder, shard_text_bytes=4096)
@@ -260,6 +336,46 @@ def test_fingerprints(spark, sf_dir, documents, monkeypatch):
     assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.06
 
 
+def plain_fingerprint(text):
+    """The lanes by loops and sets, with the hash that Spark's function is defined by (XXH64, seed 42, chained)."""
+    import struct
+
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    many = lambda values, size: __import__("functools").reduce(lambda seed, v: xxhash.xxh64(v.to_bytes(size, "little", signed=True), seed).intdigest(), values, 42)
+    words = [signed(xxhash.xxh64(w, 42).intdigest()) for w in (text or "").encode().split()]
+    hashes = {signed(many(words[i : i + 5], 8)) for i in range(max(1, len(words) - 4))}
+    bins = {}
+    for h in hashes:
+        k = (h >> 57) + 64
+        bins[k] = min(bins.get(k, h), h)
+    out = []
+    for b in range(128):
+        if b not in bins:
+            tried = [signed(many((b, t), 4)) % 128 for t in range(8)]
+            found = next((k for k in tried if k in bins), None)
+            out.append(bins[min(bins, key=lambda k: (signed(many((b, k + 8), 4)), k)) if found is None else found])
+        else:
+            out.append(bins[b])
+    assert struct.calcsize("q") == 8
+    return "".join(f"{x & 255:02x}" for x in out)
+
+
+def test_fingerprints_by_brute_force(spark, documents):
+    texts = [t or "" for t in ODD] + [documents[d] for d in sorted(documents)[:40]]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(table(spark, texts)).collect()}
+    assert got == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+    edited = fingerprints.edited_fingerprints(table(spark, texts)).collect()
+    for r in edited:
+        i = r["doc_id"]
+        text, after = texts[i], texts[(i + 1) % len(texts)]
+        k = len(text) // 4
+        lanes = [plain_fingerprint(t) for t in (text, text[: len(text) - k] + after[:k], after)]
+        like = [max(0.0, (sum(lanes[0][j : j + 2] == x[j : j + 2] for j in range(0, 256, 2)) / 128 - 1 / 256) / (1 - 1 / 256)) for x in lanes[1:]]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (lanes[0], lanes[1]) and [r["near_edited"], r["near_next"]] == pytest.approx(like)
+
+
 def test_fingerprints_odd_rows(spark):
     got = fingerprints.edited_fingerprints(table(spark, ODD, [1, 2, 3, 4, 4, None, 6, 7, 8, 9])).collect()
     assert len(got) == len(ODD) and all(0 <= r["near_next"] <= 1 for r in got)
@@ -359,6 +475,26 @@ def test_suffix_dedup_by_brute_force(spark, monkeypatch, hot):
     assert got == brute_repeats(list(enumerate(texts)))
 
 
+def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage = " ".join(word() for _ in range(30))
+    texts = [" ".join([word() for _ in range(rng.randint(0, 30))] + [passage[rng.randint(0, 60) :]] + [word() for _ in range(rng.randint(0, 30))]) for _ in range(400)]
+    rows_ = with_rows(table(spark, texts))
+    assert suffix_dedup.hot_anchors(rows_).count() > 0
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffix_dedup.repeats(table(spark, texts)).collect()}
+    assert got == brute_repeats(list(enumerate(texts)))
+
+
+def test_suffix_dedup_of_texts_over_a_block(spark, monkeypatch):
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdefgh é") for _ in range(600_000))
+    texts = [long, "x" + long[300_000:] + long[:200], None]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeats(table(spark, texts)).collect()}
+    assert got == {i: r[1] for i, r in brute_repeats(list(enumerate(texts))).items()}
+
+
 def test_op9(spark, sf_dir, documents):
     got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in queries.op9_suffix_dedup(spark, sf_dir).collect()}
     assert got == brute_repeats(sorted(documents.items()))
