@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import taylor_score
@@ -109,6 +109,26 @@ def response(df: DataFrame, ind: str, dep: str, ind_limits: tuple[float, float],
     return out.filter(F.col("n") / F.lit(total) >= least_share)
 
 
+def log_response(df: DataFrame, ind: str, dep: str, ind_limits: tuple[float, float], n: int = 25, least_share: float = 3e-3) -> DataFrame:
+    """``response`` in log10 of a positive ``dep``: 10 to the mean of its logarithms, and their standard deviation."""
+    own = df.filter(F.col(dep) > 0).withColumn("_log", F.log10(dep))
+    return response(own, ind, "_log", ind_limits, n, least_share).withColumn("mean", F.pow(F.lit(10.0), F.col("mean")))
+
+
+def response_line(df: DataFrame, ind: str, dep: str) -> DataFrame:
+    """The least-squares line of ``dep`` and the half width of the band that holds half of normal residuals (0.674 standard
+    deviations of them): ``slope``, ``intercept``, ``band``."""
+    rows = df.filter(F.col(ind).isNotNull() & F.col(dep).isNotNull())
+    spread = F.sqrt(F.greatest(F.regr_syy(dep, ind) - F.pow(F.regr_sxy(dep, ind), F.lit(2)) / F.regr_sxx(dep, ind), F.lit(0.0)) / F.regr_count(dep, ind))
+    return rows.agg(F.regr_slope(dep, ind).alias("slope"), F.regr_intercept(dep, ind).alias("intercept"), (0.674 * spread).alias("band"))
+
+
+def shared_limits(frames: list[DataFrame], column: str) -> tuple[float, float]:
+    """Limits that hold the values of all the fields, on which their relationships are binned alike."""
+    own = [limits(df, column) for df in frames]
+    return min(a for a, _ in own), max(b for _, b in own)
+
+
 def hellinger_score(a: DataFrame, b: DataFrame) -> DataFrame:
     """1 - sqrt(sum (sqrt p - sqrt q)^2) / sqrt 2 over bins filled in both histograms."""
     pairs = a.select("bin_x", "bin_y", F.col("share").alias("p")).join(b.select("bin_x", "bin_y", F.col("share").alias("q")), ["bin_x", "bin_y"])
@@ -121,10 +141,41 @@ def response_score(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.agg(F.exp(-F.sqrt(F.sum(F.pow(F.col("p") - F.col("q"), 2))) / F.sqrt(F.sum(F.col("p") * F.col("p")))).alias("score"))
 
 
+#: Bins in which quantiles are looked for.
+QUANTILE_BINS = 4096
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: list[float]) -> DataFrame:
+    """Exact quantiles (linear between ranks) of ``value`` by ``keys``: one row each, ``quantile`` and ``value``.
+
+    No task sees a whole group: counts in QUANTILE_BINS bins, summed map-side, tell which bins hold the wanted ranks, and
+    only the distinct values of these bins are put in order. Null values are left out.
+    """
+    n_bins = QUANTILE_BINS
+    rows = df.select(*keys, value.alias("_v")).filter("_v is not null").withColumn("_all", F.lit(0))
+    own = ["_all", *keys]
+    ranges = rows.groupBy(*own).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    binned = rows.join(ranges, own).withColumn("_bin", F.least(F.coalesce(F.floor(F.try_divide((F.col("_v") - F.col("_lo")) * n_bins, F.col("_hi") - F.col("_lo"))), F.lit(0)), F.lit(n_bins - 1)).cast("int"))
+    counts = binned.groupBy(*own, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*own).orderBy("_bin")) - F.col("_c")
+    placed = counts.withColumn("_before", before)
+    wanted = ranges.select(*own, "_n", F.explode(F.array(*(F.struct(F.lit(float(q)).alias("q")) for q in quantiles))).alias("_q")).select(*own, F.col("_q.q").alias("_q"), ((F.col("_n") - 1) * F.col("_q.q")).alias("_at"))
+    ranks = wanted.select(*own, "_q", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
+    hit = placed.join(ranks, own).filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+    bins_hit = hit.select(*own, "_bin", "_before").distinct()
+    values = binned.join(bins_hit, [*own, "_bin"]).groupBy(*own, "_bin", "_before", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    after = F.col("_before") + F.sum("_k").over(Window.partitionBy(*own, "_bin").orderBy("_v"))
+    spans = values.withColumn("_to", after)
+    found = spans.join(hit.select(*own, "_bin", "_q", "_at", "_rank"), [*own, "_bin"]).filter((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_k")))
+    low, high = F.min("_v"), F.max("_v")
+    share = F.max(F.col("_at")) - F.floor(F.max("_at"))
+    return found.groupBy(*own, "_q").agg((low + (high - low) * share).alias("value")).select(*keys, F.col("_q").alias("quantile"), "value")
+
+
 def quantile_errors(errors: DataFrame, keys: list[str], quantiles: list[int]) -> DataFrame:
     """Exact quantiles of absolute errors by ``keys``, one row each (a table for quantile scores)."""
-    out = errors.groupBy(*keys).agg(F.percentile(F.abs("value"), F.lit([q / 100 for q in quantiles])).alias("q"))
-    return out.select(*keys, F.explode(F.arrays_zip(F.lit(quantiles).alias("quantile"), F.col("q").alias("value"))).alias("x")).select(*keys, "x.quantile", "x.value")
+    out = exact_quantiles(errors, keys, F.abs("value"), [q / 100 for q in quantiles])
+    return out.withColumn("quantile", F.round(F.col("quantile") * 100).cast("int"))
 
 
 def ensemble_mean(models: DataFrame, on: list[str], weights: dict[str, float]) -> DataFrame:

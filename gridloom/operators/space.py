@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cell_area
@@ -12,6 +12,7 @@ from . import CELL
 
 #: The longest axis that the driver handles as metadata (a global grid of 0.0036 degrees has 100,000 longitudes).
 MAX_AXIS = 100_000
+MAX_REGIONS = 1_000
 #: The names that stand for no mask at all.
 GLOBAL = ("global", "globe")
 
@@ -23,13 +24,16 @@ def area_column():
 def in_region(df: DataFrame, regions: DataFrame) -> DataFrame:
     """Rows of each region: the cell's centre in (min, max] on both axes; every row for a global label.
 
-    ``regions`` is (label, lat_min, lat_max, lon_min, lon_max). Centres are tested once per distinct cell, by an explode
-    over the regions as an array, so there is no nested-loop join of the field.
+    ``regions`` is (label, lat_min, lat_max, lon_min, lon_max), at most MAX_REGIONS of them. Each distinct cell is tested
+    once, and the rows meet their cells in an equi join, which Spark broadcasts where the cells are few.
     """
-    listed = regions.agg(F.collect_list(F.struct("label", "lat_min", "lat_max", "lon_min", "lon_max")).alias("boxes")).first()["boxes"]
+    listed = regions.select("label", "lat_min", "lat_max", "lon_min", "lon_max").limit(MAX_REGIONS + 1).collect()
+    if len(listed) > MAX_REGIONS:
+        raise ValueError(f"over {MAX_REGIONS} regions; make them a raster")
     lat, lon = (F.col("lat0") + F.col("lat1")) / 2, (F.col("lon0") + F.col("lon1")) / 2
     inside = [F.when(F.lit(b["label"] in GLOBAL) | ((lat > b["lat_min"]) & (lat <= b["lat_max"]) & (lon > b["lon_min"]) & (lon <= b["lon_max"])), F.lit(b["label"])) for b in listed]
-    return df.withColumn("region", F.explode(F.array_compact(F.array(*inside))))
+    cells = df.select(*CELL).distinct().withColumn("region", F.explode(F.array_compact(F.array(*inside))))
+    return df.join(cells, CELL)
 
 
 def space_mean(df: DataFrame, keys: list[str], mean: bool = True, absolute: bool = False) -> DataFrame:
@@ -85,6 +89,75 @@ def composed_axis(a: list[tuple[float, float]], b: list[tuple[float, float]], li
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
+def axis_lookup(spark, own: list[tuple[float, float]], targets: list[tuple[float, float]], ddl: str) -> DataFrame:
+    """Each cell of an axis with the target cell of nearest centre."""
+    centres = [(x + y) / 2 for x, y in targets]
+    return spark.createDataFrame([(x, y, *targets[nearest(centres, (x + y) / 2)]) for x, y in own], ddl)
+
+
+def cell_edges(frames: list[DataFrame], lower: str, upper: str) -> DataFrame:
+    """``lo``, ``hi``: the cells between all edges of an axis of several fields. The edges are distinct before they are
+    put in order, and an axis is short, so the one window holds metadata alone."""
+    edges = frames[0].select(F.col(lower).alias("lo"))
+    for df in frames:
+        edges = edges.union(df.select(lower)).union(df.select(upper))
+    along = Window.orderBy("lo")
+    return edges.filter("lo is not null").distinct().withColumn("hi", F.lead("lo").over(along)).filter("hi is not null")
+
+
+def trimmed(df: DataFrame, lat: tuple[float, float] | None = None, lon: tuple[float, float] | None = None, depth: tuple[float, float] | None = None) -> DataFrame:
+    """The cells from the one that holds the lower limit to the one that holds the upper limit; limits outside the axis
+    are taken to its end, and of two cells that share a limit the lower one counts. Layers that touch the depth limits."""
+    for (lower, upper), ends in ((("lat0", "lat1"), lat), (("lon0", "lon1"), lon)):
+        if ends is None:
+            continue
+        least, most = (F.min(lower), F.max(upper))
+        span = df.agg(least.alias("a"), most.alias("b")).first()
+        if span["a"] is None:
+            continue
+        at = [min(max(v, span["a"]), span["b"]) for v in ends]
+        holds = df.agg(*(F.min(F.when((F.col(lower) <= v) & (F.col(upper) >= v), F.col(lower))).alias(n) for n, v in zip("ij", at, strict=True))).first()
+        df = df.filter((F.col(lower) >= holds["i"]) & (F.col(lower) <= holds["j"]))
+    return df if depth is None else df.filter((F.col("z1") >= depth[0]) & (F.col("z0") <= depth[1]))
+
+
+def extents(df: DataFrame) -> list[tuple[float, float]]:
+    row = df.agg(F.min("lat0"), F.max("lat1"), F.min("lon0"), F.max("lon1")).first()
+    return [(row[0], row[1]), (row[2], row[3])]
+
+
+def uniform_clip(ref: DataFrame, com: DataFrame, within: tuple = ((-90.0, 90.0), (-180.0, 180.0)), least: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """Both fields cut to the area that they share, on those edges only where a field reaches ``least`` degrees beyond it."""
+    a, b = extents(ref), extents(com)
+    shared = [(max(x[0], y[0], w[0]), min(x[1], y[1], w[1])) for x, y, w in zip(a, b, within, strict=True)]
+    out = []
+    for df, own in ((ref, a), (com, b)):
+        limits = [tuple(s if abs(o - s) >= least else e for o, s, e in zip(x, y, whole, strict=True)) for x, y, whole in zip(own, shared, ((-90.0, 90.0), (-180.0, 180.0)), strict=True)]
+        far = any(abs(o - s) >= least for x, y in zip(own, shared, strict=True) for o, s in zip(x, y, strict=True))
+        out.append(trimmed(df, *limits) if far else df)
+    return out[0], out[1]
+
+
+def shared_extents(models: DataFrame, snap: float = 2.0) -> DataFrame:
+    """The area that all models cover (``models`` has rows of cells), ends within ``snap`` degrees of the globe's taken there."""
+    own = models.groupBy("model").agg(F.min("lat0").alias("a"), F.max("lat1").alias("b"), F.min("lon0").alias("c"), F.max("lon1").alias("d"))
+    all_ = own.agg(F.max("a").alias("lat_min"), F.min("b").alias("lat_max"), F.max("c").alias("lon_min"), F.min("d").alias("lon_max"))
+    ends = {"lat_min": -90.0, "lat_max": 90.0, "lon_min": -180.0, "lon_max": 180.0}
+    return all_.select(*(F.when(F.abs(F.col(c) - e) <= snap, F.lit(e)).otherwise(F.col(c)).alias(c) for c, e in ends.items()))
+
+
+def land_only(df: DataFrame, land: DataFrame, least: float = 0.3, glacier: DataFrame | None = None) -> DataFrame:
+    """``value`` where the land fraction (a field of fractions or per cents on the same cells) is at least ``least`` and no
+    glacier lies; masked elsewhere."""
+    share = land.agg(F.max("value").alias("m")).first()["m"] or 0.0
+    rows = df.join(land.select(*CELL, (F.col("value") / (100.0 if share > 10 else 1.0)).alias("_land")), CELL, "left")
+    keep = F.coalesce(F.col("_land"), F.lit(0.0)) >= least
+    if glacier is not None:
+        rows = rows.join(glacier.filter("value > 0").select(*CELL, F.lit(True).alias("_ice")), CELL, "left")
+        keep = keep & F.col("_ice").isNull()
+    return rows.withColumn("value", F.when(keep, F.col("value"))).drop("_land", "_ice")
+
+
 def on_axes(df: DataFrame, lats: list[tuple[float, float]], lons: list[tuple[float, float]], own_axes=None) -> DataFrame:
     """``df`` on another grid by nearest centres, one axis at a time.
 
@@ -93,33 +166,34 @@ def on_axes(df: DataFrame, lats: list[tuple[float, float]], lons: list[tuple[flo
     """
     spark = df.sparkSession
     for lower, upper, target, own in zip(("lat0", "lon0"), ("lat1", "lon1"), (lats, lons), own_axes or axes(df), strict=True):
-        centres = [(x + y) / 2 for x, y in own]
-        rows = [(*own[nearest(centres, (x + y) / 2)], x, y) for x, y in target]
-        lookup = spark.createDataFrame(rows, f"{lower} double, {upper} double, _a double, _b double")
+        lookup = axis_lookup(spark, target, own, f"_a double, _b double, {lower} double, {upper} double")
         df = df.join(F.broadcast(lookup), [lower, upper]).drop(lower, upper).withColumnsRenamed({"_a": lower, "_b": upper})
     return df
 
 
-def compose(ref: DataFrame, com: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both fields on the grid of all their cell edges."""
-    a, b = axes(ref), axes(com)
+def compose(ref: DataFrame, com: DataFrame, axes_of: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both fields on the grid of all their cell edges. ``axes_of``: fields on the same grids whose axes are cheaper to read."""
+    a, b = (axes(df) for df in axes_of or (ref, com))
     lats, lons = composed_axis(a[0], b[0], 90.0), composed_axis(a[1], b[1], 180.0)
     return on_axes(ref, lats, lons, a), on_axes(com, lats, lons, b)
 
 
-def _nearest_cell(cells: list[tuple[float, float]], at: Column) -> Column:
-    """The cell (c0, c1) of an axis whose centre is nearest, the lower one of equals."""
-    own = F.array(*(F.struct(F.lit(a).alias("c0"), F.lit(b).alias("c1")) for a, b in cells))
-    return F.array_min(F.transform(own, lambda c: F.struct(F.abs((c["c0"] + c["c1"]) / 2 - at).alias("d"), c["c0"].alias("c0"), c["c1"].alias("c1"))))
-
-
 def at_sites(grid: DataFrame, sites: DataFrame) -> DataFrame:
-    """The grid's values at sites (site, lat, lon), from the nearest centre on each axis. The axes are arrays of
-    bounded size in the plan; sites and grid meet in an equi join on the cell."""
-    out = sites
+    """The grid's values at sites (site, lat, lon), from the nearest centre on each axis, the lower one of equals.
+
+    A site is looked for in the slots of one degree around it: an axis is a table of its centres by slot, each slot with
+    the cells that can be nearest to a place in it. So sites meet each axis, and then the grid, in equi joins.
+    """
+    spark, out = grid.sparkSession, sites
     for lower, upper, at, own in zip(("lat0", "lon0"), ("lat1", "lon1"), ("lat", "lon"), axes(grid), strict=True):
-        out = out.withColumn("_best", _nearest_cell(own, F.col(at)))
-        out = out.withColumns({lower: F.col("_best.c0"), upper: F.col("_best.c1")}).drop("_best")
+        centres = [(x + y) / 2 for x, y in own]
+        slots = {k: range(nearest(centres, k), nearest(centres, k + 1) + 1) for k in range(-181, 362)}
+        rows = [(k, centres[i], *own[i]) for k, near in slots.items() for i in near]
+        table = spark.createDataFrame(rows, f"_slot int, _centre double, {lower} double, {upper} double")
+        slot = F.least(F.greatest(F.floor(at), F.lit(-181)), F.lit(361)).cast("int")
+        near = out.select(at).distinct().withColumn("_slot", slot).join(F.broadcast(table), "_slot")
+        best = near.groupBy(at).agg(F.min(F.struct(F.abs(F.col("_centre") - F.col(at)).alias("d"), lower, upper)).alias("_best"))
+        out = out.join(best.select(at, F.col(f"_best.{lower}").alias(lower), F.col(f"_best.{upper}").alias(upper)), at)
     return out.join(grid, CELL)
 
 

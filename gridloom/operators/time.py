@@ -40,21 +40,27 @@ def clip_to_cover(df: DataFrame, start: float, end: float, tolerance: float = 1e
     return df if a is None else df.filter((F.col("t0") >= a - tolerance) & (F.col("t1") <= b + tolerance))
 
 
+#: Target intervals that may be broadcast.
+MAX_TARGETS = 100_000
+
+
 def interval_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str]) -> DataFrame:
     """Pairs of rows whose intervals overlap, as an equi join on buckets of time.
 
-    The bucket is the longest interval of either side, so a row is in two buckets or a few; a pair is kept in the
-    first bucket that both have. There is no nested-loop join, whatever the sizes.
+    The bucket is the greater mean length of the two sides' intervals, so each side has at most two bucketed rows a row on
+    average, however long single intervals are; a pair is kept in the first bucket that both have. Up to MAX_TARGETS right
+    rows are broadcast, and then the left side is not shuffled. There is no nested-loop join, whatever the sizes.
     """
     (a0, a1), (b0, b1) = left_bounds, right_bounds
-    longest = [df.agg(F.max(F.col(y) - F.col(x)).alias("w")).first()["w"] or 1.0 for df, (x, y) in ((left, left_bounds), (right, right_bounds))]
-    width = max(*longest, 1e-9)
+    sizes = [df.agg(F.avg(F.col(y) - F.col(x)).alias("w"), F.count(F.lit(1)).alias("n")).first() for df, (x, y) in ((left, left_bounds), (right, right_bounds))]
+    width = max(*(s["w"] or 0.0 for s in sizes), 1e-9)
 
     def bucketed(df: DataFrame, lower: str, upper: str, name: str) -> DataFrame:
         first, last = F.floor(F.col(lower) / width), F.floor(F.col(upper) / width)
         return df.withColumn(name, F.explode(F.sequence(first, last)))
 
-    pairs = bucketed(left, a0, a1, "_a").join(bucketed(right, b0, b1, "_b"), F.col("_a") == F.col("_b"))
+    other = bucketed(right, b0, b1, "_b")
+    pairs = bucketed(left, a0, a1, "_a").join(F.broadcast(other) if sizes[1]["n"] <= MAX_TARGETS else other, F.col("_a") == F.col("_b"))
     overlap = (F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1))
     return pairs.filter(overlap & (F.col("_a") == F.floor(F.greatest(a0, b0) / width))).drop("_a", "_b")
 
@@ -199,3 +205,85 @@ def consecutive_years_below(yearly_max: DataFrame, keys: list[str], threshold: f
     below = F.col("value") < threshold
     rows = yearly_max.withColumn("_both", below & F.lag(below).over(along) & (F.lag("year").over(along) == F.col("year") - 1))
     return rows.groupBy(*keys).agg(F.coalesce(F.bool_or("_both"), F.lit(False)).alias("frozen"))
+
+
+def noleap_day(date: Column) -> Column:
+    """Days since 1850-01-01 of a date or timestamp in a calendar without leap days; 29 February is 1 March, at its start."""
+    year, month = F.year(date), F.month(date)
+    # fixed values: days before each month of a year without leap days
+    before = F.element_at(F.lit([0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]), month)
+    day = F.when((month == 2) & (F.dayofmonth(date) == 29), 28).otherwise(F.dayofmonth(date) - 1)
+    clock = date.cast("timestamp")
+    share = (F.hour(clock) * 3600 + F.minute(clock) * 60 + F.second(clock)) / 86400.0
+    return (year - 1850) * 365.0 + before + day + F.when((month == 2) & (F.dayofmonth(date) == 29), 0.0).otherwise(share)
+
+
+def year_of(day: Column) -> Column:
+    """The year (with a fraction) of a day since 1850 in a calendar without leap days."""
+    return day / 365.0 + 1850.0
+
+
+def read_times(df: DataFrame, keys: list[str], start: float, end: float, slack: float = 0.01) -> DataFrame:
+    """The intervals within [start, end], each allowed ``slack`` of its length beyond; ``t`` is set to their middles.
+
+    Raises if the intervals of a key do not follow each other without a gap.
+    """
+    length = F.col("t1") - F.col("t0")
+    kept = df.filter((F.col("t0") >= F.lit(start) - slack * length) & (F.col("t1") <= F.lit(end) + slack * length))
+    before = F.lag("t1").over(Window.partitionBy(*keys).orderBy("t0"))
+    if kept.withColumn("_gap", F.abs(F.col("t0") - before) > slack * length).filter("_gap").limit(1).count():
+        raise ValueError("intervals do not follow each other")
+    return kept.withColumn("t", (F.col("t0") + F.col("t1")) / 2)
+
+
+def reduced_units(df: DataFrame, unit: str, most: int = 2) -> tuple[DataFrame, str]:
+    """Values of small orders of magnitude in a finer unit: per day for per second, then g for kg, while the mean log10 of
+    their sizes is below -2, ``most`` times at most."""
+    for _ in range(most):
+        order = df.agg(F.avg(F.log10(F.greatest(F.abs("value"), F.lit(1e-16)))).alias("o")).first()["o"]
+        if order is None or order >= -2:
+            break
+        if "s-1" in unit:
+            df, unit = df.withColumn("value", F.col("value") * 86400.0), unit.replace("s-1", "d-1")
+        elif "kg" in unit:
+            df, unit = df.withColumn("value", F.col("value") * 1000.0), unit.replace("kg", "g")
+    return df, unit
+
+
+#: The middles of the months of a year without leap days.
+MIDDLES = [15.5, 45.0, 74.5, 105.0, 135.5, 166.0, 196.5, 227.5, 258.0, 288.5, 319.0, 349.5]
+
+
+def nearest_month(day: Column) -> Column:
+    """The month (0 to 11) whose middle is nearest to the day of the year, the earlier one of equals."""
+    rest = F.pmod(day, F.lit(365.0))
+    ranked = F.array(*(F.struct(F.abs(rest - m).alias("d"), F.lit(k).alias("month")) for k, m in enumerate(MIDDLES)))
+    return F.array_min(ranked)["month"]
+
+
+def without_cycle(df: DataFrame, cycle: DataFrame, keys: list[str]) -> DataFrame:
+    """value less a given cycle's (``keys``, ``month``, ``value``) at the nearest month."""
+    rows = df.withColumn("month", nearest_month((F.col("t0") + F.col("t1")) / 2))
+    joined = rows.join(cycle.select(*keys, "month", F.col("value").alias("_c")), [*keys, "month"], "left")
+    return joined.withColumn("value", F.col("value") - F.col("_c")).drop("_c", "month")
+
+
+def hour_of_maximum(df: DataFrame, keys: list[str], slots: int) -> DataFrame:
+    """The hour at which the mean cycle of a day (``slot``, ``value``) is greatest, the first of equals."""
+    return df.groupBy(*keys).agg((F.min_by("slot", F.struct(-F.col("value"), "slot")) * (24.0 / slots)).alias("hour"))
+
+
+def cycle_shape(df: DataFrame, keys: list[str], period: float = 365.0) -> DataFrame:
+    """Rows by ``period_number`` (0, 1, ...) and ``sample`` within it, from the first sample of the first whole period on; the
+    samples of an unfinished period at the end are left out. Samples have equal steps."""
+    along = Window.partitionBy(*keys).orderBy("t0")
+    own = Window.partitionBy(*keys)
+    day = F.pmod(F.col("t0"), F.lit(period))
+    rows = df.withColumns({"_i": F.row_number().over(along) - 1, "_day": day, "_n": F.count(F.lit(1)).over(own)})
+    rows = rows.withColumn("_per", F.round(F.lit(period) / F.min(F.col("t1") - F.col("t0")).over(own)).cast("int"))
+    first = F.min(F.when(F.abs("_day") < (F.col("t1") - F.col("t0")) / 2, F.col("_i"))).over(own)
+    k = F.col("_i") - F.col("_first")
+    rows = rows.withColumn("_first", first)
+    whole = F.floor((F.col("_n") - F.col("_first")) / F.col("_per")) * F.col("_per")
+    kept = rows.filter((k >= 0) & (k < whole)).withColumns({"period_number": F.floor(k / F.col("_per")).cast("int"), "sample": F.pmod(k, F.col("_per")).cast("int")})
+    return kept.drop("_i", "_day", "_n", "_per", "_first")

@@ -13,8 +13,9 @@ from ..operators.compare import correlation, paired
 from ..operators.space import area_column
 from ..operators.time import accumulate, annual_cycle, anomaly, consecutive_years_below, integrate, root_mean_square
 
-#: Decay of the score of a final difference, and the difference it is measured by (fixed values of the method).
-DIFFERENCE_DECAY, DIFFERENCE_SCALE = 0.287, 10.8
+#: Fixed values of the method: decay of the score of a final difference, and the differences it is measured by, in Pg.
+DIFFERENCE_DECAY = 0.287
+DIFFERENCE_SCALES = {"GCP": 21.6 / 2, "Hoffman": 84.6 / 2}
 
 
 def energy_masked(le: Column, sh: Column) -> Column:
@@ -41,16 +42,31 @@ def evaporative_fraction(le: DataFrame, sh: DataFrame, on: list[str]) -> DataFra
     return both.select(*on, F.when(energy_masked(a, b), a / (a + b)).alias("value"))
 
 
-def net_balance(ref: DataFrame, com: DataFrame) -> DataFrame:
-    """Two global series (t0, t1, value): the accumulated difference at the end, its score, the score of the path and
-    the temporal distribution score."""
-    keys = ["_k"]
-    a, b = (accumulate(df.withColumn("_k", F.lit(0)), keys) for df in (ref, com))
-    path = a.select("t", F.col("value").alias("ref")).join(b.select("t", F.col("value").alias("com")), "t")
-    ends = path.agg(F.max_by(F.col("com") - F.col("ref"), "t").alias("diff"), F.avg(F.exp(-F.abs(F.col("com") - F.col("ref")) / DIFFERENCE_SCALE)).alias("trajectory_score"))
-    pairs = paired(ref, com, ["t0", "t1"]).agg(correlation().alias("r"), F.try_divide(F.stddev_pop("com"), F.stddev_pop("ref")).alias("sigma"))
-    out = ends.withColumn("_k", F.lit(0)).join(pairs.withColumn("_k", F.lit(0)), "_k")
-    return out.select("diff", F.exp(-DIFFERENCE_DECAY * F.abs("diff") / DIFFERENCE_SCALE).alias("difference_score"), "trajectory_score", taylor_score(F.col("sigma"), F.col("r")).alias("temporal_score"))
+def net_balance(ref: DataFrame, com: DataFrame, scale: float = DIFFERENCE_SCALES["GCP"], taylor: bool = True) -> DataFrame:
+    """Two global series (t0, t1, value) over the times that both have: both accumulations at the end, their difference and
+    its score, the score of the path and the temporal distribution score.
+
+    The path is scored where the reference has a lower bound ``value_lo``: differences beyond the accumulated uncertainty,
+    divided by it; the start, where both are zero, does not count.
+    """
+    low = F.col("value") - F.col("value_lo") if "value_lo" in ref.columns else F.lit(None).cast("double")
+    rows = ref.withColumn("_u", low).select("t0", "t1", F.col("value").alias("x"), "_u").join(com.select("t0", "t1", F.col("value").alias("y")), ["t0", "t1"]).withColumn("_k", F.lit(0))
+    sums = [accumulate(rows.select("_k", "t0", "t1", F.col(c).alias("value")), ["_k"]).withColumnRenamed("value", c) for c in ("x", "y", "_u")]
+    path = sums[0].join(sums[1], ["_k", "t"]).join(sums[2], ["_k", "t"])
+    beyond = F.greatest(F.abs(F.col("y") - F.col("x")) - F.col("_u"), F.lit(0.0))
+    ends = path.groupBy("_k").agg(
+        F.max_by("x", "t").alias("ref_end"), F.max_by("y", "t").alias("com_end"), F.avg(F.when(F.col("_u") > 0, F.exp(-beyond / F.col("_u")))).alias("trajectory_score"),
+    )
+    pairs = rows.groupBy("_k").agg(correlation("x", "y").alias("r"), F.try_divide(F.stddev_pop("y"), F.stddev_pop("x")).alias("sigma"))
+    diff = F.col("com_end") - F.col("ref_end")
+    out = ends.join(pairs, "_k").select("ref_end", "com_end", diff.alias("diff"), F.exp(-DIFFERENCE_DECAY * F.abs(diff / scale)).alias("difference_score"), "trajectory_score", taylor_score(F.col("sigma"), F.col("r")).alias("temporal_score"))
+    return out if taylor else out.drop("temporal_score")
+
+
+def late_starters(runs: DataFrame, benchmark_start: float, days: float = 10.0) -> DataFrame:
+    """The models of ``runs`` (model, t0, ...) that start more than ``days`` after the benchmark, which a plot of
+    accumulations leaves out."""
+    return runs.groupBy("model").agg(F.min("t0").alias("t0")).filter(F.col("t0") > benchmark_start + days).select("model")
 
 
 def basin_means(df: DataFrame, cells: DataFrame) -> DataFrame:
@@ -122,9 +138,20 @@ def growing_season_flux(cycle: DataFrame, keys: list[str], days: float = 365.0 /
     return cycle.groupBy(*keys).agg(F.coalesce(F.sum(F.when(v < 0, v * days)), F.lit(0.0)).alias("uptake"), F.min(negative).alias("begin"), F.max(negative).alias("end"), F.min_by(m, F.struct(v, m)).alias("strongest"))
 
 
-def season_scores(pairs: DataFrame) -> DataFrame:
-    """Scores of differences in days of season marks (``ref``, ``com``): 1 - |d| / 60, at least 0."""
-    return pairs.withColumn("score", F.greatest(1 - F.abs(F.col("com") - F.col("ref")) / 60.0, F.lit(0.0)))
+def season_score(days: Column) -> Column:
+    """1 - |d| / 60 of a difference of season marks in days, at least 0."""
+    return F.greatest(1 - F.abs(days) / 60.0, F.lit(0.0))
+
+
+def growing_season_scores(ref: DataFrame, com: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean cycles (keys, month, value): uptakes, the differences of the season's begin, end and strongest month in days, the
+    mean of their scores, and the score of the uptake by its relative error."""
+    a, b = growing_season_flux(ref, keys), growing_season_flux(com, keys)
+    marks = ("begin", "end", "strongest")
+    both = a.select(*keys, F.col("uptake").alias("ref_uptake"), *(F.col(c).alias(f"_{c}") for c in marks)).join(b, keys)
+    out = both.select(*keys, "ref_uptake", "uptake", *(((F.col(c) - F.col(f"_{c}")) * (365.0 / 12)).alias(c) for c in marks))
+    scores = [season_score(F.col(c)) for c in marks]
+    return out.withColumns({"season_score": (scores[0] + scores[1] + scores[2]) / 3, "flux_score": exp_score(F.col("uptake") - F.col("ref_uptake"), F.col("ref_uptake"))})
 
 
 def diurnal_score(difference: Column, length: Column) -> Column:
@@ -132,12 +159,36 @@ def diurnal_score(difference: Column, length: Column) -> Column:
     return F.exp(math.log(0.1) / 0.5 * F.abs(F.try_divide(difference, length)))
 
 
+def diurnal_season(df: DataFrame, keys: list[str], threshold: float = 0.2) -> DataFrame:
+    """From daily amplitudes (keys, ``day``, ``value``): the season of the days with over ``threshold`` of the greatest one:
+    its first and last day, length, centroid, day of the maximum, and mean amplitude in it."""
+    most = df.groupBy(*keys).agg(F.max("value").alias("_most"), F.min_by("day", F.struct(-F.col("value"), "day")).alias("peak"))
+    inside = df.join(most, keys).filter(F.col("value") > threshold * F.col("_most"))
+    out = inside.groupBy(*keys).agg(
+        F.min("day").alias("begin"), F.max("day").alias("end"), (F.sum(F.col("day") * F.col("value")) / F.sum("value")).alias("centroid"), F.avg("value").alias("uptake"), F.first("peak").alias("peak"),
+    )
+    return out.withColumn("length", F.col("end") - F.col("begin") + 1)
+
+
+def diurnal_scores(ref: DataFrame, com: DataFrame, keys: list[str], threshold: float = 0.2) -> DataFrame:
+    """The five scores of a season of daily amplitudes: begin and end, length, centroid, time of the maximum, uptake."""
+    a, b = diurnal_season(ref, keys, threshold), diurnal_season(com, keys, threshold)
+    both = a.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("begin", "end", "length", "centroid", "peak", "uptake"))).join(b, keys)
+    off = lambda c: diurnal_score(F.col(c) - F.col(f"_{c}"), F.col("_length"))
+    return both.select(*keys, ((off("begin") + off("end")) / 2).alias("bounds_score"), off("length").alias("length_score"), off("centroid").alias("centroid_score"), off("peak").alias("timing_score"), exp_score(F.col("uptake") - F.col("_uptake"), F.col("_uptake")).alias("uptake_score"))
+
+
 def uncertain_bias(ref: DataFrame, com: DataFrame, keys: list[str]) -> DataFrame:
-    """The bias beyond the reference's own bounds (value_lo, value_hi), and its score by the reference's deviation."""
-    means = ref.groupBy(*keys).agg(F.avg("value").alias("mean"), F.avg("value_lo").alias("lo"), F.avg("value_hi").alias("hi"), F.stddev_pop("value").alias("std"))
-    other = com.groupBy(*keys).agg(F.avg("value").alias("com"))
-    beyond = F.greatest(F.col("lo") - F.col("com"), F.col("com") - F.col("hi"), F.lit(0.0))
-    return means.join(other, keys).select(*keys, (F.col("com") - F.col("mean")).alias("bias"), exp_score(beyond, F.col("std")).alias("score"))
+    """The bias of the time means; and the time mean of exp(-u / s), where u is how far a value lies beyond the reference's
+    own bounds (value_lo, value_hi) at its time and s the reference's deviation from its mean (the mean, with one time)."""
+    w, x, y = F.col("t1") - F.col("t0"), F.col("x"), F.col("y")
+    pairs = ref.select(*keys, "t0", "t1", F.col("value").alias("x"), "value_lo", "value_hi").join(com.select(*keys, "t0", "t1", F.col("value").alias("y")), [*keys, "t0", "t1"])
+    mean = lambda v: F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
+    means = pairs.groupBy(*keys).agg(mean(x).alias("_x"), mean(y).alias("_y"), mean(x * x).alias("_xx"), F.count(F.lit(1)).alias("_n"))
+    means = means.withColumn("_s", F.when(F.col("_n") > 1, F.sqrt(F.greatest(F.col("_xx") - F.col("_x") * F.col("_x"), F.lit(0.0)))).otherwise(F.col("_x")))
+    beyond = F.greatest(y - F.col("value_hi"), F.lit(0.0)) + F.greatest(F.col("value_lo") - y, F.lit(0.0))
+    scored = pairs.join(means, keys).withColumn("_score", F.when(x.isNotNull() & y.isNotNull(), F.exp(-F.try_divide(beyond, F.col("_s")))))
+    return scored.groupBy(*keys).agg(F.first(F.col("_y") - F.col("_x")).alias("bias"), mean(F.col("_score")).alias("score"))
 
 
 def depth_gradient(df: DataFrame, keys: list[str], top: float, bottom: float) -> DataFrame:

@@ -1,24 +1,28 @@
-"""The default analysis of gridded fields: period means, bias, error and distribution scores by region.
+"""The default analysis of a field against a reference: period means, cycles, variability, errors and their scores by region.
 
-All models are one table with a ``model`` column, so a dataset is one job whatever the number of models.
+All models are one table with a ``model`` column, so a dataset is one job whatever the number of models. Fields are read
+once for their series statistics (sums over pairs in time) and once for their mean cycles; everything after that is as
+small as a grid.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import exp_score
+from ..functions.scores import cycle_score, exp_score, taylor_score, wrap_shift
 from ..operators import CELL
-from ..operators.compare import bias, rmse
+from ..operators.compare import bias, correlation
 from ..operators.space import area_column, compose, in_region
-from ..operators.time import anomaly, integrate, root_mean_square
+from ..operators.time import annual_cycle, integrate, nearest_month
+
+#: Days in the months of a year without leap days.
+MONTH_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 
 
 def period_bias(ref: DataFrame, com: DataFrame) -> DataFrame:
     """Bias of the time means on the composed grid."""
-    # the means are as small as a grid, and read again once their axes are known
-    a, b = compose(integrate(ref, CELL, mean=True).persist(), integrate(com, CELL, mean=True).persist())
+    a, b = compose(integrate(ref, CELL, mean=True), integrate(com, CELL, mean=True), (ref, com))
     return bias(a, b, CELL)
 
 
@@ -30,23 +34,136 @@ def global_bias(ref: DataFrame, com: DataFrame) -> DataFrame:
     return cells.agg(F.count(F.lit(1)).alias("n_cells"), F.try_divide(F.sum(v * area), F.sum(area)).alias("bias"), F.sum(area).alias("area"))
 
 
+def series_statistics(ref: DataFrame, com: DataFrame, keys: list[str]) -> DataFrame:
+    """By ``keys``, from one join and one aggregate over the times of both: the means of each over its own times, the
+    reference's deviation from its mean, the root mean square error and the centred one."""
+    pairs = ref.select(*keys, "t0", "t1", F.col("value").alias("x")).join(com.select(*keys, "t0", "t1", F.col("value").alias("y")), [*keys, "t0", "t1"])
+    return _statistics(pairs, keys)
+
+
+def _statistics(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    x, y, w = F.col("x"), F.col("y"), F.col("t1") - F.col("t0")
+    d = y - x
+    has = lambda *c: F.sum(F.when(F.greatest(*(v.isNull().cast("int") for v in c), F.lit(0)) == 0, w))
+    sums = pairs.groupBy(*keys).agg(
+        has(x).alias("_wx"), F.sum(x * w).alias("_x"), F.sum(x * x * w).alias("_xx"), has(y).alias("_wy"), F.sum(y * w).alias("_y"),
+        has(x, y).alias("_w"), F.sum(d * w).alias("_d"), F.sum(d * d * w).alias("_dd"), F.count(F.lit(1)).alias("n_times"),
+    )
+    out = sums.withColumns({"ref_mean": F.try_divide("_x", "_wx"), "com_mean": F.try_divide("_y", "_wy")})
+    shift = F.col("com_mean") - F.col("ref_mean")
+    square = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)))
+    return out.select(
+        *keys, "ref_mean", "com_mean", "n_times", shift.alias("bias"), square(F.try_divide("_xx", "_wx") - F.pow("ref_mean", F.lit(2))).alias("spread"),
+        square(F.try_divide("_dd", "_w")).alias("rmse"), square(F.try_divide("_dd", "_w") - 2 * shift * F.try_divide("_d", "_w") + shift * shift).alias("crmse"),
+    )
+
+
+def _mean_of(column: str | Column, weight: Column, where: Column | None = None) -> Column:
+    v = F.col(column) if isinstance(column, str) else column
+    v = v if where is None else F.when(where, v)
+    return F.try_divide(F.sum(v * weight), F.sum(F.when(v.isNotNull(), weight)))
+
+
 def regional_scores(ref: DataFrame, com: DataFrame, regions: DataFrame) -> DataFrame:
     """By region, on the grid both share: bias, its score (normalised by the reference's own deviation, weighted by the
     reference mean), the root mean square error and its score."""
-    mean = integrate(ref, CELL, mean=True).withColumnRenamed("value", "ref_mean")
-    spread = root_mean_square(anomaly(ref, CELL), CELL).withColumnRenamed("value", "spread")
-    difference = bias(integrate(ref, CELL, mean=True), integrate(com, CELL, mean=True), CELL).select(*CELL, F.col("value").alias("bias"))
-    error = rmse(ref, com, CELL).withColumnRenamed("value", "rmse")
-    centred = rmse(anomaly(ref, CELL), anomaly(com, CELL), CELL).withColumnRenamed("value", "crmse")
-    cells = mean.join(spread, CELL).join(difference, CELL).join(error, CELL).join(centred, CELL)
+    cells = series_statistics(ref, com, CELL)
     cells = cells.withColumns({"bias_score": exp_score(F.col("bias"), F.col("spread")), "rmse_score": exp_score(F.col("crmse"), F.col("spread"))})
     area, mass = area_column(), F.abs("ref_mean")
+    return in_region(cells, regions).groupBy("region").agg(
+        _mean_of("bias", area).alias("bias"), _mean_of("bias_score", area * mass).alias("bias_score"),
+        _mean_of("rmse", area).alias("rmse"), _mean_of("rmse_score", area * mass).alias("rmse_score"),
+    )
 
-    def mean_of(column: str, weight):
-        v = F.col(column)
-        return F.try_divide(F.sum(v * weight), F.sum(F.when(v.isNotNull(), weight)))
 
-    return in_region(cells, regions).groupBy("region").agg(
-        mean_of("bias", area).alias("bias"), mean_of("bias_score", area * mass).alias("bias_score"),
-        mean_of("rmse", area).alias("rmse"), mean_of("rmse_score", area * mass).alias("rmse_score"),
+def _of_models(ref: DataFrame, com: DataFrame, place: list[str]) -> DataFrame:
+    """The pairs of each model: every row of the reference and of the model, by place and time."""
+    a = ref.select(*place, "t0", "t1", F.col("value").alias("x"))
+    models = com.select("model").distinct().agg(F.collect_list("model").alias("m")).first()["m"]
+    a = a.withColumn("model", F.explode(F.array(*map(F.lit, sorted(models)))))
+    return a.join(com.select("model", *place, "t0", "t1", F.col("value").alias("y")), ["model", *place, "t0", "t1"], "full")
+
+
+def _cycles(ref: DataFrame, com: DataFrame, place: list[str]) -> DataFrame:
+    """``month``, ``cx``, ``cy``: the mean yearly cycles of reference and models."""
+    a = annual_cycle(ref, place).select(*place, "month", F.col("value").alias("cx"))
+    return annual_cycle(com, ["model", *place]).select("model", *place, "month", F.col("value").alias("cy")).join(a, [*place, "month"])
+
+
+def place_scores(ref: DataFrame, com: DataFrame, place: list[str], basis: str = "cycle") -> DataFrame:
+    """By model and place (a cell or a site): means, deviation, bias, errors (of the mean cycles or of the series), phase
+    shift in months, year-to-year variability of both, and the scores of all these. ``both`` tells where both have data."""
+    keys = ["model", *place]
+    pairs = _of_models(ref, com, place)
+    series = _statistics(pairs, keys)
+    cycles = _cycles(ref, com, place)
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("v"), F.col("month").alias("m"))))["m"]
+    days = F.element_at(F.lit(MONTH_DAYS), F.col("month") + 1)
+    mx, my = (F.avg(c) for c in ("cx", "cy"))
+    d, w = F.col("cy") - F.col("cx"), F.sum(F.when(F.col("cy").isNotNull() & F.col("cx").isNotNull(), days))
+    of_cycle = cycles.groupBy(*keys).agg(
+        wrap_shift((first("cy") - first("cx")).cast("double") * 365.0 / 12.0).alias("shift"), F.try_divide(F.sum(d * d * days), w).alias("_dd"),
+        F.try_divide(F.sum(d * days), w).alias("_d"), (my - mx).alias("_m"),
     )
+    rest = pairs.withColumn("month", nearest_month((F.col("t0") + F.col("t1")) / 2)).join(cycles, [*keys, "month"], "left")
+    u, length = lambda v, c: F.col(v) - F.col(c), F.col("t1") - F.col("t0")
+    rms = lambda v, c: F.sqrt(F.try_divide(F.sum(u(v, c) * u(v, c) * length), F.sum(F.when(u(v, c).isNotNull(), length))))
+    iav = rest.groupBy(*keys).agg(rms("x", "cx").alias("ref_iav"), rms("y", "cy").alias("com_iav"))
+    out = series.join(of_cycle, keys, "left").join(iav, keys, "left")
+    if basis == "cycle":
+        out = out.withColumns({"rmse": F.sqrt("_dd"), "crmse": F.sqrt(F.greatest(F.col("_dd") - 2 * F.col("_m") * F.col("_d") + F.pow("_m", F.lit(2)), F.lit(0.0)))})
+    norm = F.when(F.col("n_times") > 1, F.col("spread")).otherwise(F.col("ref_mean"))
+    return out.drop("_dd", "_d", "_m").withColumns(
+        {
+            "both": F.col("ref_mean").isNotNull() & F.col("com_mean").isNotNull(),
+            "bias_score": exp_score(F.col("bias"), norm),
+            "rmse_score": exp_score(F.col("crmse"), F.col("spread")),
+            "cycle_score": cycle_score(F.col("shift")),
+            "shift": F.abs("shift") / 30.0,
+            "iav_score": exp_score(F.col("com_iav") - F.col("ref_iav"), F.col("ref_iav")),
+        }
+    )
+
+
+_NAMES = {
+    "bias": "Bias", "bias_score": "Bias Score", "rmse": "RMSE", "rmse_score": "RMSE Score", "shift": "Phase Shift", "cycle_score": "Seasonal Cycle Score",
+    "iav_score": "Interannual Variability Score", "ref_mean": "Benchmark Period Mean (intersection)", "com_mean": "Model Period Mean (intersection)",
+    "ref_only": "Benchmark Period Mean (complement)", "com_only": "Model Period Mean (complement)", "sd_score": "Spatial Distribution Score",
+}
+#: Scores that a flag of the configuration leaves out.
+SKIPPED = {"skip_cycle": ("shift", "cycle_score", "iav_score"), "skip_rmse": ("rmse", "rmse_score", "iav_score"), "skip_iav": ("iav_score",)}
+
+
+def _long(wide: DataFrame, keys: list[str], skip: tuple[str, ...]) -> DataFrame:
+    left_out = {c for flag in skip for c in SKIPPED[flag]}
+    columns = [c for c in _NAMES if c in wide.columns and c not in left_out]
+    rows = wide.select(*keys, F.explode(F.array(*(F.struct(F.lit(_NAMES[c]).alias("scalar"), F.col(c).alias("value")) for c in columns))).alias("x"))
+    return rows.select(*keys, "x.scalar", "x.value").filter("value is not null")
+
+
+def mean_state(ref: DataFrame, com: DataFrame, regions: DataFrame, basis: str = "cycle", mass_weighting: bool = True, skip: tuple[str, ...] = ()) -> DataFrame:
+    """``model``, ``region``, ``scalar``, ``value``: all scalars of gridded models (on the reference's grid) by region.
+
+    Means over the cells that both have, that only one has; spatial distribution of the time means; bias, errors, cycle and
+    variability with their scores, which weigh cells by area and, for scores with ``mass_weighting``, the reference's mean.
+    """
+    cells = in_region(place_scores(ref, com, CELL, basis), regions)
+    area, both = area_column(), F.col("both")
+    mass = area * F.abs("ref_mean") if mass_weighting else area
+    x, y = (F.when(both, F.col(c)) for c in ("ref_mean", "com_mean"))
+    marked = cells.withColumns({"_x": x, "_y": y})
+    wide = marked.groupBy("model", "region").agg(
+        *(_mean_of(c, area, both).alias(c) for c in ("ref_mean", "com_mean", "bias", "rmse", "shift")),
+        *(_mean_of(c, mass, both).alias(c) for c in ("bias_score", "rmse_score", "cycle_score", "iav_score")),
+        _mean_of("ref_mean", area, F.col("com_mean").isNull()).alias("ref_only"), _mean_of("com_mean", area, F.col("ref_mean").isNull()).alias("com_only"),
+        correlation("_x", "_y").alias("_r"), F.try_divide(F.stddev_pop("_y"), F.stddev_pop("_x")).alias("_s"),
+    )
+    return _long(wide.withColumn("sd_score", taylor_score(F.col("_s"), F.col("_r"))), ["model", "region"], skip)
+
+
+def site_state(ref: DataFrame, com: DataFrame, basis: str = "series", skip: tuple[str, ...] = ()) -> DataFrame:
+    """``model``, ``scalar``, ``value``: the scalars of site data, as means over the sites that both have; there is no
+    complement and no spatial distribution."""
+    sites = place_scores(ref, com, ["site"], basis).filter("both")
+    wide = sites.groupBy("model").agg(*(F.avg(c).alias(c) for c in ("ref_mean", "com_mean", "bias", "bias_score", "rmse", "rmse_score", "shift", "cycle_score", "iav_score")))
+    return _long(wide, ["model"], skip)

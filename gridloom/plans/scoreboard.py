@@ -23,22 +23,31 @@ def weighted_mean(rows: DataFrame, keys: list[str], value: str = "score", weight
     return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias(value))
 
 
-def roll_up(leaves: DataFrame, skip_missing: bool = False) -> DataFrame:
-    """Scores of datasets (section, variable, source, weight, score) to variables and sections.
+def roll_up(leaves: DataFrame, skip_missing: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Scores of datasets (section, variable, source, weight, score) to variables, sections and the whole, weighted at each
+    level: by ``weight`` within a variable, ``variable_weight`` within a section, ``section_weight`` in the whole (each 1
+    where there is no such column).
 
-    A dataset without a score counts as zero with its full weight, unless ``skip_missing``. Within a section all
-    variables weigh the same. One row per node: level, section, variable, source, score.
+    A child without a score counts as zero with its full weight, unless ``skip_missing``. ``keys``, such as the model, are
+    kept apart. One row per node: keys, level, section, variable, source, score.
     """
-    rows = leaves.filter("score is not null") if skip_missing else leaves.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    for c in ("variable_weight", "section_weight"):
+        if c not in leaves.columns:
+            leaves = leaves.withColumn(c, F.lit(1.0))
+    keep = lambda df: df.filter("score is not null") if skip_missing else df.withColumn("score", F.coalesce("score", F.lit(0.0)))
     none = F.lit(None).cast("string")
-    variables = weighted_mean(rows, ["section", "variable"])
-    sections = variables.groupBy("section").agg(F.avg("score").alias("score"))
-    parts = [
-        rows.select(F.lit("source").alias("level"), "section", "variable", "source", "score"),
-        variables.select(F.lit("variable").alias("level"), "section", "variable", none.alias("source"), "score"),
-        sections.select(F.lit("section").alias("level"), "section", none.alias("variable"), none.alias("source"), "score"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = keep(leaves)
+    above = [*keys, "section", "section_weight"]
+    variables = keep(weighted_mean(rows, [*above, "variable", "variable_weight"]))
+    sections = keep(weighted_mean(variables, above, weight="variable_weight"))
+    whole = weighted_mean(sections.withColumn("_k", F.lit(0)), [*keys, "_k"], weight="section_weight")
+
+    def level(df: DataFrame, name: str, *names: str) -> DataFrame:
+        own = [F.col(c) if c in names else none.alias(c) for c in ("section", "variable", "source")]
+        return df.select(*keys, F.lit(name).alias("level"), *own, "score")
+
+    out = level(rows, "source", "section", "variable", "source").unionByName(level(variables, "variable", "section", "variable"))
+    return out.unionByName(level(sections, "section", "section")).unionByName(level(whole, "whole"))
 
 
 def z_score(value: Column, keys: list[str]) -> Column:
@@ -48,11 +57,48 @@ def z_score(value: Column, keys: list[str]) -> Column:
     return F.coalesce((value - F.avg(value).over(own)) / F.when(std <= 1e-12, F.lit(1.0)).otherwise(F.greatest(std, F.lit(0.02))), F.lit(MISSING))
 
 
+def six_digits(value: Column) -> Column:
+    """A number in six significant digits without trailing zeros, in text; an exponent below 1e-4 and from 1e6 on; nan for
+    null."""
+    text = F.format_string("%.5e", value)
+    digits = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)e", 1), r"\.?0+$", "")
+    power = F.regexp_extract(text, r"e([+-][0-9]+)$", 1)
+    exponent = power.cast("int")
+    plain = F.format_string("%.10f", text.cast("double"))
+    trimmed = F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", "")
+    return F.when(value.isNull() | F.isnan(value), "nan").when(value == 0, "0").when((exponent < -4) | (exponent >= 6), F.concat(digits, F.lit("e"), power)).otherwise(trimmed)
+
+
 def scalar_table(scalars: DataFrame) -> DataFrame:
     """The eleven columns of the scalar table, numbers in six significant digits, in text."""
-    number = F.when(F.col("data").isNull(), "nan").otherwise(F.format_string("%.6g", F.col("data")))
     names = ("Section", "Variable", "Source", "Model", "ScalarName", "AnalysisType", "Region", "ScalarType", "Units")
-    return scalars.select(*(F.col(n.lower()).alias(n) for n in names), number.alias("Data"), F.col("weight").alias("Weight"))
+    return scalars.select(*(F.col(n.lower()).alias(n) for n in names), six_digits(F.col("data")).alias("Data"), F.col("weight").alias("Weight"))
+
+
+def sorted_regions(regions: DataFrame) -> DataFrame:
+    """``label`` and ``place``: the whole globe first, then by label."""
+    first = F.when(F.col("label") == "global", 0).when(F.col("label") == "globe", 1).otherwise(2)
+    return regions.select("label", F.row_number().over(Window.orderBy(first, "label")).alias("place"))
+
+
+def sorted_models(models: DataFrame, benchmark: str = "Benchmark") -> DataFrame:
+    """``model`` and ``place``: the benchmark first, then by upper-case name."""
+    return models.select("model").distinct().withColumn("place", F.row_number().over(Window.orderBy(F.col("model") != benchmark, F.upper("model"), "model")))
+
+
+def metric_order(names: DataFrame, priority: list[str]) -> DataFrame:
+    """``scalar`` and ``place``: by the sum of 2^i over the i-th words of ``priority`` that a name holds, then by name."""
+    value = sum((F.when(F.col("scalar").contains(word), 1 << i).otherwise(0) for i, word in enumerate(priority)), F.lit(0))
+    return names.select("scalar").distinct().withColumn("place", F.row_number().over(Window.orderBy(value, "scalar")))
+
+
+def result_json(rolled: DataFrame, keys: str = "model") -> DataFrame:
+    """One JSON text per model: its sections' scores, each with its variables', in order of their names."""
+    named = lambda level, *names: rolled.filter(F.col("level") == level).select(keys, *names, F.round("score", 6).alias("score"))
+    variables = named("variable", "section", "variable").groupBy(keys, "section").agg(F.sort_array(F.collect_list(F.struct("variable", "score"))).alias("variables"))
+    sections = named("section", "section").join(variables, [keys, "section"]).groupBy(keys).agg(F.sort_array(F.collect_list(F.struct("section", "score", "variables"))).alias("sections"))
+    whole = named("whole").withColumnRenamed("score", "overall").join(sections, keys)
+    return whole.select(keys, F.to_json(F.struct(F.lit("v1").alias("schema"), F.col(keys), "overall", "sections")).alias("json"))
 
 
 def as_json(rolled: DataFrame) -> DataFrame:

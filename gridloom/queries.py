@@ -199,7 +199,7 @@ def masked_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_COMPOSED}, q AS (SELECT ref AS x, com AS y FROM o), r AS (SELECT {_R} AS r FROM q), s AS (SELECT (SELECT stddev_pop(value) FROM b)/(SELECT stddev_pop(value) FROM a) AS s)
 SELECT round(r, 6) AS r, round(s, 6) AS sigma, round(4*(1+r)/((s+1/s)*(s+1/s)*2), 6) AS score FROM r CROSS JOIN s""")
 def spatial_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, com = (T.integrate(fixture(spark, sf_dir, f), CELL, mean=True).persist() for f in ("fx_ref_grid", "fx_com_grid"))
+    ref, com = (T.integrate(fixture(spark, sf_dir, f), CELL, mean=True) for f in ("fx_ref_grid", "fx_com_grid"))
     a, b = S.compose(ref, com)
     return _rounded(C.taylor(ref, com, C.paired(a, b, CELL), []), "r", "sigma", "score").select("r", "sigma", "score")
 
@@ -244,7 +244,7 @@ def reduce_over_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 lo AS (SELECT site, lon0 FROM (SELECT site, lon0, row_number() OVER (PARTITION BY site ORDER BY abs((lon0+lon1)/2-lon), lon0) AS k FROM fx_sites CROSS JOIN (SELECT DISTINCT lon0, lon1 FROM m) x) q WHERE k = 1)
 SELECT la.site, round(m.value, 6) AS value FROM la JOIN lo ON lo.site = la.site JOIN m ON m.lat0 = la.lat0 AND m.lon0 = lo.lon0""")
 def nearest_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = T.integrate(fixture(spark, sf_dir, "fx_ref_grid"), CELL, mean=True).persist()
+    grid = T.integrate(fixture(spark, sf_dir, "fx_ref_grid"), CELL, mean=True)
     return _rounded(S.at_sites(grid, fixture(spark, sf_dir, "fx_sites")), "value").select("site", "value")
 
 
@@ -273,8 +273,7 @@ def combine_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH e AS (SELECT lat0 AS e FROM fx_ref_grid UNION SELECT lat1 FROM fx_ref_grid UNION SELECT lat0 FROM fx_com_grid UNION SELECT lat1 FROM fx_com_grid) SELECT lo, hi FROM (SELECT e AS lo, lead(e) OVER (ORDER BY e) AS hi FROM e) q WHERE hi IS NOT NULL")
 def union_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lats = [S.axes(fixture(spark, sf_dir, f))[0] for f in ("fx_ref_grid", "fx_com_grid")]
-    return spark.createDataFrame(S.composed_axis(*lats, 90.0), "lo double, hi double")
+    return S.cell_edges([fixture(spark, sf_dir, f) for f in ("fx_ref_grid", "fx_com_grid")], "lat0", "lat1")
 
 
 @query("SELECT l_orderkey, l_linenumber, (l_extendedprice*(1.0::DOUBLE-l_discount)-l_tax*100.0::DOUBLE)/l_quantity AS value FROM lineitem WHERE l_quantity <> 0")
@@ -348,7 +347,20 @@ def relationship_rmse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(C.response_score(a, b), "score")
 
 
-@query()
+_POWERS = ", ".join([f"sum(x**{k}) AS s{k}" for k in range(5)] + [f"sum(y*x**{k}) AS p{k}" for k in range(3)])
+_DET = "({0}*({4}*{8}-{5}*{7})-{1}*({3}*{8}-{5}*{6})+{2}*({3}*{7}-{4}*{6}))"
+_MOMENTS = [["s0", "s1", "s2"], ["s1", "s2", "s3"], ["s2", "s3", "s4"]]
+
+
+def _fit_sql(k: int) -> str:
+    swapped = [[f"p{i}" if j == k else _MOMENTS[i][j] for j in range(3)] for i in range(3)]
+    flat = lambda m: [x for row in m for x in row]
+    return f"{_DET.format(*flat(swapped))}/{_DET.format(*flat(_MOMENTS))} AS c{k}"
+
+
+@query("""WITH a AS (SELECT lat0, lon0, t0, value, (t0+t1)/2 AS t FROM fx_masked_ref), m AS (SELECT lat0, lon0, avg(t) AS m, stddev_pop(t) AS d FROM a GROUP BY lat0, lon0), x AS (SELECT a.lat0, a.lon0, t0, value AS y, (t-m)/d AS x FROM a JOIN m ON m.lat0 = a.lat0 AND m.lon0 = a.lon0),
+s AS (SELECT lat0, lon0, """ + _POWERS + """ FROM x WHERE y IS NOT NULL GROUP BY lat0, lon0), c AS (SELECT lat0, lon0, """ + ", ".join(map(_fit_sql, range(3))) + """ FROM s)
+SELECT x.lat0, x.lon0, t0, round(y-(c0+c1*x+c2*x*x), 6) AS value FROM x LEFT JOIN c ON c.lat0 = x.lat0 AND c.lon0 = x.lon0""")
 def quadratic_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(T.detrend(fixture(spark, sf_dir, "fx_masked_ref"), CELL), "value").select("lat0", "lon0", "t0", "value")
 
@@ -360,23 +372,37 @@ def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(C.ensemble_mean(both[0].unionByName(both[1]), ["t0", "lat0", "lon0"], {"a": 2.0, "b": 1.0}), "value")
 
 
-_ROLLED = "v AS (SELECT section, variable, sum(weight*score)/sum(weight) AS score FROM fx_tree GROUP BY section, variable)"
+_TREE = "SELECT *, CAST(1+length(variable) % 4 AS DOUBLE) AS variable_weight, CAST(1+length(section) % 3 AS DOUBLE) AS section_weight FROM fx_tree"
+_ROLLED = f"""t AS ({_TREE}), v AS (SELECT section, section_weight, variable, variable_weight, sum(weight*score)/sum(weight) AS score FROM t GROUP BY ALL),
+s AS (SELECT section, section_weight, sum(variable_weight*score)/sum(variable_weight) AS score FROM v GROUP BY ALL)"""
+
 
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weight = lambda c, n: (1 + F.length(c) % n).cast("double")
+    return fixture(spark, sf_dir, "fx_tree").withColumns({"variable_weight": weight("variable", 4), "section_weight": weight("section", 3)})
 
-@query(f"WITH {_ROLLED} SELECT 'source' AS level, section, variable, source, round(score, 6) AS score FROM fx_tree UNION ALL SELECT 'variable', section, variable, NULL, round(score, 6) FROM v UNION ALL SELECT 'section', section, NULL, NULL, round(avg(score), 6) FROM v GROUP BY section")
+
+@query(f"""WITH {_ROLLED} SELECT 'source' AS level, section, variable, source, round(score, 6) AS score FROM t UNION ALL SELECT 'variable', section, variable, NULL, round(score, 6) FROM v
+UNION ALL SELECT 'section', section, NULL, NULL, round(score, 6) FROM s UNION ALL SELECT 'whole', NULL, NULL, NULL, round(sum(section_weight*score)/sum(section_weight), 6) FROM s""")
 def score_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scoreboard.roll_up(fixture(spark, sf_dir, "fx_tree")), "score")
+    return _rounded(scoreboard.roll_up(_tree(spark, sf_dir)), "score")
 
 
-@query()
+@query(f"""WITH {_ROLLED}, x AS (SELECT section, to_json(list(struct_pack(variable := variable, score := round(score, 6)) ORDER BY variable)) AS j FROM v GROUP BY section)
+SELECT s.section, '{{"section":"' || s.section || '","score":' || CAST(round(s.score, 6) AS VARCHAR) || ',"variables":' || CAST(x.j AS VARCHAR) || '}}' AS json FROM s JOIN x ON x.section = s.section""")
 def score_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoreboard.as_json(scoreboard.roll_up(fixture(spark, sf_dir, "fx_tree")))
+    return scoreboard.as_json(scoreboard.roll_up(_tree(spark, sf_dir)))
 
 
-@query("SELECT section, variable, source, round((score - avg(score) OVER w)/CASE WHEN stddev_pop(score) OVER w <= 1e-12 THEN 1 ELSE greatest(stddev_pop(score) OVER w, 0.02) END, 6) AS z FROM fx_tree WINDOW w AS (PARTITION BY section, variable)")
+_MODELS = "SELECT section, variable, source, unnest(['a', 'b', 'c']) AS model, score*(1+unnest([0, 0.01, -0.2])) AS score FROM fx_tree"
+
+
+@query(f"WITH m AS ({_MODELS}) SELECT section, variable, source, model, round((score - avg(score) OVER w)/CASE WHEN stddev_pop(score) OVER w <= 1e-12 THEN 1 ELSE greatest(stddev_pop(score) OVER w, 0.02) END, 6) AS z FROM m WINDOW w AS (PARTITION BY section, variable, source)")
 def score_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fixture(spark, sf_dir, "fx_tree").withColumn("z", scoreboard.z_score(F.col("score"), ["section", "variable"]))
-    return _rounded(out, "z").select("section", "variable", "source", "z")
+    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(x).alias("x")) for m, x in (("a", 0.0), ("b", 0.01), ("c", -0.2)))))
+    rows = fixture(spark, sf_dir, "fx_tree").withColumn("_m", models).select("section", "variable", "source", "_m.model", (F.col("score") * (1 + F.col("_m.x"))).alias("score"))
+    out = rows.withColumn("z", scoreboard.z_score(F.col("score"), ["section", "variable", "source"]))
+    return _rounded(out, "z").select("section", "variable", "source", "model", "z")
 
 
 _METRICS = "CASE CAST(substr(source, length(source)) AS INT) % 3 WHEN 0 THEN 'Bias Score' WHEN 1 THEN 'RMSE Score' ELSE 'Own Score' END"
@@ -397,10 +423,10 @@ def nash_kling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(C.efficiency(pairs.join(enough, "site", "left_semi"), ["site"]), "nse", "kge")
 
 
-@query("SELECT user_id AS site, CAST(day(ts) AS INT) AS day, round(max(value)-min(value), 6) AS amplitude FROM events GROUP BY 1, 2")
+@query("SELECT user_id AS site, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(max(value)-min(value), 6) AS amplitude FROM events GROUP BY 1, 2")
 def daily_amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return _rounded(df.groupBy(F.col("user_id").alias("site"), F.day("ts").alias("day")).agg((F.max("value") - F.min("value")).alias("amplitude")), "amplitude")
+    return _rounded(df.groupBy(F.col("user_id").alias("site"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg((F.max("value") - F.min("value")).alias("amplitude")), "amplitude")
 
 
 @query("""WITH s AS (SELECT CAST(event_type AS VARCHAR) AS kind, CAST(floor(hour(ts)/6) AS INT) AS slot, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY 1, 2, 3), w AS (SELECT *, count(value) OVER (PARTITION BY kind, day) AS n FROM s)
@@ -501,11 +527,13 @@ def runoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH a AS (SELECT t0, t1, avg(value)/1000 AS v FROM fx_ref_grid GROUP BY t0, t1), b AS (SELECT t0, t1, avg(value)/1000 AS v FROM fx_same_grid GROUP BY t0, t1), j AS (SELECT a.t0, a.t1, a.v AS x, b.v AS y FROM a JOIN b ON b.t0 = a.t0),
-c AS (SELECT t1 AS t, sum(x*(t1-t0)) OVER (ORDER BY t0) AS x, sum(y*(t1-t0)) OVER (ORDER BY t0) AS y FROM j UNION ALL SELECT min(t0), 0, 0 FROM j), e AS (SELECT arg_max(y-x, t) AS diff, avg(exp(-abs(y-x)/10.8)) AS traj FROM c), r AS (SELECT {_R} AS r, stddev_pop(y)/stddev_pop(x) AS s FROM j)
-SELECT round(diff, 6) AS diff, round(exp(-0.287*abs(diff)/10.8), 6) AS difference_score, round(traj, 6) AS trajectory_score, round(4*(1+r)/((s+1/s)*(s+1/s)*2), 6) AS temporal_score FROM e CROSS JOIN r""")
+c AS (SELECT t1 AS t, sum(x*(t1-t0)) OVER (ORDER BY t0) AS x, sum(y*(t1-t0)) OVER (ORDER BY t0) AS y, sum(0.001*(t1-t0)) OVER (ORDER BY t0) AS u FROM j),
+e AS (SELECT arg_max(x, t) AS x, arg_max(y, t) AS y, avg(exp(-greatest(abs(y-x)-u, 0)/u)) AS traj FROM c), r AS (SELECT {_R} AS r, stddev_pop(y)/stddev_pop(x) AS s FROM j)
+SELECT round(x, 6) AS ref_end, round(y, 6) AS com_end, round(y-x, 6) AS diff, round(exp(-0.287*abs(y-x)/10.8), 6) AS difference_score, round(traj, 6) AS trajectory_score, round(4*(1+r)/((s+1/s)*(s+1/s)*2), 6) AS temporal_score FROM e CROSS JOIN r""")
 def net_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (fixture(spark, sf_dir, f).groupBy("t0", "t1").agg((F.avg("value") / 1000).alias("value")) for f in ("fx_ref_grid", "fx_same_grid"))
-    return _rounded(analyses.net_balance(a, b), "diff", "difference_score", "trajectory_score", "temporal_score")
+    out = analyses.net_balance(a.withColumn("value_lo", F.col("value") - 0.001), b)
+    return _rounded(out, *out.columns)
 
 
 @query(f"""WITH y AS (SELECT lat0, lat1, lon0, lon1, yr, max(value) AS m FROM fx_ref_grid GROUP BY ALL), f AS (SELECT lat0, lat1, lon0, lon1, m < 42 AND lag(m) OVER w < 42 AND lag(yr) OVER w = yr-1 AS f FROM y WINDOW w AS (PARTITION BY lat0, lon0 ORDER BY yr)), m AS (SELECT DISTINCT lat0, lat1, lon0, lon1 FROM f WHERE f),
@@ -544,7 +572,8 @@ def content_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(analyses.content_change(fixture(spark, sf_dir, "fx_masked_ref"), CELL), "value")
 
 
-@query()
+@query(f"""WITH x AS (SELECT l_discount*500-10 AS x, log10(l_extendedprice/l_quantity) AS y FROM lineitem), s AS (SELECT {_POWERS} FROM x), c AS (SELECT {', '.join(map(_fit_sql, range(3)))} FROM s)
+SELECT round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2, round(10**(-10*(c1-20*c2)), 6) AS q10_cold, round(10**(-10*(c1+20*c2)), 6) AS q10_mild, round(10**(-10*(c1+50*c2)), 6) AS q10_warm FROM c""")
 def turnover_q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     rows = df.select(F.col("l_extendedprice").alias("soilc"), F.col("l_quantity").alias("npp"), (F.col("l_discount") * 500 - 10).alias("tas"), F.lit(0.0).alias("pr"), F.lit(0.0).alias("pet"), F.lit(0.0).alias("fracpeat"))
@@ -552,17 +581,18 @@ def turnover_q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, *out.columns)
 
 
-@query("""WITH s AS (SELECT site, -60 + (site*7) % 120 AS lat, max(value)-min(value) AS amplitude, CAST(arg_max(d, value) AS DOUBLE) AS p FROM fx_site_daily GROUP BY site), b AS (SELECT *, CASE WHEN lat > -90 AND lat <= -23 THEN 0 WHEN lat > -23 AND lat <= 23 THEN 1 WHEN lat > 23 AND lat <= 90 THEN 2 END AS band FROM s)
-SELECT CAST(band AS INT) AS band, round(avg(amplitude), 6) AS amplitude, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY band""")
+@query("""WITH s AS (SELECT site, -60 + (site*7) % 120 AS lat, max(value)-min(value) AS amplitude, CAST(min(d) FILTER (WHERE value = m) AS DOUBLE) AS p FROM (SELECT *, max(value) OVER (PARTITION BY site) AS m FROM fx_site_daily) q GROUP BY site), b AS (SELECT *, CASE WHEN lat > -90 AND lat <= -23 THEN 0 WHEN lat > -23 AND lat <= 23 THEN 1 WHEN lat > 23 AND lat <= 90 THEN 2 END AS band FROM s)
+SELECT CAST(band AS INT) AS band, round(avg(amplitude), 6) AS amplitude, round((atan2(avg(sin(p*2*""" + PI + """/365)), avg(cos(p*2*""" + PI + """/365)))*365/(2*""" + PI + """) + 365) % 365, 4) AS peak_day, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY band""")
 def latitude_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = fixture(spark, sf_dir, "fx_site_daily")
-    sites = daily.groupBy("site").agg((F.max("value") - F.min("value")).alias("amplitude"), F.max_by(F.col("d").cast("double"), "value").alias("peak_day"))
+    sites = daily.groupBy("site").agg((F.max("value") - F.min("value")).alias("amplitude"), F.min_by(F.col("d").cast("double"), F.struct(-F.col("value"), "d")).alias("peak_day"))
     sites = sites.withColumn("lat", (F.lit(-60) + (F.col("site") * 7) % 120).cast("double"))
-    return _rounded(analyses.band_summary(sites, [(-90.0, -23.0), (-23.0, 23.0), (23.0, 90.0)]), "amplitude").select("band", "amplitude", "n")
+    return _rounded(analyses.band_summary(sites, [(-90.0, -23.0), (-23.0, 23.0), (23.0, 90.0)]), "amplitude").withColumn("peak_day", F.round("peak_day", 4)).select("band", "amplitude", "peak_day", "n")
 
 
-@query("""WITH r AS (SELECT lat0, lon0, avg(value) AS m, avg(value-1) AS lo, avg(value+1) AS hi, stddev_pop(value) AS s FROM fx_ref_grid GROUP BY 1, 2), c AS (SELECT lat0, lon0, avg(value) AS c FROM fx_same_grid GROUP BY 1, 2)
-SELECT r.lat0, r.lon0, round(c-m, 6) AS bias, round(exp(-abs(greatest(lo-c, c-hi, 0)/s)), 6) AS score FROM r JOIN c ON c.lat0 = r.lat0 AND c.lon0 = r.lon0""")
+@query("""WITH p AS (SELECT r.lat0, r.lon0, r.t1-r.t0 AS w, r.value AS x, c.value AS y FROM fx_ref_grid r JOIN fx_same_grid c ON c.t0 = r.t0 AND c.lat0 = r.lat0 AND c.lon0 = r.lon0),
+m AS (SELECT lat0, lon0, sum(x*w)/sum(w) AS x, sum(y*w)/sum(w) AS y FROM p GROUP BY 1, 2), s AS (SELECT p.lat0, p.lon0, sqrt(sum((p.x-m.x)*(p.x-m.x)*w)/sum(w)) AS s FROM p JOIN m ON m.lat0 = p.lat0 AND m.lon0 = p.lon0 GROUP BY 1, 2)
+SELECT p.lat0, p.lon0, round(any_value(m.y-m.x), 6) AS bias, round(sum(w*exp(-(greatest(p.y-p.x-1, 0)+greatest(p.x-1-p.y, 0))/s))/sum(w), 6) AS score FROM p JOIN m ON m.lat0 = p.lat0 AND m.lon0 = p.lon0 JOIN s ON s.lat0 = p.lat0 AND s.lon0 = p.lon0 GROUP BY 1, 2""")
 def uncertain_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = fixture(spark, sf_dir, "fx_ref_grid").withColumns({"value_lo": F.col("value") - 1, "value_hi": F.col("value") + 1})
     return _rounded(analyses.uncertain_bias(ref, fixture(spark, sf_dir, "fx_same_grid"), ["lat0", "lon0"]), "bias", "score")
@@ -635,7 +665,8 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH r AS ({_REGION_ROWS}) SELECT region, round(min(value), 6) AS low, round(max(value), 6) AS high, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.99), 6) AS p99 FROM r WHERE value IS NOT NULL GROUP BY region""")
 def value_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.in_region(fixture(spark, sf_dir, "fx_masked_ref"), fixture(spark, sf_dir, "fx_regions")).filter("value is not null")
-    out = rows.groupBy("region").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.percentile("value", F.lit(0.01)).alias("p01"), F.percentile("value", F.lit(0.99)).alias("p99"))
+    ends = C.exact_quantiles(rows, ["region"], F.col("value"), [0.0, 0.01, 0.99, 1.0])
+    out = ends.groupBy("region").agg(*(F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(c) for c, q in (("low", 0.0), ("p01", 0.01), ("p99", 0.99), ("high", 1.0))))
     return _rounded(out, "low", "high", "p01", "p99")
 
 
@@ -646,9 +677,12 @@ def season_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "x", "y")
 
 
-@query()
+@query("""SELECT section AS "Section", variable AS "Variable", source AS "Source", 'one' AS "Model", 'Bias Score' AS "ScalarName", 'MeanState' AS "AnalysisType", 'globe' AS "Region", 'score' AS "ScalarType", '1' AS "Units", printf('%g', score) AS "Data", weight AS "Weight" FROM fx_tree""")
 def scalar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture(spark, sf_dir, "fx_tree").select(
         "section", "variable", "source", F.lit("one").alias("model"), F.lit("Bias Score").alias("scalarname"), F.lit("MeanState").alias("analysistype"),
         F.lit("globe").alias("region"), F.lit("score").alias("scalartype"), F.lit("1").alias("units"), F.col("score").alias("data"), "weight")
     return scoreboard.scalar_table(rows)
+
+
+from . import program_queries  # noqa: E402, F401  (registers the programs)
