@@ -178,11 +178,16 @@ def quantile_errors(errors: DataFrame, keys: list[str], quantiles: list[int]) ->
     return out.withColumn("quantile", F.round(F.col("quantile") * 100).cast("int"))
 
 
-def ensemble_mean(models: DataFrame, on: list[str], weights: dict[str, float]) -> DataFrame:
+def ensemble_mean(models: DataFrame, on: list[str], weights: dict[str, float] | DataFrame) -> DataFrame:
     """Weighted sum over models divided by the weight of all models; masked where none has a value.
 
-    ``models`` has a column ``model``: any number of models is one aggregate.
+    ``models`` has a column ``model``: any number of models is one aggregate. ``weights`` is a dictionary or a DataFrame
+    (model, weight), of any size.
     """
+    if isinstance(weights, DataFrame):
+        whole = weights.agg(F.sum("weight").alias("w")).first()["w"]
+        rows = models.join(weights, "model", "left")
+        return rows.groupBy(*on).agg(F.when(F.count("value") > 0, F.sum(F.coalesce("value", F.lit(0.0)) * F.coalesce("weight", F.lit(0.0))) / F.lit(whole)).alias("value"))
     w = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("model")), F.lit(0.0))
     total = float(sum(weights.values()))
     return models.groupBy(*on).agg(F.when(F.count("value") > 0, F.sum(F.coalesce("value", F.lit(0.0)) * w) / total).alias("value"))

@@ -58,17 +58,50 @@ def paint(values: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.join(values, "basin").groupBy("lat0", "lon0").agg(F.sum("value").alias("value"))
 
 
-def bilinear(grid: DataFrame, points: DataFrame, step: float) -> DataFrame:
-    """Values at points (site, lat, lon) between the four centres of a regular grid; centres without a value are left
-    out and the weights of the others scaled up."""
-    i0, j0 = (F.floor((F.col(c) - step / 2) / step) for c in ("lat", "lon"))
-    fi, fj = (F.col("lat") - step / 2) / step - i0, (F.col("lon") - step / 2) / step - j0
-    corners = F.array(*(F.struct((i0 + a).alias("i"), (j0 + b).alias("j"), ((fi if a else 1 - fi) * (fj if b else 1 - fj)).alias("w")) for a in (0, 1) for b in (0, 1)))
+def bilinear(grid: DataFrame, points: DataFrame, step: float, origin: tuple[float, float] = (-90.0, -180.0)) -> DataFrame:
+    """Values at points (site, lat, lon) between the four centres of a regular grid whose lowest edges are ``origin``;
+    centres without a value are left out and the weights of the others scaled up. Longitudes go round."""
+    round_ = round(360 / step)
+    y, x = (F.col("lat") - origin[0]) / step - 0.5, (F.col("lon") - origin[1]) / step - 0.5
+    i0, j0 = F.floor(y), F.floor(x)
+    fi, fj = y - i0, x - j0
+    corners = F.array(*(F.struct((i0 + a).alias("i"), F.pmod(j0 + b, F.lit(round_)).alias("j"), ((fi if a else 1 - fi) * (fj if b else 1 - fj)).alias("w")) for a in (0, 1) for b in (0, 1)))
     asked = points.withColumn("_c", F.explode(corners)).select("site", "_c.i", "_c.j", "_c.w")
-    centres = grid.select(F.floor((F.col("lat0") + F.col("lat1")) / 2 / step).alias("i"), F.floor((F.col("lon0") + F.col("lon1")) / 2 / step).alias("j"), "value").filter("value is not null")
+    place = lambda lower, upper, start: F.floor(((F.col(lower) + F.col(upper)) / 2 - start) / step)
+    centres = grid.select(place("lat0", "lat1", origin[0]).alias("i"), F.pmod(place("lon0", "lon1", origin[1]), F.lit(round_)).alias("j"), "value").filter("value is not null")
     return asked.join(centres, ["i", "j"]).groupBy("site").agg(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w")).alias("value"))
 
 
+def filled_from_neighbours(grid: DataFrame, step: float, origin: tuple[float, float] = (-90.0, -180.0)) -> DataFrame:
+    """Masked cells of a regular grid with the mean of those of their eight neighbours that have a value; longitudes go round."""
+    round_ = round(360 / step)
+    place = lambda lower, upper, start: F.floor(((F.col(lower) + F.col(upper)) / 2 - start) / step)
+    cells = grid.withColumns({"_i": place("lat0", "lat1", origin[0]), "_j": F.pmod(place("lon0", "lon1", origin[1]), F.lit(round_))})
+    around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
+    given = cells.filter("value is not null").withColumn("_n", F.explode(around)).select((F.col("_i") + F.col("_n.a")).alias("_i"), F.pmod(F.col("_j") + F.col("_n.b"), F.lit(round_)).alias("_j"), F.col("value").alias("_v"))
+    means = given.groupBy("_i", "_j").agg(F.avg("_v").alias("_mean"))
+    return cells.join(means, ["_i", "_j"], "left").withColumn("value", F.coalesce("value", "_mean")).drop("_i", "_j", "_mean")
+
+
+def regridded_points(points: DataFrame, cells: DataFrame, most: float = 2.0) -> DataFrame:
+    """``cells`` (lat0, ...) with the value of the point (lat, lon, value) nearest to their centre, masked where it is
+    ``most`` degrees away: for fields on two-dimensional coordinates."""
+    centres = cells.select(*CELL, ((F.col("lat0") + F.col("lat1")) / 2).alias("lat"), ((F.col("lon0") + F.col("lon1")) / 2).alias("lon"))
+    asked = centres.withColumn("site", F.struct(*CELL))
+    given = points.filter("value is not null").select(F.struct("lat", "lon", "value").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    near = sites_within(asked, given, most).select("site", F.col("other.value").alias("value"))
+    return asked.join(near, "site", "left").select(*CELL, "value")
+
+
+def first_available(df: DataFrame, names: list[str], keys: list[str], years: float = 0.0) -> DataFrame:
+    """By ``keys`` the rows of the first of the variables ``names`` that has any value there, ``years`` added to its times."""
+    order = F.coalesce(*(F.when(F.col("variable") == n, F.lit(i)) for i, n in enumerate(names)))
+    rows = df.withColumn("_order", order).filter("_order is not null")
+    best = rows.filter("value is not null").groupBy(*keys).agg(F.min("_order").alias("_order"))
+    moved = {c: F.col(c) + 365.0 * years for c in ("t0", "t1") if c in df.columns} if years else {}
+    return rows.join(best, [*keys, "_order"]).drop("_order").withColumns(moved)
+
+
 def sign_changes(df: DataFrame, keys: list[str]) -> DataFrame:
     """Times at which a series goes through zero, by linear interpolation, and whether it rises there."""
     along = Window.partitionBy(*keys).orderBy("t")
@@ -76,3 +109,27 @@ def sign_changes(df: DataFrame, keys: list[str]) -> DataFrame:
     crossing = rows.filter((F.col("_v") * F.col("value") < 0) | ((F.col("value") == 0) & (F.col("_v") != 0)))
     at = F.col("_t") + (F.col("t") - F.col("_t")) * F.col("_v") / (F.col("_v") - F.col("value"))
     return crossing.select(*keys, at.alias("t"), (F.col("_v") < 0).alias("rising"))
+
+
+def monthly_means(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, sample deviation and number of the values of each calendar month (``t`` in days, no leap days)."""
+    from .time import nearest_month
+
+    rows = df.filter("value is not null").withColumns({"year": F.floor(F.col("t") / 365.0 + 1850).cast("int"), "month": nearest_month(F.col("t"))})
+    return rows.groupBy(*keys, "year", "month").agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+def annual_means(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, sample deviation and number of the values of each year."""
+    rows = df.filter("value is not null").withColumn("year", F.floor(F.col("t") / 365.0 + 1850).cast("int"))
+    return rows.groupBy(*keys, "year").agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+def annual_amplitudes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Greatest less least value of each year with their times, the first of equals; the last year, which may go on, is
+    left out."""
+    v, t = F.col("value"), F.col("t")
+    rows = df.filter("value is not null").withColumn("year", F.floor(t / 365.0 + 1850).cast("int"))
+    last = F.max("year").over(Window.partitionBy(*keys))
+    whole = rows.withColumn("_last", last).filter(F.col("year") < F.col("_last"))
+    return whole.groupBy(*keys, "year").agg((F.max(v) - F.min(v)).alias("amplitude"), F.min_by(t, F.struct(-v, t)).alias("t_max"), F.min_by(t, F.struct(v, t)).alias("t_min"))

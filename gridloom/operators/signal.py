@@ -108,3 +108,18 @@ def site_seasons(df: DataFrame) -> DataFrame:
         return pd.DataFrame({"site": [pdf["site"].iloc[0]], "begin": [begin], "end": [end]})
 
     return df.select("site", "t", "value").groupBy("site").applyInPandas(one, "site long, begin double, end double")
+
+
+def cycle_extremes(df: DataFrame, period: float = 365.0, steps: int = 730) -> DataFrame:
+    """site, amplitude, t_max, t_min of the periodic cubic spline through a site's mean cycle (``t`` in the period, ``value``),
+    looked for at ``steps`` places of it; the first of equals. A site of under three values gives no row."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["value"]).groupby("t", as_index=False)["value"].mean().assign(site=pdf["site"].iloc[0])
+        if len(pdf) < 3:
+            return pd.DataFrame({"site": [], "amplitude": [], "t_max": [], "t_min": []})
+        at = np.arange(steps) * (period / steps)
+        v = periodic_spline(pdf["t"].to_numpy(), pdf["value"].to_numpy(), period, at)
+        return pd.DataFrame({"site": [pdf["site"].iloc[0]], "amplitude": [v.max() - v.min()], "t_max": [at[v.argmax()]], "t_min": [at[v.argmin()]]})
+
+    return df.select("site", "t", "value").groupBy("site").applyInPandas(one, "site long, amplitude double, t_max double, t_min double")

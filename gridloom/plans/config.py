@@ -11,6 +11,7 @@ Values are strings, quotes come off, ``#`` begins a comment, ``#! key = value``
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -106,3 +107,35 @@ def leaves(spark: SparkSession, root: Node) -> DataFrame:
     """One row per dataset: section, variable, source, weight within its variable, weight overall."""
     rows = [(h1.name, h2.name, leaf.name, leaf.normal, h2.normal, h1.normal, leaf.overall) for h1 in root.children for h2 in h1.children for leaf in h2.children]
     return spark.createDataFrame(rows, "section string, variable string, source string, weight double, variable_weight double, section_weight double, overall_weight double")
+
+
+def parse_models(text: str) -> list[tuple[str, str, float]]:
+    """Name, path and shift in years of models: lines ``name, path[, shift]``; ``#`` begins a comment."""
+    out = []
+    for number, raw in enumerate(text.splitlines(), 1):
+        parts = [p.strip() for p in raw.partition("#")[0].split(",")]
+        if parts == [""]:
+            continue
+        if len(parts) not in (2, 3) or not all(parts):
+            raise ValueError(f"line {number}: {raw!r}")
+        out.append((parts[0], parts[1], float(parts[2]) if len(parts) == 3 else 0.0))
+    return out
+
+
+def to_json(root: Node) -> str:
+    """The tree as JSON text, from which ``from_json`` makes it again."""
+
+    def plain(node: Node) -> dict:
+        return {"name": node.name, "values": {k: v for k, v in node.values.items() if k != "_leaf"}, "children": [plain(c) for c in node.children]}
+
+    return json.dumps(plain(root), indent=1)
+
+
+def from_json(text: str) -> Node:
+    def lines(node: dict, depth: int):
+        for child in node["children"]:
+            yield f"[h{depth}: {child['name']}]" if depth < 3 else f"[{child['name']}]"
+            yield from (f'{k} = "{v}"' for k, v in child["values"].items())
+            yield from lines(child, depth + 1)
+
+    return parse("\n".join(lines(json.loads(text), 1)))

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import fixture
+from .functions.scores import pressure_to_height, shifted_longitude
 from .operators import CELL
 from .operators import compare as C
+from .operators import lookup as L
 from .operators import regions as R
+from .operators import signal as G
 from .operators import space as S
 from .operators import time as T
 from .plans import alignment, analyses, config, mean_state, run, scoreboard
@@ -338,3 +341,117 @@ def sorted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_name AS model, CAST(row_number() OVER (ORDER BY n_name <> 'JAPAN', upper(n_name), n_name) AS INT) AS place FROM nation")
 def sorted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoreboard.sorted_models(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("model")), "JAPAN")
+
+
+@query("""SELECT n_name AS scalar, CAST(row_number() OVER (ORDER BY CASE WHEN contains(n_name, 'I') THEN 1 ELSE 0 END + CASE WHEN contains(n_name, 'UN') THEN 2 ELSE 0 END, n_name) AS INT) AS place FROM nation""")
+def metric_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoreboard.metric_order(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("scalar")), ["I", "UN"])
+
+
+_ROLLED3 = """t AS (SELECT *, unnest(['a', 'b']) AS model, score*unnest([1.0, 0.5]) AS s FROM fx_tree), v AS (SELECT model, section, variable, sum(weight*s)/sum(weight) AS s FROM t GROUP BY ALL), c AS (SELECT model, section, avg(s) AS s FROM v GROUP BY ALL)"""
+
+
+@query(f"""WITH {_ROLLED3}, x AS (SELECT model, section, list(struct_pack(variable := variable, score := round(s, 6)) ORDER BY variable) AS l FROM v GROUP BY ALL), y AS (SELECT x.model, list(struct_pack(section := x.section, score := round(c.s, 6), variables := l) ORDER BY x.section) AS l, round(avg(c.s), 6) AS o FROM x JOIN c ON c.model = x.model AND c.section = x.section GROUP BY x.model)
+SELECT model, CAST(to_json(struct_pack(schema := 'v1', model := model, overall := o, sections := l)) AS VARCHAR) AS json FROM y""")
+def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(x).alias("x")) for m, x in (("a", 1.0), ("b", 0.5)))))
+    rows = fixture(spark, sf_dir, "fx_tree").withColumn("_m", models).select("section", "variable", "source", "weight", "_m.model", (F.col("score") * F.col("_m.x")).alias("score"))
+    return scoreboard.result_json(scoreboard.roll_up(rows, keys=("model",)))
+
+
+@query("""WITH w(dataset, variable) AS (VALUES ('Land/First/Grid', 'masked'), ('Land/First/Again', 'masked'), ('Land/Second/Grid', 'plain'), ('Sea/Third/Nothing', 'none')), c AS (SELECT DISTINCT r_name AS model, CASE WHEN r_regionkey % 2 = 0 THEN 'masked' ELSE 'plain' END AS variable FROM region)
+SELECT model, dataset FROM (SELECT DISTINCT model FROM c) m CROSS JOIN w WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.model = m.model AND c.variable = w.variable)""")
+def missing_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("model"), F.when(F.col("r_regionkey") % 2 == 0, "masked").otherwise("plain").alias("variable"))
+    return run.missing(spark, config.parse(CONFIG), catalog)
+
+
+# points, times and curves
+
+
+@query("""WITH c AS (SELECT -90+10.0*i AS lat0, -180+10.0*j AS lon0 FROM range(18) a(i) CROSS JOIN range(36) b(j)), p AS (SELECT lat0, lon0, site, sqrt((lat0+5-lat)**2+(lon0+5-lon)**2) AS d, lat, lon FROM c CROSS JOIN fx_sites),
+k AS (SELECT *, row_number() OVER (PARTITION BY lat0, lon0 ORDER BY d, lat, lon, site) AS k FROM p WHERE d < 8) SELECT CAST(c.lat0 AS DOUBLE) AS lat0, CAST(c.lon0 AS DOUBLE) AS lon0, CAST(k.site AS DOUBLE) AS value FROM c LEFT JOIN k ON k.lat0 = c.lat0 AND k.lon0 = c.lon0 AND k = 1""")
+def regridded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fixture(spark, sf_dir, "fx_sites").select("lat", "lon", F.col("site").cast("double").alias("value"))
+    return L.regridded_points(points, S.regular_grid(spark, 10.0), 8.0).select("lat0", "lon0", "value")
+
+
+@query("""WITH m AS (SELECT lat0, lon0, CASE WHEN avg(value) < 25.6 THEN avg(value) END AS v FROM fx_ref_grid GROUP BY 1, 2), n AS (SELECT a.lat0, a.lon0, avg(b.v) AS v FROM m a JOIN m b ON abs(a.lat0-b.lat0) <= 30 AND (abs(a.lon0-b.lon0) <= 30 OR abs(a.lon0-b.lon0) = 330) AND NOT (a.lat0 = b.lat0 AND a.lon0 = b.lon0) GROUP BY 1, 2)
+SELECT m.lat0, m.lon0, round(coalesce(m.v, n.v), 6) AS value FROM m LEFT JOIN n ON n.lat0 = m.lat0 AND n.lon0 = m.lon0""")
+def filled_from_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = fixture(spark, sf_dir, "fx_ref_grid").groupBy(*CELL).agg(F.avg("value").alias("value")).withColumn("value", F.when(F.col("value") < 25.6, F.col("value")))
+    return _cells(L.filled_from_neighbours(grid, 30.0), "value")
+
+
+@query("""WITH e AS (SELECT user_id AS site, event_type AS variable, value, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 END AS o FROM events), f AS (SELECT *, CASE WHEN site % 3 = 0 AND o = 0 THEN NULL ELSE value END AS v FROM e WHERE o IS NOT NULL), b AS (SELECT site, min(o) AS o FROM f WHERE v IS NOT NULL GROUP BY site)
+SELECT f.site, f.variable, CAST(count(*) AS BIGINT) AS n, round(sum(v), 4) AS total FROM f JOIN b ON b.site = f.site AND b.o = f.o GROUP BY 1, 2""")
+def first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("site"), F.col("event_type").alias("variable"), "value")
+    rows = df.withColumn("value", F.when(~((F.col("site") % 3 == 0) & (F.col("variable") == "view")), F.col("value")))
+    out = L.first_available(rows, ["view", "click", "purchase"], ["site"])
+    return out.groupBy("site", "variable").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"""WITH s AS (SELECT CAST(l_suppkey % 7 AS INT) AS site, (year(l_shipdate)-1850)*365.0::DOUBLE + CAST(month(l_shipdate)-1 AS DOUBLE)*365/12 + 15 AS t, l_quantity AS value FROM lineitem)
+SELECT site, CAST(floor(t/365+1850) AS INT) AS year, CAST(floor((t % 365)/(365.0::DOUBLE/12)) AS INT) AS month, round(avg(value), 6) AS value, round(stddev_samp(value), 6) AS std, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1, 2, 3""")
+def monthly_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(L.monthly_means(_dated(spark, sf_dir), ["site"]), "value", "std")
+
+
+@query(f"""WITH s AS (SELECT CAST(l_suppkey % 7 AS INT) AS site, CAST(year(l_shipdate) AS INT) AS year, l_quantity AS value FROM lineitem) SELECT site, year, round(avg(value), 6) AS value, round(stddev_samp(value), 6) AS std, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1, 2""")
+def annual_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(L.annual_means(_dated(spark, sf_dir), ["site"]), "value", "std")
+
+
+@query("""WITH s AS (SELECT CAST(l_suppkey % 7 AS INT) AS site, CAST(year(l_shipdate) AS INT) AS year, (year(l_shipdate)-1850)*365.0::DOUBLE + CAST(month(l_shipdate)-1 AS DOUBLE)*365/12 + 15 AS t, l_extendedprice AS value FROM lineitem), m AS (SELECT *, max(value) OVER w AS hi, min(value) OVER w AS lo, max(year) OVER (PARTITION BY site) AS last FROM s WINDOW w AS (PARTITION BY site, year))
+SELECT site, year, round(max(hi-lo), 6) AS amplitude, round(min(t) FILTER (WHERE value = hi), 6) AS t_max, round(min(t) FILTER (WHERE value = lo), 6) AS t_min FROM m WHERE year < last GROUP BY site, year""")
+def annual_amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(L.annual_amplitudes(_dated(spark, sf_dir, "l_extendedprice"), ["site"]), "amplitude", "t_max", "t_min")
+
+
+def _dated(spark: SparkSession, sf_dir: str, value: str = "l_quantity") -> DataFrame:
+    day = (F.year("l_shipdate") - 1850) * 365.0 + (F.month("l_shipdate") - 1).cast("double") * 365 / 12 + 15
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 7).cast("int").alias("site"), day.alias("t"), F.col(value).alias("value"))
+
+
+@query("SELECT p_partkey, round(-ln(p_retailprice*60/101325)*(8.3144598*288.15/0.0289644/9.80665), 4) AS height, (p_partkey*7+180) % 360 - 180 AS lon FROM part")
+def heights_and_longitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return df.select("p_partkey", F.round(pressure_to_height(F.col("p_retailprice") * 60), 4).alias("height"), shifted_longitude((F.col("p_partkey") * 7).cast("double")).cast("long").alias("lon"))
+
+
+@query("SELECT lat0, lon0, t0, t1, round(value*(t1-t0), 6) AS value FROM fx_ref_grid")
+def accumulated_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analyses.accumulated_total(fixture(spark, sf_dir, "fx_ref_grid"), ["lat0", "lon0"]), "value")
+
+
+@query("""WITH u AS (SELECT n_name AS model, unnest([53000.0, 53100.0]) + n_nationkey AS t0 FROM nation) SELECT model FROM u GROUP BY model HAVING min(t0) > 53000+10""")
+def late_starters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = F.explode(F.array(F.lit(53000.0), F.lit(53100.0)))
+    runs = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("model"), "n_nationkey", starts.alias("t")).withColumn("t0", F.col("t") + F.col("n_nationkey"))
+    return analyses.late_starters(runs, 53000.0)
+
+
+@query("""WITH s AS (SELECT n_name AS model, CAST(n_nationkey AS DOUBLE) AS weight FROM nation), v AS (SELECT n_name AS model, CAST(r.r_regionkey AS BIGINT) AS cell, CASE WHEN (n_nationkey+r.r_regionkey) % 4 > 0 THEN n_nationkey*2.0+r.r_regionkey END AS value FROM nation CROSS JOIN region r)
+SELECT cell, round(sum(coalesce(value, 0)*weight)/(SELECT sum(weight) FROM s), 6) AS value FROM v JOIN s ON s.model = v.model GROUP BY cell""")
+def ensemble_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    cells = nation.select(F.col("n_name").alias("model"), "n_nationkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("cell"))
+    values = cells.withColumn("value", F.when((F.col("n_nationkey") + F.col("cell")) % 4 > 0, F.col("n_nationkey") * 2.0 + F.col("cell")))
+    return _rounded(C.ensemble_mean(values, ["cell"], nation.select(F.col("n_name").alias("model"), F.col("n_nationkey").cast("double").alias("weight"))), "value")
+
+
+@query()
+def site_cycle_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic spline of each site's days of a month; no SQL: a linear system by site (tested against numpy)."""
+    return G.cycle_extremes(fixture(spark, sf_dir, "fx_site_daily").select("site", F.col("d").cast("double").alias("t"), "value"), period=31.0, steps=310)
+
+
+_BY_TYPE = "SELECT CAST(ts AS DATE) AS day, avg(value) AS v FROM events WHERE event_type = '{}' GROUP BY 1"
+
+
+@query(f"WITH a AS ({_BY_TYPE.format('view')}), b AS ({_BY_TYPE.format('click')}), p AS (SELECT a.v AS x, b.v AS y FROM a JOIN b ON b.day = a.day) SELECT round(least(greatest(1-sum((y-x)**2)/(var_pop(x)*count(*)), 0), 1), 6) AS nse FROM p")
+def paired_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    daily = [df.filter(F.col("event_type") == k).groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("value")) for k in ("view", "click")]
+    return _rounded(C.efficiency(C.paired(*daily, ["day"]).withColumn("k", F.lit(0)), ["k"]), "nse").select("nse")

@@ -638,8 +638,8 @@ def paint_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(L.paint(df.join(basins, ["lat0", "lon0"]).groupBy("basin").agg(F.avg("value").alias("value")), basins), "value")
 
 
-@query("""WITH m AS (SELECT lat0, lon0, avg(value) AS v FROM fx_ref_grid GROUP BY 1, 2), c AS (SELECT CAST(floor((lat0+15)/30) AS INT) AS i, CAST(floor((lon0+15)/30) AS INT) AS j, v FROM m),
-p AS (SELECT site, (lat-15)/30 AS y, (lon-15)/30 AS x FROM fx_sites), q AS (SELECT site, CAST(floor(y) AS INT) + a AS i, CAST(floor(x) AS INT) + b AS j, CASE a WHEN 1 THEN y-floor(y) ELSE 1-(y-floor(y)) END * CASE b WHEN 1 THEN x-floor(x) ELSE 1-(x-floor(x)) END AS w FROM p, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b))
+@query("""WITH m AS (SELECT lat0, lon0, avg(value) AS v FROM fx_ref_grid GROUP BY 1, 2), c AS (SELECT CAST(floor((lat0+15)/30) AS INT) AS i, (CAST(floor((lon0+15)/30) AS INT)+120) % 12 AS j, v FROM m),
+p AS (SELECT site, (lat-15)/30 AS y, (lon-15)/30 AS x FROM fx_sites), q AS (SELECT site, CAST(floor(y) AS INT) + a AS i, (CAST(floor(x) AS INT) + b + 120) % 12 AS j, CASE a WHEN 1 THEN y-floor(y) ELSE 1-(y-floor(y)) END * CASE b WHEN 1 THEN x-floor(x) ELSE 1-(x-floor(x)) END AS w FROM p, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b))
 SELECT site, round(sum(v*w)/nullif(sum(w), 0), 6) AS value FROM q JOIN c ON c.i = q.i AND c.j = q.j GROUP BY site""")
 def bilinear_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = fixture(spark, sf_dir, "fx_ref_grid").groupBy(*CELL).agg(F.avg("value").alias("value"))

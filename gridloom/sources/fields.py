@@ -56,8 +56,11 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Entries (sha1, file) of a manifest that are missing or differ: file and what is wrong."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), F.sha1("content").alias("_own"))
+    """Entries (sha1, file) of a manifest that are missing or differ: file and what is wrong. Files are named by their path
+    below ``folder``, so equal names in two folders are two files."""
+    root = folder.rstrip("/").removeprefix("file:") + "/"
+    below = F.expr(f"substring(path, instr(path, '{root}') + {len(root)})")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(below.alias("file"), F.sha1("content").alias("_own"))
     return manifest.join(found, "file", "left").filter("_own is null or _own <> sha1").select("file", F.when(F.col("_own").isNull(), "missing").otherwise("differs").alias("state"))
 
 
@@ -65,3 +68,13 @@ def latest_complete(results: DataFrame, keys: list[str]) -> DataFrame:
     """The last complete result of each key, for runs that go on where one stopped."""
     last = Window.partitionBy(*keys).orderBy(F.desc("run"))
     return results.filter("complete").withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
+
+
+def with_statistics(df: DataFrame, keys: list[str]) -> DataFrame:
+    """By ``keys``: least and greatest value, the 1st and 99th percentile, and the number of values, for a table that is
+    written next to its field."""
+    from ..operators.compare import exact_quantiles
+
+    q = exact_quantiles(df, keys, F.col("value"), [0.0, 0.01, 0.99, 1.0])
+    ends = q.groupBy(*keys).agg(*(F.max(F.when(F.col("quantile") == x, F.col("value"))).alias(n) for n, x in (("min", 0.0), ("dn99", 0.01), ("up99", 0.99), ("max", 1.0))))
+    return ends.join(df.groupBy(*keys).agg(F.count("value").alias("n")), keys)

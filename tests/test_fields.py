@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import expressions, scores, units
-from gridloom.operators import CELL, compare, signal, space, time
-from gridloom.plans import config, scoreboard
+from gridloom.operators import CELL, compare, lookup, signal, space, time
+from gridloom.plans import alignment, analyses, config, run, scoreboard
 from gridloom.sources import fields
 from gridloom.streaming import windows
 
@@ -198,3 +198,155 @@ def test_streaming_equals_batch(spark, sf_dir, tmp_path):
     assert spark.table("means").count() == batch.count()
     assert spark.table("means").agg(F.sum("value")).first()[0] == pytest.approx(batch.agg(F.sum("v")).first()[0])
     assert windows.active_seasons(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def grid(spark, rows):
+    """Rows of t0, t1, lat0, lat1, lon0, lon1, value."""
+    return spark.createDataFrame(rows, "t0 double, t1 double, lat0 double, lat1 double, lon0 double, lon1 double, value double")
+
+
+def months(spark, n, start=0.0, value=1.0, lat0=0.0):
+    return grid(spark, [(start + 30.0 * i, start + 30.0 * (i + 1), lat0, lat0 + 10.0, 0.0, 10.0, value * i) for i in range(n)])
+
+
+def test_fields_that_are_not_comparable(spark):
+    ref = months(spark, 6)
+    with pytest.raises(alignment.NotTemporal):
+        alignment.comparable(ref, ref.drop("t0", "t1"))
+    with pytest.raises(alignment.NotComparable):
+        alignment.comparable(ref, months(spark, 3), clip_ref=False)
+    with pytest.raises(alignment.NotComparable):
+        alignment.comparable(ref.withColumn("site", F.lit(1)).drop(*CELL), ref)
+    with pytest.raises(alignment.NotLayered):
+        layers = ref.withColumns({"z0": F.lit(0.0), "z1": F.lit(1.0)})
+        alignment.comparable(layers.unionByName(layers.withColumns({"z0": F.lit(1.0), "z1": F.lit(2.0)})), ref)
+    with pytest.raises(units.UnitConversionError):
+        alignment.comparable(ref, ref, "K", "m")
+
+
+def test_comparable_drops_a_first_interval_and_reads_grids_at_sites(spark):
+    a, b = alignment.comparable(months(spark, 6), months(spark, 5, start=30.0), clip_ref=False)
+    assert (a.count(), b.count()) == (5, 5) and a.agg(F.min("t0")).first()[0] == 30.0
+    sites = spark.createDataFrame([(7, 4.0, 3.0)], "site long, lat double, lon double")
+    ref = months(spark, 4).select(F.lit(7).cast("long").alias("site"), "t0", "t1", "value")
+    a, b = alignment.comparable(ref, months(spark, 4, value=2.0), "km", "m", sites)
+    assert values(b, "t0") == [0.0, 0.002, 0.004, 0.006] and "lat0" not in b.columns
+
+
+def test_comparable_layers(spark):
+    ref = months(spark, 2).withColumns({"z0": F.lit(0.0), "z1": F.lit(2.0)})
+    deep = months(spark, 2)
+    com = deep.withColumns({"z0": F.lit(0.0), "z1": F.lit(1.0)}).unionByName(deep.withColumns({"z0": F.lit(1.0), "z1": F.lit(3.0), "value": F.lit(5.0)}))
+    a, b = alignment.comparable(ref, com)
+    assert values(b, "t0") == [2.5, 3.0] and "z0" not in a.columns
+
+
+def test_trim_of_limits_on_edges(spark):
+    df = grid(spark, [(0.0, 1.0, a, a + 10.0, 0.0, 10.0, a) for a in (-20.0, -10.0, 0.0, 10.0)])
+    assert sorted(values(space.trimmed(df, lat=(-10.0, 10.0)))) == [-20.0, -10.0, 0.0]
+    assert sorted(values(space.trimmed(df, lat=(-500.0, 500.0)))) == [-20.0, -10.0, 0.0, 10.0]
+    assert space.trimmed(df.filter("false"), lat=(0.0, 1.0)).count() == 0
+
+
+def test_interval_join_with_one_very_long_interval(spark):
+    left = spark.createDataFrame([(float(i), float(i + 1)) for i in range(1000)], "t0 double, t1 double")
+    right = spark.createDataFrame([(0.0, 1000.0), (3.0, 4.0), (3.5, 5.5)], "b0 double, b1 double")
+    got = time.interval_join(left, right, ("t0", "t1"), ("b0", "b1"))
+    assert got.count() == 1000 + 1 + 3 and got.distinct().count() == got.count()
+
+
+def test_quantiles_of_equal_values_and_groups(spark):
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.integers(0, 4, 500).astype(float), "b": rng.normal(0, 1, 777), "c": np.array([2.5]), "d": np.full(50, 7.0)}
+    df = spark.createDataFrame([(k, float(v)) for k, own in groups.items() for v in own] + [("b", None)], "k string, v double")
+    got = {(r["k"], r["quantile"]): r["value"] for r in compare.exact_quantiles(df, ["k"], F.col("v"), [0.0, 0.25, 0.9, 1.0]).collect()}
+    assert got == {(k, q): pytest.approx(np.quantile(v, q)) for k, v in groups.items() for q in (0.0, 0.25, 0.9, 1.0)}
+    assert compare.exact_quantiles(df.filter("false"), ["k"], F.col("v"), [0.5]).count() == 0
+
+
+def test_noleap_days_and_year(spark):
+    days = spark.sql("SELECT timestamp'2024-02-28 12:00:00' AS a, timestamp'2024-02-29 12:00:00' AS b, timestamp'2024-03-01 00:00:00' AS c, timestamp'1850-01-01 06:00:00' AS d")
+    a, b, c, d = days.select(*(time.noleap_day(F.col(x)) for x in "abcd")).first()
+    assert (a, b, c, d) == (174 * 365 + 58.5, 174 * 365 + 59.0, 174 * 365 + 59.0, 0.25)
+
+
+def test_read_times_finds_gaps(spark):
+    df = series(spark, [1.0, 2.0, 3.0, 4.0])
+    assert values(time.read_times(df, ["cell"], 30.2, 120.0), "t0") == [2.0, 3.0, 4.0]
+    with pytest.raises(ValueError):
+        time.read_times(df.filter("value <> 2"), ["cell"], 0.0, 200.0)
+
+
+def test_six_digits(spark):
+    numbers = [0.5, 0.0, 123456.7, 1234567.0, 0.00001234567, -2.25, 1e-4, 100.0, None, 2 / 3, 99999.96]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    assert [r[1] for r in sorted(df.select("i", scoreboard.six_digits(F.col("x"))).collect())] == ["nan" if x is None else f"{x:g}" for x in numbers]
+
+
+def test_configuration_round_trip_and_models():
+    text = '[h1: A]\n[h2: B]\nweight = 5\n[C]\nsource = "x"\n[D]\nweight = 2\n'
+    root = config.parse(text)
+    again = config.from_json(config.to_json(root))
+    assert [(n.name, n.overall) for n in again.walk()] == [(n.name, n.overall) for n in root.walk()]
+    assert config.parse_models("# models\nA, /data/a\nB, /data/b, 150 # later\n") == [("A", "/data/a", 0.0), ("B", "/data/b", 150.0)]
+    with pytest.raises(ValueError):
+        config.parse_models("only a name")
+    assert [leaf.name for _, _, leaf in run.selected(root, ["B/C", "C"])] == ["C"] and run.selected(root, ["Z"]) == []
+
+
+def test_programs_of_ones_own(spark):
+    root = config.parse('[h1: A]\n[h2: B]\nvariable = "v"\n[C]\nctype = "count"\n')
+    run.register("count", lambda node, ref, com, regions: com.groupBy("model").agg(F.count("value").cast("double").alias("value")).select("model", F.lit("global").alias("region"), F.lit("Own Score").alias("scalar"), "value"))
+    ref = months(spark, 3)
+    out = run.run(root, run.Fields(lambda n: ref, lambda n: ref.withColumn("model", F.lit("m"))), spark.createDataFrame([], "label string, lat_min double, lat_max double, lon_min double, lon_max double"))
+    assert sorted((r["scalar"], r["value"]) for r in out.collect()) == [("Overall Score", 3.0), ("Own Score", 3.0)]
+    with pytest.raises(ValueError):
+        run.run(root, run.Fields(lambda n: None, lambda n: None), ref)
+
+
+def test_missing_sections_weigh_in(spark):
+    rows = [("s", "v", "x", 1.0, 3.0, 2.0, 0.8), ("s", "w", "x", 1.0, 1.0, 2.0, None), ("t", "u", "x", 1.0, 1.0, 1.0, 0.4)]
+    leaves = spark.createDataFrame(rows, "section string, variable string, source string, weight double, variable_weight double, section_weight double, score double")
+    at = lambda skip: {(r["level"], r["section"]): r["score"] for r in scoreboard.roll_up(leaves, skip).filter("level in ('section', 'whole')").collect()}
+    assert at(False) == {("section", "s"): pytest.approx(0.6), ("section", "t"): pytest.approx(0.4), ("whole", None): pytest.approx(1.6 / 3)}
+    assert at(True)[("section", "s")] == pytest.approx(0.8)
+
+
+def test_spline_by_site(spark):
+    days = np.arange(0, 365, 15.0)
+    df = spark.createDataFrame([(s, float(d), math.sin(2 * math.pi * (d - 30 * s) / 365)) for s in (1, 2) for d in days] + [(3, 0.0, 1.0)], "site long, t double, value double")
+    got = {r["site"]: r for r in signal.cycle_extremes(df).collect()}
+    assert set(got) == {1, 2}
+    for s in (1, 2):
+        assert got[s]["amplitude"] == pytest.approx(2.0, abs=1e-3) and got[s]["t_max"] == pytest.approx(365 / 4 + 30 * s, abs=1.0)
+
+
+def test_bilinear_goes_round(spark):
+    cells = [(0.0, 1.0, 0.0, 90.0, a, a + 90.0, a) for a in (-180.0, -90.0, 0.0, 90.0)]
+    points = spark.createDataFrame([(1, 45.0, 180.0), (2, 45.0, -45.0)], "site long, lat double, lon double")
+    got = {r["site"]: r["value"] for r in lookup.bilinear(grid(spark, cells), points, 90.0).collect()}
+    assert got == {1: pytest.approx(-45.0), 2: pytest.approx(-90.0)}
+
+
+def test_net_balance_without_bounds_has_no_path_score(spark):
+    df = series(spark, [1.0, 2.0, 3.0]).drop("cell")
+    row = analyses.net_balance(df, df.withColumn("value", F.col("value") + 0.1)).first()
+    assert row["trajectory_score"] is None and row["diff"] == pytest.approx(9.0) and row["difference_score"] == pytest.approx(math.exp(-0.287 * 9 / 10.8))
+
+
+def test_statistics_of_a_field(spark):
+    from gridloom.sources import fields as sources
+
+    row = sources.with_statistics(series(spark, [float(i) for i in range(101)] + [None]), ["cell"]).first()
+    assert (row["min"], row["dn99"], row["up99"], row["max"], row["n"]) == (0.0, 1.0, 99.0, 100.0, 101)
+
+
+def test_manifest_by_path(spark, tmp_path):
+    import hashlib
+
+    for d, text in (("a", b"one"), ("b", b"two")):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x.nc").write_bytes(text)
+    rows = [(hashlib.sha1(b"one").hexdigest(), "a/x.nc"), (hashlib.sha1(b"one").hexdigest(), "b/x.nc"), ("0", "c/x.nc")]
+    bad = fields.check_manifest(spark, str(tmp_path), spark.createDataFrame(rows, "sha1 string, file string"))
+    assert sorted(tuple(r) for r in bad.collect()) == [("b/x.nc", "differs"), ("c/x.nc", "missing")]
