@@ -88,6 +88,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         for batch in batches:
             frames = [frame(i, encoder.encode(t.as_py()) + end, width)[:-1] for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["record"])
+        encoder.chunks.settle()
 
     records = in_order(docs, shard_text_bytes, max(shard_text_bytes, MOST_SHARD_TEXT_BYTES)).mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/data")

@@ -175,5 +175,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
                 yield out(rows)
         if rows := list(packer.flush(True)):
             yield out(rows)
+        encoder.chunks.settle()
 
     return in_order(docs, PARTITION_TEXT_BYTES, MOST_TEXT_BYTES).mapInArrow(run, ", ".join(f"{n} long" for n, _ in _FIELDS))

@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Chunks kept per generation of a worker's cache; two generations bound its memory.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 250_000
 #: Longest chunk that is kept.
 CACHE_CHARS = 64
 _SPACED = re.compile(r" [^\S ]")
@@ -46,6 +46,12 @@ class Chunks(dict):
             self[chunk] = found
         return found
 
+    def settle(self) -> None:
+        """Let the older generation go at the end of a task, so that an idle worker holds one at most."""
+        self.old = {}
+        if self.bare is not self:
+            self.bare.settle()
+
     def _found(self, chunk: str):
         if "\n" in chunk:
             left, _, right = chunk.rpartition("\n")
