@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import line_dedup, ngram_join, packing, quality_rules, suffix_dedup
-from gridloom.llm.common import DOCUMENT_COLUMNS, materialise, read_table
+from gridloom.llm.common import DOCUMENT_COLUMNS, free, mark, materialise, read_table
 from gridloom.llm.tokenizer import public_tokenizer
 
 
@@ -51,10 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's result is written as Parquet and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages on ``documents``; each stage's result is written as Parquet and read again, and the tables behind it go."""
+    docs, begun = read_table(spark, sf_dir, "documents"), mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs, name)
+            free(spark, begun)
     return docs

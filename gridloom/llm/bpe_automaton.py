@@ -9,7 +9,8 @@ All arcs of a label lead to one state, and an arc never changes once both its st
 automaton needs no table of states x labels: a state is (its birth, the state it was copied from, the label removed),
 a label is (its birth, its left part), and the presence of an arc follows from these in a few steps.
 
-Encoding runs a pre-split word through the automaton: for each prefix, exactly one token ends there whose arc leaves
+Encoding runs a pre-split word through the automaton by a transition table (state, label) -> next state, whose entries
+are made from the gadgets when they are first asked for: for each prefix, exactly one token ends there whose arc leaves
 the state of the prefix before it. Decoding emits the byte labels of the arcs.
 
 Contract: a null text counts as empty, an empty text has no tokens; ties do not occur (the path is unique); repeated
@@ -63,7 +64,7 @@ class Automaton:
         self.tokens = {self.labels[i]: i for i in self.label_born}
         self.lengths = sorted({len(t) for t in self.tokens}, reverse=True)
         self.fitting = [[x for x in self.lengths if x <= room] for room in range(self.lengths[0])]
-        self.arcs: dict[int, bool] = {}
+        self.table: dict[int, int] = {}
         self.word_split = regex.compile(PRE_SPLIT)
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.chunks = Chunks(self.encode_chunk)
@@ -92,13 +93,20 @@ class Automaton:
             else:
                 state = self.copied[state]
 
+    def transition(self, state: int, label: int) -> int:
+        """The next state, -1 without an arc; the entry goes into the table, which is bounded."""
+        if len(self.table) > 2_000_000:
+            self.table.clear()
+        found = self.table[state << 32 | label] = self.leads[label] if self.has_arc(state, label) else -1
+        return found
+
     def encode_word(self, word: bytes) -> list[int]:
         """The token path of one pre-split word.
 
         Takes the longest label first and steps back where no arc goes on. Only one valid path leads to each prefix,
         so a place that once failed stays closed and each place is left at most once.
         """
-        n, tokens, arcs, leads = len(word), self.tokens, self.arcs, self.leads
+        n, tokens, table, leads = len(word), self.tokens, self.table, self.leads
         if (whole := tokens.get(word)) is not None:
             return [whole]
         path: list[int] = []
@@ -111,18 +119,15 @@ class Automaton:
                 token = tokens.get(word[place : place + size])
                 if token is None or closed[place + size]:
                     continue
-                key = state << 32 | token
-                allowed = arcs.get(key)
-                if allowed is None:
-                    if len(arcs) > 2_000_000:
-                        arcs.clear()
-                    allowed = arcs[key] = self.has_arc(state, token)
-                if allowed:
+                after = table.get(state << 32 | token)
+                if after is None:
+                    after = self.transition(state, token)
+                if after >= 0:
                     path.append(token)
                     at.append(place)
                     tried.append(sizes)
                     place += size
-                    state, sizes = leads[token], iter(self._sizes(n - place))
+                    state, sizes = after, iter(self._sizes(n - place))
                     break
             else:
                 closed[place] = 1

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to Python. Texts are whole, so this bounds a worker's memory.
+#: Rows in one Arrow batch sent to Python at most. Its bytes are bounded by Spark's ``maxBytesPerBatch`` too; a text that
+#: is longer than that is a batch of its own.
 ARROW_ROWS = 512
 #: Columns of the ``documents`` table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,8 +20,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: ``ARROW_ROWS`` whole texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep Arrow batches small: ``ARROW_ROWS`` whole texts at a time. A smaller setting of the session stays; the setting
+    cannot be put back here, as plans read it when they run."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,9 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
     return own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_gridloom"
 
 
+#: Paths of scratch tables that are still there, in the order of their making.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
+    """A new path in the shared folder, removed by ``free`` or when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     jvm = spark._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -55,6 +63,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """Names the scratch tables made from here on, for ``free``."""
+    return len(_made)
+
+
+def free(spark: SparkSession, since: int) -> None:
+    """Remove all scratch tables made since a ``mark``, but for the last one, which holds the result."""
+    for path in _made[since:-1]:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    del _made[since:-1]
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) and the columns ``more``; extra columns of the input are left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
