@@ -36,8 +36,13 @@ def global_bias(ref: DataFrame, com: DataFrame) -> DataFrame:
 
 def series_statistics(ref: DataFrame, com: DataFrame, keys: list[str]) -> DataFrame:
     """By ``keys``, from one join and one aggregate over the times of both: the means of each over its own times, the
-    reference's deviation from its mean, the root mean square error and the centred one."""
-    pairs = ref.select(*keys, "t0", "t1", F.col("value").alias("x")).join(com.select(*keys, "t0", "t1", F.col("value").alias("y")), [*keys, "t0", "t1"])
+    reference's deviation from its mean, the root mean square error and the centred one.
+
+    Fields on one grid meet by the lower bounds of cells and times alone, so the other field moves four columns.
+    """
+    upper = {"lat1": "lat0", "lon1": "lon0"}
+    on = [*(k for k in keys if upper.get(k) not in keys), "t0"]
+    pairs = ref.select(*keys, "t0", "t1", F.col("value").alias("x")).join(com.select(*on, F.col("value").alias("y")), on)
     return _statistics(pairs, keys)
 
 
