@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +131,31 @@ def shared_limits(frames: list[DataFrame], column: str) -> tuple[float, float]:
     return min(a for a, _ in own), max(b for _, b in own)
 
 
+def relationship_scores(ref: DataFrame, com: DataFrame, keys: list[str], n: int = 25, least_share: float = 3e-3) -> DataFrame:
+    """By ``keys`` (such as the region) of rows (``ind``, ``dep``): how alike two relationships are, as 1 - the Hellinger
+    distance of their histograms and as exp(-|a - b| / |a|) of their response curves, on bins that both share.
+
+    Counts by bin are the only thing that is shuffled.
+    """
+    (a, b), (c, d) = (shared_limits([ref, com], x) for x in ("ind", "dep"))
+
+    def binned(df: DataFrame) -> DataFrame:
+        rows = df.filter("ind is not null and dep is not null")
+        return rows.groupBy(*keys, bins("ind", a, b, n).alias("bin_x"), bins("dep", c, d, n).alias("bin_y")).agg(F.count(F.lit(1)).alias("n"), F.sum("dep").alias("s"))
+
+    def curves(counts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        whole = F.sum("n").over(Window.partitionBy(*keys))
+        shares = counts.withColumn(f"p_{name}", F.col("n") / whole).select(*keys, "bin_x", "bin_y", f"p_{name}")
+        means = counts.groupBy(*keys, "bin_x").agg((F.sum("s") / F.sum("n")).alias(f"m_{name}"), F.sum("n").alias("n"))
+        total = F.sum("n").over(Window.partitionBy(*keys))
+        return shares, means.withColumn("_share", F.col("n") / total).filter(F.col("_share") >= least_share).select(*keys, "bin_x", f"m_{name}")
+
+    (pa, ma), (pb, mb) = curves(binned(ref), "a"), curves(binned(com), "b")
+    hellinger = pa.join(pb, [*keys, "bin_x", "bin_y"]).groupBy(*keys).agg((1 - F.sqrt(F.sum(F.pow(F.sqrt("p_a") - F.sqrt("p_b"), 2))) / math.sqrt(2)).alias("distance_score"))
+    response_ = ma.join(mb, [*keys, "bin_x"]).groupBy(*keys).agg(F.exp(-F.sqrt(F.sum(F.pow(F.col("m_a") - F.col("m_b"), 2))) / F.sqrt(F.sum(F.col("m_a") * F.col("m_a")))).alias("response_score"))
+    return hellinger.join(response_, keys, "full")
+
+
 def hellinger_score(a: DataFrame, b: DataFrame) -> DataFrame:
     """1 - sqrt(sum (sqrt p - sqrt q)^2) / sqrt 2 over bins filled in both histograms."""
     pairs = a.select("bin_x", "bin_y", F.col("share").alias("p")).join(b.select("bin_x", "bin_y", F.col("share").alias("q")), ["bin_x", "bin_y"])

@@ -455,3 +455,41 @@ def paired_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     daily = [df.filter(F.col("event_type") == k).groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("value")) for k in ("view", "click")]
     return _rounded(C.efficiency(C.paired(*daily, ["day"]).withColumn("k", F.lit(0)), ["k"]), "nse").select("nse")
+
+
+_PAIRED = "p AS (SELECT r2.label AS region, g.t0, g.value AS x, c.value AS y FROM fx_masked_ref g JOIN fx_same_grid c ON c.t0 = g.t0 AND c.lat0 = g.lat0 AND c.lon0 = g.lon0 JOIN fx_regions r2 ON r2.label = 'globe' OR ((g.lat0+g.lat1)/2 > lat_min AND (g.lat0+g.lat1)/2 <= lat_max AND (g.lon0+g.lon1)/2 > lon_min AND (g.lon0+g.lon1)/2 <= lon_max))"
+_WITH_N = _R.replace("sum(x)", "sum(CASE WHEN y IS NOT NULL THEN x END)").replace("sum(y)", "sum(CASE WHEN x IS NOT NULL THEN y END)").replace("sum(x*x)", "sum(CASE WHEN y IS NOT NULL THEN x*x END)").replace("sum(y*y)", "sum(CASE WHEN x IS NOT NULL THEN y*y END)")
+
+
+def _pairs_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = C.paired(fixture(spark, sf_dir, "fx_masked_ref"), fixture(spark, sf_dir, "fx_same_grid"), ["t0", *CELL])
+    return S.in_region(pairs, fixture(spark, sf_dir, "fx_regions"))
+
+
+@query(f"WITH {_PAIRED}, o AS (SELECT region, t0, {_WITH_N} AS r FROM p GROUP BY region, t0 HAVING count(x) > 5) SELECT region, CAST(count(r) AS BIGINT) AS n, round(avg(r), 6) AS r FROM o WHERE NOT isnan(r) GROUP BY region")
+def spatial_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_time = _pairs_in_regions(spark, sf_dir).groupBy("region", "t0").agg(C.correlation().alias("r"), F.count("ref").alias("n")).filter("n > 5")
+    return _rounded(by_time.filter("not isnan(r)").groupBy("region").agg(F.count("r").alias("n"), F.avg("r").alias("r")), "r")
+
+
+@query(f"WITH {_PAIRED} SELECT region, round({_WITH_N}, 6) AS r FROM p GROUP BY region")
+def spatiotemporal_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_pairs_in_regions(spark, sf_dir).groupBy("region").agg(C.correlation().alias("r")), "r")
+
+
+_RELATED = "SELECT p_partkey % 3 AS k, p_partkey % 2 AS h, CAST(p_size AS DOUBLE) AS ind, p_retailprice AS dep FROM part"
+
+
+def _shared(column: str) -> str:
+    return f"SELECT min({column})-1e-8*(max({column})-min({column})) AS a, max({column})+1e-8*(max({column})-min({column})) AS b FROM x WHERE h = 0 UNION ALL SELECT min({column})-1e-8*(max({column})-min({column})), max({column})+1e-8*(max({column})-min({column})) FROM x WHERE h = 1"
+
+
+@query(f"""WITH x AS ({_RELATED}), li AS (SELECT min(a) AS a, max(b) AS b FROM ({_shared('ind')}) q), ld AS (SELECT min(a) AS c, max(b) AS d FROM ({_shared('dep')}) q),
+y AS (SELECT k, h, CAST(least(greatest(floor((ind-a)/((b-a)/25))+1, 1), 25) AS INT) AS i, CAST(least(greatest(floor((dep-c)/((d-c)/25))+1, 1), 25) AS INT) AS j, dep FROM x CROSS JOIN li CROSS JOIN ld), n AS (SELECT k, h, count(*) AS n FROM y GROUP BY 1, 2),
+p AS (SELECT y.k, y.h, i, j, count(*)/max(n.n) AS p FROM y JOIN n ON n.k = y.k AND n.h = y.h GROUP BY 1, 2, 3, 4), m AS (SELECT y.k, y.h, i, avg(dep) AS m FROM y JOIN n ON n.k = y.k AND n.h = y.h GROUP BY 1, 2, 3 HAVING count(*)/max(n.n) >= 3e-3),
+d AS (SELECT a.k, 1-sqrt(sum((sqrt(a.p)-sqrt(b.p))**2))/sqrt(2) AS s FROM p a JOIN p b ON a.h = 0 AND b.h = 1 AND b.k = a.k AND b.i = a.i AND b.j = a.j GROUP BY 1), r AS (SELECT a.k, exp(-sqrt(sum((a.m-b.m)**2))/sqrt(sum(a.m**2))) AS s FROM m a JOIN m b ON a.h = 0 AND b.h = 1 AND b.k = a.k AND b.i = a.i GROUP BY 1)
+SELECT coalesce(d.k, r.k) AS k, round(d.s, 6) AS distance_score, round(r.s, 6) AS response_score FROM d FULL JOIN r ON r.k = d.k""")
+def relationship_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 3).alias("k"), (F.col("p_partkey") % 2).alias("h"), F.col("p_size").cast("double").alias("ind"), F.col("p_retailprice").alias("dep"))
+    out = C.relationship_scores(df.filter("h = 0"), df.filter("h = 1"), ["k"])
+    return _rounded(out, "distance_score", "response_score")

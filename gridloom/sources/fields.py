@@ -78,3 +78,13 @@ def with_statistics(df: DataFrame, keys: list[str]) -> DataFrame:
     q = exact_quantiles(df, keys, F.col("value"), [0.0, 0.01, 0.99, 1.0])
     ends = q.groupBy(*keys).agg(*(F.max(F.when(F.col("quantile") == x, F.col("value"))).alias(n) for n, x in (("min", 0.0), ("dn99", 0.01), ("up99", 0.99), ("max", 1.0))))
     return ends.join(df.groupBy(*keys).agg(F.count("value").alias("n")), keys)
+
+
+#: Columns that place a value: no variables of their own.
+PLACES = {"model", "variable", "source", "t", "t0", "t1", "z0", "z1", "site", "lat", "lon", "lat0", "lat1", "lon0", "lon1"}
+
+
+def variables(df: DataFrame) -> list[str]:
+    """The data columns of a table: those that are neither a place nor the bounds of another column."""
+    names = set(df.columns)
+    return sorted(c for c in names - PLACES if not any(c == f"{n}_{end}" for n in names for end in ("lo", "hi")))

@@ -350,3 +350,8 @@ def test_manifest_by_path(spark, tmp_path):
     rows = [(hashlib.sha1(b"one").hexdigest(), "a/x.nc"), (hashlib.sha1(b"one").hexdigest(), "b/x.nc"), ("0", "c/x.nc")]
     bad = fields.check_manifest(spark, str(tmp_path), spark.createDataFrame(rows, "sha1 string, file string"))
     assert sorted(tuple(r) for r in bad.collect()) == [("b/x.nc", "differs"), ("c/x.nc", "missing")]
+
+
+def test_variables_of_a_table(spark):
+    df = spark.createDataFrame([], "t0 double, t1 double, lat0 double, gpp double, gpp_lo double, gpp_hi double, le double, model string")
+    assert fields.variables(df) == ["gpp", "le"]
