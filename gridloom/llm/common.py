@@ -111,22 +111,28 @@ def with_rows(docs: DataFrame, whole: bool = False) -> DataFrame:
     return materialise(ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *more), "rows")
 
 
-def spread_join(many: DataFrame, few: DataFrame, keys: list[str], copies: str) -> DataFrame:
+def copies_of(few: DataFrame, copies: str) -> tuple[int, int]:
+    """The sum and the greatest of ``copies``, 0 for an empty table."""
+    row = few.agg(F.sum(copies).alias("n"), F.max(copies).alias("most")).first()
+    return row["n"] or 0, row["most"] or 0
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], copies: str, known: tuple[int, int] | None = None) -> DataFrame:
     """``many`` joined to ``few``, which has one row a key and counts the key's rows of ``many`` in ``copies``.
 
     A key with more than a quarter of an even partition's rows is hot: its rows are dealt over parts by a hash of the
     whole row, and its row of ``few`` is repeated for each part. At most four times as many keys as there are
-    partitions can be hot, whatever the data, so their list is broadcast. ``few`` has to be a written table.
+    partitions can be hot, whatever the data, so their list is broadcast. ``few`` has to be a written table; ``known`` is
+    its ``copies_of``.
     """
-    n = default_partitions(many.sparkSession)
-    total = few.agg(F.sum(copies).alias("n")).first()["n"] or 0
-    limit = max(64, -(-total // (4 * n)))
-    hot = few.filter(F.col(copies) > limit).select(*keys, F.ceil(F.col(copies) / limit).cast("int").alias("_parts"))
-    if not hot.limit(1).count():
+    total, most = known or copies_of(few, copies)
+    limit = max(64, -(-total // (4 * default_partitions(many.sparkSession))))
+    if most <= limit:
         return many.join(few, keys)
+    n_parts = F.ceil(F.col(copies) / limit).cast("int")
+    hot = few.filter(F.col(copies) > limit).select(*keys, n_parts.alias("_parts"))
     dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    parts = F.when(F.col(copies) > limit, F.ceil(F.col(copies) / limit).cast("int")).otherwise(1)
-    repeated = few.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    repeated = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(copies) > limit, n_parts).otherwise(1) - 1)))
     return dealt.join(repeated, [*keys, "_part"]).drop("_part")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import default_partitions, materialise, small_batches, spread_join, whole_columns, with_rows
+from .common import copies_of, default_partitions, materialise, small_batches, spread_join, whole_columns, with_rows
 
 MIN_LINES, MIN_WORDS = 3, 50
 SPACES = " \t\n\x0b\x0c\r"
@@ -36,7 +36,7 @@ def suffixes(rows: DataFrame, min_lines: int) -> DataFrame:
     """``row``, ``at``, ``line``, ``need``: one row for each line with a word. need: how many lines from here a run must
     have to go, which is ``min_lines`` or as many as hold MIN_WORDS words."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
-    words = F.transform(F.col("lines"), lambda x: F.size(F.split(F.trim(x, F.lit(SPACES)), r"[\x20\x09-\x0D]+")))
+    words = F.transform(F.col("lines"), lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
 
     def need(i: Column) -> Column:
         total = lambda n: F.aggregate(F.slice(F.col("words"), i + 1, n), F.lit(0), lambda a, x: a + x)
@@ -54,9 +54,10 @@ def _ranked(keyed: DataFrame, names: list[str]) -> DataFrame | None:
     intervals = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("first")).filter("n > 1")
     ordered = intervals.repartitionByRange(default_partitions(keyed.sparkSession), *names).sortWithinPartitions(*names)
     ranks = materialise(ordered.withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    if not ranks.limit(1).count():
+    known = copies_of(ranks, "n")
+    if not known[0]:
         return None
-    found = spread_join(keyed, ranks, names, "n")
+    found = spread_join(keyed, ranks, names, "n", known)
     return materialise(found.select("row", "at", "need", "rank", (F.struct("row", "at") != F.col("first")).alias("again")), "ranked")
 
 
