@@ -67,6 +67,32 @@ def season_bounds(t: np.ndarray, v: np.ndarray) -> tuple[float, float]:
     return float(t[i[best]]), float(t[j[best]])
 
 
+def phase_defined(values: np.ndarray, step: float, least: int = 24) -> bool:
+    """Whether the longest run of known values has ``least`` of them and its spectrum is greatest at one cycle a year."""
+    known = np.concatenate([[False], ~np.isnan(values), [False]])
+    edges = np.flatnonzero(known[1:] != known[:-1]).reshape(-1, 2)
+    if not len(edges):
+        return False
+    a, b = edges[np.argmax(edges[:, 1] - edges[:, 0])]
+    if b - a < least:
+        return False
+    own = values[a:b]
+    power, f = np.abs(np.fft.rfft(own - own.mean())), np.fft.rfftfreq(b - a, step)
+    peak = int(np.argmax(power[1:])) + 1
+    return bool(abs(f[peak] - 1 / YEAR) <= f[1] / 2)
+
+
+def sites_with_phase(df: DataFrame, least: int = 24) -> DataFrame:
+    """site and whether its yearly phase is well defined, from its rows (t0, t1, value) in the order of time."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t0")
+        step = float((pdf["t1"] - pdf["t0"]).mean())
+        return pd.DataFrame({"site": [pdf["site"].iloc[0]], "defined": [phase_defined(pdf["value"].to_numpy(dtype=float), step, least)]})
+
+    return df.select("site", "t0", "t1", "value").groupBy("site").applyInPandas(one, "site long, defined boolean")
+
+
 def periodic_spline(x: np.ndarray, y: np.ndarray, period: float, at: np.ndarray) -> np.ndarray:
     """The periodic cubic spline through (x, y), evaluated at ``at``."""
     n = len(x)
@@ -85,16 +111,16 @@ def periodic_spline(x: np.ndarray, y: np.ndarray, period: float, at: np.ndarray)
 
 
 def smooth_sites(df: DataFrame) -> DataFrame:
-    """site, t, function, smooth, trend for each unmasked value of a site."""
+    """site, t, function, smooth, trend and growth (the trend's slope a year) for each unmasked value of a site."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["value"]).sort_values("t")
         if len(pdf) < 4:
-            return pd.DataFrame({"site": pdf["site"], "t": pdf["t"], "function": pdf["value"], "smooth": pdf["value"], "trend": pdf["value"]})
+            return pd.DataFrame({"site": pdf["site"], "t": pdf["t"], "function": pdf["value"], "smooth": pdf["value"], "trend": pdf["value"], "growth": 0.0})
         function, smooth, trend = smooth_curve(pdf["t"].to_numpy(), pdf["value"].to_numpy())
-        return pd.DataFrame({"site": pdf["site"], "t": pdf["t"], "function": function, "smooth": smooth, "trend": trend})
+        return pd.DataFrame({"site": pdf["site"], "t": pdf["t"], "function": function, "smooth": smooth, "trend": trend, "growth": np.gradient(trend, pdf["t"].to_numpy()) * YEAR})
 
-    return df.select("site", "t", "value").groupBy("site").applyInPandas(one, "site long, t double, function double, smooth double, trend double")
+    return df.select("site", "t", "value").groupBy("site").applyInPandas(one, "site long, t double, function double, smooth double, trend double, growth double")
 
 
 def site_seasons(df: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import exp_score, gated_ratio, q10, taylor_score
+from ..functions.scores import day_shift_score, exp_score, gated_ratio, q10, taylor_score, wrap_shift
 from ..operators import CELL
 from ..operators.compare import correlation, paired
 from ..operators.space import area_column
-from ..operators.time import accumulate, annual_cycle, anomaly, consecutive_years_below, integrate, root_mean_square
+from ..operators.time import accumulate, annual_cycle, anomaly, consecutive_years_below, detrend, integrate, nearest_month, root_mean_square
 
 #: Fixed values of the method: decay of the score of a final difference, and the differences it is measured by, in Pg.
 DIFFERENCE_DECAY = 0.287
@@ -131,6 +131,27 @@ def detrended_cycle(df: DataFrame, keys: list[str]) -> DataFrame:
     return cycle.groupBy(*keys).agg((F.max(v) - F.min(v)).alias("amplitude"), F.min_by("month", F.struct(-v, "month")).alias("peak"), F.min_by("month", F.struct(v, "month")).alias("trough"))
 
 
+def station_cycle(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of a series of concentrations, without its quadratic trend: amplitude of the mean yearly cycle, its greatest and least
+    month, and the root mean square of what the cycle leaves (the year-to-year variability)."""
+    rows = detrend(df, keys).withColumn("month", nearest_month((F.col("t0") + F.col("t1")) / 2)).filter("value is not null")
+    rest = F.col("value") - F.avg("value").over(Window.partitionBy(*keys, "month"))
+    by_month = rows.withColumn("_r", rest).groupBy(*keys, "month").agg(F.avg("value").alias("v"), F.sum(F.col("_r") * F.col("_r")).alias("_rr"), F.count(F.lit(1)).alias("_n"))
+    v, m = F.col("v"), F.col("month")
+    return by_month.groupBy(*keys).agg(
+        (F.max(v) - F.min(v)).alias("amplitude"), F.min_by(m, F.struct(-v, m)).alias("peak"), F.min_by(m, F.struct(v, m)).alias("trough"), F.sqrt(F.sum("_rr") / F.sum("_n")).alias("iav"),
+    )
+
+
+def station_scores(ref: DataFrame, com: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores of amplitude, variability, and the phases of the greatest and the least month of two series by station."""
+    a, b = station_cycle(ref, keys), station_cycle(com, keys)
+    both = a.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("amplitude", "peak", "trough", "iav"))).join(b, keys)
+    phase = lambda c: day_shift_score(wrap_shift((F.col(c) - F.col(f"_{c}")).cast("double") * 365.0 / 12))
+    size = lambda c: exp_score(F.col(c) - F.col(f"_{c}"), F.col(f"_{c}"))
+    return both.select(*keys, size("amplitude").alias("amplitude_score"), size("iav").alias("iav_score"), phase("peak").alias("max_phase_score"), phase("trough").alias("min_phase_score"))
+
+
 def growing_season_flux(cycle: DataFrame, keys: list[str], days: float = 365.0 / 12) -> DataFrame:
     """The uptake (sum of the negative months) of mean cycles, the first and last month of it, and the strongest one."""
     v, m = F.col("value"), F.col("month")

@@ -15,7 +15,7 @@ from .operators import signal as G
 from .operators import space as S
 from .operators import time as T
 from .plans import alignment, analyses, config, mean_state, run, scoreboard
-from .queries import _R, _REGION_ROWS, AREA, PI, _cells, _cycle_sql, _rounded, query
+from .queries import _POWERS, _R, _REGION_ROWS, AREA, PI, _cells, _cycle_sql, _fit_sql, _rounded, query
 
 _MONTH = "CAST(floor((((t0+t1)/2) % 365)/(365.0::DOUBLE/12)) AS INT)"
 _MODELS = "u AS (SELECT 'a' AS model, t0, t1, lat0, lat1, lon0, lon1, value FROM {1} UNION ALL SELECT 'b', t0, t1, lat0, lat1, lon0, lon1, CASE WHEN lat0 < 60 THEN value*1.25-3 END FROM {1}), r AS (SELECT * FROM {0})"
@@ -493,3 +493,25 @@ def relationship_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 3).alias("k"), (F.col("p_partkey") % 2).alias("h"), F.col("p_size").cast("double").alias("ind"), F.col("p_retailprice").alias("dep"))
     out = C.relationship_scores(df.filter("h = 0"), df.filter("h = 1"), ["k"])
     return _rounded(out, "distance_score", "response_score")
+
+
+def _station_sql(table: str) -> str:
+    return f"""(WITH m AS (SELECT site, avg((t0+t1)/2) AS m, stddev_pop((t0+t1)/2) AS d FROM {table} GROUP BY site), x AS (SELECT s.site, t0, t1, value AS y, ((t0+t1)/2-m)/d AS x FROM {table} s JOIN m ON m.site = s.site), s AS (SELECT site, {_POWERS} FROM x GROUP BY site),
+c AS (SELECT site, {', '.join(map(_fit_sql, range(3)))} FROM s), d AS (SELECT x.site, {_MONTH} AS month, y-(c0+c1*x+c2*x*x) AS v FROM x JOIN c ON c.site = x.site), r AS (SELECT *, v-avg(v) OVER (PARTITION BY site, month) AS r FROM d), b AS (SELECT site, month, avg(v) AS v, sum(r*r) AS rr, count(*) AS n FROM r GROUP BY 1, 2),
+e AS (SELECT *, max(v) OVER (PARTITION BY site) AS hi, min(v) OVER (PARTITION BY site) AS lo FROM b) SELECT site, max(hi-lo) AS a, min(month) FILTER (WHERE v = hi) AS p, min(month) FILTER (WHERE v = lo) AS t, sqrt(sum(rr)/sum(n)) AS i FROM e GROUP BY site)"""
+
+
+_SHIFTED = "1-least(abs({0}),365-abs({0}))/182.5"
+
+
+@query(f"""WITH sa AS ({_SITE_MONTHS.format('l_quantity')}), sb AS ({_SITE_MONTHS.format('l_quantity+l_tax*40')}), a AS {_station_sql('sa')}, b AS {_station_sql('sb')}
+SELECT a.site, round(exp(-abs((b.a-a.a)/a.a)), 6) AS amplitude_score, round(exp(-abs((b.i-a.i)/a.i)), 6) AS iav_score, round({_SHIFTED.format('((b.p-a.p)*365.0::DOUBLE/12)')}, 6) AS max_phase_score, round({_SHIFTED.format('((b.t-a.t)*365.0::DOUBLE/12)')}, 6) AS min_phase_score FROM a JOIN b ON b.site = a.site""")
+def station_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analyses.station_scores(_site_months(spark, sf_dir, "l_quantity"), _site_months(spark, sf_dir, "l_quantity+l_tax*40"), ["site"])
+    return _rounded(out, *out.columns[1:])
+
+
+@query()
+def sites_with_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each site's yearly phase is well defined; no SQL: a spectrum by site (tested against known waves)."""
+    return G.sites_with_phase(_site_months(spark, sf_dir, "l_quantity").withColumn("site", F.col("site").cast("long")))

@@ -355,3 +355,18 @@ def test_manifest_by_path(spark, tmp_path):
 def test_variables_of_a_table(spark):
     df = spark.createDataFrame([], "t0 double, t1 double, lat0 double, gpp double, gpp_lo double, gpp_hi double, le double, model string")
     assert fields.variables(df) == ["gpp", "le"]
+
+
+def test_phase_is_defined_by_a_yearly_peak():
+    t = np.arange(60) * (365 / 12)
+    yearly, half = np.sin(2 * np.pi * t / 365), np.sin(4 * np.pi * t / 365)
+    gap = yearly.copy()
+    gap[[20, 41]] = np.nan
+    assert signal.phase_defined(yearly, 365 / 12) and not signal.phase_defined(half + 0.2 * yearly, 365 / 12)
+    assert not signal.phase_defined(gap, 365 / 12) and not signal.phase_defined(np.full(40, np.nan), 365 / 12)
+
+
+def test_growth_is_the_slope_of_the_trend(spark):
+    rows = [(1, 30.0 * i, 2.0 * i + math.sin(2 * math.pi * 30 * i / 365)) for i in range(80)]
+    got = [r["growth"] for r in signal.smooth_sites(spark.createDataFrame(rows, "site long, t double, value double")).collect()]
+    assert np.median(got) == pytest.approx(2 * 365 / 30, rel=0.02)
