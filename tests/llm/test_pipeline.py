@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gridloom.llm import line_dedup, ngram_join, suffix_dedup
 from gridloom.llm.common import DOCUMENT_COLUMNS, materialise, read_table
 from gridloom.llm.tokenizer import public_tokenizer
 
@@ -95,3 +96,17 @@ def test_stage_takes_null_and_repeated_doc_ids(spark, sf_dir, odd_and_numbered,
     found = Counter(tuple(r) for r in stage(spark, odd, sf_dir).select("*").collect())
     expected = [r.asDict() for r in stage(spark, numbered, sf_dir).collect()]
     assert expected and found == Counter(tuple((r | {"doc_id": ids[r["doc_id"]]}).values()) for r in expected)
+
+
+def test_stages_keep_columns_of_inner_names_and_take_long_texts(spark, sf_dir):
+    names = ["_row", "_doc", "_no_text", "row", "rep", "label", "runs", "spans", "at", "n", "_part", "bucket", "values", "size", "anchor"]
+    long = "\n".join(f"line {i} of a text that goes on and on" for i in range(30_000))
+    rows = [(1, long), (2, "x\n" + long), (3, None), (None, "short text"), (3, "short text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *([k] * len(names))) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for stage in (line_dedup.remove_runs, ngram_join.one_of_each, suffix_dedup.remove_repeats):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        kept = {r["row"]: r for r in out.collect()}
+        assert kept[0]["text"] == long and all(r[n] == k for k, r in kept.items() for n in names)
+    assert {k: r["text"] for k, r in ((r["row"], r) for r in line_dedup.remove_runs(docs).collect())} == {0: long, 1: "x", 2: "", 3: "short text", 4: "short text"}
+    assert sorted(r["row"] for r in ngram_join.one_of_each(docs).collect()) == [0, 2, 3]
