@@ -67,7 +67,7 @@ class Automaton:
         self.table: dict[int, int] = {}
         self.word_split = regex.compile(PRE_SPLIT)
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.chunks = Chunks(self.encode_chunk)
+        self.chunks = Chunks(self.encode_chunk, lambda parts: tuple(chain.from_iterable(parts)))
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         if w in self.label_born or u not in self.leads or v not in self.leads:

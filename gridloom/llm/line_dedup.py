@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +34,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def suffixes(rows: DataFrame, min_lines: int) -> DataFrame:
-    """``row``, ``at``, ``line``, ``need``: one row for each line with a word. need: how many lines from here a run must
+    """``row``, ``at``, ``line`` and ``line2`` (128 bits of hash), ``need``: one row for each line with a word. need: how many lines from here a run must
     have to go, which is ``min_lines`` or as many as hold MIN_WORDS words."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
     words = F.transform(F.col("lines"), lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
@@ -43,9 +44,10 @@ def suffixes(rows: DataFrame, min_lines: int) -> DataFrame:
         enough = [F.when(total(n) >= MIN_WORDS, F.lit(n)) for n in range(1, min_lines)]
         return F.coalesce(*enough, F.lit(min_lines)).cast("short")
 
-    each = F.transform("lines", lambda x, i: F.struct(F.xxhash64(x).alias("line"), need(i).alias("need")))
+    # two hashes of differing seeds: 128 bits
+    each = F.transform("lines", lambda x, i: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("line2"), need(i).alias("need")))
     out = rows.select("row", lines.alias("lines")).withColumn("words", words)
-    return out.select("row", F.posexplode(each).alias("at", "own")).select("row", "at", "own.line", "own.need")
+    return out.select("row", F.posexplode(each).alias("at", "own")).select("row", "at", "own.line", "own.line2", "own.need")
 
 
 def _ranked(keyed: DataFrame, names: list[str]) -> DataFrame | None:
@@ -71,7 +73,7 @@ def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``row``, ``at``, ``n``: runs of n lines that are repeated from earlier and have to go; the longest from each line."""
     lines = materialise(suffixes(rows, min_lines), "lines")
     found = lines.select("row", "at", F.lit(0).alias("n")).limit(0)
-    ranked, h = _ranked(lines, ["line"]), 1
+    ranked, h = _ranked(lines, ["line", "line2"]), 1
     while ranked is not None:
         tested = [(ranked, h)] + [(_ranked(_pairs(ranked, n - h), ["head", "next"]), n) for n in range(h + 1, min(2 * h, min_lines + 1))]
         for intervals, n in tested:
@@ -83,16 +85,16 @@ def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 def split_lines(text: str, runs: list | None) -> tuple[list[str], int, int, int]:
     """The lines that stay, and how many lines with a word there were, how many went, and in how many runs."""
-    gone = {i for at, n in runs or () for i in range(at, at + n)}
-    kept, k = [], 0
-    for line in text.split("\n"):
-        if not line.strip(SPACES):
-            kept.append(line)
-            continue
-        if k not in gone:
-            kept.append(line)
-        k += 1
-    return kept, k, len(gone), sum(i - 1 not in gone for i in gone)
+    lines = text.split("\n")
+    worded = [k for k, line in enumerate(lines) if line.strip(SPACES)]
+    over = [0] * (len(worded) + 1)  # how many more runs cover a line than the one before it
+    for at, n in runs or ():
+        over[at] += 1
+        over[at + n] -= 1
+    gone = [k for k, depth in zip(worded, accumulate(over), strict=False) if depth > 0]
+    n_runs = sum(1 for i, depth in enumerate(accumulate(over)) if depth > 0 and depth == over[i])
+    away = set(gone)
+    return [line for k, line in enumerate(lines) if k not in away], len(worded), len(gone), n_runs
 
 
 def _with_runs(docs: DataFrame, min_lines: int, whole: bool = False) -> DataFrame:

@@ -20,20 +20,22 @@ CACHE_CHUNKS = 250_000
 CACHE_CHARS = 64
 _SPACED = re.compile(r" [^\S ]")
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: Line feeds between two characters that are no white space.
+_FEEDS = re.compile(r"(?<=\S)\n(?=\S)")
 _MARKS = ".,;:!?"
 
 
 class Chunks(dict):
-    """Chunk (without ``before``, which stands before it) to what ``encode`` makes of it, by concatenation.
+    """Chunk (without ``before``, which stands before it) to what ``encode`` makes of it; ``join`` puts parts together.
 
     Lines and the marks after a word are cut off first: neither a single line feed nor a run of such marks after a
     letter is ever in one pre-token with what stands before it. Two bounded generations are kept.
     """
 
-    def __init__(self, encode, before: str = " ", limit: int = CACHE_CHUNKS):
+    def __init__(self, encode, join, before: str = " ", limit: int = CACHE_CHUNKS):
         super().__init__()
-        self.encode, self.before, self.limit, self.old = encode, before, limit, {}
-        self.bare = Chunks(encode, "", limit // 4) if before else self
+        self.encode, self.join, self.before, self.limit, self.old = encode, join, before, limit, {}
+        self.bare = Chunks(encode, join, "", limit // 4) if before else self
 
     def __missing__(self, chunk: str):
         found = self.old.get(chunk)
@@ -54,9 +56,10 @@ class Chunks(dict):
 
     def _found(self, chunk: str):
         if "\n" in chunk:
-            left, _, right = chunk.rpartition("\n")
-            if left and right and not left[-1].isspace() and not right[0].isspace():
-                return self[left] + self.bare["\n"] + self.bare[right]
+            first, *lines = _FEEDS.split(chunk)
+            if lines:
+                feed = self.bare["\n"]
+                return self.join([self[first], *(part for line in lines for part in (feed, self.bare[line]))])
         else:
             stem = chunk.rstrip(_MARKS)
             if stem and len(stem) < len(chunk) and stem[-1] < "ɐ" and stem[-1].isalpha():
@@ -84,7 +87,7 @@ class TextEncoder:
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         self.symbols = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
         self.space = self.symbols[32]
-        self.chunks = Chunks(self._piece)
+        self.chunks = Chunks(self._piece, b"".join)
 
     def _piece(self, text: str) -> bytes:
         """A word of letters, with or without a space before it, is one pre-token: the library's BPE takes it as it is."""

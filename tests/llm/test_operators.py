@@ -61,6 +61,27 @@ def test_automaton_and_chunks_equal_the_library(library):
         assert automaton.decode(expected) == library.decode(expected, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("line", ["w{i}", "{i},\nyx,", "x\n\n{i}.", "{i}\n "])
+def test_many_lines_without_spaces(library, line):
+    spec, text = read_tokenizer(PATH), "\n".join(line.format(i=i) for i in range(100_000))
+    automaton, encoder = bpe_automaton.Automaton(spec), TextEncoder(spec)
+    expected = library.encode(text, add_special_tokens=False).ids
+    assert automaton.encode(text) == expected
+    assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == expected
+
+
+def test_word_lists_pass_through_all_encoding_operators(spark, library):
+    texts = ["\n".join(f"w{i}" for i in range(20_000)), "a,\nyx,\n" * 3_000, None]
+    n = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    docs = table(spark, texts)
+    assert [r["n_tokens"] for r in bpe_automaton.bpe_encode(docs, PATH).orderBy("doc_id").collect()] == n
+    folder = scratch(spark, "lists")
+    binary_records.write_records(docs, PATH, folder, end_id=0)
+    assert [r["n_tokens"] for r in binary_records.read_records(spark, folder).orderBy("doc_id").collect()] == [x + 1 for x in n]
+    pieces = packing.pack(docs, PATH).groupBy("doc_id").agg(F.sum("length").alias("n")).orderBy("doc_id").collect()
+    assert [r["n"] for r in pieces] == [x + 1 for x in n]
+
+
 def test_op1(spark, sf_dir, library, documents):
     for r in queries.op1_bpe(spark, sf_dir).collect():
         ids = library.encode(documents[r["doc_id"]], add_special_tokens=False).ids
@@ -109,6 +130,15 @@ def test_line_dedup_of_few_long_lines(spark):
     assert got == {i: len(g) for i, g in enumerate(removed_lines(texts, 3))}
 
 
+def test_split_lines_takes_long_copies_in_time():
+    n = 100_000
+    text = "x\n" + "\n \n".join(f"line {i}" for i in range(n)) + "\ny"
+    runs = [(1 + i, min(1 << 15, n - i)) for i in range(n)]
+    kept, n_lines, n_gone, n_runs = line_dedup.split_lines(text, runs)
+    assert ([line for line in kept if line.strip()], n_lines, n_gone, n_runs) == (["x", "y"], n + 2, n, 1)
+    assert line_dedup.split_lines("a\nb\nc\nd", [(0, 1), (2, 2), (3, 1)]) == (["b"], 4, 3, 2)
+
+
 def test_line_dedup_doubles_to_the_longest_run(spark):
     run = "\n".join(f"line {i}" for i in range(21))
     found = line_dedup.repeated_runs(with_rows(table(spark, [run, "x\n" + run, "y\n" + run]))).collect()
@@ -210,6 +240,16 @@ def test_toxicity_repeated_rows_and_long_texts(spark):
     assert len(got) == 83 and len({r["score"] for r in got if r["doc_id"] in (0, 500)}) == 2
 
 
+def test_toxicity_samples_are_bounded_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 10)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda positive, unlabelled, *rest: (seen.append((len(positive), len(unlabelled))), ({}, 0.0))[1])
+    texts = [f"bad words {i}" for i in range(300)] + ["bad thing"] * 200 + [f"good words {i}" for i in range(100)]
+    labels = spark.createDataFrame([(0, 1, 1)] + [(i, 1, 0) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    toxicity.fit(table(spark, texts, [0] * 500 + list(range(1, 101))), labels)
+    assert seen[0][0] == 10 and 0 < seen[0][1] <= 100
+
+
 def test_toxicity_held_out(spark, sf_dir):
     marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     got = [(r["score"], marks[r["doc_id"]]) for r in queries.op4_toxicity(spark, "/root/testdata/sf0.01").filter("held_out").collect() if marks.get(r["doc_id"]) is not None]
