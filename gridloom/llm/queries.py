@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_records, bpe_automaton, fingerprints, line_dedup, lm_scoring, ngram_join, packing, quality_rules, suffix_dedup, toxicity
+from . import binary_records, bpe_automaton, chat_format, fingerprints, hard_negatives, line_dedup, lm_scoring, ngram_join, packing, phrases, quality_rules, suffix_dedup, toxicity
 from .common import read_table, scratch
 from .tokenizer import public_tokenizer
 
@@ -53,6 +53,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scoring(read_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(read_table(spark, sf_dir, "documents"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(spark.sql(chat_format.EXTRA))
+    return chat_format.chat_digests(chat_format.chat_format(turns))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -64,10 +77,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_phrases": op11_phrases,
+    "op12_chat_format": op12_chat_format,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op5_ngram_join": ngram_join.ORACLE_SQL,
+    "op11_phrases": phrases.ORACLE_SQL,
+    "op12_chat_format": chat_format.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
