@@ -51,15 +51,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a Parquet table in the shared folder and read it back.
+#: For tables of large binary values: Parquet looks at the size of pages and row groups after each row, not each hundred.
+LARGE_VALUES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(16 << 20)}
+
+
+def materialise(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` to a Parquet table in the shared folder (with ``options`` of the writer) and read it back.
 
     This cuts the lineage: a lost executor costs its running tasks, never earlier steps. As the table's size is then
     known to the planner, Spark broadcasts a join side only below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,9 +2,10 @@
 
 Texts are cut into blocks of about ``BLOCK`` words, each coded by the numbers of its words, and counting goes by levels.
 A phrase can be frequent only if all its parts are (Apriori): pairs are candidates if both words are frequent, triples if
-both pairs are. Candidates of a block are the nodes of a double-array trie: an array of bases and one of checks, where the
-child of state s by letter c is state base[s] + c if its check is s. Numpy moves the states of all text positions on at
-once, a level at a time, and counts the accepting states with one bincount; Spark sums the blocks' counts by phrase.
+both pairs are. Pairs of frequent words are counted by sorting, as all that occur are candidates. A block's frequent pairs
+and the triples made of them are the nodes of a double-array trie: an array of bases and one of checks, where the child of
+state s by letter c is state base[s] + c if its check is s. Numpy moves the states of all text positions on at once, a
+level at a time, and counts the accepting states with one bincount; Spark sums the blocks' counts by phrase.
 
 Frequent words and pairs grow with the corpus, so no trie of all of them is broadcast: each block is joined to those that
 occur in it, which its own size bounds, and the states of its trie are these and no others. Nothing is collected; a word
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import default_partitions, materialise, small_batches
+from .common import LARGE_VALUES, default_partitions, materialise, small_batches
 
 LEAST, TOP = 10, 2000
 #: A candidate goes if a longer one that holds it has at least this many per cent of its occurrences.
@@ -93,7 +94,7 @@ class DoubleArray:
 
     def __init__(self, n: int):
         self.digits = max(1, -(-max(n - 1, 1).bit_length() // 8))
-        self.base, self.check = np.zeros(1, np.int64), np.full(1, -1, np.int64)
+        self.base, self.check = np.zeros(1, np.int32), np.full(1, -1, np.int32)
 
     def _digit(self, words: np.ndarray, k: int) -> np.ndarray:
         return (words >> 8 * (self.digits - 1 - k) & 255) + 1
@@ -120,7 +121,7 @@ class DoubleArray:
             nodes = np.flatnonzero((sizes > 1 << (j - 1)) & (sizes <= 1 << j))
             placed += int(sizes[nodes].sum())
             room = max(room, placed << j)
-            base, check = (np.r_[x, np.full(max(0, low + room + 257 - len(x)), fill)] for x, fill in ((base, 0), (check, -1)))
+            base, check = (np.r_[x, np.full(max(0, low + room + 257 - len(x)), fill, np.int32)] for x, fill in ((base, 0), (check, -1)))
             while len(nodes):
                 n = sizes[nodes]
                 offsets = np.cumsum(n) - n
@@ -137,18 +138,18 @@ class DoubleArray:
         single = starts[sizes == 1]
         free = low + np.flatnonzero(check[low:] < 0)[: len(single)]
         more = len(single) - len(free)
-        base, check = (np.r_[x, np.full(more, fill)] for x, fill in ((base, 0), (check, -1)))
+        base, check = (np.r_[x, np.full(more, fill, np.int32)] for x, fill in ((base, 0), (check, -1)))
         free = np.r_[free, len(check) - more + np.arange(more)]
         base[parents[single]] = free - letters[single]
         check[free] = parents[single]
         self.base, self.check = base, check
-        return base[parents] + letters
+        return base[parents].astype(np.int64) + letters
 
     def step(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The next states of all positions at once, -1 where there is none or the word is -1."""
         states = np.where(words >= 0, states, -1)
         for k in range(self.digits):
-            to = self.base[np.maximum(states, 0)] + self._digit(words, k)
+            to = self.base[np.maximum(states, 0)].astype(np.int64) + self._digit(words, k)
             to[(to < 0) | (to >= len(self.check))] = 0
             states = np.where((states >= 0) & (self.check[to] == states), to, -1)
         return states
@@ -171,15 +172,11 @@ def _accepted(trie: DoubleArray, before: np.ndarray, word: np.ndarray, seen: np.
 
 
 def count_pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of frequent words that stand side by side, as longs, and their counts."""
-    words, at = _places(codes)
-    trie = DoubleArray(len(words))
-    states = trie.add(np.zeros(len(words), np.int64), np.arange(len(words)))
-    word_of = np.zeros(len(trie.check), np.int64)
-    word_of[states] = words
-    first = trie.step(np.zeros(max(len(at) - 1, 0), np.int64), at[:-1])
-    parents, own, counts = _accepted(trie, first, at[1:], (first >= 0) & (at[1:] >= 0))
-    return word_of[parents] << BITS | words[own], counts
+    """Pairs of frequent words that stand side by side, as longs in order, and their counts. All of these are candidates,
+    so sorting them counts them."""
+    first, second = codes[:-1].astype(np.int64), codes[1:]
+    seen = (first >= 0) & (second >= 0)
+    return np.unique(first[seen] << BITS | second[seen], return_counts=True)
 
 
 def count_triples(codes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +207,10 @@ def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)
             if own is not None:
                 to[own.field(0).to_numpy()] = own.field(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([to[codes].tobytes()], pa.binary())], names=["block", "codes"])
+            codes = to[codes]
+            # one cut stands for any number of words that are no candidates
+            codes = codes[(codes >= 0) | np.r_[True, codes[:-1] >= 0]] if len(codes) else codes
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([codes.tobytes()], pa.binary())], names=["block", "codes"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +248,12 @@ def candidates(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFram
     occurrences of a longer candidate that holds it), and ``lang``, ``n``."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    tokens = materialise(texts.mapInArrow(_coded, "block long, number int, lang string, word string, c long, codes binary"), "tokens")
+    tokens = materialise(texts.mapInArrow(_coded, "block long, number int, lang string, word string, c long, codes binary"), "tokens", LARGE_VALUES)
     totals = tokens.filter("number >= 0").groupBy("lang").agg(F.sum("c").alias("n"))
     words = frequent_words(tokens, least)
     own = tokens.filter("number >= 0").join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("number", F.col("id").cast("int"))).alias("own"))
     blocks = tokens.filter("number < 0").select("block", "codes").join(own, "block").select("block", "codes", "own")
-    coded = materialise(blocks.mapInArrow(_renumbered, "block long, codes binary"), "coded")
+    coded = materialise(blocks.mapInArrow(_renumbered, "block long, codes binary"), "coded", LARGE_VALUES)
     counted = materialise(coded.mapInArrow(_pairs, "block long, pair long, c long"), "pairs")
     frequent = materialise(counted.groupBy("pair").agg(F.sum("c").alias("a")).filter(F.col("a") >= least), "frequent")
     by_block = counted.select("block", "pair").join(frequent.select("pair"), "pair").groupBy("block").agg(F.collect_list("pair").alias("own"))
