@@ -20,6 +20,10 @@ FROM (SELECT year(l_shipdate) AS yr, month(l_shipdate) AS mo, CAST(l_suppkey % 4
     "fx_same_grid": """SELECT q.yr, q.mo, (q.yr-1850)*365+m.b0 AS t0, (q.yr-1850)*365+m.b1 AS t1,
  CAST(-90+30*i AS DOUBLE) AS lat0, CAST(-60+30*i AS DOUBLE) AS lat1, CAST(-180+30*j AS DOUBLE) AS lon0, CAST(-150+30*j AS DOUBLE) AS lon1, v AS value
 FROM (SELECT year(l_shipdate) AS yr, month(l_shipdate) AS mo, CAST(l_suppkey % 6 AS INT) AS i, CAST(l_partkey % 12 AS INT) AS j, avg(l_quantity*(1-l_tax)+l_linenumber) AS v FROM lineitem GROUP BY 1,2,3,4) q JOIN fx_months m ON q.mo=m.mo""",
+    "fx_wide_grid": """SELECT q.yr, q.mo, (q.yr-1850)*365+m.b0 AS t0, (q.yr-1850)*365+m.b1 AS t1,
+ CAST(-90+60*i AS DOUBLE) AS lat0, CAST(-30+60*i AS DOUBLE) AS lat1, CAST(-180+60*j AS DOUBLE) AS lon0, CAST(-120+60*j AS DOUBLE) AS lon1, v AS value
+FROM (SELECT year(l_shipdate) AS yr, month(l_shipdate) AS mo, CAST(l_suppkey % 3 AS INT) AS i, CAST(l_partkey % 6 AS INT) AS j, avg(l_quantity*(1+l_tax)-l_linenumber) AS v FROM lineitem GROUP BY 1,2,3,4) q JOIN fx_months m ON q.mo=m.mo""",
+    "fx_three_models": """SELECT 'a' AS model, t0, t1, lat0, lat1, lon0, lon1, value FROM fx_same_grid UNION ALL SELECT 'b', t0, t1, lat0, lat1, lon0, lon1, value FROM fx_com_grid WHERE lat0 < 45 UNION ALL SELECT 'c', t0, t1, lat0, lat1, lon0, lon1, value FROM fx_wide_grid""",
     "fx_dense_ref": """SELECT t.yr, t.mo, t.t0, t.t1, c.lat0, c.lat1, c.lon0, c.lon1, r.value
 FROM (SELECT DISTINCT yr, mo, t0, t1 FROM fx_ref_grid) t CROSS JOIN (SELECT DISTINCT lat0, lat1, lon0, lon1 FROM fx_ref_grid) c
 LEFT JOIN fx_ref_grid r ON r.t0=t.t0 AND r.lat0=c.lat0 AND r.lon0=c.lon0""",

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import taylor_score
+from . import CELL
+from .space import on_one_grid
 from .time import integrate
 
 
@@ -218,3 +220,9 @@ def ensemble_mean(models: DataFrame, on: list[str], weights: dict[str, float] |
     w = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("model")), F.lit(0.0))
     total = float(sum(weights.values()))
     return models.groupBy(*on).agg(F.when(F.count("value") > 0, F.sum(F.coalesce("value", F.lit(0.0)) * w) / total).alias("value"))
+
+
+def ensemble_on_grid(models: DataFrame, cells: DataFrame, weights: dict[str, float] | DataFrame) -> DataFrame:
+    """``ensemble_mean`` of models on grids of their own, on the ``cells`` of one grid."""
+    times = [c for c in ("t0", "t1") if c in models.columns]
+    return ensemble_mean(on_one_grid(models, cells), [*times, *CELL], weights)

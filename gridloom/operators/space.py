@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cell_area
@@ -178,6 +178,62 @@ def compose(ref: DataFrame, com: DataFrame, axes_of: tuple[DataFrame, DataFrame]
     return on_axes(ref, lats, lons, a), on_axes(com, lats, lons, b)
 
 
+def _axis(df: DataFrame, lower: str, upper: str, *keys: str) -> DataFrame:
+    return df.select(*keys, F.col(lower).alias("lo"), F.col(upper).alias("hi")).filter("lo is not null").distinct()
+
+
+def _for_models(axis: DataFrame, models: DataFrame) -> DataFrame:
+    """An axis once for each model (``model`` of another axis)."""
+    names = models.select("model").distinct().withColumn("_k", F.lit(0))
+    return axis.withColumn("_k", F.lit(0)).join(names, "_k").select("model", "lo", "hi")
+
+
+def nearest_on_axes(asked: DataFrame, own: DataFrame, name: str) -> DataFrame:
+    """``asked`` (model, lo, hi) with the lower bound (as ``name``) of that cell of the model's ``own`` axis (model, lo, hi)
+    whose centre is nearest, the lower one of equals.
+
+    Both are put in order along the axis, and each looks to the nearest own centre on either side. Axes are distinct
+    cells, so a window holds one axis of one model.
+    """
+    none = F.lit(None).cast("double")
+    x = ((F.col("lo") + F.col("hi")) / 2).alias("x")
+    points = asked.select("model", x, "lo", "hi", none.alias("own")).union(own.select("model", x, none, none, F.col("lo")))
+    along = Window.partitionBy("model").orderBy("x", F.col("lo").isNotNull())
+    held = F.when(F.col("own").isNotNull(), F.struct("x", "own"))
+    a = F.last(held, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    b = F.first(held, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    near = F.when(F.col("_b").isNull() | (F.col("x") - F.col("_a.x") <= F.col("_b.x") - F.col("x")), F.col("_a.own")).otherwise(F.col("_b.own"))
+    return points.withColumns({"_a": a, "_b": b}).filter("lo is not null").select("model", "lo", "hi", near.alias(name))
+
+
+def axis_meetings(ref: DataFrame, com: DataFrame, lower: str, upper: str, limit: float) -> DataFrame:
+    """By ``model`` of ``com``, whose models lie on axes of their own: the cells (``lower``, ``upper``) between all edges of
+    the model's axis and the reference's that lie within +-``limit``, with the lower bounds of the reference's nearest cell
+    (``r_`` and the name) and of the model's (``c_``)."""
+    own = _axis(com, lower, upper, "model")
+    base = _for_models(_axis(ref, lower, upper), own)
+    both = own.union(base)
+    edges = both.select("model", F.col("lo").alias("lo")).union(both.select("model", "hi")).filter(F.abs("lo") <= limit).distinct()
+    cells = edges.withColumn("hi", F.lead("lo").over(Window.partitionBy("model").orderBy("lo"))).filter("hi is not null")
+    met = nearest_on_axes(cells, base, f"r_{lower}").join(nearest_on_axes(cells, own, f"c_{lower}"), ["model", "lo", "hi"])
+    return met.withColumnsRenamed({"lo": lower, "hi": upper})
+
+
+def on_one_grid(models: DataFrame, cells: DataFrame) -> DataFrame:
+    """``models`` (model, cells of their own grids, more) on the ``cells`` of one grid, by nearest centres on each axis."""
+    out = models
+    for lower, upper in (("lat0", "lat1"), ("lon0", "lon1")):
+        own = _axis(models, lower, upper, "model")
+        near = nearest_on_axes(_for_models(_axis(cells, lower, upper), own), own, "_own")
+        out = out.withColumnRenamed(lower, "_own").drop(upper).join(near, ["model", "_own"]).drop("_own").withColumnsRenamed({"lo": lower, "hi": upper})
+    return out.select(*models.columns)
+
+
+def grid_meetings(ref: DataFrame, com: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``axis_meetings`` of latitudes and of longitudes."""
+    return axis_meetings(ref, com, "lat0", "lat1", 90.0), axis_meetings(ref, com, "lon0", "lon1", 180.0)
+
+
 def at_sites(grid: DataFrame, sites: DataFrame) -> DataFrame:
     """The grid's values at sites (site, lat, lon), from the nearest centre on each axis, the lower one of equals.
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import conversion
 from ..operators import CELL
 from ..operators.space import at_sites, uniform_clip
 from ..operators.time import clip_to_cover, coarsen, integrate
+from ..sources.store import written
 
 
 class NotComparable(ValueError):
@@ -33,6 +34,34 @@ def _models(df: DataFrame) -> list[str]:
     return [c for c in ("model",) if c in df.columns]
 
 
+def model_groups(com: DataFrame) -> list[list[str]]:
+    """The models of ``com`` in groups of one clock, extent and layering: each group can be made comparable in one go,
+    whatever the others are like. One job, which sends a row a model."""
+    bounds = [c for c in ("t0", "t1", *CELL, "z0", "z1") if c in com.columns]
+    ends = [f(c) for c in bounds if c not in ("t0", "t1") for f in (F.min, F.max)]
+    if "t0" in com.columns:
+        steps = com.groupBy("model", "t0", "t1").agg(*(x.alias(f"e{i}") for i, x in enumerate(ends)))
+        own = [F.min("t0"), F.max("t1"), F.count(F.lit(1)), F.round(F.avg(F.col("t1") - F.col("t0")), 6)]
+        rows = steps.groupBy("model").agg(*own, *(f(f"e{i}") for i, f in enumerate((F.min, F.max) * (len(ends) // 2)))).collect()
+    else:
+        rows = com.groupBy("model").agg(*ends, F.count(F.lit(1)) > 0).collect()
+    groups: dict[tuple, list[str]] = {}
+    for row in rows:
+        groups.setdefault(tuple(row)[1:], []).append(row["model"])
+    return sorted(sorted(g) for g in groups.values())
+
+
+def _on_times_of(ref: DataFrame, com: DataFrame) -> DataFrame:
+    """``com`` with the reference's bounds of time, interval by interval in their order. The intervals are metadata."""
+    number = F.row_number().over(Window.orderBy("t0"))
+    own = com.select("t0", "t1").distinct().withColumn("_n", number)
+    theirs = ref.select(F.col("t0").alias("_t0"), F.col("t1").alias("_t1")).distinct().withColumn("_n", F.row_number().over(Window.orderBy("_t0")))
+    both = own.join(theirs, "_n").drop("_n")
+    if not both.filter((F.abs(F.col("t0") - F.col("_t0")) > 0) | (F.abs(F.col("t1") - F.col("_t1")) > 0)).limit(1).count():
+        return com
+    return com.join(both, ["t0", "t1"]).drop("t0", "t1").withColumnsRenamed({"_t0": "t0", "_t1": "t1"}).select(*com.columns)
+
+
 def _times(df: DataFrame) -> dict:
     """First and last bound, mean length and number of the distinct intervals."""
     distinct = df.select("t0", "t1").distinct()
@@ -46,7 +75,8 @@ def comparable(
 
     A grid is read at the reference's ``sites`` (site, lat, lon). Grids are cut where one reaches 5 degrees beyond the other.
     The finer in time is averaged over the coarser's intervals if these are over half an order of magnitude longer, widened
-    by ``window``. Then times are cut to what both cover. Decisions rest on a few scalars that Spark aggregates; the fields
+    by ``window``. Then times are cut to what both cover, and the intervals of ``com``, which may be off by a part of their
+    length, get the reference's bounds. Models of different clocks go one group (``model_groups``) at a time. Decisions rest on a few scalars that Spark aggregates; the fields
     themselves stay distributed. Raises where no common form exists.
     """
     if ("t0" in ref.columns) != ("t0" in com.columns):
@@ -54,7 +84,7 @@ def comparable(
     if "site" in ref.columns and "site" not in com.columns:
         if sites is None:
             raise NotComparable("the reference has sites; say where they are")
-        com = at_sites(com, sites).drop(*CELL, "lat", "lon")
+        com = written(at_sites(com, sites).drop(*CELL, "lat", "lon"), "sites")
     if ("site" in ref.columns) != ("site" in com.columns):
         raise NotComparable("one field has sites, the other a grid")
     if "lat0" in ref.columns:
@@ -73,9 +103,9 @@ def _same_times(ref: DataFrame, com: DataFrame, clip_ref: bool, window: float, a
     intervals = lambda df: df.select(F.col("t0").alias("b0"), F.col("t1").alias("b1")).distinct()
     back = {"b0": "t0", "b1": "t1"}
     if math.log10(a["dt"] / b["dt"]) > 0.5:
-        com = coarsen(com, intervals(ref), [*_models(com), *_place(com)], window).withColumnsRenamed(back)
+        com = written(coarsen(com, intervals(ref), [*_models(com), *_place(com)], window).withColumnsRenamed(back), "coarse")
     elif math.log10(b["dt"] / a["dt"]) > 0.5:
-        ref = coarsen(ref, intervals(com), _place(ref), window).withColumnsRenamed(back)
+        ref = written(coarsen(ref, intervals(com), _place(ref), window).withColumnsRenamed(back), "coarse")
         a = _times(ref)
     com = clip_to_cover(com, a["a"], a["b"])
     b = _times(com)
@@ -93,7 +123,7 @@ def _same_times(ref: DataFrame, com: DataFrame, clip_ref: bool, window: float, a
         raise NotComparable(f"the reference has {a['n']} times, the other {b['n']}")
     if max(abs(a["a"] - b["a"]), abs(a["b"] - b["b"])) > 0.75 * a["dt"]:
         raise NotComparable("the fields are defined at different times")
-    return ref, com
+    return ref, _on_times_of(ref, com)
 
 
 def _same_layers(ref: DataFrame, com: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,8 @@
 """The default analysis of a field against a reference: period means, cycles, variability, errors and their scores by region.
 
-All models are one table with a ``model`` column, so a dataset is one job whatever the number of models. Fields are read
-once for their series statistics (sums over pairs in time) and once for their mean cycles; everything after that is as
-small as a grid.
+All models are one table with a ``model`` column, so a dataset is one job whatever the number of models and their grids.
+Each field is reduced by its own cells: once for its mean cycles, once with them for its other statistics. Only errors of
+series need both fields at once. Everything after that is as small as a grid.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.scores import cycle_score, exp_score, taylor_score, wrap_shift
 from ..operators import CELL
 from ..operators.compare import bias, correlation
-from ..operators.space import area_column, compose, in_region
+from ..operators.lookup import regional_threshold
+from ..operators.space import area_column, compose, grid_meetings, in_region
 from ..operators.time import annual_cycle, integrate, nearest_month
+from ..sources.store import written
 
 #: Days in the months of a year without leap days.
 MONTH_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
@@ -81,55 +83,75 @@ def regional_scores(ref: DataFrame, com: DataFrame, regions: DataFrame) -> DataF
     )
 
 
-def _of_models(ref: DataFrame, com: DataFrame, place: list[str]) -> DataFrame:
-    """The pairs of each model: every row of the reference and of the model, by place and time."""
-    a = ref.select(*place, "t0", "t1", F.col("value").alias("x"))
-    models = com.select("model").distinct().agg(F.collect_list("model").alias("m")).first()["m"]
-    a = a.withColumn("model", F.explode(F.array(*map(F.lit, sorted(models)))))
-    return a.join(com.select("model", *place, "t0", "t1", F.col("value").alias("y")), ["model", *place, "t0", "t1"], "full")
-
-
-def _cycles(ref: DataFrame, com: DataFrame, place: list[str]) -> DataFrame:
-    """``month``, ``cx``, ``cy``: the mean yearly cycles of reference and models."""
-    a = annual_cycle(ref, place).select(*place, "month", F.col("value").alias("cx"))
-    return annual_cycle(com, ["model", *place]).select("model", *place, "month", F.col("value").alias("cy")).join(a, [*place, "month"])
-
-
-def place_scores(ref: DataFrame, com: DataFrame, place: list[str], basis: str = "cycle") -> DataFrame:
-    """By model and place (a cell or a site): means, deviation, bias, errors (of the mean cycles or of the series), phase
-    shift in months, year-to-year variability of both, and the scores of all these. ``both`` tells where both have data."""
-    keys = ["model", *place]
-    pairs = _of_models(ref, com, place)
-    series = _statistics(pairs, keys)
-    cycles = _cycles(ref, com, place)
-    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("v"), F.col("month").alias("m"))))["m"]
-    days = F.element_at(F.lit(MONTH_DAYS), F.col("month") + 1)
-    mx, my = (F.avg(c) for c in ("cx", "cy"))
-    d, w = F.col("cy") - F.col("cx"), F.sum(F.when(F.col("cy").isNotNull() & F.col("cx").isNotNull(), days))
-    of_cycle = cycles.groupBy(*keys).agg(
-        wrap_shift((first("cy") - first("cx")).cast("double") * 365.0 / 12.0).alias("shift"), F.try_divide(F.sum(d * d * days), w).alias("_dd"),
-        F.try_divide(F.sum(d * days), w).alias("_d"), (my - mx).alias("_m"),
-    )
-    rest = pairs.withColumn("month", nearest_month((F.col("t0") + F.col("t1")) / 2)).join(cycles, [*keys, "month"], "left")
-    u, length = lambda v, c: F.col(v) - F.col(c), F.col("t1") - F.col("t0")
-    rms = lambda v, c: F.sqrt(F.try_divide(F.sum(u(v, c) * u(v, c) * length), F.sum(F.when(u(v, c).isNotNull(), length))))
-    iav = rest.groupBy(*keys).agg(rms("x", "cx").alias("ref_iav"), rms("y", "cy").alias("com_iav"))
-    out = series.join(of_cycle, keys, "left").join(iav, keys, "left")
+def _own_statistics(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Of one field by ``keys``: its mean, deviation from it, number of times, first month of the greatest of the mean cycle
+    and root mean square of the difference from the cycle; and the cycle (``month``, value)."""
+    x, w = F.col("value"), F.col("t1") - F.col("t0")
+    cycle = written(annual_cycle(df, keys).withColumnRenamed("value", name), "cycle")
+    mean = lambda v: F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
+    rest = df.withColumn("month", nearest_month((F.col("t0") + F.col("t1")) / 2)).join(cycle, [*keys, "month"], "left")
+    off = x - F.col(name)
+    sums = rest.groupBy(*keys).agg(mean(x).alias(f"{name}_mean"), mean(x * x).alias("_xx"), F.count(F.lit(1)).alias(f"{name}_times"), F.sqrt(mean(off * off)).alias(f"{name}_iav"))
+    sums = sums.withColumn(f"{name}_spread", F.sqrt(F.greatest(F.col("_xx") - F.pow(f"{name}_mean", F.lit(2)), F.lit(0.0)))).drop("_xx")
+    top = F.min(F.when(F.col(name).isNotNull(), F.struct((-F.col(name)).alias("v"), F.col("month").alias("m"))))["m"]
+    return sums.join(cycle.groupBy(*keys).agg(top.alias(f"{name}_top")), keys, "left"), cycle
+
+
+def place_scores(ref: DataFrame, com: DataFrame, place: list[str], basis: str = "cycle", meetings: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """By model and place (``place`` names what identifies a site, or a cell by its lower bounds): means, deviation, bias,
+    errors (of the mean cycles or of the series), phase shift in months, year-to-year variability of both, and the scores of
+    all these. ``both`` tells where both have data.
+
+    With ``meetings`` (``grid_meetings``) each model has a grid of its own: the places are the cells of the composed grids,
+    with all bounds. Each field is reduced by its own cells, and what needs both by the pairs of cells that meet, which the
+    axes tell; the reference is never copied for the models.
+    """
+    (a, ca), (b, cb) = _own_statistics(ref, place, "r"), _own_statistics(com, ["model", *place], "c")
+    rs, cs = [f"r_{c}" for c in place], [f"c_{c}" for c in place]
+    named = lambda df, to: df.withColumnsRenamed(dict(zip(place, to, strict=True)))
+    a, ca, b, cb, com_, ref_ = named(a, rs), named(ca, rs), named(b, cs), named(cb, cs), named(com, cs), named(ref, rs)
+    if meetings is None:
+        models = com.select("model").distinct().withColumn("_k", F.lit(0))
+        mine = ref.select(*place).distinct().withColumn("_k", F.lit(0)).join(models, "_k").select("model", *place)
+        cells = com.select("model", *place).union(mine).distinct().select("model", *place, *(F.col(c).alias(t) for to in (rs, cs) for c, t in zip(place, to, strict=True)))
+        met = lambda df: df.withColumns({r: F.col(c) for r, c in zip(rs, cs, strict=True)})
+    else:
+        lats, lons = meetings
+        cells = lats.join(lons, "model")
+        met = lambda df: df.join(lats.select("model", "r_lat0", "c_lat0").distinct(), ["model", "c_lat0"]).join(lons.select("model", "r_lon0", "c_lon0").distinct(), ["model", "c_lon0"])
+    keys = ["model", *rs, *cs]
     if basis == "cycle":
-        out = out.withColumns({"rmse": F.sqrt("_dd"), "crmse": F.sqrt(F.greatest(F.col("_dd") - 2 * F.col("_m") * F.col("_d") + F.pow("_m", F.lit(2)), F.lit(0.0)))})
-    norm = F.when(F.col("n_times") > 1, F.col("spread")).otherwise(F.col("ref_mean"))
-    return out.drop("_dd", "_d", "_m").withColumns(
-        {
-            "both": F.col("ref_mean").isNotNull() & F.col("com_mean").isNotNull(),
-            "bias_score": exp_score(F.col("bias"), norm),
-            "rmse_score": exp_score(F.col("crmse"), F.col("spread")),
-            "cycle_score": cycle_score(F.col("shift")),
-            "shift": F.abs("shift") / 30.0,
-            "iav_score": exp_score(F.col("com_iav") - F.col("ref_iav"), F.col("ref_iav")),
-        }
-    )
-
-
+        days = F.element_at(F.lit(MONTH_DAYS), F.col("month") + 1)
+        pairs = met(cb).join(ca, [*rs, "month"]).select(*keys, F.col("r").alias("x"), F.col("c").alias("y"), days.alias("w"))
+    else:
+        times = met(com_.select("model", *cs, "t0", F.col("value").alias("y")))
+        pairs = times.join(ref_.select(*rs, "t0", (F.col("t1") - F.col("t0")).alias("w"), F.col("value").alias("x")), [*rs, "t0"]).select(*keys, "x", "y", "w")
+    d, w = F.col("y") - F.col("x"), F.col("w")
+    whole = F.sum(F.when(d.isNotNull(), w))
+    errors = pairs.groupBy(*keys).agg(F.try_divide(F.sum(d * d * w), whole).alias("_dd"), F.try_divide(F.sum(d * w), whole).alias("_d"), (F.avg("y") - F.avg("x")).alias("_m"))
+    both = cells.join(a, rs, "left").join(b, ["model", *cs], "left").join(errors, keys, "left").filter("r_mean is not null or c_mean is not null")
+    bias_ = F.col("c_mean") - F.col("r_mean")
+    # the means that errors are centred by: of the cycles, or those over each field's own times
+    shift_ = F.col("_m") if basis == "cycle" else bias_
+    bounds = CELL if meetings is not None else place
+    norm = F.when(F.col("r_times") > 1, F.col("r_spread")).otherwise(F.col("r_mean"))
+    out = both.select(
+        "model", *bounds, F.col("r_mean").alias("ref_mean"), F.col("c_mean").alias("com_mean"), F.col("r_times").alias("n_times"), F.col("r_spread").alias("spread"), bias_.alias("bias"), norm.alias("_norm"),
+        F.sqrt("_dd").alias("rmse"), F.sqrt(F.greatest(F.col("_dd") - 2 * shift_ * F.col("_d") + shift_ * shift_, F.lit(0.0))).alias("crmse"),
+        wrap_shift((F.col("c_top") - F.col("r_top")).cast("double") * 365.0 / 12.0).alias("shift"), F.col("r_iav").alias("ref_iav"), F.col("c_iav").alias("com_iav"),
+    )
+    scored = {
+        "both": F.col("ref_mean").isNotNull() & F.col("com_mean").isNotNull(),
+        "bias_score": exp_score(F.col("bias"), F.col("_norm")),
+        "rmse_score": exp_score(F.col("crmse"), F.col("spread")),
+        "cycle_score": cycle_score(F.col("shift")),
+        "shift": F.abs("shift") / 30.0,
+        "iav_score": exp_score(F.col("com_iav") - F.col("ref_iav"), F.col("ref_iav")),
+    }
+    return out.withColumns(scored).drop("_norm")
+
+
+#: The names of scalars.
 _NAMES = {
     "bias": "Bias", "bias_score": "Bias Score", "rmse": "RMSE", "rmse_score": "RMSE Score", "shift": "Phase Shift", "cycle_score": "Seasonal Cycle Score",
     "iav_score": "Interannual Variability Score", "ref_mean": "Benchmark Period Mean (intersection)", "com_mean": "Model Period Mean (intersection)",
@@ -146,13 +168,42 @@ def _long(wide: DataFrame, keys: list[str], skip: tuple[str, ...]) -> DataFrame:
     return rows.select(*keys, "x.scalar", "x.value").filter("value is not null")
 
 
-def mean_state(ref: DataFrame, com: DataFrame, regions: DataFrame, basis: str = "cycle", mass_weighting: bool = True, skip: tuple[str, ...] = ()) -> DataFrame:
-    """``model``, ``region``, ``scalar``, ``value``: all scalars of gridded models (on the reference's grid) by region.
+def skipped(ref: DataFrame, skip: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """``skip`` and what the reference's times do not allow: no cycle unless they are at least twelve months, no errors and
+    no variability with a single time. One small job on the distinct times."""
+    times = ref.select("t0", "t1").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("t1") - F.col("t0")).alias("dt")).first()
+    monthly = times["n"] >= 12 and abs(times["dt"] - 30) < 3
+    return (*skip, *(() if monthly else ("skip_cycle",)), *(("skip_rmse",) if times["n"] == 1 else ()))
+
+
+def quantile_score(cells: DataFrame, column: str, thresholds: DataFrame, regions: DataFrame, kind: str) -> DataFrame:
+    """``cells`` with ``column``_score made anew: 1 - |column| / threshold within [0, 1], the threshold being the sum over a
+    cell's regions of the table's (``region``, ``type``, ``value``) values of the type ``kind``; null in no region."""
+    by_cell = regional_threshold(in_region(cells.select(*CELL).distinct(), regions), thresholds.filter(F.col("type") == kind))
+    share = 1 - F.try_divide(F.abs({"bias": "bias", "rmse": "crmse"}[column]), F.col("threshold"))
+    score = F.when(share.isNotNull(), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+    return cells.join(by_cell, CELL, "left").withColumn(f"{column}_score", score).drop("threshold")
+
+
+def mean_state(ref: DataFrame, com: DataFrame, regions: DataFrame, basis: str = "cycle", mass_weighting: bool = True, skip: tuple[str, ...] = (), thresholds: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``model``, ``region``, ``scalar``, ``value``: all scalars of gridded models, each on a grid of its own, by region.
 
-    Means over the cells that both have, that only one has; spatial distribution of the time means; bias, errors, cycle and
-    variability with their scores, which weigh cells by area and, for scores with ``mass_weighting``, the reference's mean.
+    Each model meets the reference on the grid of both their cell edges. Means over the cells that both have, that only one
+    has; spatial distribution of the time means; bias, errors, cycle and variability with their scores, which weigh cells by
+    area and, for scores with ``mass_weighting``, the reference's mean. ``thresholds`` (a table of regional thresholds, and
+    its regions) makes scores of bias and errors by ``quantile_score``, without mass weighting. Raises if a model shares no
+    cell with the reference.
     """
-    cells = in_region(place_scores(ref, com, CELL, basis), regions)
+    meetings = tuple(written(m, "axis") for m in grid_meetings(ref, com))
+    alone = com.select("model").distinct().join(meetings[0].join(meetings[1].select("model").distinct(), "model").select("model").distinct(), "model", "left_anti").limit(1).collect()
+    if alone:
+        raise ValueError(f"the model {alone[0]['model']} shares no cell with the reference")
+    scores = place_scores(ref, com, ["lat0", "lon0"], basis, meetings)
+    if thresholds is not None:
+        mass_weighting = False
+        for column in ("bias", "rmse"):
+            scores = quantile_score(scores, column, *thresholds, column)
+    cells = in_region(scores, regions)
     area, both = area_column(), F.col("both")
     mass = area * F.abs("ref_mean") if mass_weighting else area
     x, y = (F.when(both, F.col(c)) for c in ("ref_mean", "com_mean"))
@@ -163,7 +214,7 @@ def mean_state(ref: DataFrame, com: DataFrame, regions: DataFrame, basis: str =
         _mean_of("ref_mean", area, F.col("com_mean").isNull()).alias("ref_only"), _mean_of("com_mean", area, F.col("ref_mean").isNull()).alias("com_only"),
         correlation("_x", "_y").alias("_r"), F.try_divide(F.stddev_pop("_y"), F.stddev_pop("_x")).alias("_s"),
     )
-    return _long(wide.withColumn("sd_score", taylor_score(F.col("_s"), F.col("_r"))), ["model", "region"], skip)
+    return _long(wide.withColumn("sd_score", taylor_score(F.col("_s"), F.col("_r"))), ["model", "region"], skipped(ref, skip))
 
 
 def site_state(ref: DataFrame, com: DataFrame, basis: str = "series", skip: tuple[str, ...] = ()) -> DataFrame:
@@ -171,4 +222,4 @@ def site_state(ref: DataFrame, com: DataFrame, basis: str = "series", skip: tupl
     complement and no spatial distribution."""
     sites = place_scores(ref, com, ["site"], basis).filter("both")
     wide = sites.groupBy("model").agg(*(F.avg(c).alias(c) for c in ("ref_mean", "com_mean", "bias", "bias_score", "rmse", "rmse_score", "shift", "cycle_score", "iav_score")))
-    return _long(wide, ["model"], skip)
+    return _long(wide, ["model"], skipped(ref, skip))

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import CELL
+from ..operators.space import in_region
+from ..operators.time import integrate
+from ..sources.store import Store, written
 from . import config, mean_state, scoreboard
-from .alignment import comparable
+from .alignment import comparable, model_groups
 
 #: A program takes (node, reference, models, regions) and returns ``model``, ``region``, ``scalar``, ``value``.
 Program = Callable[[config.Node, DataFrame, DataFrame, DataFrame], DataFrame]
@@ -67,29 +71,112 @@ def missing(spark: SparkSession, root: config.Node, catalog: DataFrame) -> DataF
     return models.withColumn("_k", F.lit(0)).join(datasets, "_k").drop("_k").join(have, ["model", "dataset"], "left_anti")
 
 
-def run(root: config.Node, fields: Fields, regions: DataFrame, names: list[str] | None = None) -> DataFrame:
+SCALARS = "section string, variable string, source string, model string, region string, scalar string, value double"
+MAPS = "model string, lat0 double, lat1 double, lon0 double, lon1 double, value double"
+#: The name that the reference's own maps go by.
+BENCHMARK = "Benchmark"
+
+
+def _time_means(df: DataFrame, model: Column) -> DataFrame:
+    keys = ["model", *CELL] if "model" in df.columns else CELL
+    mean = integrate(df, keys, mean=True) if "t0" in df.columns else df
+    return mean.select(model.alias("model"), *CELL, F.col("value").cast("double").alias("value"))
+
+
+def run(root: config.Node, fields: Fields, regions: DataFrame, names: list[str] | None = None, store: Store | None = None) -> DataFrame:
     """``section``, ``variable``, ``source``, ``model``, ``region``, ``scalar``, ``value`` of all datasets, with the overall
-    score of each; datasets without data give no rows."""
-    parts = []
+    score of each; datasets without data give no rows.
+
+    What each dataset gives for a group of models of one clock is written to the ``store`` (scalars, and maps of time means
+    of grids for ``relationships``) before the next begins, so all that follows reads a small table. A run on a store goes
+    on where an earlier one ended. What fails is noted there and leaves the others whole.
+    """
+    store = store or Store(regions.sparkSession)
+    any_data = False
     for h1, h2, leaf in selected(root, names or []):
-        ref, com = fields.reference(leaf), fields.models(leaf)
-        if ref is None or com is None:
+        key, models = f"{h1.name}/{h2.name}/{leaf.name}", ["*"]
+        try:
+            ref, com = fields.reference(leaf), fields.models(leaf)
+            if ref is None or com is None:
+                continue
+            any_data = True
+            models = sorted(r["model"] for r in store.missing(key, com).collect())  # a row a model
+            com = com.filter(F.col("model").isin(models)).withColumn("value", F.col("value") * float(leaf.values.get("scale_factor", 1)))
+            groups = model_groups(com) if models else []
+        except Exception as error:  # whatever a dataset's fields raise, the others go on
+            store.fail(key, models, error)
             continue
-        scale = float(leaf.values.get("scale_factor", 1))
-        unit = leaf.values.get("unit", "1")
-        ref, com = comparable(ref, com.withColumn("value", F.col("value") * scale), unit, leaf.values.get("model_unit", unit), fields.sites(leaf) if fields.sites else None)
-        scalars = PROGRAMS[leaf.values.get("ctype", "default")](leaf, ref, com, regions)
-        parts.append(scalars.select(F.lit(h1.name).alias("section"), F.lit(h2.name).alias("variable"), F.lit(leaf.name).alias("source"), "model", "region", "scalar", "value"))
-    if not parts:
+        for group in groups:
+            try:
+                store.put(key, group, _results(h1, h2, leaf, fields, ref, com.filter(F.col("model").isin(group)), regions))
+            except Exception as error:
+                store.fail(key, group, error)
+    if not any_data:
         raise ValueError("no dataset of the configuration has data")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = store.read("scalars", SCALARS).drop("dataset")
     keys = ["section", "variable", "source", "model", "region"]
     overall = scoreboard.overall_score(out.withColumnsRenamed({"scalar": "metric", "value": "data"}), keys)
     return out.unionByName(overall.select(*keys, F.lit("Overall Score").alias("scalar"), F.col("score").alias("value")))
 
 
+def _results(h1: config.Node, h2: config.Node, leaf: config.Node, fields: Fields, ref: DataFrame, com: DataFrame, regions: DataFrame) -> dict[str, DataFrame]:
+    """The tables of one dataset for models of one clock."""
+    unit = leaf.values.get("unit", "1")
+    ref, com = comparable(ref, com, unit, leaf.values.get("model_unit", unit), fields.sites(leaf) if fields.sites else None)
+    scalars = PROGRAMS[leaf.values.get("ctype", "default")](leaf, ref, com, regions)
+    named = scalars.select(F.lit(h1.name).alias("section"), F.lit(h2.name).alias("variable"), F.lit(leaf.name).alias("source"), "model", "region", "scalar", F.col("value").cast("double").alias("value"))
+    if not set(CELL) <= set(ref.columns) & set(com.columns):
+        return {"scalars": named}
+    return {"scalars": named, "maps": _time_means(ref, F.lit(BENCHMARK)).unionByName(_time_means(com, F.col("model")))}
+
+
+def related(root: config.Node) -> list[tuple[str, str, str]]:
+    """Dependent dataset, independent dataset and the latter's short name, from the ``relationships`` keys, which list
+    ``variable/source`` of other datasets."""
+    keys = {f"{h2.name}/{leaf.name}": f"{h1.name}/{h2.name}/{leaf.name}" for h1, h2, leaf in selected(root, [])}
+    out = []
+    for h1, h2, leaf in selected(root, []):
+        for name in (n.strip().strip("\"'") for n in leaf.values.get("relationships", "").split(",")):
+            if name in keys:
+                out.append((f"{h1.name}/{h2.name}/{leaf.name}", keys[name], name))
+    return out
+
+
+def relationships(root: config.Node, store: Store, regions: DataFrame, n: int = 25, least_share: float = 3e-3) -> DataFrame:
+    """``section``, ``variable``, ``source``, ``model``, ``region``, ``scalar``, ``value``: for each pair of datasets that the
+    configuration relates and each model, how alike the model's relationship of their time means is to the reference's, by
+    region: the Hellinger score of their histograms and the score of their mean responses.
+
+    One job for all pairs, models and regions over the written maps; bins span all models' values of a dataset. Maps of a
+    pair meet where their cells are the same. Histograms without a common bin score 1, responses without one have no row.
+    """
+    spark = regions.sparkSession
+    maps = store.read("maps", MAPS).filter("value is not null").distinct()
+    pairs = spark.createDataFrame(related(root), "dep string, ind string, name string")
+    spans = maps.groupBy("dataset").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    side = lambda which, v: maps.join(spans, "dataset").select(F.col("dataset").alias(which), "model", *CELL, F.col("value").alias(v), F.col("lo").alias(f"{v}_lo"), F.col("hi").alias(f"{v}_hi"))
+    points = pairs.join(side("dep", "y"), "dep").join(side("ind", "x"), ["ind", "model", *CELL])
+    bin_of = lambda v: F.least(F.greatest(F.coalesce(F.floor(F.try_divide((F.col(v) - F.col(f"{v}_lo")) * n, F.col(f"{v}_hi") - F.col(f"{v}_lo"))), F.lit(0)), F.lit(0)), F.lit(n - 1)).cast("int")
+    keys = ["dep", "name", "region"]
+    counts = in_region(points, regions).groupBy(*keys, "model", bin_of("x").alias("bin_x"), bin_of("y").alias("bin_y")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    counts = written(counts, "relations")
+    whole = counts.groupBy(*keys, "model").agg(F.sum("n").alias("whole"))
+    shares = counts.join(whole, [*keys, "model"]).select(*keys, "model", "bin_x", "bin_y", (F.col("n") / F.col("whole")).alias("p"))
+    means = counts.groupBy(*keys, "model", "bin_x").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).join(whole, [*keys, "model"])
+    means = means.filter(F.col("n") / F.col("whole") >= least_share).select(*keys, "model", "bin_x", (F.col("s") / F.col("n")).alias("m"))
+
+    def against(df: DataFrame, on: list[str], value: str) -> DataFrame:
+        own = df.filter(F.col("model") == BENCHMARK).drop("model").withColumnRenamed(value, "a")
+        return df.filter(F.col("model") != BENCHMARK).withColumnRenamed(value, "b").join(own, [*keys, *on])
+
+    off = against(shares, ["bin_x", "bin_y"], "p").groupBy(*keys, "model").agg(F.sum(F.pow(F.sqrt("a") - F.sqrt("b"), F.lit(2))).alias("off"))
+    distance = against(whole, [], "whole").join(off, [*keys, "model"], "left").select(*keys, "model", F.lit("Hellinger Distance").alias("kind"), (1 - F.sqrt(F.coalesce("off", F.lit(0.0))) / F.sqrt(F.lit(2.0))).alias("value"))
+    responses = against(means, ["bin_x"], "m").groupBy(*keys, "model").agg(F.exp(-F.try_divide(F.sqrt(F.sum(F.pow(F.col("a") - F.col("b"), F.lit(2)))), F.sqrt(F.sum(F.col("a") * F.col("a"))))).alias("value"))
+    both = distance.unionByName(responses.filter("value is not null").select(*keys, "model", F.lit("Score").alias("kind"), "value"))
+    section, variable, source = (F.element_at(F.split("dep", "/"), i).alias(c) for i, c in ((1, "section"), (2, "variable"), (3, "source")))
+    return both.select(section, variable, source, "model", "region", F.concat(F.replace("name", F.lit("/"), F.lit("|")), F.lit(" "), F.col("kind")).alias("scalar"), "value")
+
+
 def weighted_leaves(spark: SparkSession, root: config.Node, scalars: DataFrame, region: str = "global", scalar: str = "Overall Score") -> DataFrame:
     """The configuration's leaves with their weights, for each model, and the score of each (null without one)."""
     tree = config.leaves(spark, root)

@@ -15,6 +15,7 @@ from .operators import signal as G
 from .operators import space as S
 from .operators import time as T
 from .plans import alignment, analyses, config, mean_state, run, scoreboard
+from .sources.store import Store, written
 from .queries import _POWERS, _R, _REGION_ROWS, AREA, PI, _cells, _cycle_sql, _fit_sql, _rounded, query
 
 _MONTH = "CAST(floor((((t0+t1)/2) % 365)/(365.0::DOUBLE/12)) AS INT)"
@@ -30,8 +31,27 @@ def _keyed_cycle(table: str, name: str, keys: str) -> str:
 {name} AS (SELECT {own}, CAST((i - f) % 12 AS INT) AS month, avg(value) AS value FROM {name}_i a JOIN {name}_f b ON {on} WHERE i >= f AND i - f < floor((n - f) / 12) * 12 GROUP BY ALL)"""
 
 
-def _place_sql(ref: str, com: str, place: str, basis: str) -> str:
-    """CTEs up to ``z``: the statistics by model and place, from the formulas of masked means on whole fields."""
+def _meeting_sql(name: str, axis: str, limit: int, where: str) -> str:
+    """CTEs: the cells of an axis composed of each model's and the reference's, with the nearest cells of both."""
+    near = lambda t: f"SELECT c.model, c.lo, c.hi, first(o.lo ORDER BY abs((c.lo+c.hi)/2-(o.lo+o.hi)/2), o.lo) AS near FROM {name}_c c JOIN {name}_{t} o ON o.model = c.model GROUP BY ALL"
+    return f"""{name}_u AS (SELECT DISTINCT model, {axis}0 AS lo, {axis}1 AS hi FROM u0), {name}_r AS (SELECT DISTINCT model, {axis}0 AS lo, {axis}1 AS hi FROM r0 CROSS JOIN mm WHERE {where}),
+{name}_e AS (SELECT DISTINCT model, e FROM (SELECT model, unnest([lo, hi]) AS e FROM {name}_u UNION ALL SELECT model, unnest([lo, hi]) FROM {name}_r) q WHERE abs(e) <= {limit}),
+{name}_c AS (SELECT * FROM (SELECT model, e AS lo, lead(e) OVER (PARTITION BY model ORDER BY e) AS hi FROM {name}_e) q WHERE hi IS NOT NULL),
+{name} AS (SELECT a.model, a.lo, a.hi, a.near AS r, b.near AS c FROM ({near('r')}) a JOIN ({near('u')}) b ON b.model = a.model AND b.lo = a.lo)"""
+
+
+def _composed_sql(ref: str, models: str, where: str = "true") -> str:
+    """CTEs ``u`` and ``rr``: models of grids of their own, and the reference, on each model's composed grid. ``where``: which
+    cells of the reference meet which model."""
+    return f"""u0 AS (SELECT * FROM {models}), r0 AS (SELECT * FROM {ref}), mm AS (SELECT DISTINCT model FROM u0), {_meeting_sql('ml', 'lat', 90, where)}, {_meeting_sql('mo', 'lon', 180, where)},
+u AS (SELECT u0.model, t0, t1, ml.lo AS lat0, ml.hi AS lat1, mo.lo AS lon0, mo.hi AS lon1, value FROM u0 JOIN ml ON ml.model = u0.model AND ml.c = u0.lat0 JOIN mo ON mo.model = u0.model AND mo.c = u0.lon0),
+rr AS (SELECT ml.model, t0, t1, ml.lo AS lat0, ml.hi AS lat1, mo.lo AS lon0, mo.hi AS lon1, value FROM r0 JOIN ml ON ml.r = r0.lat0 JOIN mo ON mo.model = ml.model AND mo.r = r0.lon0)"""
+
+
+def _place_sql(ref: str, com: str, place: str, basis: str, base: str = "") -> str:
+    """CTEs up to ``z``: the statistics by model and place, from the formulas of masked means on whole fields. ``base``: CTEs
+    of the models ``u`` and of the reference ``rr`` once for each model, in place of those of one grid."""
+    base = base or f"{_MODELS.format(ref, com)}, mm AS (SELECT DISTINCT model FROM u), rr AS (SELECT mm.model, r.* FROM r CROSS JOIN mm)"
     keys = f"model, {place}"
     on = lambda a, b, names: " AND ".join(f"{a}.{k} = {b}.{k}" for k in names.split(", "))
     pick = lambda t, names: ", ".join(f"{t}.{k}" for k in names.split(", "))
@@ -43,12 +63,12 @@ def _place_sql(ref: str, com: str, place: str, basis: str) -> str:
         "series": "sqrt(sum((y-x)*(y-x)*w)/sum(CASE WHEN y-x IS NOT NULL THEN w END)) AS rmse, sqrt(sum(((y-my)-(x-mx))*((y-my)-(x-mx))*w)/sum(CASE WHEN y-x IS NOT NULL THEN w END)) AS crmse FROM jm",
         "cycle": f"sqrt(sum((y-x)*(y-x)*{days})/sum(CASE WHEN y-x IS NOT NULL THEN {days} END)) AS rmse, sqrt(sum(((y-my)-(x-mx))*((y-my)-(x-mx))*{days})/sum(CASE WHEN y-x IS NOT NULL THEN {days} END)) AS crmse FROM (SELECT *, avg(x) OVER (PARTITION BY {keys}) AS mx, avg(y) OVER (PARTITION BY {keys}) AS my FROM cc) q",
     }[basis]
-    return f"""{_MODELS.format(ref, com)}, mm AS (SELECT DISTINCT model FROM u), rr AS (SELECT mm.model, r.* FROM r CROSS JOIN mm),
+    return f"""{base},
 j AS (SELECT coalesce(rr.model, u.model) AS model, {', '.join(f'coalesce(rr.{k}, u.{k}) AS {k}' for k in (place + extra).split(', '))}, coalesce(rr.t0, u.t0) AS t0, coalesce(rr.t1, u.t1) AS t1, coalesce(rr.t1, u.t1)-coalesce(rr.t0, u.t0) AS w, rr.value AS x, u.value AS y FROM rr FULL JOIN u ON u.model = rr.model AND u.t0 = rr.t0 AND {on('u', 'rr', place)}),
 m AS (SELECT {keys}{extra}, sum(x*w)/sum(CASE WHEN x IS NOT NULL THEN w END) AS mx, sum(y*w)/sum(CASE WHEN y IS NOT NULL THEN w END) AS my FROM j GROUP BY ALL),
 jm AS (SELECT j.*, mx, my FROM j JOIN m ON {on('j', 'm', keys)}), s AS (SELECT {keys}, sqrt(sum((x-mx)*(x-mx)*w)/sum(CASE WHEN x IS NOT NULL THEN w END)) AS s FROM jm GROUP BY ALL),
-{_keyed_cycle('r', 'cr', place)}, {_keyed_cycle('u', 'cu', keys)}, cc AS (SELECT {pick('cu', keys)}, cu.month, cr.value AS x, cu.value AS y FROM cu JOIN cr ON {on('cu', 'cr', place)} AND cr.month = cu.month),
-e AS (SELECT {keys}, {error} GROUP BY ALL), sh AS (SELECT {pick('b', keys)}, CAST(b.month-a.month AS DOUBLE)*365/12 AS d FROM {first('cr', place)} a JOIN {first('cu', keys)} b ON {on('a', 'b', place)}),
+{_keyed_cycle('rr', 'cr', keys)}, {_keyed_cycle('u', 'cu', keys)}, cc AS (SELECT {pick('cu', keys)}, cu.month, cr.value AS x, cu.value AS y FROM cu JOIN cr ON {on('cu', 'cr', keys)} AND cr.month = cu.month),
+e AS (SELECT {keys}, {error} GROUP BY ALL), sh AS (SELECT {pick('b', keys)}, CAST(b.month-a.month AS DOUBLE)*365/12 AS d FROM {first('cr', keys)} a JOIN {first('cu', keys)} b ON {on('a', 'b', keys)}),
 iv AS (SELECT {pick('j', keys)}, sqrt(sum((j.x-cc.x)*(j.x-cc.x)*w)/sum(CASE WHEN j.x-cc.x IS NOT NULL THEN w END)) AS ix, sqrt(sum((j.y-cc.y)*(j.y-cc.y)*w)/sum(CASE WHEN j.y-cc.y IS NOT NULL THEN w END)) AS iy FROM j LEFT JOIN cc ON {on('cc', 'j', keys)} AND cc.month = {_MONTH.replace('t0', 'j.t0').replace('t1', 'j.t1')} GROUP BY ALL),
 z AS (SELECT m.*, my-mx AS bias, exp(-abs((my-mx)/nullif(s, 0))) AS bias_score, rmse, exp(-abs(crmse/nullif(s, 0))) AS rmse_score, abs({wrap})/30 AS shift, (1+cos(abs({wrap})*2*{PI}/365))/2 AS cycle_score, exp(-abs((iy-ix)/nullif(ix, 0))) AS iav_score
  FROM m LEFT JOIN s ON {on('s', 'm', keys)} LEFT JOIN e ON {on('e', 'm', keys)} LEFT JOIN sh ON {on('sh', 'm', keys)} LEFT JOIN iv ON {on('iv', 'm', keys)})"""
@@ -63,7 +83,7 @@ _FIELD = ["t0", "t1", *CELL, "value"]
 _IN_REGION = "r2.label = 'globe' OR ((lat0+lat1)/2 > lat_min AND (lat0+lat1)/2 <= lat_max AND (lon0+lon1)/2 > lon_min AND (lon0+lon1)/2 <= lon_max)"
 
 
-def _state_sql(ref: str, com: str, basis: str, mass: bool) -> str:
+def _state_sql(ref: str, com: str, basis: str, mass: bool, base: str = "") -> str:
     """CTEs up to ``w``: model, region, scalar, value."""
     weight = f"abs(mx)*{AREA}" if mass else AREA
     mean = lambda c, w, where="mx IS NOT NULL AND my IS NOT NULL": f"sum(CASE WHEN {where} THEN ({c})*({w}) END)/sum(CASE WHEN ({where}) AND ({c}) IS NOT NULL THEN {w} END)"
@@ -77,14 +97,14 @@ def _state_sql(ref: str, com: str, basis: str, mass: bool) -> str:
     shape = _R.replace("x", "{x}").replace("y", "{y}").replace("ma{x}", "max")
     r = shape.format(x=f"({x})", y=f"({y})")
     parts = " UNION ALL ".join(f"SELECT model, region, '{name}' AS scalar, {sql} AS value FROM zr GROUP BY model, region" for name, sql in scalars.items())
-    return f"""{_place_sql(ref, com, 'lat0, lon0', basis)}, zg AS (SELECT z.*, r2.label AS region FROM z JOIN fx_regions r2 ON {_IN_REGION}),
+    return f"""{_place_sql(ref, com, 'lat0, lon0', basis, base)}, zg AS (SELECT z.*, r2.label AS region FROM z JOIN fx_regions r2 ON {_IN_REGION}),
 sd AS (SELECT model, region, {r} AS rr, stddev_pop({y})/stddev_pop({x}) AS ss FROM zg GROUP BY model, region), zr AS (SELECT zg.*, rr, ss FROM zg JOIN sd ON sd.model = zg.model AND sd.region = zg.region),
 w AS (SELECT * FROM ({parts}) q WHERE value IS NOT NULL AND NOT isnan(value))"""
 
 
 def _state(spark: SparkSession, sf_dir: str, basis: str, mass: bool) -> DataFrame:
-    ref, com = fixture(spark, sf_dir, "fx_masked_ref"), fixture(spark, sf_dir, "fx_same_grid")
-    return mean_state.mean_state(ref.select(*_FIELD), _models(com, _FIELD), fixture(spark, sf_dir, "fx_regions"), basis, mass)
+    ref, com = written(fixture(spark, sf_dir, "fx_masked_ref").select(*_FIELD), "ref"), written(_models(fixture(spark, sf_dir, "fx_same_grid"), _FIELD), "com")
+    return mean_state.mean_state(ref, com, fixture(spark, sf_dir, "fx_regions"), basis, mass)
 
 
 @query(f"WITH {_state_sql('fx_masked_ref', 'fx_same_grid', 'cycle', True)} SELECT model, region, scalar, round(value, 6) AS value FROM w")
@@ -97,6 +117,52 @@ def mean_state_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_state(spark, sf_dir, "series", False), "value")
 
 
+_GRIDS = _composed_sql("fx_masked_ref", "fx_three_models")
+
+
+def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(fixture(spark, sf_dir, "fx_three_models"), "models")
+
+
+@query(f"WITH {_state_sql('', '', 'cycle', True, _GRIDS)} SELECT model, region, scalar, round(value, 6) AS value FROM w")
+def mean_state_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three models, each on a grid of its own."""
+    ref = written(fixture(spark, sf_dir, "fx_masked_ref").select(*_FIELD), "ref")
+    return _rounded(mean_state.mean_state(ref, _three(spark, sf_dir), fixture(spark, sf_dir, "fx_regions")), "value")
+
+
+@query(f"WITH {_state_sql('', '', 'series', True, _GRIDS)} SELECT model, region, scalar, round(value, 6) AS value FROM w WHERE scalar LIKE '%RMSE%' OR scalar LIKE 'Bias%'")
+def mean_state_grids_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = written(fixture(spark, sf_dir, "fx_masked_ref").select(*_FIELD), "ref")
+    out = mean_state.mean_state(ref, _three(spark, sf_dir), fixture(spark, sf_dir, "fx_regions"), "series", skip=("skip_cycle",))
+    return _rounded(out.filter("scalar like '%RMSE%' or scalar like 'Bias%'"), "value")
+
+
+@query(f"""WITH mm(model, weight) AS (VALUES ('a', 1.0), ('b', 2.0), ('c', 0.5)), u AS (SELECT * FROM fx_three_models), g AS (SELECT DISTINCT lat0, lat1, lon0, lon1 FROM fx_ref_grid),
+la AS (SELECT model, g.lat0, first(o.lat0 ORDER BY abs((g.lat0+g.lat1)/2-(o.lat0+o.lat1)/2), o.lat0) AS near FROM (SELECT DISTINCT lat0, lat1 FROM g) g CROSS JOIN (SELECT DISTINCT model, lat0, lat1 FROM u) o GROUP BY ALL),
+lo AS (SELECT model, g.lon0, first(o.lon0 ORDER BY abs((g.lon0+g.lon1)/2-(o.lon0+o.lon1)/2), o.lon0) AS near FROM (SELECT DISTINCT lon0, lon1 FROM g) g CROSS JOIN (SELECT DISTINCT model, lon0, lon1 FROM u) o GROUP BY ALL)
+SELECT la.lat0, lo.lon0, u.t0, round(sum(value*weight)/3.5, 6) AS value FROM u JOIN mm ON mm.model = u.model JOIN la ON la.model = u.model AND la.near = u.lat0 JOIN lo ON lo.model = u.model AND lo.near = u.lon0 GROUP BY ALL""")
+def ensemble_on_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fixture(spark, sf_dir, "fx_ref_grid").select(*CELL).distinct()
+    out = C.ensemble_on_grid(_three(spark, sf_dir), cells, {"a": 1.0, "b": 2.0, "c": 0.5})
+    return _rounded(out, "value").select("lat0", "lon0", "t0", "value")
+
+
+_THRESHOLDS = "(VALUES ('globe', 'bias', 4.0), ('euro', 'bias', 2.5), ('globe', 'rmse', 6.0), ('shsa', 'rmse', 3.0)) AS h(region, type, value)"
+_LIMIT = f"(SELECT z.lat0, z.lat1, z.lon0, z.lon1, h.type, sum(h.value) AS q FROM (SELECT DISTINCT lat0, lat1, lon0, lon1 FROM z) z JOIN fx_regions r2 ON {_IN_REGION} JOIN {_THRESHOLDS} ON h.region = r2.label GROUP BY ALL)"
+
+
+@query(f"""WITH {_place_sql('', '', 'lat0, lon0', 'cycle', _GRIDS).replace(', rmse, exp(', ', rmse, crmse, exp(')}, lt AS {_LIMIT}, sq AS (SELECT z.*, greatest(least(1-abs(bias)/b.q, 1), 0) AS bs, CASE WHEN crmse IS NOT NULL THEN greatest(least(1-crmse/e.q, 1), 0) END AS es FROM z JOIN lt b ON b.lat0 = z.lat0 AND b.lon0 = z.lon0 AND b.lat1 = z.lat1 AND b.lon1 = z.lon1 AND b.type = 'bias' JOIN lt e ON e.lat0 = z.lat0 AND e.lon0 = z.lon0 AND e.lat1 = z.lat1 AND e.lon1 = z.lon1 AND e.type = 'rmse' WHERE mx IS NOT NULL AND my IS NOT NULL),
+gq AS (SELECT sq.*, r2.label AS region FROM sq JOIN fx_regions r2 ON {_IN_REGION}) SELECT model, region, 'Bias Score' AS scalar, round(sum(bs*{AREA})/sum({AREA}), 6) AS value FROM gq GROUP BY ALL UNION ALL SELECT model, region, 'RMSE Score', round(sum(es*{AREA})/sum(CASE WHEN es IS NOT NULL THEN {AREA} END), 6) FROM gq GROUP BY ALL""")
+def mean_state_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bias and errors scored by regional thresholds."""
+    regions = fixture(spark, sf_dir, "fx_regions")
+    ref = written(fixture(spark, sf_dir, "fx_masked_ref").select(*_FIELD), "ref")
+    table = spark.sql(f"SELECT region, type, CAST(value AS DOUBLE) AS value FROM {_THRESHOLDS}")
+    out = mean_state.mean_state(ref, _three(spark, sf_dir), regions, thresholds=(table, regions))
+    return _rounded(out.filter("scalar in ('Bias Score', 'RMSE Score')"), "value")
+
+
 _SITE_MONTHS = "SELECT CAST(l_suppkey % 7 AS INT) AS site, (q.yr-1850)*365+m.b0 AS t0, (q.yr-1850)*365+m.b1 AS t1, avg(v) AS value FROM (SELECT l_suppkey, year(l_shipdate) AS yr, month(l_shipdate) AS mo, {} AS v FROM lineitem) q JOIN fx_months m ON q.mo = m.mo GROUP BY 1, 2, 3"
 
 
@@ -163,14 +229,79 @@ SELECT model, level, section, variable, round(score, 6) AS score FROM (SELECT mo
 )
 def scoreboard_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, regions = config.parse(CONFIG), fixture(spark, sf_dir, "fx_regions")
-    tables = {"masked": "fx_masked_ref", "plain": "fx_ref_grid"}
-    reference = lambda leaf: fixture(spark, sf_dir, tables[leaf.values["variable"]]).select(*_FIELD) if leaf.values["variable"] in tables else None
-    models = lambda leaf: _models(fixture(spark, sf_dir, "fx_same_grid"), _FIELD)
-    scalars = run.run(root, run.Fields(reference, models), regions)
+    tables = {k: written(fixture(spark, sf_dir, f).select(*_FIELD), "ref") for k, f in (("masked", "fx_masked_ref"), ("plain", "fx_ref_grid"))}
+    models = written(_models(fixture(spark, sf_dir, "fx_same_grid"), _FIELD), "models")
+    scalars = run.run(root, run.Fields(lambda leaf: tables.get(leaf.values["variable"]), lambda leaf: models), regions)
     rolled = scoreboard.roll_up(run.weighted_leaves(spark, root, scalars, region="globe"), keys=("model",))
     return _rounded(rolled.filter("level <> 'source'"), "score").select("model", "level", "section", "variable", "score")
 
 
+#: A run of models on grids of their own, with relationships; the last dataset's times do not fit the models'.
+GRID_CONFIG = """
+[h1: Land]
+[h2: First]
+variable = "masked"
+mass_weighting = "yes"
+[Grid]
+[h2: Second]
+variable = "plain"
+[Again]
+relationships = "First/Grid"
+[h2: Third]
+variable = "early"
+[Off]
+"""
+
+
+def _grid_run(spark: SparkSession, sf_dir: str) -> tuple[config.Node, Store, DataFrame]:
+    """The run, begun on one model and gone on with all, on one store."""
+    root, regions, store = config.parse(GRID_CONFIG), fixture(spark, sf_dir, "fx_regions"), Store(spark)
+    refs = {"masked": written(fixture(spark, sf_dir, "fx_masked_ref").select(*_FIELD), "ref"), "plain": written(fixture(spark, sf_dir, "fx_ref_grid").select(*_FIELD), "ref")}
+    refs["early"] = refs["plain"].withColumns({"t0": F.col("t0") - 36500, "t1": F.col("t1") - 36500})
+    models = _three(spark, sf_dir)
+    changed = {"plain": models.withColumn("value", F.col("value") * (1 + F.col("lat0") / 900)), "masked": models}
+    fields = lambda which: run.Fields(lambda leaf: refs[leaf.values["variable"]], lambda leaf: changed.get(leaf.values["variable"], models).filter(which))
+    run.run(root, fields("model = 'b'"), regions, ["Land/First"], store)
+    scalars = run.run(root, fields("true"), regions, None, store)
+    return root, store, scalars
+
+
+#: The reference is cut where it goes far beyond a model.
+_CUT = "NOT (mm.model = 'b' AND r0.lat0 >= 60)"
+_CHANGED = "(SELECT * REPLACE (value*(1+lat0/900) AS value) FROM fx_three_models)"
+
+
+@query(
+    f"""WITH m1 AS (WITH {_state_sql('', '', 'cycle', True, _composed_sql('fx_masked_ref', 'fx_three_models', _CUT))} SELECT * FROM w), m2 AS (WITH {_state_sql('', '', 'cycle', False, _composed_sql('fx_ref_grid', _CHANGED, _CUT))} SELECT * FROM w), g AS ({_overall_sql('m1')}), k AS ({_overall_sql('m2')})
+SELECT 'First' AS variable, model, 'done' AS status, round(s, 6) AS score FROM g UNION ALL SELECT 'Second', model, 'done', round(s, 6) FROM k UNION ALL SELECT 'Third', model, 'failed', NULL FROM (SELECT DISTINCT model FROM fx_three_models) q"""
+)
+def run_on_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, store, scalars = _grid_run(spark, sf_dir)
+    scores = scalars.filter("region = 'globe' and scalar = 'Overall Score'").select("variable", "model", F.lit("done").alias("status"), F.col("value").alias("score"))
+    failed = store.failures().select(F.element_at(F.split("dataset", "/"), 2).alias("variable"), "model", F.lit("failed").alias("status"), F.lit(None).cast("double").alias("score"))
+    return _rounded(scores.unionByName(failed), "score")
+
+
+_RELATED_MAPS = f"""mp AS (SELECT 'y' AS k, 'Benchmark' AS model, lat0, lat1, lon0, lon1, sum(value*(t1-t0))/sum(CASE WHEN value IS NOT NULL THEN t1-t0 END) AS v FROM fx_ref_grid GROUP BY ALL UNION ALL SELECT 'x', 'Benchmark', lat0, lat1, lon0, lon1, sum(value*(t1-t0))/sum(CASE WHEN value IS NOT NULL THEN t1-t0 END) FROM fx_masked_ref GROUP BY ALL
+ UNION ALL SELECT 'y', model, lat0, lat1, lon0, lon1, sum(value*(t1-t0))/sum(t1-t0) FROM {_CHANGED} q GROUP BY ALL UNION ALL SELECT 'x', model, lat0, lat1, lon0, lon1, sum(value*(t1-t0))/sum(t1-t0) FROM fx_three_models GROUP BY ALL)"""
+_BIN = "CAST(least(greatest(floor(({0}-l{0}.a)*25/(l{0}.b-l{0}.a)), 0), 24) AS INT)"
+
+
+@query(
+    f"""WITH {_RELATED_MAPS}, lx AS (SELECT min(v) AS a, max(v) AS b FROM mp WHERE k = 'x'), ly AS (SELECT min(v) AS a, max(v) AS b FROM mp WHERE k = 'y'),
+pt AS (SELECT a.model, a.lat0, a.lat1, a.lon0, a.lon1, a.v AS x, b.v AS y FROM mp a JOIN mp b ON a.k = 'x' AND b.k = 'y' AND b.model = a.model AND b.lat0 = a.lat0 AND b.lon0 = a.lon0 WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
+bn AS (SELECT model, r2.label AS region, {_BIN.format('x')} AS i, {_BIN.format('y')} AS j, y FROM pt JOIN fx_regions r2 ON {_IN_REGION} CROSS JOIN lx CROSS JOIN ly), n AS (SELECT model, region, count(*) AS n FROM bn GROUP BY ALL),
+p AS (SELECT bn.model, bn.region, i, j, count(*)/max(n.n) AS p FROM bn JOIN n ON n.model = bn.model AND n.region = bn.region GROUP BY ALL), m AS (SELECT bn.model, bn.region, i, avg(y) AS m FROM bn JOIN n ON n.model = bn.model AND n.region = bn.region GROUP BY ALL HAVING count(*)/max(n.n) >= 3e-3),
+d AS (SELECT b.model, b.region, sum((sqrt(a.p)-sqrt(b.p))**2) AS s FROM p a JOIN p b ON a.model = 'Benchmark' AND b.model <> 'Benchmark' AND b.region = a.region AND b.i = a.i AND b.j = a.j GROUP BY ALL)
+SELECT n.model, n.region, 'First|Grid Hellinger Distance' AS scalar, round(1-sqrt(coalesce(d.s, 0))/sqrt(2), 6) AS value FROM n JOIN n o ON o.model = 'Benchmark' AND o.region = n.region LEFT JOIN d ON d.model = n.model AND d.region = n.region WHERE n.model <> 'Benchmark'
+UNION ALL SELECT b.model, b.region, 'First|Grid Score', round(exp(-sqrt(sum((a.m-b.m)**2))/sqrt(sum(a.m**2))), 6) FROM m a JOIN m b ON a.model = 'Benchmark' AND b.model <> 'Benchmark' AND b.region = a.region AND b.i = a.i GROUP BY ALL"""
+)
+def run_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, store, _ = _grid_run(spark, sf_dir)
+    out = run.relationships(root, store, fixture(spark, sf_dir, "fx_regions"))
+    return _rounded(out, "value").select("model", "region", "scalar", "value")
+
+
 # alignment
 
 
