@@ -110,28 +110,32 @@ class DoubleArray:
     def _place(self, parents: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """Places for the children (in order of parents), in fresh room behind the states so far.
 
-        Parents are placed by falling number of children. Those of 2^(j-1) + 1 to 2^j try places at random, all at once,
-        in room for 2^j times the children so far: each fits with a fair chance, and only those that do not try again.
-        Single children fill what is free.
+        Parents of over 16 children get 256 places each. Those of 2^(j-1) + 1 to 2^j try places at random, all at once, in
+        room for 2^j times the children so far: each fits with a fair chance, and only those that do not try again. Single
+        children fill what is free.
         """
         starts = np.flatnonzero(np.r_[True, np.diff(parents) != 0])
         sizes, low, rng = np.diff(np.r_[starts, len(parents)]), len(self.base), np.random.default_rng(0)
         base, check, placed, room = self.base, self.check, 0, 0
-        for j in range(8, 0, -1):
-            nodes = np.flatnonzero((sizes > 1 << (j - 1)) & (sizes <= 1 << j))
-            placed += int(sizes[nodes].sum())
-            room = max(room, placed << j)
+
+        def children(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = sizes[nodes]
+            offsets = np.cumsum(n) - n
+            return offsets, np.repeat(starts[nodes] - offsets, n) + np.arange(n.sum())
+
+        for j in range(5, 0, -1):
+            nodes = np.flatnonzero(sizes > 16) if j == 5 else np.flatnonzero((sizes > 1 << (j - 1)) & (sizes <= 1 << j))
+            placed += 0 if j == 5 else int(sizes[nodes].sum())
+            room = 256 * len(nodes) if j == 5 else max(room, placed << j)
             base, check = (np.r_[x, np.full(max(0, low + room + 257 - len(x)), fill, np.int32)] for x, fill in ((base, 0), (check, -1)))
             while len(nodes):
-                n = sizes[nodes]
-                offsets = np.cumsum(n) - n
-                own = np.repeat(starts[nodes] - offsets, n) + np.arange(n.sum())
-                at = rng.integers(low, low + room, len(nodes))
-                slots = np.repeat(at, n) + letters[own]
+                offsets, own = children(nodes)
+                at = low - 1 + 256 * np.arange(len(nodes)) if j == 5 else rng.integers(low, low + room, len(nodes))
+                slots = np.repeat(at, sizes[nodes]) + letters[own]
                 first = np.zeros(len(slots), bool)
                 first[np.unique(slots, return_index=True)[1]] = True
                 fits = np.logical_and.reduceat(first & (check[slots] < 0), offsets)
-                inside = np.repeat(fits, n)
+                inside = np.repeat(fits, sizes[nodes])
                 base[parents[starts[nodes[fits]]]] = at[fits]
                 check[slots[inside]] = parents[own[inside]]
                 nodes = nodes[~fits]
