@@ -106,3 +106,59 @@ def as_json(rolled: DataFrame) -> DataFrame:
     variables = rolled.filter("level = 'variable'").groupBy("section").agg(F.sort_array(F.collect_list(F.struct("variable", F.round("score", 6).alias("score")))).alias("variables"))
     sections = rolled.filter("level = 'section'").select("section", F.round("score", 6).alias("score"))
     return sections.join(variables, "section").select("section", F.to_json(F.struct("section", "score", "variables")).alias("json"))
+
+
+#: Words that put a statistic's name in its place among others.
+STATISTIC_WORDS = ("overall", "bias", "rmse", "cycle", "interannual", "spatial")
+
+
+def spaced(name: Column) -> Column:
+    """A name with a space before each capital that follows a small letter."""
+    return F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2")
+
+
+def metric_means(scores: DataFrame) -> DataFrame:
+    """``region``, ``model``, ``metric``, ``statistic``, ``value``: means of scores (section, variable, source, model, region, scalar,
+    value, weight), weighted, of sections, of variables in them (``section::variable``) and of datasets in these (and
+    ``!!source``): one pass of grouping sets."""
+    rows = scores.filter("value is not null").select("region", "model", spaced(F.col("scalar")).alias("statistic"), "section", "variable", "source", "value", "weight")
+    sets = F.explode(F.array(*(F.struct(*(F.col(c).alias(c) if k > i else F.lit(None).cast("string").alias(c) for i, c in enumerate(("section", "variable", "source")))) for k in (1, 2, 3))))
+    levels = rows.withColumn("_l", sets).groupBy("region", "model", "statistic", "_l").agg(F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")).alias("value"))
+    metric = F.concat("_l.section", F.coalesce(F.concat(F.lit("::"), F.col("_l.variable")), F.lit("")), F.coalesce(F.concat(F.lit("!!"), F.col("_l.source")), F.lit("")))
+    return levels.select("region", "model", metric.alias("metric"), "statistic", "value")
+
+
+def _as_map(df: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
+    """By ``keys`` the map of ``name`` to ``value``, in the order of names."""
+    entries = F.collect_list(F.struct(F.col(name).alias("key"), F.col(value).alias("value")))
+    made = F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return df.groupBy(*keys).agg(made.alias(value)) if keys else df.agg(made.alias(value))
+
+
+def cmec_document(scores: DataFrame, regions: DataFrame, models: DataFrame) -> DataFrame:
+    """One JSON text in the CMEC v1 structure: dimensions (regions with ``label``, ``name``, ``generator``; models with ``model``,
+    ``description``, ``source``; metrics; statistics in the order of STATISTIC_WORDS) and results by region, model, metric and
+    statistic. Everything is joined and put into maps by aggregates; the document is as large as the table of means."""
+    means = metric_means(scores)
+    place = F.lit(1)
+    for i, word in enumerate(STATISTIC_WORDS):
+        place = place * F.when(F.lower("scalar").contains(word), 2**i).otherwise(1)
+    found = F.greatest(*(F.lower("scalar").contains(w) for w in STATISTIC_WORDS))
+    names = scores.select("scalar").distinct().select(F.when(found, place).otherwise(2**6).alias("place"), "scalar")
+    ordered = names.agg(F.sort_array(F.collect_list(F.struct("place", "scalar"))).alias("s"))
+    statistic = ordered.select(F.struct(F.transform("s", lambda x: spaced(x["scalar"])).alias("indices"), F.transform("s", lambda x: x["scalar"]).alias("short_names")).alias("statistic"))
+    known = scores.select(F.col("region").alias("label")).distinct().join(regions, "label")
+    region = _as_map(known.select("label", F.struct(F.col("name").alias("LongName"), F.col("name").alias("Description"), F.col("generator").alias("Generator")).alias("region")), [], "label", "region")
+    about = scores.select("model").distinct().join(models, "model", "left")
+    model = _as_map(about.select("model", F.struct(F.coalesce("description", F.lit("")).alias("Description"), F.coalesce("source", F.lit("")).alias("Source")).alias("of")).withColumnRenamed("of", "models"), [], "model", "models")
+    abstract = F.when(F.col("metric").contains("!!"), "benchmark score").otherwise("composite score")
+    metric = _as_map(means.select("metric").distinct().select("metric", F.struct(F.col("metric").alias("Name"), abstract.alias("Abstract")).alias("metrics")), [], "metric", "metrics")
+    results = means.join(known.select(F.col("label").alias("region")), "region", "left_semi")
+    for keys, name in ((["region", "model", "metric"], "statistic"), (["region", "model"], "metric"), (["region"], "model"), ([], "region")):
+        results = _as_map(results, keys, name, "value")
+    one = statistic
+    for part in (region, model, metric, results.withColumnRenamed("value", "results")):
+        one = one.withColumn("_k", F.lit(0)).join(part.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    schema = F.struct(F.lit("CMEC").alias("name"), F.lit("v1").alias("version"), F.lit("gridloom").alias("package"))
+    dimensions = F.struct(F.array(*map(F.lit, ("region", "model", "metric", "statistic"))).alias("json_structure"), F.struct("region", F.col("models").alias("model"), F.col("metrics").alias("metric"), "statistic").alias("dimensions"))
+    return one.select(F.to_json(F.struct(schema.alias("SCHEMA"), dimensions.alias("DIMENSIONS"), F.col("results").alias("RESULTS"))).alias("json"))

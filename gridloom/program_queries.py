@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import fixture
 from .functions.scores import pressure_to_height, shifted_longitude
 from .operators import CELL
+from .operators import calendars as K
 from .operators import compare as C
 from .operators import lookup as L
+from .operators import polygons as P
 from .operators import regions as R
 from .operators import signal as G
 from .operators import space as S
 from .operators import time as T
 from .plans import alignment, analyses, config, mean_state, run, scoreboard
-from .sources.store import Store, written
+from .sources import catalog as CAT
+from .sources.store import Store, folder, written
 from .queries import _POWERS, _R, _REGION_ROWS, AREA, PI, _cells, _cycle_sql, _fit_sql, _rounded, query
 
 _MONTH = "CAST(floor((((t0+t1)/2) % 365)/(365.0::DOUBLE/12)) AS INT)"
@@ -646,3 +651,123 @@ def station_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sites_with_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each site's yearly phase is well defined; no SQL: a spectrum by site (tested against known waves)."""
     return G.sites_with_phase(_site_months(spark, sf_dir, "l_quantity").withColumn("site", F.col("site").cast("long")))
+
+
+# polygons
+
+
+#: Nine-sided basins with a hole of four sides, around places that follow from the nations' keys.
+_RINGS = """SELECT n_nationkey AS basin, ring, k, CAST((n_nationkey*23) % 110 - 55 AS DOUBLE) + (1+(n_nationkey % 3)*CAST(0.5 AS DOUBLE))*CAST(dy AS DOUBLE) AS lat, CAST((n_nationkey*37) % 320 - 160 AS DOUBLE) + (1+(n_nationkey % 3)*CAST(0.5 AS DOUBLE))*CAST(dx AS DOUBLE) AS lon
+FROM nation CROSS JOIN (VALUES (0,0,0.0,10.3),(0,1,7.1,7.2),(0,2,10.1,0.3),(0,3,3.2,-2.1),(0,4,7.3,-7.4),(0,5,-0.3,-10.2),(0,6,-7.2,-7.1),(0,7,-10.4,0.1),(0,8,-7.3,7.2),(1,0,-1.1,-1.2),(1,1,-1.3,3.1),(1,2,2.2,2.9),(1,3,2.1,-1.4)) AS v(ring,k,dy,dx)"""
+_SIDES = f"rg AS ({_RINGS}), sd AS (SELECT basin, lat AS y1, lon AS x1, coalesce(lead(lat) OVER w, first(lat) OVER (PARTITION BY basin, ring ORDER BY k)) AS y2, coalesce(lead(lon) OVER w, first(lon) OVER (PARTITION BY basin, ring ORDER BY k)) AS x2 FROM rg WINDOW w AS (PARTITION BY basin, ring ORDER BY k))"
+_CROSSED = "((y1 > {0}.lat) <> (y2 > {0}.lat)) AND {0}.lon < (x2-x1)*({0}.lat-y1)/(y2-y1)+x1"
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_RINGS.replace("FROM nation", f"FROM parquet.`{sf_dir}/nation.parquet`")).withColumnRenamed("k", "at")
+
+
+@query(f"""WITH {_SIDES}, c AS (SELECT c_custkey, c_acctbal, CAST(c_custkey*7 % 1400 AS DOUBLE)/10-70 AS lat, CAST(c_custkey*13 % 3600 AS DOUBLE)/10-180 AS lon FROM customer),
+i AS (SELECT c_custkey, c_acctbal, basin FROM c JOIN sd ON {_CROSSED.format('c')} GROUP BY ALL HAVING count(*) % 2 = 1) SELECT basin, CAST(count(*) AS BIGINT) AS n, round(sum(c_acctbal), 4) AS total FROM i GROUP BY basin""")
+def points_in_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = {"lat": (F.col("c_custkey") * 7 % 1400).cast("double") / 10 - 70, "lon": (F.col("c_custkey") * 13 % 3600).cast("double") / 10 - 180}
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal").withColumns(place)
+    found = points.join(P.inside(points, _rings(spark, sf_dir), 5.0), ["lat", "lon"])
+    return found.groupBy("basin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 4).alias("total"))
+
+
+@query(f"""WITH {_SIDES}, g AS (SELECT -90.0::DOUBLE+2*i AS lat0, -88.0::DOUBLE+2*i AS lat1, -180.0::DOUBLE+2*j AS lon0, -178.0::DOUBLE+2*j AS lon1, -89.0::DOUBLE+2*i AS lat, -179.0::DOUBLE+2*j AS lon FROM range(90) a(i) CROSS JOIN range(180) b(j)),
+i AS (SELECT lat0, lat1, lon0, lon1, basin FROM g JOIN sd ON {_CROSSED.format('g')} GROUP BY ALL HAVING count(*) % 2 = 1) SELECT basin, CAST(count(*) AS BIGINT) AS n, round(sum({AREA})/1e9, 4) AS area FROM i GROUP BY basin""")
+def basin_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of basins with holes, in the cells of two degrees."""
+    out = P.basin_areas(S.regular_grid(spark, 2.0), _rings(spark, sf_dir), 5.0)
+    return out.select("basin", "n", F.round(F.col("area") / 1e9, 4).alias("area"))
+
+
+_FINE = """SELECT CAST((yr-1850)*365 AS DOUBLE) AS t0, CAST((yr-1849)*365 AS DOUBLE) AS t1, CAST(-90+5*i AS DOUBLE) AS lat0, CAST(-85+5*i AS DOUBLE) AS lat1, CAST(-180+5*j AS DOUBLE) AS lon0, CAST(-175+5*j AS DOUBLE) AS lon1, v AS value
+FROM (SELECT year(l_shipdate) AS yr, CAST(l_suppkey % 36 AS INT) AS i, CAST(l_partkey % 72 AS INT) AS j, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3) q"""
+
+
+@query(f"""WITH {_SIDES}, g AS (SELECT *, (lat0+lat1)/2 AS lat, (lon0+lon1)/2 AS lon FROM ({_FINE}) q), c AS (SELECT DISTINCT lat0, lat1, lon0, lon1, lat, lon FROM g), i AS (SELECT lat0, lat1, lon0, lon1, basin FROM c JOIN sd ON {_CROSSED.format('c')} GROUP BY ALL HAVING count(*) % 2 = 1),
+a AS (SELECT basin, sum({AREA}) AS a FROM i GROUP BY basin) SELECT i.basin AS site, t0, round(sum(value*{AREA.replace('lat', 'i.lat').replace('lon', 'i.lon')})/max(a.a), 6) AS value FROM g JOIN i ON i.lat0 = g.lat0 AND i.lon0 = g.lon0 JOIN a ON a.basin = i.basin GROUP BY 1, 2""")
+def basin_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = written(spark.sql(_FINE.replace("FROM lineitem", f"FROM parquet.`{sf_dir}/lineitem.parquet`")), "fine")
+    return _rounded(P.basin_means(df, _rings(spark, sf_dir), [], 5.0), "value").select("site", "t0", "value")
+
+
+# calendars
+
+
+_NOLEAP = "(year({0})-1850)*365.0::DOUBLE + CASE month({0}) WHEN 1 THEN 0 WHEN 2 THEN 31 WHEN 3 THEN 59 WHEN 4 THEN 90 WHEN 5 THEN 120 WHEN 6 THEN 151 WHEN 7 THEN 181 WHEN 8 THEN 212 WHEN 9 THEN 243 WHEN 10 THEN 273 WHEN 11 THEN 304 ELSE 334 END + CASE WHEN month({0}) = 2 AND day({0}) = 29 THEN 28 ELSE day({0})-1 END"
+_LONG_MONTH = "CASE month(d) WHEN 2 THEN 28 WHEN 4 THEN 30 WHEN 6 THEN 30 WHEN 9 THEN 30 WHEN 11 THEN 30 ELSE 31 END"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d, l_suppkey % 4 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN month(d) = 2 AND day(d) = 29 AND k < 3 THEN {_NOLEAP.format('d')} WHEN k = 3 THEN (year(d)-1850)*365.0::DOUBLE + {_NOLEAP.format('d').split('+', 1)[1].split('+ CASE WHEN', 1)[0]} + least(day(d)-1, {_LONG_MONTH}) + CASE WHEN day(d)-1 < {_LONG_MONTH} THEN 0.25 ELSE 0 END ELSE {_NOLEAP.format('d')} + 0.25 END AS day FROM l WHERE NOT (k = 1 AND month(d) = 2 AND day(d) = 29) AND NOT (k = 3 AND day(d) = 31)""")
+def calendar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ship dates at six o'clock as stamps of four calendars, units and origins, to days without leap days."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("d"), (F.col("l_suppkey") % 4).cast("int").alias("k"))
+    df = df.filter(~((F.col("k") == 1) & (F.month("d") == 2) & (F.dayofmonth("d") == 29)) & ~((F.col("k") == 3) & (F.dayofmonth("d") == 31)))
+    year, month, day = F.year("d"), F.month("d"), F.dayofmonth("d")
+    leap = (year * 366 + F.element_at(F.lit(K.BEFORE_LEAP), month) + day - 1 - (1990 * 366)) * 1.0
+    stamps = [
+        ((F.datediff("d", F.lit("1970-03-01")) * 24 - 6).cast("double"), "hours since 1970-03-01 12:00:00", "gregorian"),
+        (((year - 1900) * 365 + F.element_at(F.lit(K.BEFORE), month) + day - 1 - 59 + 0.25).cast("double"), "days since 1900-03-01", "noleap"),
+        (leap * 86400 + 21600, "seconds since 1990-01-01 00:00", "366_day"),
+        ((year * 360 + (month - 1) * 30 + day - 1 - (2000 * 360 + 30 + 29) + 0.25).cast("double"), "days since 2000-02-30", "360_day"),
+    ]
+    pick = lambda i: F.element_at(F.array(*(s[i] if i == 0 else F.lit(s[i]) for s in stamps)), F.col("k") + 1)
+    return df.select("l_orderkey", "l_linenumber", K.noleap_from(pick(0), pick(1), pick(2)).alias("day"))
+
+
+_STAMPS = """SELECT k, (yr-1995)*365.0 + b0 + (b1-b0)*a AS t FROM (SELECT DISTINCT CAST(l_suppkey % 3 AS INT) AS k, year(l_shipdate) AS yr, month(l_shipdate) AS mo FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 1997) l JOIN fx_months m ON m.mo = l.mo JOIN (VALUES (0, 0.0), (1, 0.5), (2, 1.0)) AS v(kk, a) ON kk = k"""
+
+
+@query(f"""WITH s AS ({_STAMPS}), n AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS q, row_number() OVER w AS i FROM s WINDOW w AS (PARTITION BY k ORDER BY t)),
+a AS (SELECT k, CASE WHEN abs(q-t-30) <= 4.0003 THEN least(greatest(round_even((t % 365)/(q-t), 1), 0), 1) END AS a FROM n WHERE i = 1)
+SELECT n.k, round(145*365+t-a*coalesce(t-p, q-t), 6) AS t0, round(145*365+t+(1-a)*coalesce(q-t, t-p), 6) AS t1 FROM n JOIN a ON a.k = n.k""")
+def stamp_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of monthly stamps that stand at the begins, middles and ends of months."""
+    from .fixtures import with_fixtures
+
+    df = spark.sql(with_fixtures(_STAMPS).replace("FROM lineitem", f"FROM parquet.`{sf_dir}/lineitem.parquet`")).select("k", F.col("t").cast("double").alias("t"))
+    out = K.bounds_of_stamps(df.withColumns({"units": F.lit("days since 1995-01-01"), "calendar": F.lit("noleap")}), ["k"])
+    return _rounded(out, "t0", "t1")
+
+
+# documents and files
+
+
+_SCORES = """SELECT r_name AS section, n_name AS variable, s_name AS source, m AS model, g AS region, sc AS scalar, CAST(1+s_suppkey % 3 AS DOUBLE) AS weight, CASE WHEN (s_suppkey+length(sc)) % 7 > 0 THEN 1/(1+abs(s_acctbal)/5000)*x END AS value
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey CROSS JOIN (VALUES ('a', CAST(1.0 AS DOUBLE)), ('b', CAST(0.5 AS DOUBLE))) AS v(m, x) CROSS JOIN (VALUES ('global'), ('euro'), ('nowhere')) AS w(g) CROSS JOIN (VALUES ('Bias Score'), ('RMSE Score'), ('OverallScore')) AS y(sc)"""
+
+
+@query(f"""WITH s AS ({_SCORES}), t AS (SELECT *, regexp_replace(scalar, '([a-z])([A-Z])', '\\1 \\2', 'g') AS statistic FROM s WHERE value IS NOT NULL AND region <> 'nowhere')
+SELECT region, model, section || coalesce('::' || variable, '') || coalesce('!!' || source, '') AS metric, statistic, round(sum(value*weight)/sum(weight), 6) AS value FROM t GROUP BY GROUPING SETS ((region, model, statistic, section), (region, model, statistic, section, variable), (region, model, statistic, section, variable, source))""")
+def cmec_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document's results, read back from its JSON."""
+    sql = _SCORES
+    for t in ("supplier", "nation", "region"):
+        sql = sql.replace(f"FROM {t} ", f"FROM parquet.`{sf_dir}/{t}.parquet` ").replace(f"JOIN {t} ", f"JOIN parquet.`{sf_dir}/{t}.parquet` ")
+    scores = written(spark.sql(sql), "scores")
+    regions = spark.sql("SELECT * FROM VALUES ('global', 'Globe', 'own'), ('euro', 'Europe', 'own') AS t(label, name, generator)")
+    models = spark.sql("SELECT * FROM VALUES ('a', 'model a', 'x') AS t(model, description, source)")
+    nested = F.from_json("json", "RESULTS map<string, map<string, map<string, map<string, double>>>>")["RESULTS"]
+    out = scoreboard.cmec_document(scores, regions, models).select(F.explode(nested).alias("region", "r"))
+    out = out.select("region", F.explode("r").alias("model", "m")).select("region", "model", F.explode("m").alias("metric", "s"))
+    return _rounded(out.select("region", "model", "metric", F.explode("s").alias("statistic", "value")), "value")
+
+
+@query("""SELECT CASE WHEN l_suppkey % 3 = 0 THEN 'a' WHEN l_suppkey % 3 = 1 THEN 'b' ELSE 'c' END AS model, CASE WHEN l_suppkey % 3 = 2 THEN 'gppv' ELSE 'gpp' END AS variable, CAST(year(l_shipdate) AS INT) AS year, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 4) AS total FROM lineitem WHERE year(l_shipdate) BETWEEN 1994 AND 1995 GROUP BY ALL""")
+def catalogued_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of three models, one with a variable of another name, found by their names; only those of two years are read."""
+    path = folder(spark) + f"/files-{uuid.uuid4().hex}"
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"k": (F.col("l_suppkey") % 3).cast("int"), "y": F.year("l_shipdate")})
+    df.select("k", "y", F.col("l_quantity").alias("value")).repartition("k", "y").write.partitionBy("k", "y").parquet(path)
+    # one folder a model and year; their names stand in for those of files
+    pattern = r"k=(?P<model>\d)/y=(?P<first>\d+)/.*(?P<variable>)\.parquet$"
+    files = CAT.file_catalog(spark, path, pattern, "*.parquet").withColumns({"model": F.element_at(F.array(*map(F.lit, "abc")), F.col("model").cast("int") + 1), "variable": F.when(F.col("model") == "2", "gppv").otherwise("gpp"), "last": F.col("first")})
+    synonyms = spark.sql("SELECT 'gpp' AS variable, 'gppv' AS synonym, 1 AS place")
+    rows = CAT.read_files(CAT.select_files(files, "gpp", synonyms, (1994, 1995)).withColumn("model", F.concat_ws("|", "model", "first")))
+    model, year = F.split("model", r"\|")[0], F.split("model", r"\|")[1].cast("int")
+    return rows.groupBy(model.alias("model"), "variable", year.alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
