@@ -178,62 +178,71 @@ def compose(ref: DataFrame, com: DataFrame, axes_of: tuple[DataFrame, DataFrame]
     return on_axes(ref, lats, lons, a), on_axes(com, lats, lons, b)
 
 
-def _axis(df: DataFrame, lower: str, upper: str, *keys: str) -> DataFrame:
-    return df.select(*keys, F.col(lower).alias("lo"), F.col(upper).alias("hi")).filter("lo is not null").distinct()
+#: The bounds of each axis and its greatest value.
+_AXES = {"lat": ("lat0", "lat1", 90.0), "lon": ("lon0", "lon1", 180.0)}
 
 
-def _for_models(axis: DataFrame, models: DataFrame) -> DataFrame:
-    """An axis once for each model (``model`` of another axis)."""
+def _axis_cells(df: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, ``axis``, ``lo``, ``hi``: the distinct cells of both axes."""
+    cells = F.array(*(F.struct(F.lit(name).alias("axis"), F.col(lower).alias("lo"), F.col(upper).alias("hi")) for name, (lower, upper, _) in _AXES.items()))
+    return df.select(*keys, *CELL).distinct().select(*keys, F.explode(cells).alias("c")).select(*keys, "c.axis", "c.lo", "c.hi").filter("lo is not null").distinct()
+
+
+def _for_models(axes: DataFrame, models: DataFrame) -> DataFrame:
+    """The axes of one grid once for each ``model`` of others."""
     names = models.select("model").distinct().withColumn("_k", F.lit(0))
-    return axis.withColumn("_k", F.lit(0)).join(names, "_k").select("model", "lo", "hi")
+    return axes.withColumn("_k", F.lit(0)).join(names, "_k").select("model", "axis", "lo", "hi")
 
 
-def nearest_on_axes(asked: DataFrame, own: DataFrame, name: str) -> DataFrame:
-    """``asked`` (model, lo, hi) with the lower bound (as ``name``) of that cell of the model's ``own`` axis (model, lo, hi)
-    whose centre is nearest, the lower one of equals.
+def nearest_on_axes(asked: DataFrame, **own: DataFrame) -> DataFrame:
+    """``asked`` (model, axis, lo, hi) with, for each of ``own`` (alike) by its name, the lower bound of that cell of the
+    model's axis whose centre is nearest, the lower one of equals.
 
-    Both are put in order along the axis, and each looks to the nearest own centre on either side. Axes are distinct
+    All are put in order along the axis, and each asked cell looks to the nearest centre on either side. Axes are distinct
     cells, so a window holds one axis of one model.
     """
     none = F.lit(None).cast("double")
     x = ((F.col("lo") + F.col("hi")) / 2).alias("x")
-    points = asked.select("model", x, "lo", "hi", none.alias("own")).union(own.select("model", x, none, none, F.col("lo")))
-    along = Window.partitionBy("model").orderBy("x", F.col("lo").isNotNull())
-    held = F.when(F.col("own").isNotNull(), F.struct("x", "own"))
-    a = F.last(held, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(held, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
-    near = F.when(F.col("_b").isNull() | (F.col("x") - F.col("_a.x") <= F.col("_b.x") - F.col("x")), F.col("_a.own")).otherwise(F.col("_b.own"))
-    return points.withColumns({"_a": a, "_b": b}).filter("lo is not null").select("model", "lo", "hi", near.alias(name))
-
-
-def axis_meetings(ref: DataFrame, com: DataFrame, lower: str, upper: str, limit: float) -> DataFrame:
-    """By ``model`` of ``com``, whose models lie on axes of their own: the cells (``lower``, ``upper``) between all edges of
-    the model's axis and the reference's that lie within +-``limit``, with the lower bounds of the reference's nearest cell
-    (``r_`` and the name) and of the model's (``c_``)."""
-    own = _axis(com, lower, upper, "model")
-    base = _for_models(_axis(ref, lower, upper), own)
+    points = asked.select("model", "axis", x, "lo", "hi", *(none.alias(n) for n in own))
+    for name, df in own.items():
+        points = points.union(df.select("model", "axis", x, none, none, *(F.col("lo") if n == name else none for n in own)))
+    along = Window.partitionBy("model", "axis").orderBy("x", F.col("lo").isNotNull())
+    found = points
+    for name in own:
+        held = F.when(F.col(name).isNotNull(), F.struct("x", name))
+        found = found.withColumns({f"_a_{name}": F.last(held, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)), f"_b_{name}": F.first(held, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))})
+    below = lambda n: F.col(f"_b_{n}").isNull() | (F.col("x") - F.col(f"_a_{n}.x") <= F.col(f"_b_{n}.x") - F.col("x"))
+    return found.filter("lo is not null").select("model", "axis", "lo", "hi", *(F.when(below(n), F.col(f"_a_{n}.{n}")).otherwise(F.col(f"_b_{n}.{n}")).alias(n) for n in own))
+
+
+def axis_meetings(ref: DataFrame, com: DataFrame) -> DataFrame:
+    """``model``, ``axis``, ``lo``, ``hi``, ``r``, ``c``: by model of ``com``, whose models lie on grids of their own, the cells
+    between all edges of the model's axis and the reference's on the globe, with the lower bounds of the reference's
+    nearest cell and of the model's."""
+    own = _axis_cells(com, "model")
+    base = _for_models(_axis_cells(ref), own)
     both = own.union(base)
-    edges = both.select("model", F.col("lo").alias("lo")).union(both.select("model", "hi")).filter(F.abs("lo") <= limit).distinct()
-    cells = edges.withColumn("hi", F.lead("lo").over(Window.partitionBy("model").orderBy("lo"))).filter("hi is not null")
-    met = nearest_on_axes(cells, base, f"r_{lower}").join(nearest_on_axes(cells, own, f"c_{lower}"), ["model", "lo", "hi"])
-    return met.withColumnsRenamed({"lo": lower, "hi": upper})
+    limit = F.coalesce(*(F.when(F.col("axis") == name, F.lit(most)) for name, (_, _, most) in _AXES.items()))
+    edges = both.select("model", "axis", "lo").union(both.select("model", "axis", "hi")).filter(F.abs("lo") <= limit).distinct()
+    cells = edges.withColumn("hi", F.lead("lo").over(Window.partitionBy("model", "axis").orderBy("lo"))).filter("hi is not null")
+    return nearest_on_axes(cells, r=base, c=own)
+
+
+def one_axis(meetings: DataFrame, axis: str) -> DataFrame:
+    """The rows of one axis, with the names of its bounds (``r_lat0`` for the reference's, ``c_lat0`` for the model's)."""
+    lower, upper, _ = _AXES[axis]
+    return meetings.filter(F.col("axis") == axis).drop("axis").withColumnsRenamed({"lo": lower, "hi": upper, "r": f"r_{lower}", "c": f"c_{lower}"})
 
 
 def on_one_grid(models: DataFrame, cells: DataFrame) -> DataFrame:
     """``models`` (model, cells of their own grids, more) on the ``cells`` of one grid, by nearest centres on each axis."""
-    out = models
-    for lower, upper in (("lat0", "lat1"), ("lon0", "lon1")):
-        own = _axis(models, lower, upper, "model")
-        near = nearest_on_axes(_for_models(_axis(cells, lower, upper), own), own, "_own")
-        out = out.withColumnRenamed(lower, "_own").drop(upper).join(near, ["model", "_own"]).drop("_own").withColumnsRenamed({"lo": lower, "hi": upper})
+    own, out = _axis_cells(models, "model"), models
+    near = nearest_on_axes(_for_models(_axis_cells(cells), own), c=own)
+    for axis, (lower, upper, _) in _AXES.items():
+        out = out.withColumnRenamed(lower, f"c_{lower}").drop(upper).join(one_axis(near, axis), ["model", f"c_{lower}"]).drop(f"c_{lower}")
     return out.select(*models.columns)
 
 
-def grid_meetings(ref: DataFrame, com: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``axis_meetings`` of latitudes and of longitudes."""
-    return axis_meetings(ref, com, "lat0", "lat1", 90.0), axis_meetings(ref, com, "lon0", "lon1", 180.0)
-
-
 def at_sites(grid: DataFrame, sites: DataFrame) -> DataFrame:
     """The grid's values at sites (site, lat, lon), from the nearest centre on each axis, the lower one of equals.
 

@@ -14,7 +14,7 @@ from ..functions.scores import cycle_score, exp_score, taylor_score, wrap_shift
 from ..operators import CELL
 from ..operators.compare import bias, correlation
 from ..operators.lookup import regional_threshold
-from ..operators.space import area_column, compose, grid_meetings, in_region
+from ..operators.space import area_column, axis_meetings, compose, in_region, one_axis
 from ..operators.time import annual_cycle, integrate, nearest_month
 from ..sources.store import written
 
@@ -97,12 +97,12 @@ def _own_statistics(df: DataFrame, keys: list[str], name: str) -> tuple[DataFram
     return sums.join(cycle.groupBy(*keys).agg(top.alias(f"{name}_top")), keys, "left"), cycle
 
 
-def place_scores(ref: DataFrame, com: DataFrame, place: list[str], basis: str = "cycle", meetings: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def place_scores(ref: DataFrame, com: DataFrame, place: list[str], basis: str = "cycle", meetings: DataFrame | None = None) -> DataFrame:
     """By model and place (``place`` names what identifies a site, or a cell by its lower bounds): means, deviation, bias,
     errors (of the mean cycles or of the series), phase shift in months, year-to-year variability of both, and the scores of
     all these. ``both`` tells where both have data.
 
-    With ``meetings`` (``grid_meetings``) each model has a grid of its own: the places are the cells of the composed grids,
+    With ``meetings`` (``axis_meetings``) each model has a grid of its own: the places are the cells of the composed grids,
     with all bounds. Each field is reduced by its own cells, and what needs both by the pairs of cells that meet, which the
     axes tell; the reference is never copied for the models.
     """
@@ -116,7 +116,7 @@ def place_scores(ref: DataFrame, com: DataFrame, place: list[str], basis: str =
         cells = com.select("model", *place).union(mine).distinct().select("model", *place, *(F.col(c).alias(t) for to in (rs, cs) for c, t in zip(place, to, strict=True)))
         met = lambda df: df.withColumns({r: F.col(c) for r, c in zip(rs, cs, strict=True)})
     else:
-        lats, lons = meetings
+        lats, lons = one_axis(meetings, "lat"), one_axis(meetings, "lon")
         cells = lats.join(lons, "model")
         met = lambda df: df.join(lats.select("model", "r_lat0", "c_lat0").distinct(), ["model", "c_lat0"]).join(lons.select("model", "r_lon0", "c_lon0").distinct(), ["model", "c_lon0"])
     keys = ["model", *rs, *cs]
@@ -191,13 +191,9 @@ def mean_state(ref: DataFrame, com: DataFrame, regions: DataFrame, basis: str =
     Each model meets the reference on the grid of both their cell edges. Means over the cells that both have, that only one
     has; spatial distribution of the time means; bias, errors, cycle and variability with their scores, which weigh cells by
     area and, for scores with ``mass_weighting``, the reference's mean. ``thresholds`` (a table of regional thresholds, and
-    its regions) makes scores of bias and errors by ``quantile_score``, without mass weighting. Raises if a model shares no
-    cell with the reference.
+    its regions) makes scores of bias and errors by ``quantile_score``, without mass weighting.
     """
-    meetings = tuple(written(m, "axis") for m in grid_meetings(ref, com))
-    alone = com.select("model").distinct().join(meetings[0].join(meetings[1].select("model").distinct(), "model").select("model").distinct(), "model", "left_anti").limit(1).collect()
-    if alone:
-        raise ValueError(f"the model {alone[0]['model']} shares no cell with the reference")
+    meetings = written(axis_meetings(ref, com), "axes")
     scores = place_scores(ref, com, ["lat0", "lon0"], basis, meetings)
     if thresholds is not None:
         mass_weighting = False

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,42 +85,50 @@ def _time_means(df: DataFrame, model: Column) -> DataFrame:
     return mean.select(model.alias("model"), *CELL, F.col("value").cast("double").alias("value"))
 
 
+#: Datasets worked on at the same time; each is a chain of jobs, which leave executors idle in between.
+AT_ONCE = 4
+
+
 def run(root: config.Node, fields: Fields, regions: DataFrame, names: list[str] | None = None, store: Store | None = None) -> DataFrame:
     """``section``, ``variable``, ``source``, ``model``, ``region``, ``scalar``, ``value`` of all datasets, with the overall
     score of each; datasets without data give no rows.
 
     What each dataset gives for a group of models of one clock is written to the ``store`` (scalars, and maps of time means
-    of grids for ``relationships``) before the next begins, so all that follows reads a small table. A run on a store goes
-    on where an earlier one ended. What fails is noted there and leaves the others whole.
+    of grids for ``relationships``), so all that follows reads a small table. A run on a store goes on where an earlier one
+    ended. What fails is noted there and leaves the others whole.
     """
     store = store or Store(regions.sparkSession)
-    any_data = False
-    for h1, h2, leaf in selected(root, names or []):
-        key, models = f"{h1.name}/{h2.name}/{leaf.name}", ["*"]
-        try:
-            ref, com = fields.reference(leaf), fields.models(leaf)
-            if ref is None or com is None:
-                continue
-            any_data = True
-            models = sorted(r["model"] for r in store.missing(key, com).collect())  # a row a model
-            com = com.filter(F.col("model").isin(models)).withColumn("value", F.col("value") * float(leaf.values.get("scale_factor", 1)))
-            groups = model_groups(com) if models else []
-        except Exception as error:  # whatever a dataset's fields raise, the others go on
-            store.fail(key, models, error)
-            continue
-        for group in groups:
-            try:
-                store.put(key, group, _results(h1, h2, leaf, fields, ref, com.filter(F.col("model").isin(group)), regions))
-            except Exception as error:
-                store.fail(key, group, error)
-    if not any_data:
-        raise ValueError("no dataset of the configuration has data")
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        work = [pool.submit(inheritable_thread_target(regions.sparkSession)(_dataset), *own, fields, regions, store) for own in selected(root, names or [])]
+        if not any([w.result() for w in work]):
+            raise ValueError("no dataset of the configuration has data")
     out = store.read("scalars", SCALARS).drop("dataset")
     keys = ["section", "variable", "source", "model", "region"]
     overall = scoreboard.overall_score(out.withColumnsRenamed({"scalar": "metric", "value": "data"}), keys)
     return out.unionByName(overall.select(*keys, F.lit("Overall Score").alias("scalar"), F.col("score").alias("value")))
 
 
+def _dataset(h1: config.Node, h2: config.Node, leaf: config.Node, fields: Fields, regions: DataFrame, store: Store) -> bool:
+    """Put what the store lacks of a dataset there, model group by model group; whether it has data."""
+    key, models = f"{h1.name}/{h2.name}/{leaf.name}", ["*"]
+    try:
+        ref, com = fields.reference(leaf), fields.models(leaf)
+        if ref is None or com is None:
+            return False
+        models = sorted(r["model"] for r in store.missing(key, com).collect())  # a row a model
+        com = com.filter(F.col("model").isin(models)).withColumn("value", F.col("value") * float(leaf.values.get("scale_factor", 1)))
+        groups = model_groups(com) if models else []
+    except Exception as error:  # whatever a dataset's fields raise, the others go on
+        store.fail(key, models, error)
+        return True
+    for group in groups:
+        try:
+            store.put(key, group, _results(h1, h2, leaf, fields, ref, com.filter(F.col("model").isin(group)), regions))
+        except Exception as error:
+            store.fail(key, group, error)
+    return True
+
+
 def _results(h1: config.Node, h2: config.Node, leaf: config.Node, fields: Fields, ref: DataFrame, com: DataFrame, regions: DataFrame) -> dict[str, DataFrame]:
     """The tables of one dataset for models of one clock."""
     unit = leaf.values.get("unit", "1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ class Store:
     MANIFEST = "dataset string, model string, part string, status string, message string"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
+        self.spark, self._lock = spark, Lock()
         self.path = path or f"{folder(spark)}/run-{uuid.uuid4().hex}"
 
     def _exists(self, path: str) -> bool:
@@ -66,7 +67,8 @@ class Store:
         self._note([(dataset, m, None, "failed", f"{type(error).__name__}: {error}"[:2000]) for m in models])
 
     def _note(self, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        with self._lock:  # datasets may end at the same time, and a folder takes one writer at a time
+            self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def read(self, kind: str, schema: str) -> DataFrame:
         """All complete parts of a kind of table."""
