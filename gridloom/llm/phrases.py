@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LARGE_VALUES, default_partitions, materialise, small_batches
+from .common import default_partitions, materialise, small_batches
 
 LEAST, TOP = 10, 2000
 #: A candidate goes if a longer one that holds it has at least this many per cent of its occurrences.
 COVERED = 50
 #: Words in a block, after which the next text begins a new one.
 BLOCK = 1 << 20
+#: Words in a row of codes at least, if a piece of text ends there: Parquet keeps a hundred rows in memory before it looks.
+PIECE = 1 << 14
 #: Rows in a batch of counts.
 ROWS = 1 << 16
 #: Bits of a word's number; a pair is two of them in a long.
@@ -58,9 +60,19 @@ class _Numbers(dict):
         return found
 
 
+def _pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """Codes in parts that end with a cut, so that no phrase goes on from one to the next."""
+    ends, at = np.flatnonzero(codes < 0) + 1, 0
+    while at < len(codes):
+        k = np.searchsorted(ends, at + PIECE)
+        end = int(ends[k]) if k < len(ends) else len(codes)
+        yield codes[at:end]
+        at = end
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to blocks: a row for each distinct word of a block with its number and count, and a row with the numbers of
-    all its words in order, -1 between pieces."""
+    """Texts to blocks: a row for each distinct word of a block with its number and count, and rows (of number -1) with the
+    numbers of all its words in order, -1 between pieces."""
     part, n_blocks = TaskContext.get().partitionId(), 0
     names = ["block", "number", "lang", "word", "c", "codes"]
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -72,7 +84,8 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = words[at : at + ROWS]
             columns = [pa.array([block] * len(own)), pa.array(np.arange(at, at + len(own))), pa.array([x[0] for x in own]), pa.array([x[1] for x in own], pa.binary()), pa.array(counts[at : at + ROWS]), pa.nulls(len(own))]
             yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([block, -1, None, None, None, whole.tobytes()], kinds, strict=True)], names=names)
+        for piece in _pieces(whole):
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([block, -1, None, None, None, piece.tobytes()], kinds, strict=True)], names=names)
 
     codes, words, numbers = array("i"), [], {}
     for batch in batches:
@@ -203,32 +216,48 @@ def _batches(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ROWS]).cast(pa.int64()) for c in columns], names=names)
 
 
-def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers within the block to those of frequent words, -1 for others."""
-    for batch in batches:
-        for block, codes, own in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            codes, own = np.frombuffer(codes.as_buffer(), np.int32), own.values
-            to = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)
-            if own is not None:
-                to[own.field(0).to_numpy()] = own.field(1).to_numpy()
-            codes = to[codes]
-            # one cut stands for any number of words that are no candidates
-            codes = codes[(codes >= 0) | np.r_[True, codes[:-1] >= 0]] if len(codes) else codes
-            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([codes.tobytes()], pa.binary())], names=["block", "codes"])
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """The codes of all rows of a block, one after another; their order says nothing."""
+    parts = [np.frombuffer(x.as_buffer(), np.int32) for x in column]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
+def _renumbered(rows: pa.Table, own: pa.Table) -> pa.Table:
+    """A block's codes by the numbers (``id``) of frequent words, -1 for others."""
+    codes = _codes(rows["codes"])
+    to = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)
+    to[own["number"].to_numpy()] = own["id"].to_numpy()
+    codes = to[codes]
+    if len(codes):  # one cut stands for any number of words that are no candidates
+        codes = np.append(codes[(codes >= 0) | np.r_[False, codes[:-1] >= 0]], np.int32(-1))
+    pieces = [x.tobytes() for x in _pieces(codes)]
+    block = rows["block"][0].as_py() if rows.num_rows else None
+    return pa.table({"block": pa.array([block] * len(pieces), pa.int64()), "codes": pa.array(pieces, pa.binary())})
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, codes in zip(batch.column(0), batch.column(1), strict=True):
-            keys, counts = count_pairs(np.frombuffer(codes.as_buffer(), np.int32))
-            yield from _batches(["block", "pair", "c"], np.full(len(keys), block.as_py()), keys, counts)
+    """The pairs of each block's rows that follow each other, with their counts."""
 
+    def counted(block: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = count_pairs(np.concatenate(held))
+        yield from _batches(["block", "pair", "c"], np.full(len(keys), block), keys, counts)
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block, held, n = None, [], 0
     for batch in batches:
-        for codes, own in zip(batch.column(0), batch.column(1), strict=True):
-            found = count_triples(np.frombuffer(codes.as_buffer(), np.int32), np.sort(own.values.to_numpy()))
-            yield from _batches(["pair", "third", "c"], *found)
+        for own, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held and (own != block or n >= BLOCK):
+                yield from counted(block, held)
+                held, n = [], 0
+            block = own
+            held.append(np.frombuffer(codes.as_py(), np.int32))
+            n += len(held[-1])
+    if held:
+        yield from counted(block, held)
+
+
+def _triples(rows: pa.Table, own: pa.Table) -> pa.Table:
+    left, third, counts = count_triples(_codes(rows["codes"]), np.unique(own["pair"].to_numpy()))
+    return pa.table({"pair": left, "third": third, "c": counts.astype(np.int64)})
 
 
 def frequent_words(tokens: DataFrame, least: int) -> DataFrame:
@@ -252,16 +281,16 @@ def candidates(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFram
     occurrences of a longer candidate that holds it), and ``lang``, ``n``."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    tokens = materialise(texts.mapInArrow(_coded, "block long, number int, lang string, word string, c long, codes binary"), "tokens", LARGE_VALUES)
+    tokens = materialise(texts.mapInArrow(_coded, "block long, number int, lang string, word string, c long, codes binary"), "tokens")
     totals = tokens.filter("number >= 0").groupBy("lang").agg(F.sum("c").alias("n"))
     words = frequent_words(tokens, least)
-    own = tokens.filter("number >= 0").join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("number", F.col("id").cast("int"))).alias("own"))
-    blocks = tokens.filter("number < 0").select("block", "codes").join(own, "block").select("block", "codes", "own")
-    coded = materialise(blocks.mapInArrow(_renumbered, "block long, codes binary"), "coded", LARGE_VALUES)
+    known = tokens.filter("number >= 0").join(words, ["lang", "word"]).select(F.col("block").alias("own"), "number", F.col("id").cast("int").alias("id"))
+    rows = tokens.filter("number < 0").select("block", "codes")
+    coded = materialise(rows.groupBy("block").cogroup(known.groupBy("own")).applyInArrow(_renumbered, "block long, codes binary"), "coded")
     counted = materialise(coded.mapInArrow(_pairs, "block long, pair long, c long"), "pairs")
     frequent = materialise(counted.groupBy("pair").agg(F.sum("c").alias("a")).filter(F.col("a") >= least), "frequent")
-    by_block = counted.select("block", "pair").join(frequent.select("pair"), "pair").groupBy("block").agg(F.collect_list("pair").alias("own"))
-    triples = coded.join(by_block, "block").select("codes", "own").mapInArrow(_triples, "pair long, third long, c long")
+    own = counted.select("block", "pair").join(frequent.select("pair"), "pair")
+    triples = coded.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_triples, "pair long, third long, c long")
     triples = materialise(triples.groupBy("pair", "third").agg(F.sum("c").alias("a")).filter(F.col("a") >= least), "triples")
     low = F.lit((1 << BITS) - 1)
     word = lambda n, *more: words.select(F.col("id").alias(f"id{n}"), F.col("word").alias(f"w{n}"), F.col("f").alias(f"f{n}"), *more)
