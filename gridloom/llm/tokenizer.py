@@ -56,10 +56,15 @@ class Chunks(dict):
 
     def _found(self, chunk: str):
         if "\n" in chunk:
-            first, *lines = _FEEDS.split(chunk)
-            if lines:
-                feed = self.bare["\n"]
-                return self.join([self[first], *(part for line in lines for part in (feed, self.bare[line]))])
+            first, _, rest = chunk.partition("\n")
+            if "\n" not in rest:
+                if first and rest and not first[-1].isspace() and not rest[0].isspace():
+                    return self.join((self[first], self.bare["\n"], self.bare[rest]))
+            else:
+                first, *lines = _FEEDS.split(chunk)
+                if lines:
+                    feed = self.bare["\n"]
+                    return self.join([self[first], *(part for line in lines for part in (feed, self.bare[line]))])
         else:
             stem = chunk.rstrip(_MARKS)
             if stem and len(stem) < len(chunk) and stem[-1] < "ɐ" and stem[-1].isalpha():
