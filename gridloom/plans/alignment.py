@@ -40,7 +40,7 @@ def model_groups(com: DataFrame) -> list[list[str]]:
     bounds = [c for c in ("t0", "t1", *CELL, "z0", "z1") if c in com.columns]
     ends = [f(c) for c in bounds if c not in ("t0", "t1") for f in (F.min, F.max)]
     if "t0" in com.columns:
-        steps = com.groupBy("model", "t0", "t1").agg(*(x.alias(f"e{i}") for i, x in enumerate(ends)))
+        steps = com.groupBy("model", "t0", "t1").agg(F.count(F.lit(1)).alias("rows"), *(x.alias(f"e{i}") for i, x in enumerate(ends)))
         own = [F.min("t0"), F.max("t1"), F.count(F.lit(1)), F.round(F.avg(F.col("t1") - F.col("t0")), 6)]
         rows = steps.groupBy("model").agg(*own, *(f(f"e{i}") for i, f in enumerate((F.min, F.max) * (len(ends) // 2)))).collect()
     else:

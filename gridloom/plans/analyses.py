@@ -42,24 +42,25 @@ def evaporative_fraction(le: DataFrame, sh: DataFrame, on: list[str]) -> DataFra
     return both.select(*on, F.when(energy_masked(a, b), a / (a + b)).alias("value"))
 
 
-def net_balance(ref: DataFrame, com: DataFrame, scale: float = DIFFERENCE_SCALES["GCP"], taylor: bool = True) -> DataFrame:
+def net_balance(ref: DataFrame, com: DataFrame, scale: float = DIFFERENCE_SCALES["GCP"], taylor: bool = True, keys: list[str] | None = None) -> DataFrame:
     """Two global series (t0, t1, value) over the times that both have: both accumulations at the end, their difference and
     its score, the score of the path and the temporal distribution score.
 
     The path is scored where the reference has a lower bound ``value_lo``: differences beyond the accumulated uncertainty,
-    divided by it; the start, where both are zero, does not count.
+    divided by it; the start, where both are zero, does not count. ``com`` may hold series of several ``keys``, such as models.
     """
+    own = keys or ["_k"]
     low = F.col("value") - F.col("value_lo") if "value_lo" in ref.columns else F.lit(None).cast("double")
-    rows = ref.withColumn("_u", low).select("t0", "t1", F.col("value").alias("x"), "_u").join(com.select("t0", "t1", F.col("value").alias("y")), ["t0", "t1"]).withColumn("_k", F.lit(0))
-    sums = [accumulate(rows.select("_k", "t0", "t1", F.col(c).alias("value")), ["_k"]).withColumnRenamed("value", c) for c in ("x", "y", "_u")]
-    path = sums[0].join(sums[1], ["_k", "t"]).join(sums[2], ["_k", "t"])
+    rows = ref.withColumn("_u", low).select("t0", "t1", F.col("value").alias("x"), "_u").join(com.select(*(keys or []), "t0", "t1", F.col("value").alias("y")), ["t0", "t1"]).withColumn("_k", F.lit(0))
+    sums = [accumulate(rows.select(*own, "t0", "t1", F.col(c).alias("value")), own).withColumnRenamed("value", c) for c in ("x", "y", "_u")]
+    path = sums[0].join(sums[1], [*own, "t"]).join(sums[2], [*own, "t"])
     beyond = F.greatest(F.abs(F.col("y") - F.col("x")) - F.col("_u"), F.lit(0.0))
-    ends = path.groupBy("_k").agg(
+    ends = path.groupBy(*own).agg(
         F.max_by("x", "t").alias("ref_end"), F.max_by("y", "t").alias("com_end"), F.avg(F.when(F.col("_u") > 0, F.exp(-beyond / F.col("_u")))).alias("trajectory_score"),
     )
-    pairs = rows.groupBy("_k").agg(correlation("x", "y").alias("r"), F.try_divide(F.stddev_pop("y"), F.stddev_pop("x")).alias("sigma"))
+    pairs = rows.groupBy(*own).agg(correlation("x", "y").alias("r"), F.try_divide(F.stddev_pop("y"), F.stddev_pop("x")).alias("sigma"))
     diff = F.col("com_end") - F.col("ref_end")
-    out = ends.join(pairs, "_k").select("ref_end", "com_end", diff.alias("diff"), F.exp(-DIFFERENCE_DECAY * F.abs(diff / scale)).alias("difference_score"), "trajectory_score", taylor_score(F.col("sigma"), F.col("r")).alias("temporal_score"))
+    out = ends.join(pairs, own).select(*(keys or []), "ref_end", "com_end", diff.alias("diff"), F.exp(-DIFFERENCE_DECAY * F.abs(diff / scale)).alias("difference_score"), "trajectory_score", taylor_score(F.col("sigma"), F.col("r")).alias("temporal_score"))
     return out if taylor else out.drop("temporal_score")
 
 

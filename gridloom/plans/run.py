@@ -31,11 +31,14 @@ def default_program(node: config.Node, ref: DataFrame, com: DataFrame, regions:
 
 
 PROGRAMS: dict[str, Program] = {"default": default_program}
+#: Programs that take the fields as they are.
+RAW: set[str] = set()
 
 
-def register(name: str, program: Program) -> None:
-    """Programs of one's own, by the ``ctype`` of a dataset."""
+def register(name: str, program: Program, raw: bool = False) -> None:
+    """Programs of one's own, by the ``ctype`` of a dataset; ``raw`` ones make the fields comparable themselves."""
     PROGRAMS[name] = program
+    (RAW.add if raw else RAW.discard)(name)
 
 
 @dataclass
@@ -132,7 +135,8 @@ def _dataset(h1: config.Node, h2: config.Node, leaf: config.Node, fields: Fields
 def _results(h1: config.Node, h2: config.Node, leaf: config.Node, fields: Fields, ref: DataFrame, com: DataFrame, regions: DataFrame) -> dict[str, DataFrame]:
     """The tables of one dataset for models of one clock."""
     unit = leaf.values.get("unit", "1")
-    ref, com = comparable(ref, com, unit, leaf.values.get("model_unit", unit), fields.sites(leaf) if fields.sites else None)
+    if leaf.values.get("ctype", "default") not in RAW:
+        ref, com = comparable(ref, com, unit, leaf.values.get("model_unit", unit), fields.sites(leaf) if fields.sites else None)
     scalars = PROGRAMS[leaf.values.get("ctype", "default")](leaf, ref, com, regions)
     named = scalars.select(F.lit(h1.name).alias("section"), F.lit(h2.name).alias("variable"), F.lit(leaf.name).alias("source"), "model", "region", "scalar", F.col("value").cast("double").alias("value"))
     if not set(CELL) <= set(ref.columns) & set(com.columns):

@@ -18,7 +18,7 @@ from .operators import regions as R
 from .operators import signal as G
 from .operators import space as S
 from .operators import time as T
-from .plans import alignment, analyses, config, mean_state, run, scoreboard
+from .plans import alignment, analyses, config, mean_state, programs, run, scoreboard
 from .sources import catalog as CAT
 from .sources.store import Store, folder, written
 from .queries import _POWERS, _R, _REGION_ROWS, AREA, PI, _cells, _cycle_sql, _fit_sql, _rounded, query
@@ -580,7 +580,7 @@ def ensemble_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def site_cycle_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periodic spline of each site's days of a month; no SQL: a linear system by site (tested against numpy)."""
-    return G.cycle_extremes(fixture(spark, sf_dir, "fx_site_daily").select("site", F.col("d").cast("double").alias("t"), "value"), period=31.0, steps=310)
+    return G.cycle_extremes(fixture(spark, sf_dir, "fx_site_daily").select("site", F.col("d").cast("double").alias("t"), "value"), period=31.0)
 
 
 _BY_TYPE = "SELECT CAST(ts AS DATE) AS day, avg(value) AS v FROM events WHERE event_type = '{}' GROUP BY 1"
@@ -771,3 +771,90 @@ def catalogued_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = CAT.read_files(CAT.select_files(files, "gpp", synonyms, (1994, 1995)).withColumn("model", F.concat_ws("|", "model", "first")))
     model, year = F.split("model", r"\|")[0], F.split("model", r"\|")[1].cast("int")
     return rows.groupBy(model.alias("model"), "variable", year.alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# curves
+
+
+@query("""WITH x AS (SELECT site, d, value, (d-avg(d) OVER (PARTITION BY site))/365.0::DOUBLE AS x FROM fx_site_daily), s AS (SELECT site, count(*) AS n, avg(value) AS m, regr_sxx(value, x) AS sxx, regr_slope(value, x) AS b, (regr_syy(value, x)-regr_sxy(value, x)**2/regr_sxx(value, x))/(count(*)-2) AS v FROM x GROUP BY site HAVING count(*) > 2)
+SELECT site, 0 AS parameter, round(m, 6) AS value, round(sqrt(v/n), 6) AS error, round(v, 6) AS variance FROM s UNION ALL SELECT site, 1, round(b, 4), round(sqrt(v/sxx), 4), round(v, 6) FROM s""")
+def site_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters, their errors and the residual variance of each site's fitted line."""
+    out = G.curve_fits(fixture(spark, sf_dir, "fx_site_daily").select("site", F.col("d").cast("double").alias("t"), "value"), degree=2, harmonics=0)
+    places = F.when(F.col("parameter") == 0, F.round("value", 6)).otherwise(F.round("value", 4)).alias("value")
+    errors = F.when(F.col("parameter") == 0, F.round("error", 6)).otherwise(F.round("error", 4)).alias("error")
+    return out.select("site", "parameter", places, errors, F.round("variance", 6).alias("variance"))
+
+
+@query("SELECT DISTINCT CAST(p_size*20 AS DOUBLE) AS days, round(2.0**(-least((80.0/(p_size*20))**6, 1000)), 9) AS response FROM part")
+def filter_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") * 20).cast("double").alias("days")).distinct()
+    return G.response_table(steps, 80.0).select("days", F.round("response", 9).alias("response"))
+
+
+@query()
+def site_cycle_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each site's periodic spline goes through its mean; no SQL: a linear system by site (tested against dense search)."""
+    return G.cycle_crossings(fixture(spark, sf_dir, "fx_site_daily").select("site", F.col("d").cast("double").alias("t"), "value"), period=31.0)
+
+
+# programs by ctype
+
+
+PROGRAM_CONFIG = """
+[h1: Land]
+[h2: Gauges]
+variable = "gauges"
+ctype = "ConfUSGS"
+[Sites]
+[h2: Basins]
+variable = "basins"
+ctype = "ConfBasin"
+[Rivers]
+[h2: Balance]
+variable = "balance"
+ctype = "ConfNBP"
+[Globe]
+"""
+_GLOBE = f"SELECT t0, t1, sum(value*{AREA})/1e14 AS value, sum(value*{AREA})/1e14-40 AS value_lo FROM ({_FINE}) q GROUP BY 1, 2"
+_BASIN_YEARS = "SELECT CAST(o_custkey % 25 AS INT) AS site, (year(o_orderdate)-1850)*365.0 AS t0, (year(o_orderdate)-1849)*365.0 AS t1, avg(o_totalprice)/5000 AS value FROM orders GROUP BY 1, 2, 3"
+_EFFICIENCY = "greatest(least(1-sum((y-x)**2)/(var_pop(x)*count(*)), 1), 0) AS nse, greatest(least(1-sqrt((corr(y, x)-1)**2+(stddev_pop(y)/stddev_pop(x)-1)**2+(avg(y)/avg(x)-1)**2), 1), 0) AS kge"
+
+
+def _program_fields(spark: SparkSession, sf_dir: str) -> run.Fields:
+    from .fixtures import with_fixtures
+
+    def sql(text: str) -> DataFrame:
+        text = with_fixtures(text)
+        for t in ("lineitem", "orders", "nation"):
+            text = text.replace(f"FROM {t} ", f"FROM parquet.`{sf_dir}/{t}.parquet` ").replace(f"FROM {t})", f"FROM parquet.`{sf_dir}/{t}.parquet`)")
+        return spark.sql(text)
+
+    fine = written(sql(_FINE), "fine")
+    two = lambda df: df.withColumn("model", F.lit("a")).unionByName(df.withColumns({"model": F.lit("b"), "value": F.col("value") * 1.25 - 3}))
+    globe = written(sql(_GLOBE), "globe")
+    refs = {"gauges": lambda: _site_months(spark, sf_dir, "l_quantity"), "basins": lambda: sql(_BASIN_YEARS).select("site", F.col("t0").cast("double").alias("t0"), F.col("t1").cast("double").alias("t1"), "value"), "balance": lambda: globe}
+    coms = {"gauges": lambda: two(_site_months(spark, sf_dir, "l_quantity+l_tax*40")), "basins": lambda: two(fine), "balance": lambda: two(fine).withColumn("value", F.col("value") / 1e14 * 0.98)}
+    return run.Fields(lambda leaf: refs[leaf.values["variable"]](), lambda leaf: coms[leaf.values["variable"]]())
+
+
+@query(
+    f"""WITH sa AS ({_SITE_MONTHS.format('l_quantity')}), sb AS ({_SITE_MONTHS.format('l_quantity+l_tax*40')}), md AS (SELECT 'a' AS model, 1.0::DOUBLE AS f, 0.0::DOUBLE AS o UNION ALL SELECT 'b', 1.25, -3),
+e AS (SELECT model, site, avg(y) AS m, {_EFFICIENCY} FROM (SELECT md.model, sa.site, sa.value AS x, sb.value*f+o AS y FROM sa JOIN sb ON sb.site = sa.site AND sb.t0 = sa.t0 CROSS JOIN md) q GROUP BY ALL),
+{_SIDES}, g AS (SELECT *, (lat0+lat1)/2 AS lat, (lon0+lon1)/2 AS lon FROM ({_FINE}) q), c AS (SELECT DISTINCT lat0, lat1, lon0, lon1, lat, lon FROM g), i AS (SELECT lat0, lat1, lon0, lon1, basin FROM c JOIN sd ON {_CROSSED.format('c')} GROUP BY ALL HAVING count(*) % 2 = 1),
+ar AS (SELECT basin, sum({AREA}) AS a FROM i GROUP BY basin), bm AS (SELECT model, i.basin AS site, t0, sum((value*f+o)*{AREA.replace('lat', 'i.lat').replace('lon', 'i.lon')})/max(ar.a) AS y FROM g JOIN i ON i.lat0 = g.lat0 AND i.lon0 = g.lon0 JOIN ar ON ar.basin = i.basin CROSS JOIN md GROUP BY ALL),
+bs AS (SELECT model, bm.site, avg(b.value) AS mx, avg(y) AS my, stddev_pop(b.value) AS sx, stddev_pop(y) AS sy FROM bm JOIN ({_BASIN_YEARS}) b ON b.site = bm.site AND b.t0 = bm.t0 GROUP BY ALL),
+gl AS ({_GLOBE}), fl AS (SELECT model, t0, t1, sum((value*f+o)/1e14*0.98*{AREA}) AS y FROM ({_FINE}) q CROSS JOIN md GROUP BY ALL), pr AS (SELECT model, gl.t0, value AS x, value-value_lo AS u, y, gl.t1-gl.t0 AS w FROM gl JOIN fl ON fl.t0 = gl.t0),
+ac AS (SELECT model, t0, sum(x*w) OVER w AS x, sum(y*w) OVER w AS y, sum(u*w) OVER w AS u FROM pr WINDOW w AS (PARTITION BY model ORDER BY t0)), en AS (SELECT model, last(x ORDER BY t0) AS x, last(y ORDER BY t0) AS y, avg(exp(-greatest(abs(y-x)-u, 0)/u)) AS tr FROM ac GROUP BY model),
+st AS (SELECT model, corr(y, x) AS r, stddev_pop(y)/stddev_pop(x) AS s FROM pr GROUP BY model),
+w AS (SELECT 'Gauges' AS variable, model, 'Mean Discharge' AS scalar, avg(m) AS value FROM e GROUP BY model UNION ALL SELECT 'Gauges', model, 'NSE Score', avg(nse) FROM e GROUP BY model UNION ALL SELECT 'Gauges', model, 'KGE Score', avg(kge) FROM e GROUP BY model
+ UNION ALL SELECT 'Basins', model, 'Benchmark Period Mean (intersection)', avg(mx) FROM bs GROUP BY model UNION ALL SELECT 'Basins', model, 'Model Period Mean (intersection)', avg(my) FROM bs GROUP BY model UNION ALL SELECT 'Basins', model, 'Bias', avg(my-mx) FROM bs GROUP BY model
+ UNION ALL SELECT 'Basins', model, 'Bias Score', sum(exp(-abs((my-mx)/mx))*abs(mx))/sum(abs(mx)) FROM bs GROUP BY model UNION ALL SELECT 'Basins', model, 'Interannual Variability Score', sum(CASE WHEN sx > 0 THEN exp(-abs((sy-sx)/sx))*abs(mx) END)/sum(CASE WHEN sx > 0 THEN abs(mx) END) FROM bs GROUP BY model
+ UNION ALL SELECT 'Balance', model, 'nbp', y FROM en UNION ALL SELECT 'Balance', model, 'diff', y-x FROM en UNION ALL SELECT 'Balance', model, 'Difference Score', exp(-0.287*abs((y-x)/10.8)) FROM en UNION ALL SELECT 'Balance', model, 'Trajectory Score', tr FROM en UNION ALL SELECT 'Balance', model, 'Temporal Distribution Score', 4*(1+r)/((s+1/s)*(s+1/s)*2) FROM st JOIN en USING (model))
+SELECT variable, model, scalar, round(value, 5) AS value FROM w"""
+)
+def run_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three programs of their own kinds in one run."""
+    programs.register_all(_rings(spark, sf_dir), 5.0)
+    out = run.run(config.parse(PROGRAM_CONFIG), _program_fields(spark, sf_dir), fixture(spark, sf_dir, "fx_regions"))
+    return out.filter("scalar <> 'Overall Score'").select("variable", "model", "scalar", F.round("value", 5).alias("value"))
