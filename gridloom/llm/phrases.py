@@ -2,14 +2,15 @@
 
 Texts are cut into blocks of about ``BLOCK`` words, each coded by the numbers of its words, and counting goes by levels.
 A phrase can be frequent only if all its parts are (Apriori): pairs are candidates if both words are frequent, triples if
-both pairs are. Pairs of frequent words are counted by sorting, as all that occur are candidates. A block's frequent pairs
+both pairs are. Pairs of frequent words are counted by sorting, as all that occur are candidates. A block's candidate pairs
 and the triples made of them are the nodes of a double-array trie: an array of bases and one of checks, where the child of
 state s by letter c is state base[s] + c if its check is s. Numpy moves the states of all text positions on at once, a
 level at a time, and counts the accepting states with one bincount; Spark sums the blocks' counts by phrase.
 
-Frequent words and pairs grow with the corpus, so no trie of all of them is broadcast: each block is joined to those that
-occur in it, which its own size bounds, and the states of its trie are these and no others. Nothing is collected; a word
-or phrase has one row a block in every join and sum, however often it occurs.
+Frequent words and pairs grow with the corpus, so no trie of all of them is broadcast. Each block's words are joined to
+the frequent ones, and frequent pairs are broadcast as a Bloom filter of fixed size, which may let others pass as
+candidates but never holds one back; a block's trie has the candidates that occur in it and no others. A word or phrase
+has one row a block in every join and sum, however often it occurs.
 
 Contract: null texts count as empty, null langs as ``und``; only A-Z are lower-cased; texts of any length are whole (a
 text longer than a block is a block of its own); repeated rows count each; phrases are compared in their UTF-8 bytes; of
@@ -40,6 +41,9 @@ BLOCK = 1 << 20
 PIECE = 1 << 14
 #: Rows in a batch of counts.
 ROWS = 1 << 16
+#: The filter of frequent pairs has 2 ** FILTER_BITS bits (8 MB); the factors scatter a pair over it.
+FILTER_BITS = 26
+MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Bits of a word's number; a pair is two of them in a long.
 BITS = 31
 _TOKENS = re.compile(rb"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+")
@@ -230,34 +234,71 @@ def _renumbered(rows: pa.Table, own: pa.Table) -> pa.Table:
     codes = to[codes]
     if len(codes):  # one cut stands for any number of words that are no candidates
         codes = np.append(codes[(codes >= 0) | np.r_[False, codes[:-1] >= 0]], np.int32(-1))
-    pieces = [x.tobytes() for x in _pieces(codes)]
-    block = rows["block"][0].as_py() if rows.num_rows else None
-    return pa.table({"block": pa.array([block] * len(pieces), pa.int64()), "codes": pa.array(pieces, pa.binary())})
+    return pa.table({"codes": pa.array([x.tobytes() for x in _pieces(codes)], pa.binary())})
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each block's rows that follow each other, with their counts."""
-
-    def counted(block: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, counts = count_pairs(np.concatenate(held))
-        yield from _batches(["block", "pair", "c"], np.full(len(keys), block), keys, counts)
-
-    block, held, n = None, [], 0
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Codes of about BLOCK words."""
+    held, n = [], 0
     for batch in batches:
-        for own, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if held and (own != block or n >= BLOCK):
-                yield from counted(block, held)
-                held, n = [], 0
-            block = own
+        for codes in batch.column(0):
             held.append(np.frombuffer(codes.as_py(), np.int32))
             n += len(held[-1])
+            if n >= BLOCK:
+                yield np.concatenate(held)
+                held, n = [], 0
     if held:
-        yield from counted(block, held)
+        yield np.concatenate(held)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for codes in _parts(batches):
+        yield from _batches(["pair", "c"], *count_pairs(codes))
+
+
+def _marks(pairs: np.ndarray) -> Iterator[np.ndarray]:
+    """The bits of a filter that stand for each pair."""
+    mixed = pairs.astype(np.uint64) ^ (pairs.astype(np.uint64) >> np.uint64(29))
+    for odd in MIXERS:
+        x = mixed * np.uint64(odd)
+        yield ((x ^ (x >> np.uint64(32))) * np.uint64(odd)) >> np.uint64(64 - FILTER_BITS)
+
+
+def pair_filter(frequent: DataFrame) -> np.ndarray:
+    """A Bloom filter of the frequent pairs: 2 ** FILTER_BITS bits however many there are, put together by Spark."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bits in _marks(batch.column(0).to_numpy()):
+                words, back = np.unique(bits >> np.uint64(6), return_inverse=True)
+                own = np.zeros(len(words), np.uint64)
+                np.bitwise_or.at(own, back, np.uint64(1) << (bits & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(own.view(np.int64))], names=["at", "bits"])
+
+    found = frequent.select("pair").mapInArrow(marked, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_filter(pairs: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether pairs are in a filter; some may be that are not frequent, never the other way."""
+    has = np.ones(len(pairs), bool)
+    for bits in _marks(pairs):
+        has &= (words[bits >> np.uint64(6)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return has
+
+
+def triples(coded: DataFrame, words: np.ndarray) -> DataFrame:
+    """``pair``, ``third``, ``c``: counts by part of the triples of pairs that are in the filter."""
+    shipped = coded.sparkSession.sparkContext.broadcast(words)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes in _parts(batches):
+            pairs = count_pairs(codes)[0]
+            yield from _batches(["pair", "third", "c"], *count_triples(codes, pairs[in_filter(pairs, shipped.value)]))
 
-def _triples(rows: pa.Table, own: pa.Table) -> pa.Table:
-    left, third, counts = count_triples(_codes(rows["codes"]), np.unique(own["pair"].to_numpy()))
-    return pa.table({"pair": left, "third": third, "c": counts.astype(np.int64)})
+    return coded.mapInArrow(counted, "pair long, third long, c long")
 
 
 def frequent_words(tokens: DataFrame, least: int) -> DataFrame:
@@ -286,20 +327,18 @@ def candidates(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFram
     words = frequent_words(tokens, least)
     known = tokens.filter("number >= 0").join(words, ["lang", "word"]).select(F.col("block").alias("own"), "number", F.col("id").cast("int").alias("id"))
     rows = tokens.filter("number < 0").select("block", "codes")
-    coded = materialise(rows.groupBy("block").cogroup(known.groupBy("own")).applyInArrow(_renumbered, "block long, codes binary"), "coded")
-    counted = materialise(coded.mapInArrow(_pairs, "block long, pair long, c long"), "pairs")
-    frequent = materialise(counted.groupBy("pair").agg(F.sum("c").alias("a")).filter(F.col("a") >= least), "frequent")
-    own = counted.select("block", "pair").join(frequent.select("pair"), "pair")
-    triples = coded.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_triples, "pair long, third long, c long")
-    triples = materialise(triples.groupBy("pair", "third").agg(F.sum("c").alias("a")).filter(F.col("a") >= least), "triples")
+    coded = materialise(rows.groupBy("block").cogroup(known.groupBy("own")).applyInArrow(_renumbered, "codes binary"), "coded")
+    frequent = materialise(coded.mapInArrow(_pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("a")).filter(F.col("a") >= least), "frequent")
+    threes = triples(coded, pair_filter(frequent)).groupBy("pair", "third").agg(F.sum("c").alias("a")).filter(F.col("a") >= least)
+    threes = materialise(threes, "triples")
     low = F.lit((1 << BITS) - 1)
     word = lambda n, *more: words.select(F.col("id").alias(f"id{n}"), F.col("word").alias(f"w{n}"), F.col("f").alias(f"f{n}"), *more)
     named = frequent.withColumns({"id1": F.shiftright("pair", BITS), "id2": F.col("pair").bitwiseAND(low)})
     named = materialise(named.join(word(1, "lang"), "id1").join(word(2), "id2").select("pair", "lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", "f1", "f2"), "named")
     right = F.shiftleft(F.col("pair").bitwiseAND(low), BITS).bitwiseOR(F.col("third"))
-    longer = triples.select("pair", "a").union(triples.select(right.alias("pair"), "a")).groupBy("pair").agg(F.max("a").alias("covered"))
+    longer = threes.select("pair", "a").union(threes.select(right.alias("pair"), "a")).groupBy("pair").agg(F.max("a").alias("covered"))
     two = named.join(longer, "pair", "left").select("lang", "phrase", "a", F.col("f1").alias("l"), F.col("f2").alias("r"), score(F.col("a"), F.col("f1"), F.col("f2")).alias("score"), F.coalesce("covered", F.lit(0)).alias("covered"))
-    whole = triples.withColumns({"right": right, "id3": F.col("third")}).join(named.select("pair", "lang", "phrase", "f1", F.col("a").alias("a12")), "pair").join(frequent.select(F.col("pair").alias("right"), F.col("a").alias("a23")), "right").join(word(3), "id3")
+    whole = threes.withColumns({"right": right, "id3": F.col("third")}).join(named.select("pair", "lang", "phrase", "f1", F.col("a").alias("a12")), "pair").join(frequent.select(F.col("pair").alias("right"), F.col("a").alias("a23")), "right").join(word(3), "id3")
     cut = lambda k, left, right: F.struct(score(F.col("a"), left, right).alias("score"), F.lit(k).alias("k"), left.alias("l"), right.alias("r"))
     lowest = F.least(cut(1, F.col("f1"), F.col("a23")), cut(2, F.col("a12"), F.col("f3")))
     three = whole.select("lang", F.concat_ws(" ", "phrase", "w3").alias("phrase"), "a", lowest.alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", F.lit(0).cast("long").alias("covered"))
