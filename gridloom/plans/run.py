@@ -119,6 +119,8 @@ def _dataset(h1: config.Node, h2: config.Node, leaf: config.Node, fields: Fields
         if ref is None or com is None:
             return False
         models = sorted(r["model"] for r in store.missing(key, com).collect())  # a row a model
+        if set(CELL) <= set(ref.columns) and store.missing(key, regions.sparkSession.createDataFrame([(BENCHMARK,)], "model string")).count():
+            store.put(key, [BENCHMARK], {"maps": _time_means(ref, F.lit(BENCHMARK))})
         com = com.filter(F.col("model").isin(models)).withColumn("value", F.col("value") * float(leaf.values.get("scale_factor", 1)))
         groups = model_groups(com) if models else []
     except Exception as error:  # whatever a dataset's fields raise, the others go on
@@ -139,9 +141,7 @@ def _results(h1: config.Node, h2: config.Node, leaf: config.Node, fields: Fields
         ref, com = comparable(ref, com, unit, leaf.values.get("model_unit", unit), fields.sites(leaf) if fields.sites else None)
     scalars = PROGRAMS[leaf.values.get("ctype", "default")](leaf, ref, com, regions)
     named = scalars.select(F.lit(h1.name).alias("section"), F.lit(h2.name).alias("variable"), F.lit(leaf.name).alias("source"), "model", "region", "scalar", F.col("value").cast("double").alias("value"))
-    if not set(CELL) <= set(ref.columns) & set(com.columns):
-        return {"scalars": named}
-    return {"scalars": named, "maps": _time_means(ref, F.lit(BENCHMARK)).unionByName(_time_means(com, F.col("model")))}
+    return {"scalars": named, "maps": _time_means(com, F.col("model"))} if set(CELL) <= set(com.columns) else {"scalars": named}
 
 
 def related(root: config.Node) -> list[tuple[str, str, str]]:
@@ -165,7 +165,7 @@ def relationships(root: config.Node, store: Store, regions: DataFrame, n: int =
     pair meet where their cells are the same. Histograms without a common bin score 1, responses without one have no row.
     """
     spark = regions.sparkSession
-    maps = store.read("maps", MAPS).filter("value is not null").distinct()
+    maps = store.read("maps", MAPS).filter("value is not null")
     pairs = spark.createDataFrame(related(root), "dep string, ind string, name string")
     spans = maps.groupBy("dataset").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     side = lambda which, v: maps.join(spans, "dataset").select(F.col("dataset").alias(which), "model", *CELL, F.col("value").alias(v), F.col("lo").alias(f"{v}_lo"), F.col("hi").alias(f"{v}_hi"))
