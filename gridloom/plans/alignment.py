@@ -37,14 +37,13 @@ def _models(df: DataFrame) -> list[str]:
 def model_groups(com: DataFrame) -> list[list[str]]:
     """The models of ``com`` in groups of one clock, extent and layering: each group can be made comparable in one go,
     whatever the others are like. One job, which sends a row a model."""
-    bounds = [c for c in ("t0", "t1", *CELL, "z0", "z1") if c in com.columns]
-    ends = [f(c) for c in bounds if c not in ("t0", "t1") for f in (F.min, F.max)]
+    ends = [(f, c) for f, c in ((F.min, "lat0"), (F.max, "lat1"), (F.min, "lon0"), (F.max, "lon1"), (F.min, "z0"), (F.max, "z1")) if c in com.columns]
     if "t0" in com.columns:
-        steps = com.groupBy("model", "t0", "t1").agg(F.count(F.lit(1)).alias("rows"), *(x.alias(f"e{i}") for i, x in enumerate(ends)))
+        steps = com.groupBy("model", "t0", "t1").agg(F.count(F.lit(1)).alias("rows"), *(f(c).alias(c) for f, c in ends))
         own = [F.min("t0"), F.max("t1"), F.count(F.lit(1)), F.round(F.avg(F.col("t1") - F.col("t0")), 6)]
-        rows = steps.groupBy("model").agg(*own, *(f(f"e{i}") for i, f in enumerate((F.min, F.max) * (len(ends) // 2)))).collect()
+        rows = steps.groupBy("model").agg(*own, *(f(c) for f, c in ends)).collect()
     else:
-        rows = com.groupBy("model").agg(*ends, F.count(F.lit(1)) > 0).collect()
+        rows = com.groupBy("model").agg(*(f(c) for f, c in ends), F.count(F.lit(1)) > 0).collect()
     groups: dict[tuple, list[str]] = {}
     for row in rows:
         groups.setdefault(tuple(row)[1:], []).append(row["model"])
