@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,14 +38,23 @@ def shared_folder(spark: SparkSession) -> str:
     return own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_gridloom"
 
 
-#: Paths of scratch tables that are still there, in the order of their making.
-_made: list[str] = []
+class _Made(threading.local):
+    """Paths of this thread's scratch tables that are still there, in the order of their making.
+
+    Queries that run at once in threads of one driver each see their own tables.
+    """
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed by ``free`` or when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.paths.append(path)
     jvm = spark._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -64,16 +74,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def mark() -> int:
-    """Names the scratch tables made from here on, for ``free``."""
-    return len(_made)
+    """Names the scratch tables that this thread makes from here on, for ``free``."""
+    return len(_made.paths)
 
 
 def free(spark: SparkSession, since: int) -> None:
     """Remove all scratch tables made since a ``mark``, but for the last one, which holds the result."""
-    for path in _made[since:-1]:
+    for path in _made.paths[since:-1]:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    del _made[since:-1]
+    del _made.paths[since:-1]
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -117,11 +127,11 @@ def copies_of(few: DataFrame, copies: str) -> tuple[int, int]:
     return row["n"] or 0, row["most"] or 0
 
 
-def spread_join(many: DataFrame, few: DataFrame, keys: list[str], copies: str, known: tuple[int, int] | None = None) -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], copies: str, known: tuple[int, int] | None = None, deal: list[str] | None = None) -> DataFrame:
     """``many`` joined to ``few``, which has one row a key and counts the key's rows of ``many`` in ``copies``.
 
     A key with more than a quarter of an even partition's rows is hot: its rows are dealt over parts by a hash of the
-    whole row, and its row of ``few`` is repeated for each part. At most four times as many keys as there are
+    columns ``deal`` (all, if not given), and its row of ``few`` is repeated for each part. At most four times as many keys as there are
     partitions can be hot, whatever the data, so their list is broadcast. ``few`` has to be a written table; ``known`` is
     its ``copies_of``.
     """
@@ -131,7 +141,7 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], copies: str, k
         return many.join(few, keys)
     n_parts = F.ceil(F.col(copies) / limit).cast("int")
     hot = few.filter(F.col(copies) > limit).select(*keys, n_parts.alias("_parts"))
-    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*(deal or many.columns)), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     repeated = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(copies) > limit, n_parts).otherwise(1) - 1)))
     return dealt.join(repeated, [*keys, "_part"]).drop("_part")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_partitions, materialise, small_batches, spread_join, whole_columns, with_rows
+from .common import copies_of, default_partitions, materialise, small_batches, spread_join, whole_columns, with_rows
 from .suffix_dedup import Rolling, _mixed
 
 SHINGLE_WORDS, THRESHOLD = 5, (4, 5)
@@ -199,14 +199,21 @@ def candidates(members: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``row``, ``label``: the least row of each component, by passing on least labels until none changes."""
+    """``row``, ``label``: the least row of each component, by passing on least labels until none changes.
+
+    A row that many others are linked to, and a label that many rows bear, are hot keys, dealt over parts.
+    """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    degrees = materialise(both.groupBy("b").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    known = copies_of(degrees, "degree")
     labels = materialise(both.groupBy(F.col("a").alias("row")).agg(F.min("b").alias("least")).select("row", F.least("row", "least").alias("label")), "labels")
     while True:
         # the least label of the neighbours, and the label of one's own label
-        near = both.join(labels, both["b"] == labels["row"]).groupBy(F.col("a").alias("row")).agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("row").alias("label"), F.col("label").alias("far"))
-        fresh = labels.join(near, "row").join(jump, "label").select("row", F.least("label", "near", "far").alias("fresh"), "label")
+        of = labels.select(F.col("row").alias("b"), "label").join(degrees, "b")
+        near = spread_join(both, of, ["b"], "degree", known).groupBy(F.col("a").alias("row")).agg(F.min("label").alias("near"))
+        bearers = labels.groupBy("label").agg(F.count(F.lit(1)).alias("bearers"))
+        jump = materialise(labels.select(F.col("row").alias("label"), F.col("label").alias("far")).join(bearers, "label"), "jumps")
+        fresh = spread_join(labels.join(near, "row"), jump, ["label"], "bearers").select("row", F.least("label", "near", "far").alias("fresh"), "label")
         fresh = materialise(fresh, "labels")
         labels = fresh.select("row", F.col("fresh").alias("label"))
         if not fresh.filter("fresh <> label").limit(1).count():
