@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spread_join
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -115,21 +115,24 @@ def host_verdicts(counted: DataFrame) -> DataFrame:
 
 
 def _with_verdicts(counted: DataFrame) -> DataFrame:
-    hosts = host_verdicts(counted).select(F.col("source").alias("_host"), "host_kept")
-    return counted.join(hosts, counted["source"].eqNullSafe(hosts["_host"]), "left").withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).drop("_host")
+    """``counted``, whose rows have a ``_row`` to deal those of hot hosts by, with its hosts' verdicts."""
+    key = {"_host": F.coalesce("source", F.lit("")), "_no_host": F.col("source").isNull()}
+    hosts = materialise(host_verdicts(counted).withColumns(key).select(*key, "host_docs", "host_kept"), "verdicts")
+    joined = spread_join(counted.withColumns(key), hosts, [*key], "host_docs", deal=["_row"])
+    return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).drop(*key, "host_docs", "_row")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, the counts, ``base_failed``, ``kept``."""
     columns = ["doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    counted = materialise(with_counts(docs.select("doc_id", "text", "source")).select(*columns, *RULES[:3], F.col("dup_lines")), "counts")
+    counted = materialise(with_counts(docs.select("doc_id", "text", "source")).select(F.monotonically_increasing_id().alias("_row"), *columns, *RULES[:3], F.col("dup_lines")), "counts")
     return _with_verdicts(counted).select("doc_id", *columns[2:], "kept")
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     inside = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "source")
-    counted = materialise(with_counts(inside).select("_doc", "source", "base_failed", *RULES), "counted")
+    counted = materialise(with_counts(inside).select(F.monotonically_increasing_id().alias("_row"), "_doc", "source", "base_failed", *RULES), "counted")
     return _with_verdicts(counted).filter("kept").select("_doc.*")
 
 
