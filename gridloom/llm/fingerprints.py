@@ -84,24 +84,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def in_ranges(docs: DataFrame, range_text_bytes: int = RANGE_TEXT_BYTES) -> DataFrame:
-    """``docs`` with ``bucket``: ranges of ascending doc_id with about equal rows; null ids are in the first.
+    """``docs`` with ``bucket``: ranges of ascending doc_id (nulls first) and text hash, with about equal rows.
 
+    An id that is several split points has as many ranges, over which its rows are dealt by their texts' hashes, in order.
     There are at most four ranges a shuffle partition. Their split points are approximate quantiles in a table of one
     row, which is joined on a constant, and are looked up in two steps of the square root of their number.
     """
     spark = docs.sparkSession
     n = min(max(1, -(-text_bytes(docs) // range_text_bytes)), 4 * default_partitions(spark))
     fan = math.isqrt(n - 1) + 1
-    splits = docs.agg(F.percentile_approx("doc_id", [i / (fan * fan) for i in range(1, fan * fan)], 100_000)).first()[0] if fan > 1 else None
+    doc_id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    splits = docs.agg(F.percentile_approx(doc_id, [i / (fan * fan) for i in range(1, fan * fan)], 100_000)).first()[0] if fan > 1 else None
     if not splits:
         return docs.withColumn("bucket", F.lit(0))
     splits = [*splits, (1 << 63) - 1]
     rows = [splits[i : i + fan] for i in range(0, len(splits), fan)]
     table = spark.createDataFrame([(0, [r[-1] for r in rows[:-1]], rows)], "_one int, _tops array<long>, _splits array<array<long>>")
-    doc_id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     below = lambda points: F.size(F.filter(points, lambda s: s < doc_id))
-    with_splits = docs.withColumn("_one", F.lit(0)).join(F.broadcast(table), "_one").withColumn("_row", below(F.col("_tops")))
-    return with_splits.withColumn("bucket", F.col("_row") * fan + below(F.get("_splits", F.col("_row")))).drop("_one", "_tops", "_splits", "_row")
+    up_to = lambda points: F.size(F.filter(points, lambda s: s <= doc_id))
+    out = docs.withColumn("_one", F.lit(0)).join(F.broadcast(table), "_one").withColumns({"_row": below(F.col("_tops")), "_past": up_to(F.col("_tops"))})
+    out = out.withColumns({"bucket": F.col("_row") * fan + below(F.get("_splits", F.col("_row"))), "_past": F.col("_past") * fan + up_to(F.get("_splits", F.col("_past")))})
+    own, share = F.col("_past") - F.col("bucket"), F.xxhash64("text") / F.lit(2.0**64) + 0.5
+    dealt = F.when(own > 1, F.col("bucket") + F.least(F.floor(share * own), own - 1)).otherwise(F.col("bucket"))
+    return out.withColumn("bucket", dealt.cast("int")).drop("_one", "_tops", "_splits", "_row", "_past")
 
 
 def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
