@@ -9,7 +9,7 @@ discounting of their corpus counts, with one place for the class's words that we
 probabilities of all seen words and of these places sum to 1, and no word is merged into another.
 
 Counts cover all training rows, as one shuffle of each partition's distinct words. Training covers them too: rows are dealt
-by a hash of their doc_id into ``ROUNDS`` rounds and, in each, into shards of about ``SHARD_TOKENS`` tokens. In a round
+by a hash of doc_id and text into ``ROUNDS`` rounds and, in each, into shards of about ``SHARD_TOKENS`` tokens. In a round
 every shard steps from the same parameters through its own tokens, then parameters and AdaGrad sums are averaged by
 blocks in Spark, at most ``TOGETHER`` copies at a time. A corpus of few shards is gone through again until each copy has
 made ``MIN_STEPS`` steps (``MAX_PASSES`` times at most). Seeds come from round and shard, so scores do not depend on how the input is split. What reaches
@@ -231,7 +231,7 @@ def _events(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
             ids = [np.fromiter(map(known.__getitem__, words(t)), "<u2").tobytes() for t in _buffers(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["place", "ids"])
 
-    own = texts(docs).filter(~held_out(F.col("doc_id"))).select(F.xxhash64(F.coalesce("doc_id", F.lit(-1))).alias("place"), "text")
+    own = texts(docs).filter(~held_out(F.col("doc_id"))).select(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("place"), "text")
     dealt = own.mapInArrow(encode, "place long, ids binary")
     return materialise(dealt.select(F.pmod("place", F.lit(ROUNDS)).cast("int").alias("turn"), F.pmod(F.shiftright("place", 8), F.lit(shards)).cast("int").alias("shard"), "place", "ids"), "events")
 
