@@ -5,13 +5,14 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import binary_records, bpe_automaton, fingerprints, line_dedup, lm_scoring, ngram_join, packing, queries, quality_rules, suffix_dedup, toxicity
-from gridloom.llm.common import materialise, scratch, spread_join, with_rows
+from gridloom.llm.common import free, mark, materialise, scratch, spread_join, with_rows
 from gridloom.llm.tokenizer import TextEncoder, public_tokenizer, read_tokenizer
 from tests.oracle import answer, rows
 
@@ -190,6 +191,16 @@ def test_bad_hosts_go_and_small_ones_stay(spark):
     assert kept == {"good": 300, "tiny": 1} and quality_rules.keep_documents(docs).columns == docs.columns
 
 
+def test_hot_hosts_are_dealt_over_parts(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows_ = [(None if i % 2 else f"h{i % 40}" if i % 4 else "", good if i % 3 else "short") for i in range(1200)]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows_)], "doc_id long, text string, source string").withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    joined = quality_rules.keep_documents(docs)
+    assert "_part" in joined._jdf.queryExecution().toString()
+    assert sorted(r["doc_id"] for r in joined.collect()) == [i for i, (_, t) in enumerate(rows_) if t == good]
+    assert quality_rules.quality_rules(docs).count() == len(rows_)
+
+
 # 4
 
 
@@ -298,6 +309,13 @@ def test_ngram_join_by_brute_force(spark, monkeypatch):
     assert got == brute_groups(texts)
 
 
+def test_components_with_hubs(spark):
+    star = [(i, 0) for i in range(1, 900)] + [(2000 + i, 2000) for i in range(1, 400)] + [(i, i + 1) for i in range(5000, 5040)]
+    got = ngram_join.components(spark.createDataFrame(star, "a long, b long"))
+    labels = dict(map(tuple, got.collect()))
+    assert labels == {x: 0 if x < 900 else 2000 if x < 5000 else 5000 for e in star for x in e}
+
+
 def test_ngram_join_odd_rows(spark):
     assert ngram_join.ngram_join(table(spark, [])).count() == 0
     assert Counter(r["n_links"] for r in ngram_join.ngram_join(table(spark, ["same text here", "same text here", "other"], [3, 3, None])).collect()) == {1: 2, 0: 1}
@@ -416,6 +434,20 @@ def test_fingerprints_by_brute_force(spark, documents):
         assert (r["fingerprint"], r["edited_fingerprint"]) == (lanes[0], lanes[1]) and [r["near_edited"], r["near_next"]] == pytest.approx(like)
 
 
+def test_ranges_split_hot_ids_in_order(spark):
+    rng = random.Random(3)
+    ids = [None] * 400 + [7] * 500 + [rng.randrange(1000) for _ in range(600)] + [(1 << 63) - 1] * 200
+    rows_ = table(spark, [f"text {i}" for i in range(len(ids))], ids)
+    got = fingerprints.in_ranges(rows_, range_text_bytes=500).select("bucket", "doc_id", F.xxhash64("text").alias("h")).collect()
+    assert max(Counter(r["bucket"] for r in got).values()) < 200 and len(got) == len(ids)
+    ordered = sorted(got, key=lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["h"]))
+    assert [r["bucket"] for r in ordered] == sorted(r["bucket"] for r in got)
+    texts = [f"text {i} {'x' * (i % 50)}" for i in range(300)]
+    docs = table(spark, texts, [None] * 150 + [4] * 150)
+    one, many = ([tuple(r) for r in fingerprints.with_next(d.select("doc_id", "text"), {"n": F.length("text")}).select("doc_id", "text", "next.text").collect()] for d in (docs.limit(300).coalesce(1), docs))
+    assert sorted(one, key=str) == sorted(many, key=str) and len({t for _, _, t in many}) == 300
+
+
 def test_fingerprints_odd_rows(spark):
     got = fingerprints.edited_fingerprints(table(spark, ODD, [1, 2, 3, 4, 4, None, 6, 7, 8, 9])).collect()
     assert len(got) == len(ODD) and all(0 <= r["near_next"] <= 1 for r in got)
@@ -626,6 +658,26 @@ def test_lm_score_by_the_definition(spark, monkeypatch):
     assert lm_scoring.lm_scoring(table(spark, [])).count() == 0
 
 
+def test_lm_deals_equal_ids_over_shards(spark):
+    docs = table(spark, [f"some words {i}" for i in range(200)], [None] * 200)
+    events = lm_scoring._events(docs, lm_scoring.Vocabulary(lm_scoring.word_counts(docs)), 4)
+    assert events.count() == 200 and events.select("turn", "shard").distinct().count() > 4
+
+
+def test_scratch_tables_of_threads_are_apart(spark):
+    begun, own = mark(), materialise(spark.range(3), "own")
+
+    def other():
+        since = mark()
+        [materialise(spark.range(k), "other") for k in (1, 2)]
+        free(spark, since)
+        return since, mark()
+
+    with ThreadPoolExecutor(1) as pool:
+        assert pool.submit(other).result() == (0, 1)
+    assert mark() == begun + 1 and own.count() == 3
+
+
 def test_lm_takes_long_texts(spark):
     got = lm_scoring.lm_scoring(table(spark, [LONG * 10, LONG * 10, "word", None])).orderBy("doc_id").collect()
     assert got[0]["n_tokens"] == 80_001 and got[0]["score"] == pytest.approx(got[1]["score"]) and math.isfinite(got[3]["score"])
