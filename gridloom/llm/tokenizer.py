@@ -40,8 +40,19 @@ class Chunks(dict):
     def __missing__(self, chunk: str):
         found = self.old.get(chunk)
         if found is None:
-            found = self._found(chunk)
-        if len(chunk) <= CACHE_CHARS and ("\n" not in chunk or chunk == "\n"):
+            if chunk.isalpha():
+                found = self.encode(self.before + chunk)
+            elif "\n" in chunk:
+                found = self._lines(chunk)
+                if chunk != "\n":
+                    return found
+            else:
+                stem = chunk.rstrip(_MARKS)
+                if stem and len(stem) < len(chunk) and stem[-1] < "ɐ" and stem[-1].isalpha():
+                    found = self[stem] + self.bare[chunk[len(stem) :]]
+                else:
+                    found = self.encode(self.before + chunk)
+        if len(chunk) <= CACHE_CHARS:
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
@@ -54,21 +65,16 @@ class Chunks(dict):
         if self.bare is not self:
             self.bare.settle()
 
-    def _found(self, chunk: str):
-        if "\n" in chunk:
-            first, _, rest = chunk.partition("\n")
-            if "\n" not in rest:
-                if first and rest and not first[-1].isspace() and not rest[0].isspace():
-                    return self.join((self[first], self.bare["\n"], self.bare[rest]))
-            else:
-                first, *lines = _FEEDS.split(chunk)
-                if lines:
-                    feed = self.bare["\n"]
-                    return self.join([self[first], *(part for line in lines for part in (feed, self.bare[line]))])
+    def _lines(self, chunk: str):
+        first, _, rest = chunk.partition("\n")
+        if "\n" not in rest:
+            if first and rest and not first[-1].isspace() and not rest[0].isspace():
+                return self.join((self[first], self.bare["\n"], self.bare[rest]))
         else:
-            stem = chunk.rstrip(_MARKS)
-            if stem and len(stem) < len(chunk) and stem[-1] < "ɐ" and stem[-1].isalpha():
-                return self[stem] + self.bare[chunk[len(stem) :]]
+            first, *lines = _FEEDS.split(chunk)
+            if lines:
+                feed = self.bare["\n"]
+                return self.join([self[first], *(part for line in lines for part in (feed, self.bare[line]))])
         return self.encode(self.before + chunk)
 
 
@@ -88,10 +94,11 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model = self.library.model
-        # the characters that stand for bytes, by the bytes' Latin-1 characters
+        # the characters that stand for bytes
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        self.symbols = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
-        self.space = self.symbols[32]
+        others = iter(range(256, 512))
+        self.symbol = [chr(b) if b in printable else chr(next(others)) for b in range(256)].__getitem__
+        self.space = self.symbol(32)
         self.chunks = Chunks(self._piece, b"".join)
 
     def _piece(self, text: str) -> bytes:
@@ -101,7 +108,7 @@ class TextEncoder:
             if word.isascii():
                 found = self.model.tokenize(self.space + word if word is not text else word)
             elif max(word) < "ɐ":
-                found = self.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))
+                found = self.model.tokenize("".join(map(self.symbol, text.encode())))
             else:
                 return self._whole(text)
             return array(self.code, [x.id for x in found]).tobytes()
