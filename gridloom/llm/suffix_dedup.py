@@ -207,17 +207,28 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
 SEVERAL, ANCHOR_BITS = 128, 127
 
 
-def find_runs(rows: DataFrame) -> DataFrame:
+def find_runs(rows: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:
+    """``anchor``, ``content``, ``row``, ``shape`` of all runs, and ``part``: over which of its parts a run of a hot anchor
+    is dealt, null for others. hot: anchors and their parts, a bounded list."""
+    anchors = np.array(sorted(hot or {}), np.int64)
+    n_parts = np.array([(hot or {})[x] for x in anchors.tolist()], np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, offsets, held in _blocks(batches):
             sizes = np.array([len(x) for x in held])
             text, at, n, anchor_at, several, anchor, content = runs(np.frombuffer(b"".join(held), np.uint8), np.cumsum(sizes) - sizes, sizes)
             own = np.array(ids, np.int64)[text]
             shape = (at + np.array(offsets, np.int64)[text]) << 16 | n << 8 | several * SEVERAL | anchor_at
+            part = pa.nulls(len(own), pa.int32())
+            if len(anchors) and len(own):
+                near = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
+                dealt = _mixed(own.view(np.uint64) * np.uint64(_BASE) + shape.view(np.uint64)) % n_parts[near]
+                part = pa.array(dealt.astype(np.int32), mask=anchors[near] != anchor)
+            table = pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (anchor, content, own, shape)), part], names=["anchor", "content", "row", "shape", "part"])
             for k in range(0, len(own), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)], pa.int64()) for x in (anchor, content, own, shape)], names=["anchor", "content", "row", "shape"])
+                yield table.slice(k, 1 << 16)
 
-    return rows.select("row", "text").mapInArrow(run, "anchor long, content long, row long, shape long")
+    return rows.select("row", "text").mapInArrow(run, "anchor long, content long, row long, shape long, part int")
 
 
 def _cut(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -243,21 +254,19 @@ def _cut(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 def hot_anchors(rows: DataFrame) -> DataFrame:
     """``anchor``, ``parts``: anchors with over a quarter of an even partition's runs, and over how many parts to deal them.
 
-    At most four times as many as there are partitions, so the list may be broadcast. It comes from a sample of the rows
+    At most four times as many as there are partitions, so the list may go to all tasks. It comes from a sample of the rows
     and decides on the dealing, never on the result.
     """
     n = default_partitions(rows.sparkSession)
     counts = materialise(find_runs(rows.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0)).groupBy("anchor").count().filter("count > 1"), "anchor-counts")
     limit = max(16, (counts.agg(F.sum("count").alias("n")).first()["n"] or 0) // (4 * n))
-    return materialise(counts.filter(F.col("count") > limit).select("anchor", F.ceil(F.col("count") / limit).cast("int").alias("parts")), "hot-anchors")
+    return counts.filter(F.col("count") > limit).select("anchor", F.ceil(F.col("count") / limit).cast("int").alias("parts"))
 
 
 def _first_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``row``, ``shape`` of the runs that repeat an earlier run; ``row``, ``shape``, ``anchor`` of the first runs that another
     content of their anchor may repeat in part."""
-    hot = hot_anchors(rows)
-    part = F.pmod(F.xxhash64("row", "shape"), F.col("parts")).cast("int")
-    dealt = find_runs(rows).join(F.broadcast(hot), "anchor", "left").withColumn("part", part).drop("parts")
+    dealt = find_runs(rows, {r["anchor"]: r["parts"] for r in hot_anchors(rows).collect()})
     same = Window.partitionBy("anchor", "part").orderBy("content", "row", "shape")
     ordered = dealt.withColumn("before", F.lag("content").over(same))
     kinds = ordered.withColumn("first", F.coalesce(F.col("before") != F.col("content"), F.lit(True)))

@@ -559,6 +559,17 @@ def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
     assert got == brute_repeats(list(enumerate(texts)))
 
 
+def test_runs_of_hot_anchors_are_dealt_where_they_are_found(spark):
+    rng = random.Random(14)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows_ = with_rows(table(spark, [passage[k:] + str(k) for k in range(40)]))
+    plain = suffix_dedup.find_runs(rows_).collect()
+    hot = Counter(r["anchor"] for r in plain).most_common(1)[0][0]
+    dealt = suffix_dedup.find_runs(rows_, {hot: 3}).collect()
+    assert sorted(tuple(r)[:4] for r in dealt) == sorted(tuple(r)[:4] for r in plain) and all(r["part"] is None for r in plain)
+    assert {r["part"] for r in dealt if r["anchor"] == hot} == {0, 1, 2} and {r["part"] for r in dealt if r["anchor"] != hot} == {None}
+
+
 def test_suffix_dedup_of_texts_over_a_block(spark, monkeypatch):
     rng = random.Random(13)
     long = "".join(rng.choice("abcdefgh é") for _ in range(600_000))
