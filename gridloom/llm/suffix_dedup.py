@@ -13,8 +13,10 @@ windows that follow each other mostly share one. A run is the windows of one anc
 3. Their suffixes, from the anchor on, are dealt into buckets by sampled splitters over their leading bytes (a range
    partitioning), and each bucket is sorted by multikey quicksort on 8-byte words. Suffixes that share the anchor are
    neighbours; their windows are compared and all but the first of equal ones are repeats.
-4. An anchor with over ``HOT`` contents is dealt by whole suffixes, so it goes over many buckets; the windows of the
-   blocks at a bucket's edges are compared across the boundaries, by a shuffle on the windows' hashes.
+4. An anchor with over ``HOT`` contents is dealt by whole suffixes, so it goes over many buckets. Equal windows have
+   their anchor at the same place, so all suffixes between theirs share the windows' bytes from the anchor on. Only
+   windows whose bytes from there on are those of the bucket's first or last suffix too can have an equal one in another
+   bucket; of each equal ones the bucket's first is compared across the boundaries, by a shuffle on the windows' hashes.
 
 So repeats of whole runs are found by their hashes before suffixes are sorted, as a pre-aggregation. To sort the suffixes
 of all runs would move their contents, about 125 bytes a run and a run every 24 bytes of text: over 5 times the corpus.
@@ -153,15 +155,34 @@ def _spans(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[first], place[first], np.diff(np.append(first, len(row)))
 
 
+def _shared(words: np.ndarray) -> np.ndarray:
+    """Of rows of big-endian words, the leading bytes that each has in common with the first or the last row, the longer."""
+    data = words.astype(">u8").view(np.uint8)
+    return np.maximum(*(np.where((other := data != data[k]).any(axis=1), other.argmax(axis=1), data.shape[1]) for k in (0, -1)))
+
+
+def one_place(at: int, n_windows: int, anchor_at: int, content: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """A run whose anchor is there more than once, in pieces (first window, windows, anchor's place, content): the windows
+    that have their anchor at the same place."""
+    gram, step = content[anchor_at : anchor_at + GRAM], 0
+    while step < n_windows:
+        end = min(n_windows, anchor_at + 1)
+        yield at + step, end - step, anchor_at - step, content[step : end + LENGTH - 1]
+        step = end
+        anchor_at = max(content.find(gram, step), step)
+
+
 def compare_bucket(row: np.ndarray, at: np.ndarray, n_windows: np.ndarray, anchor_at: np.ndarray, contents: list[bytes], edges: bool = True) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Repeated spans (row, first window, windows) of one bucket, and the open windows (two hashes, row, place).
 
-    edges: the bucket's first and last block may go on in another bucket, so their windows stay open.
+    edges: the bucket's first and last block may go on in another bucket, and each run has its anchor at one place. Windows
+    that another bucket can hold too stay open, the first of equal ones.
     """
     sizes = np.array([len(c) for c in contents])
     data = np.frombuffer(b"".join(contents), np.uint8)
     starts = np.cumsum(sizes) - sizes
-    order = multikey_order(_as_words(data, starts + anchor_at, starts + sizes, LENGTH))
+    words = _as_words(data, starts + anchor_at, starts + sizes, LENGTH)
+    order = multikey_order(words)
     row, at, n_windows, anchor_at, starts = row[order], at[order], n_windows[order], anchor_at[order], starts[order]
     lead = _as_words(data, starts + anchor_at, starts + anchor_at + GRAM, GRAM)
     new = np.ones(len(row), bool)
@@ -173,14 +194,13 @@ def compare_bucket(row: np.ndarray, at: np.ndarray, n_windows: np.ndarray, ancho
     begin = starts[record] + step
     h1, h2 = _mixed(one.of(begin, begin + LENGTH)), _mixed(two.of(begin, begin + LENGTH))
     of, place, in_block = row[record], at[record] + step, block[record]
-    edge = ((in_block == 0) | (in_block == block[-1])) & edges
-    inner = np.flatnonzero(~edge)
-    by = inner[np.lexsort((place[inner], of[inner], h2[inner], h1[inner], in_block[inner]))]
+    by = np.lexsort((place, of, h2, h1, in_block))
     again = np.zeros(len(by), bool)
     again[1:] = (in_block[by][1:] == in_block[by][:-1]) & (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])
     repeated = by[again]
     repeated = repeated[np.lexsort((place[repeated], of[repeated]))]
-    outer = np.flatnonzero(edge)
+    outer = by[~again]
+    outer = outer[LENGTH - anchor_at[record[outer]] + step[outer] <= _shared(words[order])[record[outer]]] if edges else outer[:0]
     return _spans(of[repeated], place[repeated]), (h1[outer].view(np.int64), h2[outer].view(np.int64), of[outer], place[outer])
 
 
@@ -244,8 +264,11 @@ def _cut(rows: DataFrame, chosen: DataFrame) -> DataFrame:
                     shape = one["shape"]
                     at, n, anchor_at = shape >> 16, shape >> 8 & 255, shape & ANCHOR_BITS
                     content = data[at : at + n + LENGTH - 1]
-                    for column, x in zip(out, (row, shape, content, content[anchor_at : anchor_at + LENGTH], one["hot"]), strict=True):
-                        column.append(x)
+                    # windows of hot anchors are told apart by what follows their own anchor
+                    pieces = one_place(at, n, anchor_at, content) if one["hot"] and shape & SEVERAL else [(at, n, anchor_at, content)]
+                    for at_, n_, anchor_at_, content_ in pieces:
+                        for column, x in zip(out, (row, at_ << 16 | n_ << 8 | anchor_at_, content_, content_[anchor_at_ : anchor_at_ + LENGTH], one["hot"]), strict=True):
+                            column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.bool_())], names=["row", "shape", "content", "suffix", "hot"])
 
     return rows.select("row", "text").join(wanted, "row").select("row", "text", "shapes").mapInArrow(run, "row long, shape long, content binary, suffix binary, hot boolean")

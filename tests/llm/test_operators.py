@@ -559,6 +559,43 @@ def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
     assert got == brute_repeats(list(enumerate(texts)))
 
 
+def test_few_windows_stay_open_at_the_edges_of_buckets():
+    rng = random.Random(31)
+    gram, size, n = b"-the anchor of all runs-", suffix_dedup.LENGTH, suffix_dedup.SHARED
+    side = lambda: bytes(rng.choice(b"abcdefgh") for _ in range(76))
+    lefts, rights = [side() for _ in range(30)], [side() for _ in range(30)]
+    rights += [r[:40] + side()[:36] for r in rights]
+    contents = sorted({rng.choice(lefts) + gram + rng.choice(rights) for _ in range(600)}, key=lambda c: c[76:])
+    windows = {}  # each window to its places, in order
+    for row, c in enumerate(contents):
+        for at in range(n):
+            windows.setdefault(c[at : at + size], []).append((row, at))
+    later = {p for places in windows.values() for p in places[1:]}
+    found, open_ = set(), {}
+    for cut in range(0, len(contents), 128):
+        own = list(range(cut, min(cut + 128, len(contents))))
+        full = np.full(len(own), n)
+        (row, at, count), left = suffix_dedup.compare_bucket(np.array(own), 0 * full, full, full - 1, [contents[i] for i in own])
+        found |= {(r, a + k) for r, a, c in zip(row.tolist(), at.tolist(), count.tolist(), strict=True) for k in range(c)}
+        for h1, h2, r, a in zip(*(x.tolist() for x in left), strict=True):
+            open_.setdefault((h1, h2), []).append((r, a))
+    found |= {p for places in open_.values() for p in sorted(places)[1:]}
+    assert found == later
+    # one or two sides' bytes in common, not all windows of all contents
+    assert sum(map(len, open_.values())) < len(contents) * n / 4
+
+
+def test_runs_of_anchors_that_repeat_are_cut_by_place():
+    content = b"xy" * 10 + (b"the same words again and " * 8)[:150]
+    gram = content[30 : 30 + suffix_dedup.GRAM]
+    n = len(content) - suffix_dedup.LENGTH + 1
+    pieces = list(suffix_dedup.one_place(500, n, 30, content))
+    assert len(pieces) > 1 and [p[0] for p in pieces] == [500, *np.cumsum([p[1] for p in pieces]) + 500][:-1] and sum(p[1] for p in pieces) == n
+    for at, count, anchor_at, own in pieces:
+        assert own == content[at - 500 : at - 500 + count + suffix_dedup.LENGTH - 1]
+        assert all(own.find(gram, k) == anchor_at for k in range(count))
+
+
 def test_runs_of_hot_anchors_are_dealt_where_they_are_found(spark):
     rng = random.Random(14)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
