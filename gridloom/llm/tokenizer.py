@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from array import array
+from itertools import islice
 
 import numpy as np
 
@@ -22,26 +24,28 @@ _SPACED = re.compile(r" [^\S ]")
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: Line feeds between two characters that are no white space.
 _FEEDS = re.compile(r"(?<=\S)\n(?=\S)")
-_MARKS = ".,;:!?"
+#: ASCII marks; the apostrophe is left out, as it begins pre-tokens with letters.
+_MARKS = string.punctuation.replace("'", "")
 
 
 class Chunks(dict):
     """Chunk (without ``before``, which stands before it) to what ``encode`` makes of it; ``join`` puts parts together.
 
     Lines and the marks after a word are cut off first: neither a single line feed nor a run of such marks after a
-    letter is ever in one pre-token with what stands before it. Two bounded generations are kept.
+    letter is ever in one pre-token with what stands before it. Two bounded generations are kept. ``word``, if given, encodes
+    a chunk of ASCII letters, from what stands before it and the chunk.
     """
 
-    def __init__(self, encode, join, before: str = " ", limit: int = CACHE_CHUNKS):
+    def __init__(self, encode, join, before: str = " ", limit: int = CACHE_CHUNKS, word=None):
         super().__init__()
-        self.encode, self.join, self.before, self.limit, self.old = encode, join, before, limit, {}
-        self.bare = Chunks(encode, join, "", limit // 4) if before else self
+        self.encode, self.join, self.before, self.limit, self.old, self.word = encode, join, before, limit, {}, word
+        self.bare = Chunks(encode, join, "", limit // 4, word) if before else self
 
     def __missing__(self, chunk: str):
         found = self.old.get(chunk)
         if found is None:
             if chunk.isalpha():
-                found = self.encode(self.before + chunk)
+                found = self.word(self.before, chunk) if self.word and chunk.isascii() else self.encode(self.before + chunk)
             elif "\n" in chunk:
                 found = self._lines(chunk)
                 if chunk != "\n":
@@ -60,7 +64,10 @@ class Chunks(dict):
         return found
 
     def settle(self) -> None:
-        """Let the older generation go at the end of a task, so that an idle worker holds one at most."""
+        """Let the older generation go at the end of a task, so that an idle worker holds one at most; as much of it as there
+        is room for stays in the other, its first (most frequent) chunks first."""
+        for chunk, found in islice(self.old.items(), max(0, self.limit - len(self))):
+            self.setdefault(chunk, found)
         self.old = {}
         if self.bare is not self:
             self.bare.settle()
@@ -99,7 +106,10 @@ class TextEncoder:
         others = iter(range(256, 512))
         self.symbol = [chr(b) if b in printable else chr(next(others)) for b in range(256)].__getitem__
         self.space = self.symbol(32)
-        self.chunks = Chunks(self._piece, b"".join)
+        self.chunks = Chunks(self._piece, b"".join, word=self._word)
+
+    def _word(self, before: str, word: str) -> bytes:
+        return array(self.code, [x.id for x in self.model.tokenize(self.space + word if before else word)]).tobytes()
 
     def _piece(self, text: str) -> bytes:
         """A word of letters, with or without a space before it, is one pre-token: the library's BPE takes it as it is."""

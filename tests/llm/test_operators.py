@@ -559,6 +559,19 @@ def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
     assert got == brute_repeats(list(enumerate(texts)))
 
 
+def test_frequent_chunks_outlive_a_task():
+    from gridloom.llm import tokenizer
+
+    made = []
+    chunks = tokenizer.Chunks(lambda x: made.append(x) or x.encode(), b"".join, limit=4)
+    for w in "abcdef":
+        chunks[w]
+    chunks.settle()
+    assert not chunks.old and len(chunks) == 4
+    made.clear()
+    assert [chunks[w] for w in "abef"] == [b" a", b" b", b" e", b" f"] and not made
+
+
 def test_few_windows_stay_open_at_the_edges_of_buckets():
     rng = random.Random(31)
     gram, size, n = b"-the anchor of all runs-", suffix_dedup.LENGTH, suffix_dedup.SHARED
