@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -43,6 +43,10 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _joined(parts: Iterable[tuple]) -> tuple:
+    return tuple(chain.from_iterable(parts))
+
+
 class Automaton:
     """States, labels and the words encoded so far."""
 
@@ -63,11 +67,19 @@ class Automaton:
             self._gadget(time, vocab[u], vocab[v], vocab[u + v])
         self.tokens = {self.labels[i]: i for i in self.label_born}
         self.lengths = sorted({len(t) for t in self.tokens}, reverse=True)
-        self.fitting = [[x for x in self.lengths if x <= room] for room in range(self.lengths[0])]
+        # lengths of the labels that begin with three bytes, longest first, and the shorter ones that may
+        self.short = tuple(x for x in self.lengths if x < 3)
+        begun: dict[bytes, set[int]] = {}
+        for t in self.tokens:
+            if len(t) > 2:
+                begun.setdefault(t[:3], set()).add(len(t))
+        self.begun = {t: (*sorted(found, reverse=True), *self.short) for t, found in begun.items()}
         self.table: dict[int, int] = {}
         self.word_split = regex.compile(PRE_SPLIT)
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.chunks = Chunks(self.encode_chunk, lambda parts: tuple(chain.from_iterable(parts)))
+        self.chunks = Chunks(self.encode_chunk, _joined)
+        # for digests: of each chunk its ids in decimals, with commas behind, and the bytes that they decode to
+        self.written = Chunks(self._write, _joined)
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         if w in self.label_born or u not in self.leads or v not in self.leads:
@@ -106,16 +118,18 @@ class Automaton:
         Takes the longest label first and steps back where no arc goes on. Only one valid path leads to each prefix,
         so a place that once failed stays closed and each place is left at most once.
         """
-        n, tokens, table, leads = len(word), self.tokens, self.table, self.leads
+        n, tokens, table, leads, begun, short = len(word), self.tokens, self.table, self.leads, self.begun, self.short
         if (whole := tokens.get(word)) is not None:
             return [whole]
         path: list[int] = []
         at: list[int] = []
         closed = bytearray(n + 1)
-        place, state, sizes = 0, 0, iter(self._sizes(n))
+        place, state, sizes = 0, 0, iter(begun.get(word[:3], short))
         tried: list[Iterator[int]] = []
         while place < n:
             for size in sizes:
+                if place + size > n:
+                    continue
                 token = tokens.get(word[place : place + size])
                 if token is None or closed[place + size]:
                     continue
@@ -127,7 +141,7 @@ class Automaton:
                     at.append(place)
                     tried.append(sizes)
                     place += size
-                    state, sizes = after, iter(self._sizes(n - place))
+                    state, sizes = after, iter(begun.get(word[place : place + 3], short))
                     break
             else:
                 closed[place] = 1
@@ -136,23 +150,35 @@ class Automaton:
                 state = leads[path[-1]] if path else 0
         return path
 
-    def _sizes(self, room: int) -> list[int]:
-        """Lengths of labels that fit, longest first."""
-        return self.fitting[room] if room < len(self.fitting) else self.lengths
-
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(self.encode_word(w.encode()) for w in self.word_split.findall(chunk)))
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str, chunks: Chunks) -> list:
         if ("  " in text or _SPACED.search(text) or text[-2:].isspace()) and _UNSAFE.search(text):
-            return list(chain.from_iterable(map(self.encode_chunk, self.word_split.findall(text))))
+            return list(chain.from_iterable(map(chunks.encode, self.word_split.findall(text))))
         head, *rest = text.split(" ")
-        return [*(self.chunks.bare[head] if head else ()), *chain.from_iterable(map(self.chunks.__getitem__, rest))]
+        return [*(chunks.bare[head] if head else ()), *chain.from_iterable(map(chunks.__getitem__, rest))]
 
-    def encode(self, text: str) -> list[int]:
+    def _whole(self, text: str, chunks: Chunks) -> list:
         if not self.added or not any(t in text for t in self.added):
-            return self._plain(text) if text else []
-        return list(chain.from_iterable([self.added[x]] if x in self.added else self._plain(x) for x in self.added_split.split(text) if x))
+            return self._plain(text, chunks) if text else []
+        one = (lambda x: [self.added[x]]) if chunks is self.chunks else (lambda x: self._parts([self.added[x]]))
+        return list(chain.from_iterable(one(x) if x in self.added else self._plain(x, chunks) for x in self.added_split.split(text) if x))
+
+    def encode(self, text: str) -> list[int]:
+        return self._whole(text, self.chunks)
+
+    def _parts(self, ids: Iterable[int]) -> tuple[str, bytes]:
+        return "".join([f"{i}," for i in ids]), b"".join(map(self.decoding.__getitem__, ids))
+
+    def _write(self, chunk: str) -> tuple[str, bytes]:
+        return self._parts(self.encode_chunk(chunk))
+
+    def write(self, text: str) -> tuple[int, str, str]:
+        """How many ids a text has, the ids in decimals joined by commas, and what they decode to."""
+        parts = self._whole(text, self.written)
+        decimals = "".join(parts[::2])
+        return decimals.count(","), decimals[:-1], b"".join(parts[1::2]).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.decoding.__getitem__, ids)).decode("utf-8", "replace")
@@ -182,16 +208,21 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = True, with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = worker_automaton(shipped.value)
-        decimal = {i: str(i) for i in automaton.decoding}
+        written = digests and not with_ids
         for batch in batches:
             out: list[list] = [[] for _ in fields]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = automaton.encode(text.as_py())
-                row: list = [doc_id, len(ids)]
-                decoded = automaton.decode(ids) if with_text or digests else None
-                row += [ids] * with_ids + [decoded] * with_text
+                if written:
+                    n, decimals, decoded = automaton.write(text.as_py())
+                    row: list = [doc_id, n]
+                else:
+                    ids = automaton.encode(text.as_py())
+                    decoded = automaton.decode(ids) if with_text or digests else None
+                    decimals = ",".join(map(str, ids)) if digests else ""
+                    row = [doc_id, len(ids), ids] if with_ids else [doc_id, len(ids)]
+                row += [decoded] * with_text
                 if digests:
-                    row += [hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
+                    row += [hashlib.sha256(decimals.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)], names=[n for n, _ in fields])

@@ -559,6 +559,20 @@ def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
     assert got == brute_repeats(list(enumerate(texts)))
 
 
+def test_marks_after_words_are_chunks_of_their_own(library):
+    from gridloom.llm import tokenizer
+
+    encoder, automaton = tokenizer.TextEncoder(tokenizer.read_tokenizer(PATH)), bpe_automaton.Automaton(tokenizer.read_tokenizer(PATH))
+    calls = []
+    encoder.chunks.encode = lambda x: calls.append(x) or encoder._piece(x)
+    words = ["heat***", "heat$$$", "heat%%%###", "heat(", "don't", "heat'", "heat'.", "ßx&&&", "ɐx|||"]
+    for text in [*words, *(f"a {w} {w}\n{w} b" for w in words), " ".join(words), "<|endoftext|> heat*** <|endoftext|>"]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == ids == automaton.encode(text)
+        assert automaton.write(text) == (len(ids), ",".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
+    assert not [x for x in calls if x[-1] in "*$#&"]
+
+
 def test_frequent_chunks_outlive_a_task():
     from gridloom.llm import tokenizer
 
