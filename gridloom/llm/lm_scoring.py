@@ -15,7 +15,8 @@ blocks in Spark, at most ``TOGETHER`` copies at a time. A corpus of few shards i
 made ``MIN_STEPS`` steps (``MAX_PASSES`` times at most). Seeds come from round and shard, so scores do not depend on how the input is split. What reaches
 the driver is one set of parameters and at most ``HEAD_WORDS`` counts; counts of other words are joined, not broadcast.
 
-Normalisers come from batched matrix products of the contexts with all classes.
+A normaliser is a sum over classes of products of one factor a position. Scoring makes them for all farthest words of a pair of
+nearer ones at once, by a matrix product when a pair is first met, and looks them up from then on (``Normalisers``).
 
 Contract: a null or empty text is the end token alone; ``doc_id`` null is crc32 of ''; repeated rows are scored each, alike;
 words of equal counts are ordered by their bytes; texts of any length are scored whole; an empty training set leaves
@@ -24,6 +25,7 @@ uniform counts (N = 0, V = 0); other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections import Counter
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +45,15 @@ SINGLE, GROUPS, PREFIX = 192, 192, 2
 CLASSES, WIDTH, CONTEXT = SINGLE + GROUPS, 24, 3
 #: Words of at most ``HEAD_BYTES`` bytes whose counts are broadcast: a fixed bound of 16 MB.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
+#: Bytes of words that a task counts at once.
+COUNTED_BYTES = 32 << 20
 BATCH, NOISE, RATE = 1024, 32, 0.15
 ROUNDS, SHARD_TOKENS, MIN_STEPS, MAX_PASSES = 4, 1 << 19, 2000, 8
 BLOCKS, TOGETHER = 16, 64
-#: Contexts that one matrix product takes at once.
+#: Contexts (or pairs of classes) that one matrix product takes at once.
 ROWS = 1024
+#: Up to these bounds of scores, their exponentials, products and sums stay within the range of single and of double precision.
+SINGLE_BOUND, DOUBLE_BOUND = 75.0, 300.0
 #: The end token; a space is in no word.
 END = b" "
 
@@ -69,17 +76,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
+            found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+            found = found.filter(pc.greater(pc.binary_length(found.field("values")), 0))  # white space at a text's edge
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "c"])
 
-        seen: Counter[bytes] = Counter()
+        held, size, ends = [], 0, 0
         for batch in batches:
-            for text in _buffers(batch.column(0)):
-                seen.update(words(text))
-            if len(seen) > 500_000:
+            ends += batch.num_rows
+            held.append(pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0))).flatten().cast(pa.binary()))
+            if (size := size + held[-1].nbytes) > COUNTED_BYTES:
                 yield out()
-                seen.clear()
-        if seen:
-            yield out()
+                held, size = [], 0
+        yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([END] if ends else [], pa.binary()), pa.array([ends] if ends else [], pa.int64())], names=["word", "c"])
 
     rows = texts(docs).filter(~held_out(F.col("doc_id"))).select("text")
     return materialise(rows.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
@@ -157,7 +166,7 @@ class Model:
         return np.vstack([np.column_stack([self.q, self.r, self.b, *self.past[:3]]), low])
 
     def _step(self, which: int, target: np.ndarray, index: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(index, kind="stable")
+        order = np.argsort(index.astype(np.uint16), kind="stable")  # numpy sorts 16 bits by radix
         own = index[order]
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         rows, total, past = own[starts], np.add.reduceat(grad[order], starts), self.past[which]
@@ -196,6 +205,43 @@ class Model:
         return out
 
 
+class Normalisers:
+    """Probabilities of a model that learns no more, by tables: what each class of a position adds to all scores, and the
+    normalisers after all triples of classes, CLASSES of them for each pair of nearer classes that was met. They are no estimates.
+    Rows are in the order of their meeting, so memory is touched as pairs come; its bound is 4 * CLASSES**3 bytes (226 MB)."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.parts = [(model.q * m) @ model.r.T for m in model.m]
+        self.parts[0] += model.b
+        most = sum(float(np.abs(p).max()) for p in self.parts)
+        self.bounded = most < DOUBLE_BOUND
+        if self.bounded:
+            self.near, self.next, far = (np.exp(p, dtype=np.float32 if most < SINGLE_BOUND else np.float64) for p in self.parts)
+            self.far = np.ascontiguousarray(far.T)
+            self.met, self.row_of, self.logs = 0, np.full(CLASSES * CLASSES, -1, np.int32), np.empty((CLASSES * CLASSES, CLASSES), np.float32)
+
+    def _meet(self, pairs: np.ndarray) -> None:
+        for at in range(0, len(pairs), ROWS):
+            some = pairs[at : at + ROWS]
+            factors = self.near[some // CLASSES]
+            factors *= self.next[some % CLASSES]
+            np.log(factors @ self.far, out=self.logs[self.met : self.met + len(some)], casting="same_kind")
+            self.row_of[some] = np.arange(self.met, self.met + len(some))
+            self.met += len(some)
+
+    def log_probabilities(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """What ``Model.log_probabilities`` gives, but for rounding."""
+        if not self.bounded:
+            return self.model.log_probabilities(before, word)
+        pair = before[:, 0] * CLASSES + before[:, 1]
+        self._meet(np.unique(pair[self.row_of[pair] < 0]))
+        out = -self.logs[self.row_of[pair], before[:, 2]].astype(np.float64)
+        for k, part in enumerate(self.parts):
+            out += part[before[:, k], word]
+        return out
+
+
 def contexts(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The CONTEXT classes before each of the words of several texts, the nearest first; ends (0) before a text."""
     place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -206,29 +252,28 @@ def contexts(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Known(dict):
-    """Word to its class; words without a class of their own are kept up to a bound."""
-
-    def __init__(self, single: dict[bytes, int]):
-        super().__init__(single)
-        self.single = single
+class _Groups(dict):
+    """First bytes of a word to its group: 65,792 entries at most, so that distinct words do not fill it."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-            self.update(self.single)
-        found = self[word] = group_of(word)
+    def __missing__(self, prefix: bytes) -> int:
+        found = self[prefix] = group_of(prefix)
         return found
 
 
+def classes_of(words_: list[bytes], single: dict[bytes, int], groups: _Groups) -> list[int]:
+    """Classes of words; END is 0 among ``single``."""
+    get = single.get
+    return [groups[w[:PREFIX]] if (k := get(w)) is None else k for w in words_]
+
+
 def _events(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
     """``turn``, ``shard``, ``place``, ``ids``: the classes of each training text's words, as a table in the shared folder."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary.single)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(shipped.value)
+        single, groups = shipped.value, _Groups()
         for batch in batches:
-            ids = [np.fromiter(map(known.__getitem__, words(t)), "<u2").tobytes() for t in _buffers(batch.column(1))]
+            ids = [np.array(classes_of(words(t), single, groups), "<u2").tobytes() for t in _buffers(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["place", "ids"])
 
     own = texts(docs).filter(~held_out(F.col("doc_id"))).select(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("place"), "text")
@@ -305,9 +350,9 @@ class _Scorer:
 
     def __init__(self, vocabulary: Vocabulary, table: np.ndarray):
         head = vocabulary.head
-        self.model, self.known = Model(vocabulary.unigram, table), _Known(vocabulary.single)
+        self.normalisers, self.single, self.groups = Normalisers(Model(vocabulary.unigram, table)), vocabulary.single, _Groups()
         self.place, self.outside = {w: i for i, w in enumerate(head)}, len(head)
-        self.class_of = np.array([*map(self.known.__getitem__, head), 0], np.int32)
+        self.class_of = np.array([*classes_of([*head], self.single, self.groups), 0], np.int32)
         self.base_of = np.array([math.log10(c + 1) for c in head.values()] + [0.0])
         self.share_of = np.array([vocabulary.share(w, c) for w, c in head.items()] + [0.0])
         self.base_total, self.in_class = math.log10(vocabulary.n + vocabulary.v + 1), np.log10(vocabulary.tokens + 1)
@@ -316,7 +361,7 @@ class _Scorer:
     def add(self, held: list[list[bytes]], out: list[list], tail: _Tail) -> None:
         """Score the texts ``held``. A word outside the head gets here its class's probability over the class's count; what
         its own count adds is joined later."""
-        get, outside, known = self.place.get, self.outside, self.known
+        get, outside = self.place.get, self.outside
         sizes = np.array([len(t) for t in held])
         at = np.array([get(w, outside) for t in held for w in t], np.int32)
         first = np.cumsum(sizes) - sizes
@@ -327,13 +372,14 @@ class _Scorer:
         for k, t in enumerate(held):
             own = [t[i] for i in (rare[cuts[k] : cuts[k + 1]] - first[k]).tolist()]
             some = Counter(own)
+            found = dict(zip(some, classes_of([*some], self.single, self.groups), strict=True))
             tail.words.extend(some)
             tail.tf.extend(some.values())
-            tail.unseen.extend([self.unseen[known[w]] for w in some])
+            tail.unseen.extend([self.unseen[k] for k in found.values()])
             tail.ends.append(len(tail.words))
-            classes += [known[w] for w in own]
+            classes += [found[w] for w in own]
         ids[rare] = classes
-        logs = self.model.log_probabilities(contexts(ids, sizes), ids) * math.log10(math.e) + self.share_of[at]
+        logs = self.normalisers.log_probabilities(contexts(ids, sizes), ids) * math.log10(math.e) + self.share_of[at]
         logs[rare] -= self.in_class[ids[rare]]
         out[0] += sizes.tolist()
         out[1] += (sizes - np.diff(cuts)).tolist()
@@ -341,13 +387,24 @@ class _Scorer:
         out[3] += np.add.reduceat(logs, first).tolist()
 
 
+class _Shipped:
+    """What is broadcast for scoring. A worker keeps a broadcast's value between tasks, and so its scorer and tables."""
+
+    def __init__(self, vocabulary: Vocabulary, table: np.ndarray):
+        self.vocabulary, self.table = vocabulary, table
+
+    @functools.cached_property
+    def scorer(self) -> _Scorer:
+        return _Scorer(self.vocabulary, self.table)
+
+
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((vocabulary, model.table()))
+    shipped = spark.sparkContext.broadcast(_Shipped(vocabulary, model.table()))
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, tf: long, unseen: double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(*shipped.value)
+        scorer = shipped.value.scorer
         for batch in batches:
             if not batch.num_rows:
                 continue

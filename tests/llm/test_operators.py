@@ -776,6 +776,61 @@ def test_lm_gains_over_its_unigram_part(spark):
     assert learned[True][0] - unigram[True][0] > 0.15 and all(learned[h][0] > learned[h][1] for h in (True, False))
 
 
+def test_lm_looks_normalisers_up_by_pair(monkeypatch):
+    rng = np.random.default_rng(6)
+    unigram = rng.random(lm_scoring.CLASSES) + 0.1
+    before, word = rng.integers(0, 40, (3000, 3)).astype(np.int32), rng.integers(0, lm_scoring.CLASSES, 3000)
+    for most in (40, 200, 1000):  # single precision, double precision, no tables
+        model = lm_scoring.Model(unigram / unigram.sum())
+        model.q *= (most - np.abs(model.b).max()) / sum(np.abs((model.q * m) @ model.r.T).max() for m in model.m)
+        tables = lm_scoring.Normalisers(model)
+        wanted = model.log_probabilities(before, word)
+        if most < 1000:
+            assert tables.far.dtype == (np.float32 if most == 40 else np.float64)
+            with monkeypatch.context() as patch:
+                patch.delattr(lm_scoring.Model, "log_probabilities")  # a normaliser for each word
+                got = tables.log_probabilities(before, word)
+                patch.setattr(tables, "_meet", lambda pairs: pytest.fail() if len(pairs) else None)
+                again = tables.log_probabilities(before[::-1], word[::-1])
+            assert np.array_equal(got, again[::-1]) and tables.met == len({tuple(b) for b in before[:, :2].tolist()})
+        else:
+            assert not tables.bounded
+            got = tables.log_probabilities(before, word)
+        assert np.allclose(got, wanted, rtol=1e-5, atol=1e-4)
+
+
+def test_lm_scorer_makes_no_normaliser_a_word(spark, monkeypatch):
+    docs = table(spark, ["some words of a text", "some other words of it", "é x"])
+    vocabulary = lm_scoring.Vocabulary(lm_scoring.word_counts(docs))
+    model = lm_scoring.Model(vocabulary.unigram)
+    texts = [lm_scoring.words(memoryview(t.encode())) for t in ("some words of it", "é é unseen A b", "")]
+    wanted = []
+    for t in texts:
+        ids = [0] * lm_scoring.CONTEXT + [vocabulary.class_of(w) for w in t]
+        wanted.append(sum(class_log(model, ids[k : k + 3][::-1], ids[k + 3]) for k in range(len(t))))
+        # the count of a word outside the head is joined later
+        wanted[-1] += sum(vocabulary.share(w, vocabulary.head[w]) if w in vocabulary.head else -math.log10(vocabulary.tokens[vocabulary.class_of(w)] + 1) for w in t)
+    monkeypatch.delattr(lm_scoring.Model, "log_probabilities")
+    out = [[] for _ in range(4)]
+    lm_scoring._Scorer(vocabulary, model.table()).add(texts, out, lm_scoring._Tail())
+    assert out[3] == pytest.approx(wanted, abs=1e-4) and out[0] == [5, 6, 1]
+
+
+@pytest.mark.parametrize("held", [1, 32 << 20])
+def test_lm_counts_words_by_the_definition(spark, monkeypatch, held):
+    monkeypatch.setattr(lm_scoring, "COUNTED_BYTES", held)
+    texts = [t for t in ODD if t] + ["", None, " ", "\t A\x0bb\x0c\r\n", "\x1c \x85\u2003É é\x00 a", "b " * 2000]
+    docs = table(spark, texts, [k for k in range(1000) if zlib.crc32(str(k).encode()) % 7 != 2][: len(texts)])
+    wanted = Counter(w for t in texts for w in lm_scoring.words(memoryview((t or "").encode())))
+    assert {bytes(r["word"]): r["c"] for r in lm_scoring.word_counts(docs).collect()} == wanted
+
+
+def test_lm_classes_of_words(spark, documents):
+    vocabulary = lm_scoring.Vocabulary(lm_scoring.word_counts(table(spark, [*documents.values()][:50])))
+    own = [w for t in [*documents.values(), "a \xe9 \u4e2d \U0001f600 b"] for w in lm_scoring.words(memoryview(t.encode()))]
+    assert lm_scoring.classes_of(own, vocabulary.single, lm_scoring._Groups()) == [*map(vocabulary.class_of, own)]
+
+
 def test_nce_step_follows_the_gradient(monkeypatch):
     rng = np.random.default_rng(4)
     unigram = rng.random(lm_scoring.CLASSES) + 0.1
