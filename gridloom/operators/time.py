@@ -269,8 +269,13 @@ def without_cycle(df: DataFrame, cycle: DataFrame, keys: list[str]) -> DataFrame
 
 
 def hour_of_maximum(df: DataFrame, keys: list[str], slots: int) -> DataFrame:
-    """The hour at which the mean cycle of a day (``slot``, ``value``) is greatest, the first of equals."""
-    return df.groupBy(*keys).agg((F.min_by("slot", F.struct(-F.col("value"), "slot")) * (24.0 / slots)).alias("hour"))
+    """The hour at which the mean cycle of a day (``slot``, ``value``) is greatest, the first of equals.
+
+    Masked slots take no part, and keys that have no others get no row; NaN is greater than all numbers, as in SQL. A slot
+    that is null comes last of equals.
+    """
+    greatest = F.max(F.struct("value", (-F.col("slot")).alias("_s")))["_s"]
+    return df.filter("value is not null").groupBy(*keys).agg((-greatest * (24.0 / slots)).alias("hour"))
 
 
 def cycle_shape(df: DataFrame, keys: list[str], period: float = 365.0) -> DataFrame:
