@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,67 @@ from . import CELL
 
 #: The longest kernel; its lags are literals of the plan.
 MAX_LAGS = 1000
+#: Squares of more places than LEAF are parted further, over MAX_LEVELS levels below the first at the most.
+LEAF, MAX_LEVELS = 32, 12
 
 
-def sites_within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """For each site of ``a`` (site, lat, lon) the nearest one of ``b`` (other, lat2, lon2) under ``radius`` degrees.
+def _finite(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Rows with numbers for both, as doubles: no other place is near to any."""
+    inside = lambda c: F.abs(F.col(c)) < float("inf")
+    return df.withColumns({c: F.col(c).cast("double") for c in (lat, lon)}).filter(inside(lat) & inside(lon))
 
-    Sites meet in squares of the radius: each one of ``b`` is put in the nine squares around it, so the join is an equi
-    join however many sites there are.
+
+def sites_within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """For each site of ``a`` (site, lat, lon) the nearest one of ``b`` (other, lat2, lon2) under ``radius`` degrees, the least
+    ``other`` of equals.
+
+    Places meet, not sites: each place of ``a`` is searched once, and a place of ``b`` stands for its least ``other``. A place
+    of ``a`` begins with the squares of the radius around it and goes down, a level at a time, to their sixteenths, until
+    none of a level holds over LEAF places. At each level it keeps the squares whose bounds (those of the places in them)
+    are no farther off than another's farthest corner. Differences, products and roots keep their order when rounded, so
+    no nearest place is lost. Thus a place meets a few squares a level rather than all places in the radius, unless these
+    are all about equally far from it. ``b`` is read once a level.
     """
-    square = lambda c: F.floor(F.col(c) / radius)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    spread = b.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around)).withColumns({"_y": square("lat2") + F.col("_dy"), "_x": square("lon2") + F.col("_dx")})
-    pairs = a.withColumns({"_y": square("lat"), "_x": square("lon")}).join(spread, ["_y", "_x"])
-    d = F.sqrt(F.pow(F.col("lat") - F.col("lat2"), 2) + F.pow(F.col("lon") - F.col("lon2"), 2))
-    return pairs.withColumn("_d", d).filter(F.col("_d") < radius).groupBy("site").agg(F.min(F.struct(F.col("_d").alias("distance"), "other")).alias("m")).select("site", "m.other", "m.distance")
+    # a little wider than the radius, so that rounding does not part places by two squares
+    side = radius * (1 + 1e-9)
+    square = lambda c, level: F.floor(F.col(c) / (side / 4**level))
+    places = _finite(b, "lat2", "lon2").groupBy("lat2", "lon2").agg(F.min("other").alias("other"))
+
+    def squares(level: int) -> DataFrame:
+        """Squares of a level (_y, _x) with the bounds of their places, by those (_py, _px) in which they are searched."""
+        above = max(level - 1, 0)
+        of = {"_y": square("lat2", level), "_x": square("lon2", level), "_py": square("lat2", above), "_px": square("lon2", above)}
+        bounds = [F.min("lat2").alias("_s"), F.max("lat2").alias("_n"), F.min("lon2").alias("_w"), F.max("lon2").alias("_e")]
+        found = places.withColumns(of).groupBy(*of).agg(*bounds)
+        if level:
+            return found
+        around = F.sequence(F.lit(-1), F.lit(1))
+        spread = found.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
+        # there is no square beyond the greatest long
+        return spread.withColumns({"_py": F.try_add("_y", "_dy"), "_px": F.try_add("_x", "_dx")}).drop("_dy", "_dx")
+
+    last = 0
+    while last < MAX_LEVELS:
+        most = places.groupBy(square("lat2", last), square("lon2", last)).count().agg(F.max("count")).first()[0] or 0
+        if most <= LEAF:
+            break
+        # a level parts a square into 16 at most
+        last = min(last + max(1, math.ceil(math.log(most / LEAF, 16))), MAX_LEVELS)
+
+    distance = lambda y, x: F.sqrt(y * y + x * x)
+    beyond = lambda c, lower, upper: F.greatest(F.col(lower) - F.col(c), F.col(c) - F.col(upper), F.lit(0.0))
+    across = lambda c, lower, upper: F.greatest(F.abs(F.col(lower) - F.col(c)), F.abs(F.col(upper) - F.col(c)))
+    own = Window.partitionBy("lat", "lon")
+    near = _finite(a, "lat", "lon").select("lat", "lon").distinct().withColumns({"_y": square("lat", 0), "_x": square("lon", 0), "_u": F.lit(float(radius))})
+    for level in range(last + 1):
+        asked = near.withColumnsRenamed({"_y": "_py", "_x": "_px"})
+        met = asked.join(squares(level), ["_py", "_px"]).withColumn("_d", distance(beyond("lat", "_s", "_n"), beyond("lon", "_w", "_e"))).filter("_d <= _u")
+        met = met.withColumn("_u", F.least("_u", F.min(distance(across("lat", "_s", "_n"), across("lon", "_w", "_e"))).over(own)))
+        near = met.filter("_d <= _u").select("lat", "lon", "_y", "_x", "_u")
+    ends = places.withColumns({"_y": square("lat2", last), "_x": square("lon2", last)})
+    pairs = near.join(ends, ["_y", "_x"]).withColumn("_d", distance(F.col("lat") - F.col("lat2"), F.col("lon") - F.col("lon2")))
+    nearest = pairs.filter((F.col("_d") < radius) & (F.col("_d") <= F.col("_u"))).groupBy("lat", "lon").agg(F.min(F.struct(F.col("_d").alias("distance"), "other")).alias("m"))
+    return _finite(a, "lat", "lon").select("site", "lat", "lon").join(nearest, ["lat", "lon"]).groupBy("site").agg(F.min(F.struct("m.distance", "m.other")).alias("m")).select("site", "m.other", "m.distance")
 
 
 def regional_threshold(in_regions: DataFrame, table: DataFrame) -> DataFrame:

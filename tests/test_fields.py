@@ -370,3 +370,52 @@ def test_growth_is_the_slope_of_the_trend(spark):
     rows = [(1, 30.0 * i, 2.0 * i + math.sin(2 * math.pi * 30 * i / 365)) for i in range(80)]
     got = [r["growth"] for r in signal.smooth_sites(spark.createDataFrame(rows, "site long, t double, value double")).collect()]
     assert np.median(got) == pytest.approx(2 * 365 / 30, rel=0.02)
+
+
+def near_sites(spark, a, b, radius):
+    """Frames of both, and by site the nearest place's distance and least name by all pairs in numpy."""
+    frames = [spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(p)], ddl) for p, ddl in ((a, "site long, lat double, lon double"), (b, "other long, lat2 double, lon2 double"))]
+    expected = {}
+    for i, place in enumerate(a):
+        y, x = (place - b).T
+        d = np.sqrt(y * y + x * x)
+        if np.nanmin(d) < radius:
+            expected[i] = (np.nanmin(d), np.nanargmin(d))
+    return frames, expected
+
+
+def rows_joined(df):
+    """The most rows that a join of the run plan gave."""
+
+    def visit(node):
+        name = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        found = node.metrics().get("numOutputRows") if "Join" in name else None
+        return max([found.get().value() if found is not None and found.isDefined() else 0, *map(visit, inner)])
+
+    return visit(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("layout", ["spread", "ties", "clusters"])
+def test_nearest_sites_are_exact_at_all_levels(spark, layout):
+    rng = np.random.default_rng(4)
+    if layout == "spread":
+        a, b = (rng.uniform((-60, -180), (60, 180), (400, 2)) for _ in range(2))
+        a[0], b[0], b[1] = (np.inf, 0), (1e30, 0), (0, np.nan)
+    elif layout == "ties":
+        a, b = rng.integers(-12, 12, (400, 2)).astype(float), rng.integers(-12, 12, (400, 2)) + 0.5
+    else:
+        a, b = np.concatenate([rng.uniform(0, 1, (200, 2)), rng.uniform(40, 40.001, (200, 2))]), rng.uniform(40, 40.01, (400, 2))
+    (sites, others), expected = near_sites(spark, a, b, 20.0)
+    got = {r["site"]: (r["distance"], r["other"]) for r in lookup.sites_within(sites, others, 20.0).collect()}
+    assert len(expected) >= 200 and got == expected
+
+
+@pytest.mark.parametrize("layout", ["one place", "dense"])
+def test_nearest_sites_do_not_meet_all_in_the_radius(spark, layout):
+    rng = np.random.default_rng(4)
+    a, b = (np.full((2000, 2), k) if layout == "one place" else rng.uniform(0, 10, (2000, 2)) for k in (1.0, 2.0))
+    (sites, others), expected = near_sites(spark, a, b, 60.0)
+    df = lookup.sites_within(sites, others, 60.0)
+    assert {r["site"]: (r["distance"], r["other"]) for r in df.collect()} == expected
+    assert 2000 <= rows_joined(df) < 2000 * 200
